@@ -65,17 +65,18 @@ class PosteriorChain:
     @classmethod
     def from_long(cls, frame: DataFrame, sample_id: Column, slot: Column, params: Sequence[Column],
                   num_sources: int, merge: Callable[[Column], Column] = F.max,
-                  **metadata) -> PosteriorChain:
+                  divide_by: Sequence[float] | None = None, **metadata) -> PosteriorChain:
         """A chain from one row per (sample, slot).
 
-        ``merge`` combines several rows of one slot. The pivot is a plain aggregation with
-        map-side partials: a key that holds a large part of the rows is reduced to one
-        fixed-width buffer per task before the shuffle.
+        ``merge`` combines several rows of one slot; ``divide_by`` scales the merged parameters.
+        The pivot is a plain aggregation with map-side partials: a key that holds a large part of
+        the rows is reduced to one fixed-width buffer per task before the shuffle.
         """
         cells = [merge(F.when(slot == s, nan_to_null(p.cast("double")))).alias(f"s{s}p{i}")
                  for s in range(num_sources) for i, p in enumerate(params)]
         pivoted = frame.groupBy(sample_id.cast("long").alias("sample_id")).agg(*cells)
-        entries = F.array(*[F.array(*[F.col(f"s{s}p{i}") for i in range(len(params))])
+        divisors = [1.0] * len(params) if divide_by is None else divide_by
+        entries = F.array(*[F.array(*[F.col(f"s{s}p{i}") / F.lit(float(d)) for i, d in enumerate(divisors)])
                             for s in range(num_sources)])
         metadata = {"trans_dimensional": True, "dense_ids": False} | metadata
         return cls(pivoted.select("sample_id", entries.alias("entries")),
@@ -93,7 +94,9 @@ class PosteriorChain:
 
     def long(self) -> DataFrame:
         """One row per entry: ``sample_id, slot, params``."""
-        return self.frame.select("sample_id", F.posexplode("entries").alias("slot", "params"))
+        rows = F.array(*[F.struct(F.lit(s).alias("slot"), F.get("entries", s).alias("params"))
+                         for s in range(self.num_sources)])
+        return self.frame.select("sample_id", F.inline(rows))
 
     def long_columns(self) -> DataFrame:
         """One row per entry with the parameters as ``p0 .. p{P-1}``."""

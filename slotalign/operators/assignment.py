@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import combinations, permutations
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -15,9 +15,11 @@ from .fits import NormalFit
 from .matching import best_labels, fill_free_labels, settle_ties
 from .models import LabelModel
 
-# Unrolled expressions stay small enough for one compiled stage up to these widths.
-NATIVE_MAX_SOURCES = 3
+# Up to these widths one compiled stage holds all scores; wider ones are faster in Arrow blocks.
+NATIVE_MAX_SOURCES = 2
 NATIVE_MAX_PARAMS = 3
+# Label densities of one entry are compiled up to this many terms.
+MAX_COMPILED_TERMS = 64
 
 ASSIGNMENT_TYPE = "struct<labels:array<int>,scores:array<double>>"
 
@@ -27,11 +29,28 @@ def log_density(chain: PosteriorChain, fit: NormalFit, model: LabelModel,
     """``sample_id, label, slot, logpdf`` for the requested labels; NULL for missing entries."""
     labels = list(range(len(fit.mean))) if labels is None else labels
     values = param_columns(F.col("params"), fit.params)
-    cells = F.array(*[F.struct(F.lit(label).alias("label"),
-                               F.when(all_present(values), model.column_density(values, fit, label))
-                               .alias("logpdf")) for label in labels])
-    scored = chain.long().select("sample_id", "slot", F.inline(cells))
-    return scored.select("sample_id", "label", "slot", "logpdf")
+    compiled = len(labels) * len(values) ** 2 <= MAX_COMPILED_TERMS
+    if model.column_density is not None and compiled:
+        densities = [F.when(all_present(values), model.column_density(values, fit, label)) for label in labels]
+        scored = chain.long().select("sample_id", "slot", F.array(*densities).alias("_logpdf"))
+    else:
+        scored = chain.long().select("sample_id", "slot", _block_density(fit, model, labels).alias("_logpdf"))
+    cells = F.array(*[F.struct(F.lit(label).alias("label"), F.get("_logpdf", i).alias("logpdf"))
+                      for i, label in enumerate(labels)])
+    return scored.select("sample_id", "slot", F.inline(cells)).select("sample_id", "label", "slot", "logpdf")
+
+
+def _block_density(fit: NormalFit, model: LabelModel, labels: list[int]) -> Column:
+    params, density = list(fit.params), model.array_density
+    fit.whitening
+
+    @F.arrow_udf("array<double>")
+    def densities(entries: pa.Array) -> pa.Array:
+        block = entries.flatten().to_numpy(zero_copy_only=False).reshape(len(entries), -1)[:, params]
+        scored = np.stack([density(block, fit, label) for label in labels], axis=1)
+        return _rows_of(scored, np.isnan(scored))
+
+    return densities.asNondeterministic()("params")
 
 
 def cost_matrix(chain: PosteriorChain, fit: NormalFit, prob_in_model: np.ndarray, model: LabelModel,
@@ -69,43 +88,25 @@ def assign(chain: PosteriorChain, fit: NormalFit, prob_in_model: np.ndarray,
 
 def _assign_in_jvm(chain: PosteriorChain, fit: NormalFit, log_in: np.ndarray,
                    model: LabelModel) -> DataFrame:
-    """All orders of a few slots compared in compiled projections.
+    """One or two slots: the two orders compared in a compiled projection.
 
-    Missing entries score 0 under every label, so they never decide. Equal totals go to the
-    lexicographically first order; summing in sorted order makes structural ties exact.
+    A missing entry scores 0 under both labels, so it never decides; a tie keeps the order.
     """
     slots = range(chain.num_sources)
-    orders = list(permutations(slots))
     values = [param_columns(F.get("entries", s), fit.params) for s in slots]
-    cells = {f"_c{s}_{label}": F.when(all_present(values[s]), model.column_density(values[s], fit, label)
-                                      + F.lit(float(log_in[label])))
-             for s in slots for label in slots}
-    totals = [_sorted_sum([F.coalesce(f"_c{s}_{order[s]}", F.lit(0.0)) for s in slots]) for order in orders]
-    best = F.greatest(*[F.col(f"_t{i}") for i in range(len(orders))]) if len(orders) > 1 else F.col("_t0")
-    winner = F.lit(len(orders) - 1)
-    for i in reversed(range(len(orders) - 1)):
-        winner = F.when(F.col(f"_t{i}") == F.col("_best"), i).otherwise(winner)
-    choices = F.array(*[F.array(*[F.lit(label) for label in order]) for order in orders])
-    own = [F.get(F.array(*[F.col(f"_c{s}_{label}") for label in slots]), F.get("labels", s)) for s in slots]
-    return (
-        chain.frame.select("sample_id", "entries", *[c.alias(name) for name, c in cells.items()])
-        .select("*", *[t.alias(f"_t{i}") for i, t in enumerate(totals)])
-        .select("*", best.alias("_best"))
-        .select("*", F.get(choices, winner).alias("labels"))
-        .select("sample_id", "entries", "labels", F.array(*own).alias("scores"))
-    )
-
-
-def _sorted_sum(terms: list[Column]) -> Column:
-    """A sum that does not depend on the order of its terms, not even in the last bit."""
-    if len(terms) == 1:
-        return terms[0]
-    if len(terms) == 2:
-        return terms[0] + terms[1]
-    first, second, third = terms
-    low, high = F.least(first, second), F.greatest(first, second)
-    middle = F.greatest(low, F.least(high, third))
-    return F.least(low, third) + middle + F.greatest(high, third)
+    cells = [F.when(all_present(values[s]), model.column_density(values[s], fit, label)
+                    + F.lit(float(log_in[label]))).alias(f"_c{s}{label}")
+             for s in slots for label in slots]
+    scored = chain.frame.select("sample_id", "entries", *cells)
+    if chain.num_sources == 1:
+        labels, scores = F.array(F.lit(0)), F.array("_c00")
+    else:
+        kept = F.coalesce("_c00", F.lit(0.0)) + F.coalesce("_c11", F.lit(0.0))
+        swapped = F.coalesce("_c01", F.lit(0.0)) + F.coalesce("_c10", F.lit(0.0))
+        scored = scored.withColumn("_swap", swapped > kept)
+        labels = F.when(F.col("_swap"), F.array(F.lit(1), F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))
+        scores = F.when(F.col("_swap"), F.array("_c01", "_c10")).otherwise(F.array("_c00", "_c11"))
+    return scored.select("sample_id", "entries", labels.alias("labels"), scores.alias("scores"))
 
 
 def _block_assignment(chain: PosteriorChain, fit: NormalFit, log_in: np.ndarray,
@@ -133,7 +134,8 @@ def _block_assignment(chain: PosteriorChain, fit: NormalFit, log_in: np.ndarray,
             [_rows_of(fill_free_labels(labels).astype("int32")), _rows_of(own, ~valid)],
             ["labels", "scores"])
 
-    return match("entries")
+    # Nondeterministic to the optimizer only: a filter on the result must not run the matching twice.
+    return match.asNondeterministic()("entries")
 
 
 def _rows_of(block: np.ndarray, missing: np.ndarray | None = None) -> pa.Array:

@@ -47,15 +47,14 @@ def labelled_entries(frame: DataFrame, num_sources: int, labels: Column | None =
 
     ``source`` is the slot that holds the entry in ``frame``; without ``labels`` it is the label.
     """
-    slots = F.array(*[F.lit(s) for s in range(num_sources)])
-    unscored = F.array(*[F.lit(None).cast("double")] * num_sources)
-    zipped = F.arrays_zip(
-        (slots if labels is None else labels).alias("label"),
-        slots.alias("source"),
-        (unscored if scores is None else scores).alias("score"),
-        F.col("entries").alias("params"),
-    )
-    return frame.select("sample_id", F.inline(zipped).alias("label", "source", "score", "params"))
+    rows = F.array(*[
+        F.struct(
+            (F.lit(s) if labels is None else F.get(labels, s)).alias("label"),
+            F.lit(s).alias("source"),
+            (F.lit(None).cast("double") if scores is None else F.get(scores, s)).alias("score"),
+            F.get("entries", s).alias("params"))
+        for s in range(num_sources)])
+    return frame.select("sample_id", F.inline(rows))
 
 
 def moments_by_slot(labelled: DataFrame, params: list[int]) -> DataFrame:

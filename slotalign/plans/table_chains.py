@@ -1,7 +1,7 @@
 """Chains made from the relational test tables; every row of a table takes part.
 
-Sums of prices are taken over whole cents and divided once, so that a chain value does not depend
-on the order in which rows arrive.
+Money is summed in whole cents and divided once, so a chain value does not depend on the order in
+which rows arrive.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..chain import PosteriorChain
 
+CENTS_PER_THOUSAND = 100_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -20,10 +22,45 @@ def hundredths(column: str) -> Column:
     return F.round(F.col(column) * 100).cast("long")
 
 
+def _position(column: str, values: list[str]) -> Column:
+    return (F.array_position(F.array(*[F.lit(v) for v in values]), F.col(column)) - 1).cast("int")
+
+
 def line_number_chain(spark: SparkSession, sf_dir: str) -> PosteriorChain:
-    """Sample = order, slot = line number (7), parameters = quantity, price in thousands, discount."""
+    """Sample = order, slot = line number; quantity, price in thousands and discount totals."""
+    return PosteriorChain.from_long(
+        table(spark, sf_dir, "lineitem"), F.col("l_orderkey"), F.col("l_linenumber") - 1,
+        [F.col("l_quantity"), hundredths("l_extendedprice"), hundredths("l_discount")],
+        num_sources=7, merge=F.sum, divide_by=[1, CENTS_PER_THOUSAND, 100])
+
+
+def return_flag_chain(spark: SparkSession, sf_dir: str) -> PosteriorChain:
+    """Sample = order, slot = return flag; quantity and price totals."""
+    return PosteriorChain.from_long(
+        table(spark, sf_dir, "lineitem"), F.col("l_orderkey"), _position("l_returnflag", ["A", "N", "R"]),
+        [F.col("l_quantity"), hundredths("l_extendedprice")],
+        num_sources=3, merge=F.sum, divide_by=[1, CENTS_PER_THOUSAND])
+
+
+def line_status_chain(spark: SparkSession, sf_dir: str) -> PosteriorChain:
+    """Sample = order, slot = line status; quantity and price totals."""
+    return PosteriorChain.from_long(
+        table(spark, sf_dir, "lineitem"), F.col("l_orderkey"), _position("l_linestatus", ["F", "O"]),
+        [F.col("l_quantity"), hundredths("l_extendedprice")],
+        num_sources=2, merge=F.sum, divide_by=[1, CENTS_PER_THOUSAND])
+
+
+def discounted_chain(spark: SparkSession, sf_dir: str) -> PosteriorChain:
+    """Sample = order, slot = return flag; the second parameter is missing without discounted lines."""
+    price = F.when(F.col("l_discount") >= 0.05, hundredths("l_extendedprice"))
+    return PosteriorChain.from_long(
+        table(spark, sf_dir, "lineitem"), F.col("l_orderkey"), _position("l_returnflag", ["A", "N", "R"]),
+        [F.col("l_quantity"), price],
+        num_sources=3, merge=F.sum, divide_by=[1, CENTS_PER_THOUSAND])
+
+
+def embedding_chain(spark: SparkSession, sf_dir: str) -> PosteriorChain:
+    """Sample = vector, slot = its label, parameters = its first eight coordinates."""
     return PosteriorChain.from_long(
-        table(spark, sf_dir, "lineitem"),
-        F.col("l_orderkey"), F.col("l_linenumber") - 1,
-        [F.col("l_quantity"), hundredths("l_extendedprice") / 100000.0, hundredths("l_discount") / 100.0],
-        num_sources=7, merge=F.sum)
+        table(spark, sf_dir, "embeddings"), F.col("vec_id"), F.col("label"),
+        [F.get("embedding", i) for i in range(8)], num_sources=10)

@@ -1 +1,198 @@
-def load_samples(): ...
+"""Loaders for whitespace-separated text chains.
+
+Text files are split like any other Spark input. The order of the samples, which burn and thin
+need, is rebuilt from the path, the start of the split and the place inside the split; these are
+pinned by writing the parsed lines once, and later jobs read that table.
+"""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..chain import PosteriorChain
+from ..functions.columns import nan_to_null
+from ..storage import add_offsets, block_sizes, join_blocks, stage
+
+# Fixed values of the file layouts.
+PRODUCT_SPACE_METADATA = 5      # trailing columns; the first of them holds the source count minus one
+FIXED_METADATA = 4              # trailing columns
+DIMENSION_FILE = "dimension_chain.dat."
+DIMENSION_PARAMS = 8
+LOW_NUMBER = 8                  # files with at most this many samples can be left out
+
+
+def load_samples(spark: SparkSession, path: str, num_params_per_source: int, fill_value: float = math.nan,
+                 burn: int = 0, thin: int = 1, remove_low_numbers: bool = False) -> PosteriorChain:
+    """Load a chain, choosing the layout by what ``path`` holds.
+
+    A folder with one file per number of sources is stacked; a file is told by its column count.
+    Burn and thin do not apply to product-space files.
+    """
+    if _is_dimension_folder(spark, path):
+        return load_samples_by_dimension(spark, path, fill_value, burn, thin, remove_low_numbers)
+    columns = _first_width(spark, path)
+    for metadata, load in ((PRODUCT_SPACE_METADATA, load_samples_product_space),
+                           (FIXED_METADATA, load_samples_fixed_num_sources)):
+        if columns > metadata and (columns - metadata) % num_params_per_source == 0:
+            options = {"fill_value": fill_value} if load is load_samples_product_space else {
+                "burn": burn, "thin": thin}
+            return load(spark, path, num_params_per_source, **options)
+    raise ValueError(f"cannot infer the layout of {path!r} with {columns} columns")
+
+
+def load_samples_product_space(spark: SparkSession, path: str, num_params_per_source: int,
+                               fill_value: float = math.nan) -> PosteriorChain:
+    """One row per sample, S_max*P parameters and five metadata columns."""
+    lines = _parsed_lines(spark, path)
+    _common_width(lines)
+    return decode_product_space(_numbered(lines), num_params_per_source, fill_value)
+
+
+def load_samples_fixed_num_sources(spark: SparkSession, path: str, num_params_per_source: int,
+                                   burn: int = 0, thin: int = 1) -> PosteriorChain:
+    """One row per sample, S*P parameters and four metadata columns."""
+    lines = _parsed_lines(spark, path)
+    width = _common_width(lines)
+    return decode_fixed(_numbered(lines), width, num_params_per_source).get_chain(burn, thin)
+
+
+def load_samples_by_dimension(spark: SparkSession, folder: str, fill_value: float = math.nan, burn: int = 0,
+                              thin: int = 1, remove_low_numbers: bool = False,
+                              num_params_per_source: int = DIMENSION_PARAMS) -> PosteriorChain:
+    """A folder of ``dimension_chain.dat.<k>`` files in which k consecutive lines form a sample.
+
+    The files are stacked in ascending k, and burn and thin apply to the stack.
+    """
+    lines = _parsed_lines(spark, f"{folder.rstrip('/')}/{DIMENSION_FILE}*").where("sources > 0")
+    # One row per file suffix.
+    sizes = {row["sources"]: row["count"] for row in lines.groupBy("sources").count().collect()}
+    for sources, count in sizes.items():
+        if count % sources:
+            raise ValueError(f"{DIMENSION_FILE}{sources} has {count} lines, not a multiple of {sources}")
+    kept = sorted(k for k in sizes if not remove_low_numbers or sizes[k] // k > LOW_NUMBER)
+    if not kept:
+        raise ValueError(f"no files with more than {LOW_NUMBER} samples found")
+    if _common_width(lines) != num_params_per_source:
+        raise ValueError(f"lines must have {num_params_per_source} columns")
+    stacked = _stacked(_numbered(lines), sizes, kept)
+    if burn < 0 or thin < 1:
+        raise ValueError("burn must not be negative and thin must be at least 1")
+    later = F.col("sample_id") - burn
+    stacked = stacked.where((later >= 0) & (later % thin == 0)).withColumn("sample_id", F.floor(later / thin))
+    return collect_entries(stacked, kept[-1], num_params_per_source, fill_value)
+
+
+def _stacked(numbered: DataFrame, sizes: dict[int, int], kept: list[int]) -> DataFrame:
+    """Turn line numbers over all files into sample ids over the kept files, and slots."""
+    starts, line_start, sample_start = [], 0, 0
+    for sources in sorted(sizes):
+        if sources in kept:
+            starts.append((sources, line_start, sample_start))
+            sample_start += sizes[sources] // sources
+        line_start += sizes[sources]
+    base = numbered.sparkSession.createDataFrame(starts, "sources int, line_start long, sample_start long")
+    line = F.col("sample_id") - F.col("line_start")
+    return numbered.join(F.broadcast(base), "sources").select(
+        (F.col("sample_start") + F.floor(line / F.col("sources"))).alias("sample_id"),
+        (line % F.col("sources")).cast("int").alias("slot"),
+        "values",
+    )
+
+
+def collect_entries(stacked: DataFrame, num_sources: int, num_params: int,
+                    fill_value: float = math.nan) -> PosteriorChain:
+    """Gather the lines of each sample, at most ``num_sources`` of them, and pad with missing ones."""
+    row = F.sort_array(F.collect_list(F.struct("slot", "values"))).getField("values")
+    gathered = stacked.groupBy("sample_id").agg(row.alias("present"))
+    padding = F.array(*[_fill(fill_value)] * num_params)
+    entries = F.array(*[_entry(F.coalesce(F.get("present", s), padding), 0, num_params)
+                        for s in range(num_sources)])
+    return PosteriorChain(gathered.select("sample_id", entries.alias("entries")), num_sources, num_params,
+                          trans_dimensional=True)
+
+
+def decode_product_space(rows: DataFrame, num_params: int, fill_value: float = math.nan) -> PosteriorChain:
+    """A chain from ``sample_id, values`` rows in the product-space layout."""
+    size = F.size("values")
+    count = F.rint(F.get("values", size - PRODUCT_SPACE_METADATA) + 1).cast("int")
+    counted = rows.select("sample_id", "values", count.alias("sources"))
+    num_sources = counted.agg(F.max("sources")).first()[0]
+    if num_sources is None:
+        raise ValueError("the chain has no samples")
+    padding = F.array(*[_fill(fill_value)] * num_params)
+    entries = F.array(*[
+        F.when(F.col("sources") > s, _entry(F.col("values"), s * num_params, num_params)).otherwise(padding)
+        for s in range(num_sources)])
+    return PosteriorChain(counted.select("sample_id", entries.alias("entries")), num_sources, num_params,
+                          trans_dimensional=True)
+
+
+def decode_fixed(rows: DataFrame, width: int, num_params: int) -> PosteriorChain:
+    """A chain from ``sample_id, values`` rows of ``width`` columns in the fixed layout."""
+    num_sources, rest = divmod(width - FIXED_METADATA, num_params)
+    if rest or num_sources < 1:
+        raise ValueError(f"{width} columns do not hold sources of {num_params} parameters")
+    entries = F.array(*[_entry(F.col("values"), s * num_params, num_params) for s in range(num_sources)])
+    return PosteriorChain(rows.select("sample_id", entries.alias("entries")), num_sources, num_params)
+
+
+def _entry(values: Column, start: int, num_params: int) -> Column:
+    return F.array(*[nan_to_null(F.get(values, start + p)) for p in range(num_params)])
+
+
+def _fill(fill_value: float) -> Column:
+    return F.lit(None if math.isnan(fill_value) else float(fill_value)).cast("double")
+
+
+def _data_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines that hold data: comments removed, blanks dropped."""
+    text = F.trim(F.regexp_replace("value", r"#.*|\t|\r", " "))
+    located = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("block"),
+        text.alias("line"))
+    return located.where("line != ''")
+
+
+def _parsed_lines(spark: SparkSession, path: str) -> DataFrame:
+    suffix = F.regexp_extract("path", DIMENSION_FILE.replace(".", r"\.") + r"(\d+)(/[^/]*)?$", 1)
+    return stage(_data_lines(spark, path).select(
+        F.when(suffix != "", suffix).cast("int").alias("sources"),
+        "path", "block", F.monotonically_increasing_id().alias("place"),
+        F.split("line", r"\s+").cast("array<double>").alias("values")))
+
+
+def _numbered(lines: DataFrame) -> DataFrame:
+    """``sample_id`` = number of the line in the order of source count, path, split and place."""
+    place = ["sources", "path", "block"]
+    blocks = add_offsets(block_sizes(lines, place, "place"), place)
+    joined = join_blocks(lines, blocks.drop("sources"), ["path", "block"])
+    return joined.select("sources", "values",
+                         (F.col("_before") + F.col("place") - F.col("_first")).alias("sample_id"))
+
+
+def _common_width(lines: DataFrame) -> int:
+    low, high = lines.agg(F.min(F.size("values")), F.max(F.size("values"))).first()
+    if low != high or low is None:
+        raise ValueError(f"rows must have one width, found {low} to {high}")
+    return low
+
+
+def _first_width(spark: SparkSession, path: str) -> int:
+    first = _data_lines(spark, path).select(F.size(F.split("line", r"\s+"))).first()
+    if first is None:
+        raise ValueError(f"{path!r} holds no data")
+    return first[0]
+
+
+def _is_dimension_folder(spark: SparkSession, path: str) -> bool:
+    """A folder lists files with other names than its own."""
+    first = spark.read.format("binaryFile").load(path).select("path").first()
+    return first is not None and _last_name(first["path"]) != _last_name(path)
+
+
+def _last_name(path: str) -> str:
+    return path.rstrip("/").rsplit("/", 1)[-1]

@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # A broadcast side is one row per written block; above this many blocks Spark chooses the join.
@@ -42,14 +42,15 @@ def stage(frame: DataFrame) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
-def block_offsets(staged: DataFrame, block: list[str], block_order: list[Column], position: str) -> DataFrame:
-    """One row per block: its first position and the number of rows in all earlier blocks.
+def block_sizes(staged: DataFrame, block: list[str], place: str) -> DataFrame:
+    """One row per block (file split or written partition): its first place and its row count."""
+    return staged.groupBy(*block).agg(F.min(place).alias("_first"), F.count("*").alias("_size"))
 
-    The unpartitioned window runs over blocks (file splits or written partitions), not over rows.
-    """
-    sizes = staged.groupBy(*block).agg(F.min(position).alias("_first"), F.count("*").alias("_size"))
+
+def add_offsets(sizes: DataFrame, block_order: list[str]) -> DataFrame:
+    """The number of rows in all earlier blocks; the unpartitioned window runs over blocks only."""
     earlier = Window.orderBy(*block_order).rowsBetween(Window.unboundedPreceding, -1)
-    return sizes.withColumn("_before", F.coalesce(F.sum("_size").over(earlier), F.lit(0)))
+    return sizes.withColumn("_before", F.coalesce(F.sum("_size").over(earlier), F.lit(0).cast("long")))
 
 
 def join_blocks(staged: DataFrame, blocks: DataFrame, on: list[str]) -> DataFrame:
@@ -71,7 +72,7 @@ def number_rows(frame: DataFrame, order_by: list[str], into: str = "sample_id")
         .withColumn("_place", F.monotonically_increasing_id())
     )
     staged = stage(placed)
-    blocks = block_offsets(staged, ["_part"], [F.col("_part")], "_place")
+    blocks = add_offsets(block_sizes(staged, ["_part"], "_place"), ["_part"])
     numbered = join_blocks(staged, blocks, ["_part"])
     number = F.col("_before") + F.col("_place") - F.col("_first")
     keep = [c for c in frame.columns if c != into]
