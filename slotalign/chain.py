@@ -10,10 +10,29 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.columns import nan_to_null, null_entry, param_columns
+from .functions.columns import nan_to_null, null_entry
 from .storage import number_rows, stage
 
 
+def slot_numbers(num_sources: int) -> Column:
+    return F.array(*[F.lit(s) for s in range(num_sources)])
+
+
+def param_of_entries(param: int) -> Column:
+    return F.transform("entries", lambda entry: F.get(entry, param))
+
+
+def gather_entries(places: Column, num_params: int) -> Column:
+    """Entries from the arrays ``p0 ..`` in the order of ``places``."""
+    return F.transform(places, lambda place: F.array(*[F.get(f"p{p}", place) for p in range(num_params)]))
+
+
+def split_entries(values: Column, num_sources: int, num_params: int) -> Column:
+    """Entries from one array of parameters, slot by slot; NaN becomes NULL."""
+    return F.transform(slot_numbers(num_sources), lambda slot: F.transform(
+        F.slice(values, slot * num_params + 1, num_params), nan_to_null))
+
+
 @dataclass(frozen=True)
 class PosteriorChain:
     """N samples of S slots with P parameters each.
@@ -30,7 +49,7 @@ class PosteriorChain:
     prob_in_model: tuple[float, ...] | None = None
     cost_by_width: Mapping[int, float] = field(default_factory=dict)
     dense_ids: bool = True
-    stored: bool = False
+    table: DataFrame | None = None
     trace: tuple = ()
 
     # ---- constructors -------------------------------------------------------------------
@@ -55,10 +74,7 @@ class PosteriorChain:
         checked = F.when(F.size(values) == width, values).otherwise(
             F.raise_error(F.lit(f"a sample does not have {width} values")))
         flat = frame.select(sample_id.cast("long").alias("sample_id"), checked.alias("_values"))
-        entries = F.array(*[
-            F.array(*[nan_to_null(F.get("_values", s * num_params_per_source + p))
-                      for p in range(num_params_per_source)])
-            for s in range(num_sources)])
+        entries = split_entries(F.col("_values"), num_sources, num_params_per_source)
         return cls(flat.select("sample_id", entries.alias("entries")),
                    num_sources, num_params_per_source, **metadata)
 
@@ -92,23 +108,33 @@ class PosteriorChain:
     def shape(self) -> tuple[int, int, int]:
         return (self.frame.count(), self.num_sources, self.num_params_per_source)
 
+    def by_param(self) -> DataFrame:
+        """One row per sample with an array over the slots for each parameter: ``sample_id, p0 ..``.
+
+        Jobs work on this form: it keeps expressions short however wide the chain is, and of a
+        staged chain only the parameters that a job uses are read.
+        """
+        if self.table is not None:
+            return self.table
+        return self.frame.select("sample_id", *[
+            param_of_entries(p).alias(f"p{p}") for p in range(self.num_params_per_source)])
+
     def long(self) -> DataFrame:
         """One row per entry: ``sample_id, slot, params``."""
-        rows = F.array(*[F.struct(F.lit(s).alias("slot"), F.get("entries", s).alias("params"))
-                         for s in range(self.num_sources)])
-        return self.frame.select("sample_id", F.inline(rows))
+        columns = [F.col(f"p{p}") for p in range(self.num_params_per_source)]
+        return self.long_columns().select("sample_id", "slot", F.array(*columns).alias("params"))
 
     def long_columns(self) -> DataFrame:
         """One row per entry with the parameters as ``p0 .. p{P-1}``."""
-        columns = param_columns(F.col("params"), range(self.num_params_per_source))
-        return self.long().select("sample_id", "slot",
-                                  *[c.alias(f"p{i}") for i, c in enumerate(columns)])
+        names = [f"p{p}" for p in range(self.num_params_per_source)]
+        rows = self.by_param().select("sample_id", *names, F.explode(slot_numbers(self.num_sources)).alias("slot"))
+        return rows.select("sample_id", "slot", *[F.get(name, "slot").alias(name) for name in names])
 
     def values(self, slot: int, param: int) -> DataFrame:
         """One parameter of one slot for every sample."""
         if not (0 <= slot < self.num_sources and 0 <= param < self.num_params_per_source):
             raise IndexError(f"no parameter {param} of slot {slot}")
-        return self.frame.select("sample_id", F.get(F.get("entries", slot), param).alias("value"))
+        return self.by_param().select("sample_id", F.get(f"p{param}", slot).alias("value"))
 
     def to_array(self) -> np.ndarray:
         """The whole chain as a driver array; for small chains."""
@@ -120,11 +146,15 @@ class PosteriorChain:
     # ---- transformations ----------------------------------------------------------------
 
     def with_frame(self, frame: DataFrame, **changes) -> PosteriorChain:
-        return replace(self, **({"frame": frame, "stored": False} | changes))
+        return replace(self, **({"frame": frame, "table": None} | changes))
 
     def staged(self) -> PosteriorChain:
-        """The same chain backed by a written table, unless it already is."""
-        return self if self.stored else self.with_frame(stage(self.frame), stored=True)
+        """The same chain backed by a written table with a column per parameter."""
+        if self.table is not None:
+            return self
+        table = stage(self.by_param())
+        entries = gather_entries(slot_numbers(self.num_sources), self.num_params_per_source)
+        return self.with_frame(table.select("sample_id", entries.alias("entries")), table=table)
 
     def with_dense_ids(self) -> PosteriorChain:
         """Replace the sample ids by 0..N-1 in ascending id order."""
@@ -161,19 +191,21 @@ class PosteriorChain:
         """
         if seed is None:
             seed = int(np.random.default_rng().integers(2**63))
-        keyed = F.array(*[
-            F.struct(F.md5(F.concat_ws(":", F.lit(seed), "sample_id", F.lit(s))).alias("key"),
-                     F.get("entries", s).alias("entry"))
-            for s in range(self.num_sources)])
+        keyed = F.transform("entries", lambda entry, slot: F.struct(
+            F.md5(F.concat_ws(":", F.lit(seed), "sample_id", slot)).alias("key"), entry.alias("entry")))
         shuffled = self.frame.select("sample_id", F.sort_array(keyed).getField("entry").alias("entries"))
         return self.with_frame(shuffled)
 
     def reorder(self, labels: Column) -> PosteriorChain:
         """Move every entry to the slot that ``labels`` (one label per entry) names."""
-        entries = F.array(*[F.get("entries", (F.array_position("_labels", F.lit(i)) - 1).cast("int"))
-                            for i in range(self.num_sources)])
-        moved = self.frame.withColumn("_labels", labels).select("sample_id", entries.alias("entries"))
-        return self.with_frame(moved)
+        return self.with_labels(self.by_param().withColumn("labels", labels))
+
+    def with_labels(self, labelled: DataFrame) -> PosteriorChain:
+        """The chain in the order of ``labelled``, its by-parameter form with a ``labels`` column."""
+        places = F.transform(slot_numbers(self.num_sources),
+                             lambda label: (F.array_position("labels", label) - 1).cast("int"))
+        entries = gather_entries(places, self.num_params_per_source)
+        return self.with_frame(labelled.select("sample_id", entries.alias("entries")))
 
     # ---- files --------------------------------------------------------------------------
 

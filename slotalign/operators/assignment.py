@@ -71,7 +71,7 @@ def cost_matrix(chain: PosteriorChain, fit: NormalFit, prob_in_model: np.ndarray
 
 def assign(chain: PosteriorChain, fit: NormalFit, prob_in_model: np.ndarray,
            model: LabelModel) -> DataFrame:
-    """``sample_id, entries, labels, scores``: the best label of every entry and its score.
+    """The chain by parameter with ``labels`` and ``scores``: the best label of every entry, its score.
 
     Scores of missing entries are NULL; the entries are in the order they have in the chain.
     """
@@ -81,8 +81,9 @@ def assign(chain: PosteriorChain, fit: NormalFit, prob_in_model: np.ndarray,
     narrow = chain.num_sources <= NATIVE_MAX_SOURCES and len(fit.params) <= NATIVE_MAX_PARAMS
     if narrow and model.column_density is not None:
         return _assign_in_jvm(chain, fit, log_in, model)
-    assigned = chain.frame.withColumn("_best", _block_assignment(chain, fit, log_in, model))
-    return assigned.select("sample_id", "entries", F.col("_best.labels").alias("labels"),
+    frame = chain.by_param()
+    assigned = frame.withColumn("_best", _block_assignment(chain.num_sources, fit, log_in, model))
+    return assigned.select(*frame.columns, F.col("_best.labels").alias("labels"),
                            F.col("_best.scores").alias("scores"))
 
 
@@ -92,12 +93,12 @@ def _assign_in_jvm(chain: PosteriorChain, fit: NormalFit, log_in: np.ndarray,
 
     A missing entry scores 0 under both labels, so it never decides; a tie keeps the order.
     """
-    slots = range(chain.num_sources)
-    values = [param_columns(F.get("entries", s), fit.params) for s in slots]
+    slots, frame = range(chain.num_sources), chain.by_param()
+    values = [[F.get(f"p{p}", s) for p in fit.params] for s in slots]
     cells = [F.when(all_present(values[s]), model.column_density(values[s], fit, label)
                     + F.lit(float(log_in[label]))).alias(f"_c{s}{label}")
              for s in slots for label in slots]
-    scored = chain.frame.select("sample_id", "entries", *cells)
+    scored = frame.select("*", *cells)
     if chain.num_sources == 1:
         labels, scores = F.array(F.lit(0)), F.array("_c00")
     else:
@@ -106,22 +107,21 @@ def _assign_in_jvm(chain: PosteriorChain, fit: NormalFit, log_in: np.ndarray,
         scored = scored.withColumn("_swap", swapped > kept)
         labels = F.when(F.col("_swap"), F.array(F.lit(1), F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))
         scores = F.when(F.col("_swap"), F.array("_c01", "_c10")).otherwise(F.array("_c00", "_c11"))
-    return scored.select("sample_id", "entries", labels.alias("labels"), scores.alias("scores"))
+    return scored.select(*frame.columns, labels.alias("labels"), scores.alias("scores"))
 
 
-def _block_assignment(chain: PosteriorChain, fit: NormalFit, log_in: np.ndarray,
-                      model: LabelModel) -> Column:
+def _block_assignment(num_sources: int, fit: NormalFit, log_in: np.ndarray, model: LabelModel) -> Column:
     """Arrow blocks of samples scored and matched with NumPy."""
-    shape = (-1, chain.num_sources, chain.num_params_per_source)
-    params, density = list(fit.params), model.array_density
+    density = model.array_density
     fit.whitening
     tied = [(a, b) for a, b in combinations(range(len(log_in)), 2)
             if log_in[a] == log_in[b] and (fit.mean[a] == fit.mean[b]).all()
             and (fit.cov[a] == fit.cov[b]).all()]
 
     @F.arrow_udf(ASSIGNMENT_TYPE)
-    def match(entries: pa.Array) -> pa.Array:
-        cube = entries.flatten().flatten().to_numpy(zero_copy_only=False).reshape(shape)[:, :, params]
+    def match(*params: pa.Array) -> pa.Array:
+        cube = np.stack([p.flatten().to_numpy(zero_copy_only=False) for p in params], axis=1)
+        cube = cube.reshape(-1, num_sources, len(params))
         valid = ~np.isnan(cube).any(axis=2)
         score = np.full(valid.shape + (len(log_in),), np.nan)
         block = cube[valid]
@@ -135,7 +135,7 @@ def _block_assignment(chain: PosteriorChain, fit: NormalFit, log_in: np.ndarray,
             ["labels", "scores"])
 
     # Nondeterministic to the optimizer only: a filter on the result must not run the matching twice.
-    return match.asNondeterministic()("entries")
+    return match.asNondeterministic()(*[f"p{p}" for p in fit.params])
 
 
 def _rows_of(block: np.ndarray, missing: np.ndarray | None = None) -> pa.Array:

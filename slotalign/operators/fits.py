@@ -63,7 +63,7 @@ class FitInput:
 
     @cached_property
     def all_values(self) -> tuple[int, float, float]:
-        return collect_all_values(self.chain.frame)
+        return collect_all_values(self.chain.by_param())
 
 
 Estimator = Callable[[SlotMoments, int, FitInput], NormalFit]
@@ -103,7 +103,8 @@ def check_width(chain: PosteriorChain, max_num_sources: int) -> None:
 
 def measure(chain: PosteriorChain, params: list[int]) -> SlotMoments:
     """Moments of a chain in the layout it has."""
-    return collect_moments(labelled_entries(chain.frame, chain.num_sources), chain.num_sources, params)
+    labelled = labelled_entries(chain.by_param(), chain.num_sources, params)
+    return collect_moments(labelled, np.zeros((chain.num_sources, len(params))))
 
 
 def clip_probability(moments: SlotMoments, max_num_sources: int, eps: float) -> np.ndarray:

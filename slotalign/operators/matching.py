@@ -95,12 +95,14 @@ def settle_ties(labels: np.ndarray, values: np.ndarray, same_labels: list[tuple[
         labels[rows, at_high[rows]] = low
         taken = rows[at_low[rows] < entries]
         labels[taken, at_low[taken]] = high
+    leading = np.ascontiguousarray(values[:, :, 0].T)
     for first in range(entries):
         for second in range(first + 1, entries):
-            equal = (values[:, first] == values[:, second]).all(axis=1)
-            if not equal.any():
+            rows = np.flatnonzero(leading[first] == leading[second])
+            if not rows.size:
                 continue
-            rows = np.flatnonzero(equal & (labels[:, second] >= 0) & (labels[:, first] > labels[:, second]))
+            rows = rows[(values[rows, first] == values[rows, second]).all(axis=1)]
+            rows = rows[(labels[rows, second] >= 0) & (labels[rows, first] > labels[rows, second])]
             labels[rows, first], labels[rows, second] = labels[rows, second], labels[rows, first]
 
 

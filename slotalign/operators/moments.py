@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import all_present, param_columns
+from ..chain import slot_numbers
+from ..functions.columns import all_present, double_array
 
 
 @dataclass(frozen=True)
@@ -41,33 +43,45 @@ class SlotMoments:
         return count, centre, self.scatter[filled].sum(axis=0) + (shift.T * weight) @ shift
 
 
-def labelled_entries(frame: DataFrame, num_sources: int, labels: Column | None = None,
-                     scores: Column | None = None) -> DataFrame:
-    """One row per entry: ``sample_id, label, source, score, params``.
+# A pass is repeated with better centres if a mean is further than this many deviations (squared)
+# from the centre, because the sums of squares would then lose digits.
+MAX_SHIFT = 1e4
 
-    ``source`` is the slot that holds the entry in ``frame``; without ``labels`` it is the label.
+
+def labelled_entries(frame: DataFrame, num_sources: int, params: Sequence[int]) -> DataFrame:
+    """One row per entry: ``sample_id, label, source, score, present`` and the parameters ``v0 ..``.
+
+    ``frame`` is a chain by parameter, with ``labels`` and ``scores`` per entry if it was assigned.
+    ``source`` is the slot that holds the entry in ``frame``; without labels it is the label.
     """
-    rows = F.array(*[
-        F.struct(
-            (F.lit(s) if labels is None else F.get(labels, s)).alias("label"),
-            F.lit(s).alias("source"),
-            (F.lit(None).cast("double") if scores is None else F.get(scores, s)).alias("score"),
-            F.get("entries", s).alias("params"))
-        for s in range(num_sources)])
-    return frame.select("sample_id", F.inline(rows))
-
-
-def moments_by_slot(labelled: DataFrame, params: list[int]) -> DataFrame:
-    """Counts and moments per label; at most one row per label and task is shuffled."""
-    raw = [c.alias(f"v{i}") for i, c in enumerate(param_columns(F.col("params"), params))]
-    columns = [F.col(f"v{i}") for i in range(len(params))]
-    valid = all_present(columns)
-    entry = labelled.select("sample_id", "label", "source", "score",
-                            F.get("params", 0).isNotNull().alias("present"), *raw)
-    entry = entry.select("sample_id", "label", "source", "score", "present", valid.alias("valid"),
-                         *[F.when(valid, c).alias(f"v{i}") for i, c in enumerate(columns)])
-    spread = [F.covar_pop(f"v{i}", f"v{j}").alias(f"c{i}_{j}")
-              for i in range(len(params)) for j in range(i, len(params))]
+    names = sorted({0, *params})
+    assigned = [c for c in ("labels", "scores") if c in frame.columns]
+    rows = frame.select("sample_id", *[f"p{p}" for p in names], *assigned,
+                        F.explode(slot_numbers(num_sources)).alias("source"))
+    return rows.select(
+        "sample_id",
+        (F.get("labels", "source") if assigned else F.col("source")).alias("label"),
+        "source",
+        (F.get("scores", "source") if assigned else F.lit(None).cast("double")).alias("score"),
+        F.get("p0", "source").isNotNull().alias("present"),
+        *[F.get(f"p{p}", "source").alias(f"v{i}") for i, p in enumerate(params)],
+    )
+
+
+def moments_by_slot(labelled: DataFrame, centre: np.ndarray) -> DataFrame:
+    """Counts, sums and sums of products of the deviations of ``v0 ..`` from ``centre``, per label.
+
+    Plain sums keep the aggregation in short compiled code; at most one row per label and task is
+    shuffled.
+    """
+    width = centre.shape[1]
+    columns = [F.col(f"v{i}") for i in range(width)]
+    complete = all_present(columns)
+    deviations = [F.when(complete, c - F.get(double_array(centre[:, i]), "label")).alias(f"d{i}")
+                  for i, c in enumerate(columns)]
+    entry = labelled.select("sample_id", "label", "source", "score", "present", complete.alias("valid"), *deviations)
+    products = [F.sum(F.col(f"d{i}") * F.col(f"d{j}")).alias(f"s{i}_{j}")
+                for i in range(width) for j in range(i, width)]
     place = F.xxhash64("sample_id", "source", "label")
     return entry.groupBy("label").agg(
         F.count("*").alias("samples"),
@@ -75,37 +89,50 @@ def moments_by_slot(labelled: DataFrame, params: list[int]) -> DataFrame:
         F.count_if("valid").alias("valid"),
         F.sum("score").alias("score"),
         F.bit_xor(F.when(F.col("valid"), place)).alias("layout"),
-        *[F.avg(f"v{i}").alias(f"m{i}") for i in range(len(params))],
-        *spread,
+        *[F.sum(f"d{i}").alias(f"s{i}") for i in range(width)],
+        *products,
     )
 
 
-def collect_moments(labelled: DataFrame, num_sources: int, params: list[int]) -> SlotMoments:
+def collect_moments(labelled: DataFrame, centre: np.ndarray) -> SlotMoments:
     """Run the aggregation and bring its S rows to the driver."""
-    width = len(params)
-    present = np.zeros(num_sources, dtype=np.int64)
-    valid = np.zeros(num_sources, dtype=np.int64)
-    mean = np.full((num_sources, width), np.nan)
-    scatter = np.full((num_sources, width, width), np.nan)
+    moments, accurate = _collect_once(labelled, centre)
+    return moments if accurate else _collect_once(labelled, np.nan_to_num(moments.mean))[0]
+
+
+def _collect_once(labelled: DataFrame, centre: np.ndarray) -> tuple[SlotMoments, bool]:
+    num_sources, width = centre.shape
+    counts = np.zeros((2, num_sources), dtype=np.int64)
+    first = np.zeros((num_sources, width))
+    second = np.zeros((num_sources, width, width))
     samples, score, layout = 0, 0.0, 0
-    for row in moments_by_slot(labelled, params).collect():
+    for row in moments_by_slot(labelled, centre).collect():
         slot = row["label"]
         samples = row["samples"]
-        present[slot], valid[slot] = row["present"], row["valid"]
+        counts[:, slot] = row["present"], row["valid"]
         score += row["score"] or 0.0
         layout ^= row["layout"] or 0
-        if not row["valid"]:
-            continue
-        for i in range(width):
-            mean[slot, i] = row[f"m{i}"]
-            for j in range(i, width):
-                scatter[slot, i, j] = scatter[slot, j, i] = row[f"c{i}_{j}"] * row["valid"]
-    return SlotMoments(samples, present, valid, mean, scatter, score, layout)
+        if row["valid"]:
+            first[slot] = [row[f"s{i}"] for i in range(width)]
+            for i in range(width):
+                second[slot, i, i:] = second[slot, i:, i] = [row[f"s{i}_{j}"] for j in range(i, width)]
+    present, valid = counts
+    with np.errstate(divide="ignore", invalid="ignore"):
+        shift = first / valid[:, None]
+        mean = centre + shift
+        scatter = second - valid[:, None, None] * shift[:, :, None] * shift[:, None, :]
+        spread = np.diagonal(scatter, axis1=1, axis2=2)
+        accurate = not (valid[:, None] * shift**2 > MAX_SHIFT * spread).any()
+        # Deviations at the level of rounding are those of a constant.
+        constant = spread <= valid[:, None] * (4 * np.finfo(float).eps * mean) ** 2
+        scatter[constant[:, :, None] | constant[:, None, :]] = 0.0
+    return SlotMoments(samples, present, valid, mean, scatter, score, layout), accurate
 
 
 def collect_all_values(frame: DataFrame) -> tuple[int, float, float]:
     """Count, mean and ddof-1 deviation of every value of every slot and parameter together."""
-    value = frame.select(F.explode(F.flatten("entries")).alias("value"))
+    values = [F.col(c) for c in frame.columns if c != "sample_id"]
+    value = frame.select(F.explode_outer(F.concat(*values)).alias("value"))
     row = value.agg(F.count("value").alias("n"), F.avg("value").alias("mean"),
                     F.stddev_samp("value").alias("std")).first()
     nan = float("nan")

@@ -204,7 +204,7 @@ def assignment_query(chain_of, model: LabelModel) -> Query:
     def query(spark, sf_dir):
         chain = chain_of(spark, sf_dir)
         assigned = assign(chain, *fitted(chain, model), model)
-        rows = labelled_entries(assigned, chain.num_sources, F.col("labels"), F.col("scores"))
+        rows = labelled_entries(assigned, chain.num_sources, [0])
         rows = rows.withColumnRenamed("source", "slot")
         return rows.where("score IS NOT NULL").select("sample_id", "slot", "label", rounded("score", "score"))
 

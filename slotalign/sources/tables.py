@@ -20,4 +20,4 @@ def read_parquet(spark: SparkSession, path: str) -> PosteriorChain:
     frame = spark.read.parquet(path)
     shape = frame.schema["entries"].metadata
     return PosteriorChain(frame, shape["num_sources"], shape["num_params_per_source"],
-                          shape["trans_dimensional"], dense_ids=shape["dense_ids"], stored=True)
+                          shape["trans_dimensional"], dense_ids=shape["dense_ids"])

@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..chain import PosteriorChain
+from ..chain import PosteriorChain, split_entries
 from ..functions.columns import nan_to_null
 from ..storage import add_offsets, block_sizes, join_blocks, stage
 
@@ -107,11 +107,10 @@ def collect_entries(stacked: DataFrame, num_sources: int, num_params: int,
     """Gather the lines of each sample, at most ``num_sources`` of them, and pad with missing ones."""
     row = F.sort_array(F.collect_list(F.struct("slot", "values"))).getField("values")
     gathered = stacked.groupBy("sample_id").agg(row.alias("present"))
-    padding = F.array(*[_fill(fill_value)] * num_params)
-    entries = F.array(*[_entry(F.coalesce(F.get("present", s), padding), 0, num_params)
-                        for s in range(num_sources)])
-    return PosteriorChain(gathered.select("sample_id", entries.alias("entries")), num_sources, num_params,
-                          trans_dimensional=True)
+    present = F.transform("present", lambda values: F.transform(values, nan_to_null))
+    padding = F.array_repeat(_padding(fill_value, num_params), num_sources - F.size("present"))
+    return PosteriorChain(gathered.select("sample_id", F.concat(present, padding).alias("entries")),
+                          num_sources, num_params, trans_dimensional=True)
 
 
 def decode_product_space(rows: DataFrame, num_params: int, fill_value: float = math.nan) -> PosteriorChain:
@@ -122,10 +121,10 @@ def decode_product_space(rows: DataFrame, num_params: int, fill_value: float = m
     num_sources = counted.agg(F.max("sources")).first()[0]
     if num_sources is None:
         raise ValueError("the chain has no samples")
-    padding = F.array(*[_fill(fill_value)] * num_params)
-    entries = F.array(*[
-        F.when(F.col("sources") > s, _entry(F.col("values"), s * num_params, num_params)).otherwise(padding)
-        for s in range(num_sources)])
+    data = F.slice("values", 1, F.col("sources") * num_params)
+    present = split_entries(data, num_sources, num_params)
+    padding = _padding(fill_value, num_params)
+    entries = F.transform(present, lambda entry, slot: F.when(slot < F.col("sources"), entry).otherwise(padding))
     return PosteriorChain(counted.select("sample_id", entries.alias("entries")), num_sources, num_params,
                           trans_dimensional=True)
 
@@ -135,16 +134,13 @@ def decode_fixed(rows: DataFrame, width: int, num_params: int) -> PosteriorChain
     num_sources, rest = divmod(width - FIXED_METADATA, num_params)
     if rest or num_sources < 1:
         raise ValueError(f"{width} columns do not hold sources of {num_params} parameters")
-    entries = F.array(*[_entry(F.col("values"), s * num_params, num_params) for s in range(num_sources)])
+    entries = split_entries(F.col("values"), num_sources, num_params)
     return PosteriorChain(rows.select("sample_id", entries.alias("entries")), num_sources, num_params)
 
 
-def _entry(values: Column, start: int, num_params: int) -> Column:
-    return F.array(*[nan_to_null(F.get(values, start + p)) for p in range(num_params)])
-
-
-def _fill(fill_value: float) -> Column:
-    return F.lit(None if math.isnan(fill_value) else float(fill_value)).cast("double")
+def _padding(fill_value: float, num_params: int) -> Column:
+    fill = F.lit(None if math.isnan(fill_value) else float(fill_value)).cast("double")
+    return F.array(*[fill] * num_params)
 
 
 def _data_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -159,10 +155,11 @@ def _data_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def _parsed_lines(spark: SparkSession, path: str) -> DataFrame:
     suffix = F.regexp_extract("path", DIMENSION_FILE.replace(".", r"\.") + r"(\d+)(/[^/]*)?$", 1)
-    return stage(_data_lines(spark, path).select(
+    parsed = _data_lines(spark, path).select(
         F.when(suffix != "", suffix).cast("int").alias("sources"),
         "path", "block", F.monotonically_increasing_id().alias("place"),
-        F.split("line", r"\s+").cast("array<double>").alias("values")))
+        F.split("line", r"\s+").cast("array<double>").alias("values"))
+    return stage(parsed.withColumn("width", F.size("values")))
 
 
 def _numbered(lines: DataFrame) -> DataFrame:
@@ -175,7 +172,7 @@ def _numbered(lines: DataFrame) -> DataFrame:
 
 
 def _common_width(lines: DataFrame) -> int:
-    low, high = lines.agg(F.min(F.size("values")), F.max(F.size("values"))).first()
+    low, high = lines.agg(F.min("width"), F.max("width")).first()
     if low != high or low is None:
         raise ValueError(f"rows must have one width, found {low} to {high}")
     return low
