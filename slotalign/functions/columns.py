@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 import numpy as np
 from pyspark.sql import Column
@@ -21,46 +21,44 @@ def nan_to_null(value: Column) -> Column:
     return F.when(F.isnan(value), F.lit(None).cast("double")).otherwise(value)
 
 
-def all_present(values: Sequence[Column]) -> Column:
-    """True when none of ``values`` is missing."""
-    present = values[0].isNotNull()
-    for value in values[1:]:
-        present = present & value.isNotNull()
-    return present
+def number(value: float) -> str:
+    """A double literal in SQL text."""
+    value = float(value)
+    if math.isfinite(value):
+        return f"{value!r}D"
+    return f"double('{value}')"
 
 
-def param_columns(entry: Column, params: Sequence[int]) -> list[Column]:
-    return [F.get(entry, p) for p in params]
+def number_array(values: Iterable[float]) -> str:
+    return f"array({', '.join(number(v) for v in values)})"
 
 
-def double_array(values: Sequence[float]) -> Column:
-    return F.array(*[F.lit(float(v)) for v in values])
+def all_present(values: Sequence[str]) -> str:
+    """True when none of ``values`` is missing."""
+    return "(" + " AND ".join(f"{value} IS NOT NULL" for value in values) + ")"
 
 
-def uni_normal_log_density(value: Column, mean: float, std: float) -> Column:
-    """Log-density of a normal distribution; NULL when the value is missing."""
+def uni_normal_log_density(value: str, mean: float, std: float) -> str:
+    """Log-density of a normal distribution as SQL text; NULL when the value is missing."""
     if not std > 0:
         raise ValueError(f"standard deviation must be positive, got {std}")
-    scaled = (value - F.lit(float(mean))) * F.lit(1.0 / float(std))
-    return F.lit(-0.5 * LOG_TWO_PI - math.log(std)) - scaled * scaled * F.lit(0.5)
+    scaled = f"(({value} - {number(mean)}) * {number(1.0 / std)})"
+    return f"({number(-0.5 * LOG_TWO_PI - math.log(std))} - 0.5D * {scaled} * {scaled})"
 
 
-def mv_normal_log_density(values: Sequence[Column], mean: np.ndarray, cov: np.ndarray) -> Column:
-    """Log-density of a multivariate normal distribution; NULL when any value is missing.
+def mv_normal_log_density(values: Sequence[str], mean: np.ndarray, cov: np.ndarray) -> str:
+    """Log-density of a multivariate normal distribution as SQL text; NULL when any value is missing.
 
     The covariance is factored on the driver, so a row only pays for the whitened residuals.
     """
     lower = np.linalg.cholesky(np.asarray(cov, dtype=float))
     whiten = np.linalg.inv(lower)
     constant = -0.5 * len(values) * LOG_TWO_PI - float(np.log(np.diag(lower)).sum())
-    centred = [value - F.lit(float(m)) for value, m in zip(values, mean)]
-    distance = F.lit(0.0)
-    for row in range(len(values)):
-        residual = centred[0] * F.lit(float(whiten[row, 0]))
-        for col in range(1, row + 1):
-            residual = residual + centred[col] * F.lit(float(whiten[row, col]))
-        distance = distance + residual * residual
-    return F.lit(constant) - distance * F.lit(0.5)
+    centred = [f"({value} - {number(m)})" for value, m in zip(values, mean)]
+    residuals = ["(" + " + ".join(f"{centred[col]} * {number(whiten[row, col])}" for col in range(row + 1)) + ")"
+                 for row in range(len(values))]
+    distance = " + ".join(f"{r} * {r}" for r in residuals)
+    return f"({number(constant)} - 0.5D * ({distance}))"
 
 
 def fill_missing_indices(total: Column | int, given: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..chain import PosteriorChain
-from ..functions.columns import all_present, double_array, param_columns, with_log_floor
+from ..functions.columns import all_present, number, number_array, with_log_floor
 from .fits import NormalFit
 from .matching import best_labels, fill_free_labels, settle_ties
 from .models import LabelModel
@@ -28,16 +28,16 @@ def log_density(chain: PosteriorChain, fit: NormalFit, model: LabelModel,
                 labels: list[int] | None = None) -> DataFrame:
     """``sample_id, label, slot, logpdf`` for the requested labels; NULL for missing entries."""
     labels = list(range(len(fit.mean))) if labels is None else labels
-    values = param_columns(F.col("params"), fit.params)
-    compiled = len(labels) * len(values) ** 2 <= MAX_COMPILED_TERMS
-    if model.column_density is not None and compiled:
-        densities = [F.when(all_present(values), model.column_density(values, fit, label)) for label in labels]
-        scored = chain.long().select("sample_id", "slot", F.array(*densities).alias("_logpdf"))
+    values = [f"get(params, {p})" for p in fit.params]
+    if model.column_density is not None and len(labels) * len(values) ** 2 <= MAX_COMPILED_TERMS:
+        cells = [f"CASE WHEN {all_present(values)} THEN {model.column_density(values, fit, label)} END"
+                 for label in labels]
+        scored = chain.long().selectExpr("sample_id", "slot", f"array({', '.join(cells)}) AS _logpdf")
     else:
         scored = chain.long().select("sample_id", "slot", _block_density(fit, model, labels).alias("_logpdf"))
-    cells = F.array(*[F.struct(F.lit(label).alias("label"), F.get("_logpdf", i).alias("logpdf"))
-                      for i, label in enumerate(labels)])
-    return scored.select("sample_id", "slot", F.inline(cells)).select("sample_id", "label", "slot", "logpdf")
+    pairs = ", ".join(f"struct({label} AS label, get(_logpdf, {i}) AS logpdf)" for i, label in enumerate(labels))
+    return scored.selectExpr("sample_id", "slot", f"inline(array({pairs}))").select(
+        "sample_id", "label", "slot", "logpdf")
 
 
 def _block_density(fit: NormalFit, model: LabelModel, labels: list[int]) -> Column:
@@ -64,9 +64,9 @@ def cost_matrix(chain: PosteriorChain, fit: NormalFit, prob_in_model: np.ndarray
         raise ValueError("the cost matrix must be square, or have one distribution")
     log_in, log_out = with_log_floor(np.asarray(prob_in_model)[:width])
     scored = log_density(chain, fit, model, list(range(width)))
-    present = F.get(double_array(log_in), F.col("label")) + F.col("logpdf")
-    absent = F.get(double_array(log_out), F.col("slot") if width > 1 else F.lit(0))
-    return scored.select("sample_id", "label", "slot", F.coalesce(present, absent).alias("score"))
+    absent = f"get({number_array(log_out)}, {'slot' if width > 1 else 0})"
+    return scored.selectExpr("sample_id", "label", "slot",
+                             f"coalesce(get({number_array(log_in)}, label) + logpdf, {absent}) AS score")
 
 
 def assign(chain: PosteriorChain, fit: NormalFit, prob_in_model: np.ndarray,
@@ -83,8 +83,7 @@ def assign(chain: PosteriorChain, fit: NormalFit, prob_in_model: np.ndarray,
         return _assign_in_jvm(chain, fit, log_in, model)
     frame = chain.by_param()
     assigned = frame.withColumn("_best", _block_assignment(chain.num_sources, fit, log_in, model))
-    return assigned.select(*frame.columns, F.col("_best.labels").alias("labels"),
-                           F.col("_best.scores").alias("scores"))
+    return assigned.selectExpr(*frame.columns, "_best.labels AS labels", "_best.scores AS scores")
 
 
 def _assign_in_jvm(chain: PosteriorChain, fit: NormalFit, log_in: np.ndarray,
@@ -94,20 +93,19 @@ def _assign_in_jvm(chain: PosteriorChain, fit: NormalFit, log_in: np.ndarray,
     A missing entry scores 0 under both labels, so it never decides; a tie keeps the order.
     """
     slots, frame = range(chain.num_sources), chain.by_param()
-    values = [[F.get(f"p{p}", s) for p in fit.params] for s in slots]
-    cells = [F.when(all_present(values[s]), model.column_density(values[s], fit, label)
-                    + F.lit(float(log_in[label]))).alias(f"_c{s}{label}")
+    values = [[f"get(p{p}, {s})" for p in fit.params] for s in slots]
+    cells = [f"CASE WHEN {all_present(values[s])} THEN {number(log_in[label])} + "
+             f"{model.column_density(values[s], fit, label)} END AS _c{s}{label}"
              for s in slots for label in slots]
-    scored = frame.select("*", *cells)
+    scored = frame.selectExpr("*", *cells)
     if chain.num_sources == 1:
-        labels, scores = F.array(F.lit(0)), F.array("_c00")
+        labels, scores = "array(0)", "array(_c00)"
     else:
-        kept = F.coalesce("_c00", F.lit(0.0)) + F.coalesce("_c11", F.lit(0.0))
-        swapped = F.coalesce("_c01", F.lit(0.0)) + F.coalesce("_c10", F.lit(0.0))
-        scored = scored.withColumn("_swap", swapped > kept)
-        labels = F.when(F.col("_swap"), F.array(F.lit(1), F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))
-        scores = F.when(F.col("_swap"), F.array("_c01", "_c10")).otherwise(F.array("_c00", "_c11"))
-    return scored.select(*frame.columns, labels.alias("labels"), scores.alias("scores"))
+        scored = scored.selectExpr(
+            "*", "ifnull(_c01, 0D) + ifnull(_c10, 0D) > ifnull(_c00, 0D) + ifnull(_c11, 0D) AS _swap")
+        labels = "CASE WHEN _swap THEN array(1, 0) ELSE array(0, 1) END"
+        scores = "CASE WHEN _swap THEN array(_c01, _c10) ELSE array(_c00, _c11) END"
+    return scored.selectExpr(*frame.columns, f"{labels} AS labels", f"{scores} AS scores")
 
 
 def _block_assignment(num_sources: int, fit: NormalFit, log_in: np.ndarray, model: LabelModel) -> Column:

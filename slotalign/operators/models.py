@@ -6,13 +6,11 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column
-
 from ..functions.columns import LOG_TWO_PI, mv_normal_log_density, uni_normal_log_density
 from .fits import Estimator, NormalFit, mv_normal_estimate, uni_normal_estimate
 
 ArrayDensity = Callable[[np.ndarray, NormalFit, int], np.ndarray]
-ColumnDensity = Callable[[list[Column], NormalFit, int], Column]
+ColumnDensity = Callable[[list[str], NormalFit, int], str]
 
 
 @dataclass(frozen=True)
@@ -36,12 +34,12 @@ def normal_density_of_block(values: np.ndarray, fit: NormalFit, label: int) -> n
     return -0.5 * (values.shape[1] * LOG_TWO_PI + np.square(residual).sum(axis=1)) - half_log_det[label]
 
 
-def mv_density_column(values: list[Column], fit: NormalFit, label: int) -> Column:
+def mv_density_column(values: list[str], fit: NormalFit, label: int) -> str:
     fit.whitening  # names the slot if a covariance is singular
     return mv_normal_log_density(values, fit.mean[label], fit.cov[label])
 
 
-def uni_density_column(values: list[Column], fit: NormalFit, label: int) -> Column:
+def uni_density_column(values: list[str], fit: NormalFit, label: int) -> str:
     return uni_normal_log_density(values[0], fit.mean[label, 0], fit.std[label])
 
 

@@ -9,8 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..chain import slot_numbers
-from ..functions.columns import all_present, double_array
+from ..functions.columns import all_present, number_array
 
 
 @dataclass(frozen=True)
@@ -56,15 +55,15 @@ def labelled_entries(frame: DataFrame, num_sources: int, params: Sequence[int])
     """
     names = sorted({0, *params})
     assigned = [c for c in ("labels", "scores") if c in frame.columns]
-    rows = frame.select("sample_id", *[f"p{p}" for p in names], *assigned,
-                        F.explode(slot_numbers(num_sources)).alias("source"))
-    return rows.select(
+    slots = ", ".join(str(s) for s in range(num_sources))
+    rows = frame.selectExpr("sample_id", *[f"p{p}" for p in names], *assigned, f"explode(array({slots})) AS source")
+    return rows.selectExpr(
         "sample_id",
-        (F.get("labels", "source") if assigned else F.col("source")).alias("label"),
+        f"{'get(labels, source)' if assigned else 'source'} AS label",
         "source",
-        (F.get("scores", "source") if assigned else F.lit(None).cast("double")).alias("score"),
-        F.get("p0", "source").isNotNull().alias("present"),
-        *[F.get(f"p{p}", "source").alias(f"v{i}") for i, p in enumerate(params)],
+        f"{'get(scores, source)' if assigned else 'double(NULL)'} AS score",
+        "get(p0, source) IS NOT NULL AS present",
+        *[f"get(p{p}, source) AS v{i}" for i, p in enumerate(params)],
     )
 
 
@@ -74,24 +73,19 @@ def moments_by_slot(labelled: DataFrame, centre: np.ndarray) -> DataFrame:
     Plain sums keep the aggregation in short compiled code; at most one row per label and task is
     shuffled.
     """
-    width = centre.shape[1]
-    columns = [F.col(f"v{i}") for i in range(width)]
-    complete = all_present(columns)
-    deviations = [F.when(complete, c - F.get(double_array(centre[:, i]), "label")).alias(f"d{i}")
-                  for i, c in enumerate(columns)]
-    entry = labelled.select("sample_id", "label", "source", "score", "present", complete.alias("valid"), *deviations)
-    products = [F.sum(F.col(f"d{i}") * F.col(f"d{j}")).alias(f"s{i}_{j}")
-                for i in range(width) for j in range(i, width)]
-    place = F.xxhash64("sample_id", "source", "label")
-    return entry.groupBy("label").agg(
-        F.count("*").alias("samples"),
-        F.count_if("present").alias("present"),
-        F.count_if("valid").alias("valid"),
-        F.sum("score").alias("score"),
-        F.bit_xor(F.when(F.col("valid"), place)).alias("layout"),
-        *[F.sum(f"d{i}").alias(f"s{i}") for i in range(width)],
-        *products,
-    )
+    width = range(centre.shape[1])
+    complete = all_present([f"v{i}" for i in width])
+    deviations = [f"CASE WHEN {complete} THEN v{i} - get({number_array(centre[:, i])}, label) END AS d{i}"
+                  for i in width]
+    entry = labelled.selectExpr("sample_id", "label", "source", "score", "present", f"{complete} AS valid",
+                                *deviations)
+    sums = [f"sum(d{i}) AS s{i}" for i in width]
+    products = [f"sum(d{i} * d{j}) AS s{i}_{j}" for i in width for j in width if i <= j]
+    return entry.sparkSession.sql(f"""
+        SELECT label, count(*) AS samples, count_if(present) AS present, count_if(valid) AS valid,
+               sum(score) AS score, {', '.join(sums + products)},
+               bit_xor(CASE WHEN valid THEN xxhash64(sample_id, source, label) END) AS layout
+        FROM {{entry}} GROUP BY label""", entry=entry)
 
 
 def collect_moments(labelled: DataFrame, centre: np.ndarray) -> SlotMoments:

@@ -105,7 +105,7 @@ def slot_projection(spark, sf_dir):
 
 def complete_rows(spark, sf_dir):
     entries = discounted_chain(spark, sf_dir).long_columns()
-    return entries.where(all_present([F.col("p0"), F.col("p1")]))
+    return entries.where(all_present(["p0", "p1"]))
 
 
 def parameter_rows(spark, sf_dir):
@@ -255,8 +255,8 @@ def catalog_of_line_numbers(spark, sf_dir):
 
 
 def catalog_to_fixed_layout(spark, sf_dir):
-    """Two slots, run until the layout stops changing."""
-    catalog = make_catalog_mv_normal(line_status_chain(spark, sf_dir), 2, initialization_param_index=1,
+    """Run until the layout stops changing."""
+    catalog = make_catalog_mv_normal(return_flag_chain(spark, sf_dir), 3, initialization_param_index=1,
                                      shuffle_seed=7)
     return catalog_summary(catalog)
 
