@@ -88,9 +88,12 @@ class PosteriorChain:
         The pivot is a plain aggregation with map-side partials: a key that holds a large part of
         the rows is reduced to one fixed-width buffer per task before the shuffle.
         """
-        cells = [merge(F.when(slot == s, nan_to_null(p.cast("double")))).alias(f"s{s}p{i}")
-                 for s in range(num_sources) for i, p in enumerate(params)]
-        pivoted = frame.groupBy(sample_id.cast("long").alias("sample_id")).agg(*cells)
+        values = [p.cast("double").alias(f"v{i}") for i, p in enumerate(params)]
+        rows = frame.select(sample_id.cast("long").alias("sample_id"), slot.alias("slot"), *values)
+        rows = rows.select("sample_id", "slot", *[nan_to_null(F.col(f"v{i}")).alias(f"v{i}") for i in range(len(params))])
+        cells = [merge(F.expr(f"CASE WHEN slot = {s} THEN v{i} END")).alias(f"s{s}p{i}")
+                 for s in range(num_sources) for i in range(len(params))]
+        pivoted = rows.groupBy("sample_id").agg(*cells)
         divisors = [1.0] * len(params) if divide_by is None else divide_by
         entries = F.array(*[F.array(*[F.col(f"s{s}p{i}") / F.lit(float(d)) for i, d in enumerate(divisors)])
                             for s in range(num_sources)])

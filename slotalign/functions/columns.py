@@ -38,27 +38,34 @@ def all_present(values: Sequence[str]) -> str:
     return "(" + " AND ".join(f"{value} IS NOT NULL" for value in values) + ")"
 
 
-def uni_normal_log_density(value: str, mean: float, std: float) -> str:
-    """Log-density of a normal distribution as SQL text; NULL when the value is missing."""
-    if not std > 0:
-        raise ValueError(f"standard deviation must be positive, got {std}")
-    scaled = f"(({value} - {number(mean)}) * {number(1.0 / std)})"
-    return f"({number(-0.5 * LOG_TWO_PI - math.log(std))} - 0.5D * {scaled} * {scaled})"
+def by_label(values: Iterable[float], label: str) -> str:
+    """The value of a label; one lookup for any number of labels, a literal for a constant label."""
+    return f"get({number_array(values)}, {label})"
 
 
-def mv_normal_log_density(values: Sequence[str], mean: np.ndarray, cov: np.ndarray) -> str:
-    """Log-density of a multivariate normal distribution as SQL text; NULL when any value is missing.
+def uni_normal_log_density(value: str, mean: np.ndarray, std: np.ndarray, label: str = "label") -> str:
+    """Log-density of the normal distribution of ``label`` as SQL text; NULL for a missing value."""
+    mean, std = np.atleast_1d(mean), np.atleast_1d(std)
+    if not (std > 0).all():
+        raise ValueError(f"standard deviations must be positive, got {std}")
+    scaled = f"(({value} - {by_label(mean, label)}) * {by_label(1.0 / std, label)})"
+    return f"({by_label(-0.5 * LOG_TWO_PI - np.log(std), label)} - 0.5D * {scaled} * {scaled})"
 
-    The covariance is factored on the driver, so a row only pays for the whitened residuals.
+
+def mv_normal_log_density(values: Sequence[str], mean: np.ndarray, whiten: np.ndarray, half_log_det: np.ndarray,
+                          label: str = "label") -> str:
+    """Log-density of the multivariate normal distribution of ``label`` as SQL text.
+
+    ``whiten`` holds the inverse Cholesky factors, so a row only pays for the whitened residuals. NULL
+    when any value is missing.
     """
-    lower = np.linalg.cholesky(np.asarray(cov, dtype=float))
-    whiten = np.linalg.inv(lower)
-    constant = -0.5 * len(values) * LOG_TWO_PI - float(np.log(np.diag(lower)).sum())
-    centred = [f"({value} - {number(m)})" for value, m in zip(values, mean)]
-    residuals = ["(" + " + ".join(f"{centred[col]} * {number(whiten[row, col])}" for col in range(row + 1)) + ")"
+    constant = -0.5 * len(values) * LOG_TWO_PI - half_log_det
+    centred = [f"({value} - {by_label(mean[:, i], label)})" for i, value in enumerate(values)]
+    residuals = ["(" + " + ".join(f"{centred[col]} * {by_label(whiten[:, row, col], label)}"
+                                  for col in range(row + 1)) + ")"
                  for row in range(len(values))]
     distance = " + ".join(f"{r} * {r}" for r in residuals)
-    return f"({number(constant)} - 0.5D * ({distance}))"
+    return f"({by_label(constant, label)} - 0.5D * ({distance}))"
 
 
 def fill_missing_indices(total: Column | int, given: Column) -> Column:

@@ -18,8 +18,6 @@ from .models import LabelModel
 # Up to these widths one compiled stage holds all scores; wider ones are faster in Arrow blocks.
 NATIVE_MAX_SOURCES = 2
 NATIVE_MAX_PARAMS = 3
-# Label densities of one entry are compiled up to this many terms.
-MAX_COMPILED_TERMS = 64
 
 ASSIGNMENT_TYPE = "struct<labels:array<int>,scores:array<double>>"
 
@@ -28,29 +26,31 @@ def log_density(chain: PosteriorChain, fit: NormalFit, model: LabelModel,
                 labels: list[int] | None = None) -> DataFrame:
     """``sample_id, label, slot, logpdf`` for the requested labels; NULL for missing entries."""
     labels = list(range(len(fit.mean))) if labels is None else labels
-    values = [f"get(params, {p})" for p in fit.params]
-    if model.column_density is not None and len(labels) * len(values) ** 2 <= MAX_COMPILED_TERMS:
-        cells = [f"CASE WHEN {all_present(values)} THEN {model.column_density(values, fit, label)} END"
-                 for label in labels]
-        scored = chain.long().selectExpr("sample_id", "slot", f"array({', '.join(cells)}) AS _logpdf")
-    else:
-        scored = chain.long().select("sample_id", "slot", _block_density(fit, model, labels).alias("_logpdf"))
-    pairs = ", ".join(f"struct({label} AS label, get(_logpdf, {i}) AS logpdf)" for i, label in enumerate(labels))
-    return scored.selectExpr("sample_id", "slot", f"inline(array({pairs}))").select(
-        "sample_id", "label", "slot", "logpdf")
+    entries = chain.long_columns()
+    if model.column_density is None:
+        scored = entries.withColumn("_logpdf", _block_density(fit, model, labels))
+        numbers = ", ".join(str(label) for label in labels)
+        paired = f"arrays_zip(array({numbers}), _logpdf)"
+        return scored.selectExpr("sample_id", "slot", f"inline_outer({paired}) AS (label, logpdf)").select(
+            "sample_id", "label", "slot", "logpdf")
+    values = [f"p{p}" for p in fit.params]
+    pairs = entries.selectExpr("sample_id", "slot", *values,
+                               f"explode(array({', '.join(str(label) for label in labels)})) AS label")
+    density = f"CASE WHEN {all_present(values)} THEN {model.column_density(values, fit, 'label')} END"
+    return pairs.selectExpr("sample_id", "label", "slot", f"{density} AS logpdf")
 
 
 def _block_density(fit: NormalFit, model: LabelModel, labels: list[int]) -> Column:
-    params, density = list(fit.params), model.array_density
+    density = model.array_density
     fit.whitening
 
     @F.arrow_udf("array<double>")
-    def densities(entries: pa.Array) -> pa.Array:
-        block = entries.flatten().to_numpy(zero_copy_only=False).reshape(len(entries), -1)[:, params]
+    def densities(*params: pa.Array) -> pa.Array:
+        block = np.stack([p.to_numpy(zero_copy_only=False) for p in params], axis=1)
         scored = np.stack([density(block, fit, label) for label in labels], axis=1)
         return _rows_of(scored, np.isnan(scored))
 
-    return densities.asNondeterministic()("params")
+    return densities.asNondeterministic()(*[f"p{p}" for p in fit.params])
 
 
 def cost_matrix(chain: PosteriorChain, fit: NormalFit, prob_in_model: np.ndarray, model: LabelModel,
@@ -95,7 +95,7 @@ def _assign_in_jvm(chain: PosteriorChain, fit: NormalFit, log_in: np.ndarray,
     slots, frame = range(chain.num_sources), chain.by_param()
     values = [[f"get(p{p}, {s})" for p in fit.params] for s in slots]
     cells = [f"CASE WHEN {all_present(values[s])} THEN {number(log_in[label])} + "
-             f"{model.column_density(values[s], fit, label)} END AS _c{s}{label}"
+             f"{model.column_density(values[s], fit, str(label))} END AS _c{s}{label}"
              for s in slots for label in slots]
     scored = frame.selectExpr("*", *cells)
     if chain.num_sources == 1:

@@ -10,7 +10,7 @@ from ..functions.columns import LOG_TWO_PI, mv_normal_log_density, uni_normal_lo
 from .fits import Estimator, NormalFit, mv_normal_estimate, uni_normal_estimate
 
 ArrayDensity = Callable[[np.ndarray, NormalFit, int], np.ndarray]
-ColumnDensity = Callable[[list[str], NormalFit, int], str]
+ColumnDensity = Callable[[list[str], NormalFit, str], str]
 
 
 @dataclass(frozen=True)
@@ -34,13 +34,12 @@ def normal_density_of_block(values: np.ndarray, fit: NormalFit, label: int) -> n
     return -0.5 * (values.shape[1] * LOG_TWO_PI + np.square(residual).sum(axis=1)) - half_log_det[label]
 
 
-def mv_density_column(values: list[str], fit: NormalFit, label: int) -> str:
-    fit.whitening  # names the slot if a covariance is singular
-    return mv_normal_log_density(values, fit.mean[label], fit.cov[label])
+def mv_density_column(values: list[str], fit: NormalFit, label: str) -> str:
+    return mv_normal_log_density(values, fit.mean, *fit.whitening, label)
 
 
-def uni_density_column(values: list[str], fit: NormalFit, label: int) -> str:
-    return uni_normal_log_density(values[0], fit.mean[label, 0], fit.std[label])
+def uni_density_column(values: list[str], fit: NormalFit, label: str) -> str:
+    return uni_normal_log_density(values[0], fit.mean[:, 0], fit.std, label)
 
 
 def mv_normal_model() -> LabelModel:

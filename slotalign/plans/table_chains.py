@@ -19,7 +19,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def hundredths(column: str) -> Column:
-    return F.round(F.col(column) * 100).cast("long")
+    """Whole hundredths of a non-negative amount."""
+    return F.floor(F.col(column) * 100 + 0.5)
 
 
 def _position(column: str, values: list[str]) -> Column:

@@ -87,3 +87,20 @@ def test_empty_chain(spark):
     chain = PosteriorChain.from_array(spark, np.zeros((0, 2, 1)), 2, 1)
     assert np.isnan(find_prob_in_model(chain, 2)).all()
     assert chain.shape == (0, 2, 1)
+
+
+def test_density_without_sql_text(spark, half_missing):
+    from dataclasses import replace
+
+    from slotalign.operators.assignment import log_density
+    from slotalign.operators.models import mv_normal_model
+
+    model = mv_normal_model()
+    fit = mv_normal_fit(half_missing, 2)
+    left = log_density(half_missing, fit, model).orderBy("sample_id", "label", "slot").toPandas()
+    right = log_density(half_missing, fit, replace(model, column_density=None))
+    right = right.orderBy("sample_id", "label", "slot").toPandas()
+    assert len(left) == 80_000 and (left[["sample_id", "label", "slot"]] == right[["sample_id", "label", "slot"]]).all(axis=None)
+    np.testing.assert_allclose(left["logpdf"], right["logpdf"], rtol=1e-12)
+    one = log_density(half_missing, fit, model, labels=[1])
+    assert one.where("label = 1").count() == one.count() == 40_000
