@@ -1,7 +1,10 @@
+from dataclasses import replace
+
 import numpy as np
 import pytest
 
 from slotalign import PosteriorChain
+from slotalign.operators.assignment import log_density
 from slotalign.operators.fits import (
     create_parametric_fit,
     find_prob_in_model,
@@ -10,6 +13,7 @@ from slotalign.operators.fits import (
     uni_normal_fit_single_parameter,
     update_parametric_fit_and_prob_in_model,
 )
+from slotalign.operators.models import mv_normal_model
 
 
 def sparse_values():
@@ -90,17 +94,13 @@ def test_empty_chain(spark):
 
 
 def test_density_without_sql_text(spark, half_missing):
-    from dataclasses import replace
-
-    from slotalign.operators.assignment import log_density
-    from slotalign.operators.models import mv_normal_model
-
     model = mv_normal_model()
     fit = mv_normal_fit(half_missing, 2)
     left = log_density(half_missing, fit, model).orderBy("sample_id", "label", "slot").toPandas()
     right = log_density(half_missing, fit, replace(model, column_density=None))
     right = right.orderBy("sample_id", "label", "slot").toPandas()
-    assert len(left) == 80_000 and (left[["sample_id", "label", "slot"]] == right[["sample_id", "label", "slot"]]).all(axis=None)
-    np.testing.assert_allclose(left["logpdf"], right["logpdf"], rtol=1e-12)
+    keys = ["sample_id", "label", "slot"]
+    assert len(left) == 80_000 and (left[keys] == right[keys]).all(axis=None)
+    np.testing.assert_allclose(left["logpdf"], right["logpdf"], rtol=1e-12, atol=1e-12)
     one = log_density(half_missing, fit, model, labels=[1])
     assert one.where("label = 1").count() == one.count() == 40_000
