@@ -3,6 +3,7 @@ from .columns import (
     file_number,
     fill_missing_indices,
     mv_normal_log_density,
+    sort_by_number,
     uni_normal_log_density,
 )
 
@@ -11,5 +12,6 @@ __all__ = [
     "file_number",
     "fill_missing_indices",
     "mv_normal_log_density",
+    "sort_by_number",
     "uni_normal_log_density",
 ]

@@ -6,7 +6,7 @@ import math
 from collections.abc import Iterable, Sequence
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LOG_TWO_PI = math.log(2.0 * math.pi)
@@ -86,6 +86,11 @@ def file_number(name: Column) -> Column:
     return F.element_at(F.split(name, r"\."), -1).cast("int")
 
 
+def sort_by_number(files: DataFrame, name: str) -> DataFrame:
+    """File names in the order of the integer after their last dot."""
+    return files.orderBy(file_number(F.col(name)))
+
+
 def with_log_floor(prob: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """``ln p`` and ``ln(1-p)`` with the infinite limits at 0 and 1 and no warnings."""
     prob = np.asarray(prob, dtype=float)

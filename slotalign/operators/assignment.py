@@ -19,6 +19,9 @@ from .models import LabelModel
 NATIVE_MAX_SOURCES = 2
 NATIVE_MAX_PARAMS = 3
 
+# Scores (samples x entries x labels) that a task holds at a time.
+MAX_BLOCK_CELLS = 2_000_000
+
 ASSIGNMENT_TYPE = "struct<labels:array<int>,scores:array<double>>"
 
 
@@ -26,6 +29,7 @@ def log_density(chain: PosteriorChain, fit: NormalFit, model: LabelModel,
                 labels: list[int] | None = None) -> DataFrame:
     """``sample_id, label, slot, logpdf`` for the requested labels; NULL for missing entries."""
     labels = list(range(len(fit.mean))) if labels is None else labels
+    model.check(fit)
     entries = chain.long_columns()
     if model.column_density is None:
         scored = entries.withColumn("_logpdf", _block_density(fit, model, labels))
@@ -42,11 +46,10 @@ def log_density(chain: PosteriorChain, fit: NormalFit, model: LabelModel,
 
 def _block_density(fit: NormalFit, model: LabelModel, labels: list[int]) -> Column:
     density = model.array_density
-    fit.whitening
 
     @F.arrow_udf("array<double>")
     def densities(*params: pa.Array) -> pa.Array:
-        block = np.stack([p.to_numpy(zero_copy_only=False) for p in params], axis=1)
+        block = np.stack([p.to_numpy(zero_copy_only=False) for p in params]).T
         scored = np.stack([density(block, fit, label) for label in labels], axis=1)
         return _rows_of(scored, np.isnan(scored))
 
@@ -69,6 +72,16 @@ def cost_matrix(chain: PosteriorChain, fit: NormalFit, prob_in_model: np.ndarray
                              f"coalesce(get({number_array(log_in)}, label) + logpdf, {absent}) AS score")
 
 
+def create_compute_cost_matrix(model: LabelModel):
+    """A function ``(chain, fit, prob_in_model, num_distributions) -> scores`` for one model."""
+
+    def compute_cost_matrix(chain: PosteriorChain, fit: NormalFit, prob_in_model: np.ndarray,
+                            num_distributions: int | None = None) -> DataFrame:
+        return cost_matrix(chain, fit, prob_in_model, model, num_distributions)
+
+    return compute_cost_matrix
+
+
 def assign(chain: PosteriorChain, fit: NormalFit, prob_in_model: np.ndarray,
            model: LabelModel) -> DataFrame:
     """The chain by parameter with ``labels`` and ``scores``: the best label of every entry, its score.
@@ -77,6 +90,7 @@ def assign(chain: PosteriorChain, fit: NormalFit, prob_in_model: np.ndarray,
     """
     if len(fit.mean) != chain.num_sources or len(prob_in_model) != chain.num_sources:
         raise ValueError("the fit must have one label per slot; expand the chain first")
+    model.check(fit)
     log_in, _ = with_log_floor(prob_in_model)
     narrow = chain.num_sources <= NATIVE_MAX_SOURCES and len(fit.params) <= NATIVE_MAX_PARAMS
     if narrow and model.column_density is not None:
@@ -111,26 +125,30 @@ def _assign_in_jvm(chain: PosteriorChain, fit: NormalFit, log_in: np.ndarray,
 def _block_assignment(num_sources: int, fit: NormalFit, log_in: np.ndarray, model: LabelModel) -> Column:
     """Arrow blocks of samples scored and matched with NumPy."""
     density = model.array_density
-    fit.whitening
-    tied = [(a, b) for a, b in combinations(range(len(log_in)), 2)
-            if log_in[a] == log_in[b] and (fit.mean[a] == fit.mean[b]).all()
-            and (fit.cov[a] == fit.cov[b]).all()]
+    # Labels with the same normal fit are interchangeable; other kinds of fit may hold more fields.
+    tied = [(a, b) for a, b in combinations(range(num_sources), 2)
+            if type(fit) is NormalFit and log_in[a] == log_in[b]
+            and (fit.mean[a] == fit.mean[b]).all() and (fit.cov[a] == fit.cov[b]).all()]
+    rows = max(1, MAX_BLOCK_CELLS // num_sources**2)
+
+    def match_block(cube: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        valid = ~np.isnan(cube).any(axis=0)
+        score = np.full(valid.shape + (num_sources,), np.nan)
+        entries = cube[:, valid].T
+        score[valid] = np.stack([density(entries, fit, label) + log_in[label] for label in range(num_sources)], axis=1)
+        labels = best_labels(score, valid)
+        settle_ties(labels, np.moveaxis(cube, 0, 2), tied)
+        own = np.take_along_axis(score, np.maximum(labels, 0)[:, :, None], axis=2)[:, :, 0]
+        return fill_free_labels(labels), np.where(valid, own, np.nan)
 
     @F.arrow_udf(ASSIGNMENT_TYPE)
     def match(*params: pa.Array) -> pa.Array:
-        cube = np.stack([p.flatten().to_numpy(zero_copy_only=False) for p in params], axis=1)
-        cube = cube.reshape(-1, num_sources, len(params))
-        valid = ~np.isnan(cube).any(axis=2)
-        score = np.full(valid.shape + (len(log_in),), np.nan)
-        block = cube[valid]
-        score[valid] = np.stack([density(block, fit, label) + log_in[label]
-                                 for label in range(len(log_in))], axis=1)
-        labels = best_labels(score, valid)
-        settle_ties(labels, cube, tied)
-        own = np.take_along_axis(score, np.maximum(labels, 0)[:, :, None], axis=2)[:, :, 0]
-        return pa.StructArray.from_arrays(
-            [_rows_of(fill_free_labels(labels).astype("int32")), _rows_of(own, ~valid)],
-            ["labels", "scores"])
+        cube = np.stack([p.flatten().to_numpy(zero_copy_only=False) for p in params])
+        cube = cube.reshape(len(params), -1, num_sources)
+        blocks = [match_block(cube[:, at:at + rows]) for at in range(0, max(cube.shape[1], 1), rows)]
+        labels, own = (np.concatenate(part) for part in zip(*blocks))
+        return pa.StructArray.from_arrays([_rows_of(labels.astype("int32")), _rows_of(own, np.isnan(own))],
+                                          ["labels", "scores"])
 
     # Nondeterministic to the optimizer only: a filter on the result must not run the matching twice.
     return match.asNondeterministic()(*[f"p{p}" for p in fit.params])

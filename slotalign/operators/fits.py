@@ -45,6 +45,10 @@ class NormalFit:
         lower = np.stack(factors)
         return np.linalg.inv(lower), np.log(np.diagonal(lower, axis1=1, axis2=2)).sum(axis=1)
 
+    def require_regular(self) -> None:
+        """Raise an error that names the slot if a covariance is singular."""
+        self.whitening  # noqa: B018
+
     def to_frame(self, spark: SparkSession) -> DataFrame:
         """``slot, mean, cov`` with array columns."""
         rows = [(i, m.tolist(), c.tolist()) for i, (m, c) in enumerate(zip(self.mean, self.cov))]

@@ -26,12 +26,15 @@ class LabelModel:
     array_density: ArrayDensity
     column_density: ColumnDensity | None = None
     single_parameter: int | None = None
+    check: Callable[[NormalFit], object] = lambda fit: None
 
 
 def normal_density_of_block(values: np.ndarray, fit: NormalFit, label: int) -> np.ndarray:
+    """Works on one row per parameter, which is how the blocks arrive."""
     whiten, half_log_det = fit.whitening
-    residual = (values - fit.mean[label]) @ whiten[label].T
-    return -0.5 * (values.shape[1] * LOG_TWO_PI + np.square(residual).sum(axis=1)) - half_log_det[label]
+    residual = whiten[label] @ (values.T - fit.mean[label][:, None])
+    distance = np.einsum("ij,ij->j", residual, residual)
+    return -0.5 * (values.shape[1] * LOG_TWO_PI + distance) - half_log_det[label]
 
 
 def mv_density_column(values: list[str], fit: NormalFit, label: str) -> str:
@@ -43,8 +46,10 @@ def uni_density_column(values: list[str], fit: NormalFit, label: str) -> str:
 
 
 def mv_normal_model() -> LabelModel:
-    return LabelModel(mv_normal_estimate, normal_density_of_block, mv_density_column)
+    return LabelModel(mv_normal_estimate, normal_density_of_block, mv_density_column,
+                      check=NormalFit.require_regular)
 
 
 def uni_normal_model(single_parameter: int) -> LabelModel:
-    return LabelModel(uni_normal_estimate, normal_density_of_block, uni_density_column, single_parameter)
+    return LabelModel(uni_normal_estimate, normal_density_of_block, uni_density_column, single_parameter,
+                      check=NormalFit.require_regular)

@@ -268,9 +268,10 @@ def trace_query() -> str:
     return query([*chain_parts(FLAGS, 3), *parts, *costs], lines)
 
 
-def catalog_query() -> str:
-    parts, last = iterations("s", ["uni"] * 2 + ["mv"] * 3, 3, 2, compared_orders)
-    return query([*chain_parts(FLAGS, 3), shuffled(3, 2, 7), *parts], full_rows(last, 2))
+def catalog_query(select: str) -> str:
+    """The three-slot catalog as ``moved_4``, and the fit of its last step as ``fit_4``."""
+    parts, _ = iterations("s", ["uni"] * 2 + ["mv"] * 3, 3, 2, compared_orders)
+    return query([*chain_parts(FLAGS, 3), shuffled(3, 2, 7), *parts], select)
 
 
 def wide_catalog_query() -> str:
@@ -376,7 +377,11 @@ ORACLES: dict[str, str] = {
     "relabel_uni_k3": relabel_query(FLAGS, 3, 2, ["uni"] * 3, compared_orders),
     "relabel_mv_k3": relabel_query(FLAGS, 3, 2, ["mv"] * 3, compared_orders),
     "relabel_mv_trace": trace_query(),
-    "make_catalog": catalog_query(),
+    "make_catalog": catalog_query(full_rows("moved_4", 2)),
+    "source_track": catalog_query("SELECT sample_id, p1 AS value FROM g LEFT JOIN moved_4 "
+                                  "USING (sample_id, slot) WHERE slot = 1"),
+    "sources_by_presence": catalog_query("SELECT row_number() OVER (ORDER BY prob DESC) - 1 AS place, "
+                                         "round(prob, 6) AS prob FROM fit_4"),
     "catalog_of_line_numbers": wide_catalog_query(),
     "product_space_decode": vector_query("sample_id", filled=False),
     "fixed_decode": vector_query("sample_id", filled=True),

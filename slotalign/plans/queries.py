@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..chain import PosteriorChain
-from ..functions.columns import all_present, count_swaps, file_number, fill_missing_indices
+from ..functions.columns import all_present, count_swaps, file_number, fill_missing_indices, sort_by_number
 from ..operators.assignment import assign, cost_matrix, log_density
 from ..operators.fits import (
     NormalFit,
@@ -240,10 +240,24 @@ def relabel_mv_trace(spark, sf_dir):
                         *[rounded(F.get("prob_in_model", s), f"prob{s}") for s in range(3)])
 
 
+def flag_catalog(spark, sf_dir) -> PosteriorChain:
+    return make_catalog_mv_normal(return_flag_chain(spark, sf_dir), 3, num_iterations=3,
+                                  init_num_iterations=2, initialization_param_index=1, shuffle_seed=7)
+
+
 def make_catalog(spark, sf_dir):
-    catalog = make_catalog_mv_normal(return_flag_chain(spark, sf_dir), 3, num_iterations=3,
-                                     init_num_iterations=2, initialization_param_index=1, shuffle_seed=7)
-    return catalog.long_columns()
+    return flag_catalog(spark, sf_dir).long_columns()
+
+
+def source_track(spark, sf_dir):
+    """The second parameter of one catalog source over the samples."""
+    return flag_catalog(spark, sf_dir).values(slot=1, param=1)
+
+
+def sources_by_presence(spark, sf_dir):
+    """The catalog's inclusion probabilities from the highest to the lowest."""
+    ranked = sorted(flag_catalog(spark, sf_dir).prob_in_model, reverse=True)
+    return per_slot(spark, {"prob": ranked}).withColumnRenamed("slot", "place")
 
 
 def catalog_of_line_numbers(spark, sf_dir):
@@ -341,10 +355,10 @@ def count_swaps_query(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", count_swaps(F.col("embedding")).alias("swaps"))
 
 
-def sort_by_number(spark, sf_dir):
+def sort_by_number_query(spark, sf_dir):
     name = F.concat(F.lit("chain.dat."), F.col("p_partkey"))
-    files = table(spark, sf_dir, "part").select(name.alias("file"))
-    return files.orderBy(file_number(F.col("file"))).select("file", file_number(F.col("file")).alias("number"))
+    files = sort_by_number(table(spark, sf_dir, "part").select(name.alias("file")), "file")
+    return files.select("file", file_number(F.col("file")).alias("number"))
 
 
 QUERIES: dict[str, Query] = {
@@ -386,6 +400,8 @@ QUERIES: dict[str, Query] = {
     "relabel_mv_k3": relabel_mv_k3,
     "relabel_mv_trace": relabel_mv_trace,
     "make_catalog": make_catalog,
+    "source_track": source_track,
+    "sources_by_presence": sources_by_presence,
     "catalog_of_line_numbers": catalog_of_line_numbers,
     "catalog_to_fixed_layout": catalog_to_fixed_layout,
     "product_space_decode": product_space_decode,
@@ -397,5 +413,5 @@ QUERIES: dict[str, Query] = {
     "parquet_roundtrip": parquet_roundtrip,
     "fill_missing_indices": fill_missing_indices_query,
     "count_swaps": count_swaps_query,
-    "sort_by_number": sort_by_number,
+    "sort_by_number": sort_by_number_query,
 }

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from slotalign import PosteriorChain
-from slotalign.functions import count_swaps, file_number, fill_missing_indices
+from slotalign.functions import count_swaps, file_number, fill_missing_indices, sort_by_number
 
 
 @pytest.fixture(scope="module")
@@ -114,7 +114,7 @@ def test_count_swaps(spark, values, swaps):
 
 def test_sort_by_number(spark):
     names = spark.createDataFrame([("d/file.10",), ("d/file.2",), ("d/file.1",)], "name string")
-    ordered = [r[0] for r in names.orderBy(file_number(F.col("name"))).collect()]
+    ordered = [r[0] for r in sort_by_number(names, "name").collect()]
     assert ordered == ["d/file.1", "d/file.2", "d/file.10"]
     with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
         spark.createDataFrame([("file.x",)], "name string").select(file_number(F.col("name"))).collect()

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from slotalign.operators.assignment import cost_matrix
+from slotalign.operators.assignment import cost_matrix, create_compute_cost_matrix
 from slotalign.operators.fits import find_prob_in_model, mv_normal_fit, uni_normal_fit_single_parameter
 from slotalign.operators.models import mv_normal_model, uni_normal_model
 from slotalign.operators.relabel import relabel_posterior_chain_one_iteration, relabel_samples_one_iteration
@@ -18,7 +18,8 @@ def matrix(scores, sample):
 
 
 def test_cost_matrix_without_gaps(dense):
-    scores = cost_matrix(dense, mv_normal_fit(dense, 2), find_prob_in_model(dense, 2, eps=0), mv_normal_model())
+    compute = create_compute_cost_matrix(mv_normal_model())
+    scores = compute(dense, mv_normal_fit(dense, 2), find_prob_in_model(dense, 2, eps=0))
     expected = [[0.30395628, -0.05770942], [0.29753514, -0.06278939]]
     np.testing.assert_allclose(matrix(scores, 0), expected, rtol=1e-7)
 
@@ -76,3 +77,13 @@ def test_iteration_on_chain_records_cost(dense):
     assert set(relabeled.cost_by_width) == {2}
     assert relabeled.prob_in_model == (0.99, 0.99)
     assert dense.cost_by_width == {}
+
+
+def test_cost_matrix_must_be_square(dense):
+    fit, prob = mv_normal_fit(dense, 2), find_prob_in_model(dense, 2)
+    wider = dense.expand_chain(3)
+    with pytest.raises(ValueError, match="square"):
+        cost_matrix(wider, fit, prob, mv_normal_model())
+    single = cost_matrix(wider, mv_normal_fit(dense, 1), prob[:1], mv_normal_model())
+    assert single.count() == 30_000
+    assert single.where("slot = 2").first()["score"] == pytest.approx(np.log(0.01))
