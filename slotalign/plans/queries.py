@@ -319,7 +319,7 @@ def fixed_text(spark, sf_dir):
 def dimension_stack(spark, sf_dir):
     """Orders with k distinct line numbers go to the file with suffix k, and are stacked again."""
     folder = scratch(spark, "dimensions")
-    chain = line_number_chain(spark, sf_dir)
+    chain = line_number_chain(spark, sf_dir).staged()
     present = F.filter("entries", lambda e: F.get(e, 0).isNotNull())
     packed = chain.frame.select("sample_id", F.size(present).alias("sources"),
                                 F.posexplode(present).alias("slot", "values"))

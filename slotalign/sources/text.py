@@ -86,7 +86,10 @@ def load_samples_by_dimension(spark: SparkSession, folder: str, fill_value: floa
 
 
 def _stacked(numbered: DataFrame, sizes: dict[int, int], kept: list[int]) -> DataFrame:
-    """Turn line numbers over all files into sample ids over the kept files, and slots."""
+    """Turn line numbers over all files into sample ids over the kept files, and slots.
+
+    The broadcast side has one row per number of sources, which is at most the width of the chain.
+    """
     starts, line_start, sample_start = [], 0, 0
     for sources in sorted(sizes):
         if sources in kept:

@@ -1,0 +1,88 @@
+"""What keeps the plans sound on large data: row numbers, pruning, shuffles, shared folders."""
+
+from types import SimpleNamespace
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from slotalign import PosteriorChain
+from slotalign.operators.assignment import assign
+from slotalign.operators.fits import create_parametric_fit, mv_normal_estimate, uni_normal_estimate
+from slotalign.operators.fits import update_parametric_fit_and_prob_in_model as fit_and_prob
+from slotalign.operators.models import mv_normal_model, uni_normal_model
+from slotalign.operators.moments import labelled_entries, moments_by_slot
+from slotalign.storage import checkpoint_root, number_rows
+
+
+def plan_of(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("broadcast_limit", [50_000, 0])
+def test_row_numbers_with_a_hot_key(spark, monkeypatch, broadcast_limit):
+    monkeypatch.setattr("slotalign.storage.MAX_BROADCAST_BLOCKS", broadcast_limit)
+    rows = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, 5).otherwise(F.col("id") % 100).alias("key"), F.xxhash64("id").alias("v"))
+    numbered = number_rows(rows.repartition(6), ["key", "v"], into="n").toPandas().sort_values("n")
+    assert numbered["n"].tolist() == list(range(3000))
+    ordered = numbered.sort_values(["key", "v"])
+    assert (ordered.index == numbered.index).all()
+
+
+def test_hot_key_is_reduced_before_the_shuffle(spark):
+    rows = spark.range(0, 3000, 1, 8).select(
+        F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 500).alias("sample"),
+        (F.col("id") % 2).alias("slot"), F.lit(1.0).alias("v"))
+    chain = PosteriorChain.from_long(rows, F.col("sample"), F.col("slot"), [F.col("v")], 2, F.sum)
+    plan = plan_of(chain.frame)
+    assert "partial_sum" in plan and plan.count("Exchange") == 1
+    total = chain.long_columns().agg(F.sum("p0")).first()[0]
+    assert total == 3000.0
+
+
+@pytest.fixture(scope="module")
+def staged(spark):
+    values = np.random.default_rng(6).normal(size=(200, 4, 5))
+    values[::3, 2] = np.nan
+    return PosteriorChain.from_array(spark, values, 4, 5).staged()
+
+
+def test_univariate_pass_reads_two_parameters(staged):
+    fit, prob = fit_and_prob(staged, 4, create_parametric_fit(uni_normal_estimate, 3))
+    assigned = assign(staged, fit, prob, uni_normal_model(3))
+    plan = plan_of(moments_by_slot(labelled_entries(assigned, 4, [3]), fit.mean))
+    schema = plan.split("ReadSchema: ")[1].splitlines()[0]
+    assert "p0:" in schema and "p3:" in schema
+    assert not any(f"p{p}:" in schema for p in (1, 2, 4))
+
+
+def test_one_small_shuffle_per_iteration(staged):
+    fit, prob = fit_and_prob(staged, 4, create_parametric_fit(mv_normal_estimate))
+    assigned = assign(staged, fit, prob, mv_normal_model())
+    plan = plan_of(moments_by_slot(labelled_entries(assigned, 4, list(range(5))), fit.mean))
+    assert plan.count("Exchange") == 1 and "Exchange hashpartitioning(label" in plan
+    assert plan.count("ArrowEvalPython") == 1 and "Sort" not in plan
+
+
+def test_narrow_chain_stays_in_the_jvm(spark):
+    chain = PosteriorChain.from_array(spark, np.random.default_rng(1).normal(size=(50, 2, 2)), 2, 2).staged()
+    fit, prob = fit_and_prob(chain, 2, create_parametric_fit(mv_normal_estimate))
+    assert "ArrowEvalPython" not in plan_of(assign(chain, fit, prob, mv_normal_model()))
+
+
+def test_blocks_do_not_change_the_result(staged, monkeypatch):
+    fit, prob = fit_and_prob(staged, 4, create_parametric_fit(mv_normal_estimate))
+    whole = staged.with_labels(assign(staged, fit, prob, mv_normal_model())).to_array()
+    monkeypatch.setattr("slotalign.operators.assignment.MAX_BLOCK_CELLS", 7 * 16)
+    split = staged.with_labels(assign(staged, fit, prob, mv_normal_model())).to_array()
+    np.testing.assert_array_equal(whole, split)
+
+
+def test_cluster_needs_a_shared_folder():
+    unset = SimpleNamespace(get=lambda name, default: default)
+    cluster = SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(master="yarn"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        checkpoint_root(cluster)
+    named = SimpleNamespace(get=lambda name, default: "hdfs://nn/shared/")
+    assert checkpoint_root(SimpleNamespace(conf=named, sparkContext=None)) == "hdfs://nn/shared"
