@@ -49,7 +49,8 @@ class PosteriorChain:
     prob_in_model: tuple[float, ...] | None = None
     cost_by_width: Mapping[int, float] = field(default_factory=dict)
     dense_ids: bool = True
-    table: DataFrame | None = None
+    columns: DataFrame | None = None
+    stored: bool = False
     trace: tuple = ()
 
     # ---- constructors -------------------------------------------------------------------
@@ -117,8 +118,8 @@ class PosteriorChain:
         Jobs work on this form: it keeps expressions short however wide the chain is, and of a
         staged chain only the parameters that a job uses are read.
         """
-        if self.table is not None:
-            return self.table
+        if self.columns is not None:
+            return self.columns
         return self.frame.select("sample_id", *[
             param_of_entries(p).alias(f"p{p}") for p in range(self.num_params_per_source)])
 
@@ -149,15 +150,19 @@ class PosteriorChain:
     # ---- transformations ----------------------------------------------------------------
 
     def with_frame(self, frame: DataFrame, **changes) -> PosteriorChain:
-        return replace(self, **({"frame": frame, "table": None} | changes))
+        return replace(self, **({"frame": frame, "columns": None, "stored": False} | changes))
 
     def staged(self) -> PosteriorChain:
         """The same chain backed by a written table with a column per parameter."""
-        if self.table is not None:
+        if self.stored:
             return self
-        table = stage(self.by_param())
+        return self.with_columns(stage(self.by_param()), stored=True)
+
+    def with_columns(self, columns: DataFrame, **changes) -> PosteriorChain:
+        """The chain that ``columns`` holds by parameter."""
         entries = gather_entries(slot_numbers(self.num_sources), self.num_params_per_source)
-        return self.with_frame(table.select("sample_id", entries.alias("entries")), table=table)
+        frame = columns.select("sample_id", entries.alias("entries"))
+        return self.with_frame(frame, columns=columns, **changes)
 
     def with_dense_ids(self) -> PosteriorChain:
         """Replace the sample ids by 0..N-1 in ascending id order."""
@@ -205,10 +210,12 @@ class PosteriorChain:
 
     def with_labels(self, labelled: DataFrame) -> PosteriorChain:
         """The chain in the order of ``labelled``, its by-parameter form with a ``labels`` column."""
+        names = [f"p{p}" for p in range(self.num_params_per_source)]
         places = F.transform(slot_numbers(self.num_sources),
                              lambda label: (F.array_position("labels", label) - 1).cast("int"))
-        entries = gather_entries(places, self.num_params_per_source)
-        return self.with_frame(labelled.select("sample_id", entries.alias("entries")))
+        placed = labelled.select("sample_id", *names, places.alias("places"))
+        return self.with_columns(placed.selectExpr(
+            "sample_id", *[f"transform(places, place -> get({name}, place)) AS {name}" for name in names]))
 
     # ---- files --------------------------------------------------------------------------
 
