@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import bpe_decode, bpe_encode
+from .secrets import RULES, describe, extend_ledger, join_findings, of_kinds
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -29,3 +30,45 @@ def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = bpe_encode(texts, ranks, public_tokenizers.PATTERN).drop("text")
     return bpe_decode(encoded, ranks).select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op7_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document, scanned once per content and joined back to all documents."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = F.col("findings")
+    base = of_kinds(found, [rule.kind for rule in RULES if rule.base])
+    return join_findings(documents, extend_ledger(documents)).select("doc_id", *[
+        F.size(of_kinds(found, [kind])).cast("long").alias(f"n_{kind}") for kind in ("assign", "access", "hex")],
+        F.sha2(describe(base), 256).alias("base_sha256"), describe(found).alias("spans"))
+
+
+def span_list_sql(rule_no: int) -> str:
+    rule = RULES[rule_no]
+    hits, pieces, long_enough = f"h{rule_no}", f"p{rule_no}", f"length(v{rule_no}[i]) >= {rule.min_chars}"
+    before = f"list_sum(list_transform({pieces}[1:i], lambda x: length(x)))"
+    return f"""list_transform(list_filter(range(1, len({hits}) + 1), lambda i: {long_enough}), lambda i: {{
+        'start': {before} + coalesce(list_sum(list_transform({hits}[1:i - 1], lambda x: length(x))), 0),
+        'no': {rule_no}, 'kind': '{rule.kind}',
+        'end': {before} + list_sum(list_transform({hits}[1:i], lambda x: length(x)))}})"""
+
+
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def described_sql(condition: str) -> str:
+    return (f"array_to_string(list_transform(list_filter(spans, lambda s: {condition}), "
+            "lambda s: concat(s.kind, ':', s.start::BIGINT, ':', s.end::BIGINT)), ',')")
+
+
+ORACLES["op7_secret_spans"] = f"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+cut AS (SELECT doc_id, {', '.join(
+    f"regexp_extract_all(text, {quoted(r.pattern)}) AS h{i}, string_split_regex(text, {quoted(r.pattern)}) AS p{i}, "
+    f"regexp_extract_all(text, {quoted(r.pattern)}, {r.group}) AS v{i}" for i, r in enumerate(RULES))} FROM texts),
+found AS (SELECT doc_id, list_sort(flatten([{', '.join(span_list_sql(i) for i in range(len(RULES)))}])) AS spans FROM cut)
+SELECT doc_id, {', '.join(f"len(list_filter(spans, lambda s: s.kind = '{k}'))::BIGINT AS n_{k}"
+                          for k in ('assign', 'access', 'hex'))},
+    sha256({described_sql('s.no < 3')}) AS base_sha256, {described_sql('true')} AS spans
+FROM found"""

@@ -1,0 +1,149 @@
+r"""Secret scanning through an incremental ledger of blobs, in DataFrame functions only.
+
+Every version of every path is addressed by the SHA-256 of its text. The ledger holds one row per
+(blob, rule version) with the findings of that blob. A run scans only pairs which the ledger lacks, one
+text per blob, appends them, and joins findings back to all paths and versions with that content.
+
+Rules are read leftmost and without overlap, each kind for itself. Offsets are code points, the end is
+exclusive. The base kinds come first, in the order of ``RULES``.
+
+Defined results: a NULL text counts as empty and has no findings. Repeated rows, equal texts and ties share
+one scan and get one result row each. An empty table gives no rows. Columns beside the text are kept as
+given; a column named ``blob`` or ``findings`` is replaced.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..storage import stage
+
+RULE_VERSION = 1
+
+
+@dataclass(frozen=True)
+class Rule:
+    """A kind of secret; ``min_chars`` applies to capture group ``group`` of each match of ``pattern``."""
+
+    kind: str
+    pattern: str
+    group: int = 0
+    min_chars: int = 0
+    base: bool = False
+
+
+# Minimum lengths of the two plain runs are part of their patterns: such a run is matched whole or not at
+# all, so this equals matching every run and dropping the short ones, without listing the short ones.
+RULES = (
+    Rule("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
+         group=2, min_chars=8, base=True),
+    Rule("access", r"AKIA[A-Z0-9]{12,}", base=True),
+    Rule("hex", r"[0-9a-f]{32,}", base=True),
+    Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    Rule("forge", r"gh[pousr]_[A-Za-z0-9]{36,}"),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
+)
+
+SPAN = "struct<start:int,kind_no:int,end:int,kind:string>"
+
+
+def with_blob(versions: DataFrame, text: str = "text") -> DataFrame:
+    return versions.withColumn("blob", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+
+
+def spans_of(rule: Rule, kind_no: int, hits: Column, values: Column, pieces: Column) -> Column:
+    """Spans from the matches and the pieces between them, whose lengths add up to the offsets."""
+    empty = F.array().cast(f"array<{SPAN}>")
+    start = F.struct(F.lit(0).alias("at"), empty.alias("found"))
+
+    def step(state: Column, i: Column) -> Column:
+        first = state["at"] + F.char_length(F.get(pieces, i))
+        end = first + F.char_length(F.get(hits, i))
+        span = F.struct(first.alias("start"), F.lit(kind_no).alias("kind_no"), end.alias("end"),
+                        F.lit(rule.kind).alias("kind"))
+        long_enough = F.char_length(F.get(values, i)) >= rule.min_chars
+        return F.struct(end.alias("at"), F.when(long_enough, F.concat(state["found"], F.array(span)))
+                        .otherwise(state["found"]).alias("found"))
+
+    walked = F.aggregate(F.sequence(F.lit(0), F.size(hits) - 1), start, step)["found"]
+    return F.when(F.size(hits) > 0, walked).otherwise(empty)
+
+
+def scan(blobs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
+    """``blob, findings``: the spans of all rules in each text, by start and then in the order of the rules."""
+    value = F.coalesce(F.col(text), F.lit(""))
+    hits = blobs.select("blob", value.alias("_text"), *[
+        F.regexp_extract_all(value, F.lit(rule.pattern), F.lit(0)).alias(f"_hits{i}") for i, rule in enumerate(rules)])
+    cut = hits.select("blob", *[f"_hits{i}" for i in range(len(rules))], *[
+        F.when(F.size(f"_hits{i}") > 0, F.split("_text", rule.pattern, -1)).alias(f"_pieces{i}")
+        for i, rule in enumerate(rules)], *[
+        F.when(F.size(f"_hits{i}") > 0, F.regexp_extract_all("_text", F.lit(rule.pattern), F.lit(rule.group)))
+        .alias(f"_values{i}") for i, rule in enumerate(rules) if rule.group])
+    spans = [spans_of(rule, i, F.col(f"_hits{i}"), F.col(f"_values{i}" if rule.group else f"_hits{i}"),
+                      F.col(f"_pieces{i}")) for i, rule in enumerate(rules)]
+    return cut.select("blob", F.array_sort(F.concat(*spans)).alias("findings"))
+
+
+def unseen_blobs(versions: DataFrame, ledger: DataFrame | None, rule_version: int, text: str = "text") -> DataFrame:
+    """One ``blob, text`` row for each content that the ledger has not scanned under ``rule_version``.
+
+    Copies are merged before the shuffle, so a text with a third of all rows costs one row per task.
+    """
+    contents = with_blob(versions.select(text), text)
+    if ledger is not None:
+        seen = ledger.where(F.col("rule_version") == rule_version).select("blob").distinct()
+        contents = contents.join(seen, "blob", "left_anti")
+    return contents.dropDuplicates(["blob"])
+
+
+def extend_ledger(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES,
+                  rule_version: int = RULE_VERSION, text: str = "text") -> DataFrame:
+    """The ledger with the findings of all contents of ``versions``; new rows are scanned and written once."""
+    fresh = scan(unseen_blobs(versions, ledger, rule_version, text), rules, text)
+    written = stage(fresh.select("blob", F.lit(rule_version).alias("rule_version"), "findings"))
+    return written if ledger is None else ledger.select(written.columns).unionByName(written)
+
+
+def append_to_ledger(spark: SparkSession, path: str, versions: DataFrame, rules: tuple[Rule, ...] = RULES,
+                     rule_version: int = RULE_VERSION, text: str = "text", first: bool = False) -> DataFrame:
+    """Keep the ledger at ``path`` (Parquet) up to date with ``versions``; ``first`` starts a new one."""
+    ledger = None if first else spark.read.parquet(path)
+    fresh = scan(unseen_blobs(versions, ledger, rule_version, text), rules, text)
+    fresh.select("blob", F.lit(rule_version).alias("rule_version"), "findings").write.parquet(
+        path, mode="errorifexists" if first else "append")
+    return spark.read.parquet(path)
+
+
+def join_findings(versions: DataFrame, ledger: DataFrame, rule_version: int = RULE_VERSION,
+                  text: str = "text") -> DataFrame:
+    """``versions`` with ``blob`` and ``findings``: every path and version gets what its content holds."""
+    scanned = ledger.where(F.col("rule_version") == rule_version).select("blob", "findings").dropDuplicates(["blob"])
+    kept = versions.drop("findings")
+    return with_blob(kept, text).join(scanned, "blob", "left")
+
+
+def describe(findings: Column) -> Column:
+    """``kind:start:end`` of all spans, joined by commas."""
+    return F.array_join(F.transform(findings, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def of_kinds(findings: Column, kinds: list[str]) -> Column:
+    return F.filter(findings, lambda s: s["kind"].isin(kinds))
+
+
+def redact(text: Column, findings: Column, mask: str = "[SECRET]") -> Column:
+    """``text`` with every run of overlapping or touching spans replaced by one ``mask``."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(state: Column, span: Column) -> Column:
+        gap = F.substring(text, state["at"] + 1, span["start"] - state["at"])
+        apart = (span["start"] > state["at"]) | (state["at"] == 0)
+        return F.struct(F.greatest(state["at"], span["end"]).alias("at"),
+                        F.when(apart, F.concat(state["out"], gap, F.lit(mask))).otherwise(state["out"]).alias("out"))
+
+    masked = F.aggregate(findings, start, step)
+    rest = F.substring(text, masked["at"] + 1, F.char_length(text))
+    return F.when(F.size(findings) > 0, F.concat(masked["out"], rest)).otherwise(text)
