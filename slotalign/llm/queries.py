@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import bpe_decode, bpe_encode
+from .decontaminate import find_overlaps
 from .secrets import RULES, describe, extend_ledger, join_findings, of_kinds
 
 QUERIES = {}
@@ -72,3 +73,9 @@ SELECT doc_id, {', '.join(f"len(list_filter(spans, lambda s: s.kind = '{k}'))::B
                           for k in ('assign', 'access', 'hex'))},
     sha256({described_sql('s.no < 3')}) AS base_sha256, {described_sql('true')} AS spans
 FROM found"""
+
+
+@query
+def op2_benchmark_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that hold benchmark passages, with the items and the places."""
+    return find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
