@@ -30,7 +30,7 @@ from .words import Members, WordHasher, Words, mix
 # Fixed masks: weight 5, so common words hardly meet by chance; windows of 7 to 9 words.
 MASKS = ("1101011", "1110011", "11001011", "101100101")
 MIN_ITEM_WORDS = 5
-MIN_MATCHED = 12
+MIN_MATCHED = 10
 MIN_IDENTITY = 0.8
 MISMATCH = -2
 BLOCK_CHARS = 8_000_000

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from .bpe import bpe_decode, bpe_encode
 from .decontaminate import find_overlaps
-from .secrets import RULES, describe, extend_ledger, join_findings, of_kinds
+from .near_dedup import near_duplicate_classes
+from .secret_scan import RULES, describe, extend_ledger, join_findings, of_kinds
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -79,3 +80,9 @@ FROM found"""
 def op2_benchmark_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that hold benchmark passages, with the items and the places."""
     return find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of near copies of every document."""
+    return near_duplicate_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
