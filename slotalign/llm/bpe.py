@@ -20,16 +20,17 @@ from __future__ import annotations
 
 import base64
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .arrow import add_columns
+
 LEAF_CHARS = 1024
 LEAF_BYTES = 256
 LEAF_IDS = 4096
-ROWS_PER_BATCH = 256
 
 
 def read_ranks(path: str) -> bytes:
@@ -119,24 +120,6 @@ def decode_ids(ids: list[int], table: list[bytes], leaf_ids: int = LEAF_IDS) ->
     return decode_ids(ids[:middle], table, leaf_ids) + decode_ids(ids[middle:], table, leaf_ids)
 
 
-def add_columns(frame: DataFrame, made: dict[str, T.DataType],
-                work: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]]) -> DataFrame:
-    """``frame`` with the columns ``made``, computed by ``work()`` for a few hundred rows at a time."""
-    kept = [c for c in frame.columns if c not in made]
-    types = {f.name: f for f in frame.schema.fields}
-    schema = T.StructType([types[c] for c in kept] + [T.StructField(c, t) for c, t in made.items()])
-    names = kept + list(made)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        each = work()
-        for batch in batches:
-            for start in range(0, batch.num_rows, ROWS_PER_BATCH):
-                part = batch.slice(start, ROWS_PER_BATCH)
-                yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + each(part), names=names)
-
-    return frame.mapInArrow(run, schema)
-
-
 def bpe_encode(frame: DataFrame, rank_file: str, pattern: str, text: str = "text", ids: str = "ids",
                count: str = "n_tokens") -> DataFrame:
     """``frame`` with ``ids`` (BINARY, little-endian unsigned 32 bit) and ``count`` (BIGINT) of each text."""

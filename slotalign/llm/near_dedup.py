@@ -33,7 +33,8 @@ from pyspark.sql import types as T
 from ..storage import stage
 from .components import connected_components
 from .frequent import frequent
-from .words import WordHasher, Words, distinct, mix, shingles
+from .joins import join_counted
+from .words import Members, WordHasher, Words, distinct, mix, shingles
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -58,8 +59,6 @@ class Weights:
     """Weights of shingles, given the frequent ones."""
 
     def __init__(self, values: np.ndarray, counts: np.ndarray, documents: int) -> None:
-        from .words import Members
-
         self.members = Members(values)
         share = np.asarray(counts, dtype=float) / max(1, documents)
         self.idf = 0.5 + 0.5 * np.log(np.maximum(share, 1e-300)) / np.log(SHARE)
@@ -221,14 +220,13 @@ def verified_links(buckets: DataFrame, texts: DataFrame, share_weights, similari
         leaders *= MORE_LEADERS
 
 
-def near_duplicate_classes(documents: DataFrame, doc_id: str = "doc_id", text: str = "text",
-                           similarity: float = SIMILARITY) -> DataFrame:
-    """``documents`` (without the text) with ``class_id``, the smallest id of the class, and ``text_id``, of equal texts."""
+def node_classes(documents: DataFrame, doc_id: str, text: str, similarity: float) -> DataFrame:
+    """``node, class_id, text_id`` of every text with content."""
     context = documents.sparkSession.sparkContext
     plain = documents.select(F.col(text).alias("_text")).where(F.length("_text") > 0)
     number = plain.count()
     share_weights = context.broadcast((*frequent(plain, shingle_extract, SHARE, number), number))
-    signed = stage(signatures(documents, text, share_weights))
+    signed = stage(signatures(plain, "_text", share_weights))
     unique = signed.dropDuplicates(["node"]).select("node", F.explode("bands").alias("bucket"))
     shared = unique.groupBy("bucket").agg(F.count("*").alias("_n")).where("_n > 1").select("bucket")
     buckets = stage(unique.join(shared, "bucket"))
@@ -236,11 +234,33 @@ def near_duplicate_classes(documents: DataFrame, doc_id: str = "doc_id", text: s
     texts = stage(with_node(plain, "_text").join(wanted, "node", "left_semi").dropDuplicates(["node"]))
     _, classes = verified_links(buckets, texts, share_weights, similarity)
 
-    rows = with_node(documents.drop("class_id", "text_id", "node"), text).drop(text)
-    nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min(doc_id).alias("text_id"))
+    rows = with_node(documents.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")), "_text").where("node IS NOT NULL")
+    nodes = rows.groupBy("node").agg(F.min("_id").alias("text_id"), F.count("*").alias("_rows"))
     joined = nodes.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = joined.groupBy("component").agg(F.min("text_id").alias("class_id"))
-    named = joined.join(smallest, "component").select("node", "class_id", "text_id")
-    return rows.join(named, "node", "left").drop("node").withColumns({
-        "class_id": F.when(F.col(doc_id).isNull(), F.lit(None)).otherwise(F.coalesce("class_id", doc_id)),
-        "text_id": F.when(F.col(doc_id).isNull(), F.lit(None)).otherwise(F.coalesce("text_id", doc_id))})
+    return stage(joined.join(smallest, "component").select("node", "class_id", "text_id", "_rows"))
+
+
+def near_duplicate_classes(documents: DataFrame, doc_id: str = "doc_id", text: str = "text",
+                           similarity: float = SIMILARITY) -> DataFrame:
+    """The ids and other columns of ``documents`` with ``class_id``, the smallest id of the class, and
+    ``text_id``, the smallest id with an equal text."""
+    named = node_classes(documents, doc_id, text, similarity)
+    rows = with_node(documents.drop("class_id", "text_id", "node"), text).drop(text)
+    joined = join_counted(rows, named, "node", "_rows", documents.count())
+    own = F.col(doc_id)
+    return joined.drop("node").withColumns({
+        c: F.when(own.isNotNull(), F.coalesce(c, own)) for c in ("class_id", "text_id")})
+
+
+def keep_one_of_each_class(documents: DataFrame, doc_id: str = "doc_id", text: str = "text",
+                           similarity: float = SIMILARITY) -> DataFrame:
+    """``documents`` with one row of each class: that of the smallest id, or of a NULL id if there is no other."""
+    named = node_classes(documents, doc_id, text, similarity)
+    ids = with_node(documents.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")), "_text") \
+        .where("node IS NOT NULL").select("_id", "node")
+    later = join_counted(ids, named, "node", "_rows", documents.count()).where(
+        "_id > class_id OR (_id IS NULL AND class_id IS NOT NULL)").select("_id", "node").distinct()
+    keyed = with_node(documents.withColumn("_id", F.col(doc_id)), text)
+    alone = keyed.join(later, keyed["_id"].eqNullSafe(later["_id"]) & (keyed["node"] == later["node"]), "left_anti")
+    return alone.dropDuplicates(["_id", "node"]).select(*documents.columns)

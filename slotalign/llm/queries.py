@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .bpe import bpe_decode, bpe_encode
 from .decontaminate import find_overlaps
+from .language import identify, page_evidence, train_profiles
 from .near_dedup import near_duplicate_classes
 from .secret_scan import RULES, describe, extend_ledger, join_findings, of_kinds
 
@@ -86,3 +87,11 @@ def op2_benchmark_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The class of near copies of every document."""
     return near_duplicate_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op5_page_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every page from its text, markup, address and host; profiles are learned from documents."""
+    profiles = train_profiles(table(spark, sf_dir, "documents"))
+    return identify(page_evidence(table(spark, sf_dir, "pages")), profiles, "visible", declared="declared",
+                    suffix="suffix", host="host", domain="domain", keep=["page_id", "declared", "host"])

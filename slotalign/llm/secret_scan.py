@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import stage
+from .joins import join_counted
 
 RULE_VERSION = 1
 
@@ -118,11 +119,17 @@ def append_to_ledger(spark: SparkSession, path: str, versions: DataFrame, rules:
 
 
 def join_findings(versions: DataFrame, ledger: DataFrame, rule_version: int = RULE_VERSION,
-                  text: str = "text") -> DataFrame:
-    """``versions`` with ``blob`` and ``findings``: every path and version gets what its content holds."""
-    scanned = ledger.where(F.col("rule_version") == rule_version).select("blob", "findings").dropDuplicates(["blob"])
-    kept = versions.drop("findings")
-    return with_blob(kept, text).join(scanned, "blob", "left")
+                  text: str = "text", all_rows: bool = True) -> DataFrame:
+    """``versions`` with ``blob`` and ``findings``: every path and version gets what its content holds.
+
+    With ``all_rows`` off, contents without findings are not looked up; their findings are NULL. Contents
+    with very many copies are looked up without being moved.
+    """
+    addressed = with_blob(versions.drop("findings"), text)
+    scanned = ledger.where((F.col("rule_version") == rule_version) & (F.lit(all_rows) | (F.size("findings") > 0)))
+    copies = with_blob(versions.select(text), text).groupBy("blob").agg(F.count("*").alias("_copies"))
+    side = stage(scanned.select("blob", "findings").dropDuplicates(["blob"]).join(copies, "blob"))
+    return join_counted(addressed, side, "blob", "_copies", versions.count())
 
 
 def describe(findings: Column) -> Column:
