@@ -4,11 +4,29 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 ROWS_PER_BATCH = 256
+BYTES_PER_BATCH = 1 << 20
+
+
+def small_slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """``batch`` in parts of at most 256 rows and about a megabyte of texts, or of one longer row."""
+    sizes = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+            sizes += np.asarray(pc.fill_null(pc.binary_length(column), 0)).astype(np.int64)
+    ends, start = np.cumsum(sizes), 0
+    while start < batch.num_rows:
+        done = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, done + BYTES_PER_BATCH, side="right")))
+        stop = min(stop, start + ROWS_PER_BATCH, batch.num_rows)
+        yield batch.slice(start, stop - start)
+        start = stop
 
 
 def add_columns(frame: DataFrame, made: dict[str, T.DataType],
@@ -22,8 +40,7 @@ def add_columns(frame: DataFrame, made: dict[str, T.DataType],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = work()
         for batch in batches:
-            for start in range(0, batch.num_rows, ROWS_PER_BATCH):
-                part = batch.slice(start, ROWS_PER_BATCH)
+            for part in small_slices(batch):
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + each(part), names=names)
 
     return frame.mapInArrow(run, schema)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..storage import stage
-from .arrow import add_columns
+from .arrow import add_columns, small_slices
 from .joins import join_counted
 
 BUCKET_BITS = 16
@@ -68,8 +68,7 @@ def train_profiles(labelled: DataFrame, text: str = "text", language: str = "lan
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
+            for part in small_slices(batch):
                 buckets, bounds = trigrams(part.column(1))
                 for name, low, high in zip(part.column(0).to_pylist(), bounds[:-1], bounds[1:]):
                     if name not in counts:

@@ -10,6 +10,7 @@ from .bpe import bpe_decode, bpe_encode
 from .decontaminate import find_overlaps
 from .language import identify, page_evidence, train_profiles
 from .near_dedup import near_duplicate_classes
+from .quality import train_quality, with_quality
 from .secret_scan import RULES, describe, extend_ledger, join_findings, of_kinds
 
 QUERIES = {}
@@ -95,3 +96,13 @@ def op5_page_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     profiles = train_profiles(table(spark, sf_dir, "documents"))
     return identify(page_evidence(table(spark, sf_dir, "pages")), profiles, "visible", declared="declared",
                     suffix="suffix", host="host", domain="domain", keep=["page_id", "declared", "host"])
+
+
+@query
+def op4_text_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every document; a fifth of the ids is never learned from."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    model = train_quality(documents, table(spark, sf_dir, "labels"), "quality", ~held_out)
+    return with_quality(documents, model).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
