@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import stage
 from .words import Members
 
 BLOCK_VALUES = 4_000_000
@@ -31,7 +32,7 @@ def count_rows(counts: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
 
 
 def local_counts(texts: DataFrame, make_extract: Callable[[], Extract], share: float) -> DataFrame:
-    """``value, n`` of the values that reach half the share in a block of a task."""
+    """``value, n`` of the values that reach half the share in a block of a task; the units at a NULL value."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         extract, parts, held, units = make_extract(), [], 0, 0
@@ -39,7 +40,9 @@ def local_counts(texts: DataFrame, make_extract: Callable[[], Extract], share: f
         def flush() -> pa.RecordBatch:
             values, numbers = np.unique(np.concatenate(parts), return_counts=True)
             enough = numbers >= share / 2 * units
-            return count_rows((values[enough], numbers[enough]))
+            return pa.RecordBatch.from_arrays([
+                pa.array(np.append(values[enough].view(np.int64), 0), mask=np.append(np.zeros(enough.sum(), bool), True)),
+                pa.array(np.append(numbers[enough].astype(np.int64), units))], names=["value", "n"])
 
         for batch in batches:
             for values, covered in extract(batch.column(0)):
@@ -70,6 +73,18 @@ def member_counts(texts: DataFrame, make_extract: Callable[[], Extract], candida
     return texts.mapInArrow(run, "value long, n long")
 
 
+def named_candidates(texts: DataFrame, make_extract: Callable[[], Extract], share: float) -> tuple[np.ndarray, int]:
+    """A sorted superset of the frequent values, and the number of units in all texts.
+
+    There are at most ``2 * (values per unit) / share`` of them.
+    """
+    summed = stage(local_counts(texts, make_extract, share).groupBy("value").agg(F.sum("n").alias("n")))
+    units = summed.where("value IS NULL").first()
+    units = int(units["n"]) if units else 0
+    rows = summed.where(F.col("value").isNotNull() & (F.col("n") >= share / 2 * units)).select("value").toArrow()
+    return np.sort(rows["value"].to_numpy().view(np.uint64)), units
+
+
 def frequent(texts: DataFrame, make_extract: Callable[[], Extract], share: float,
              units: int) -> tuple[np.ndarray, np.ndarray]:
     """The values with a count of at least ``share * units``, sorted, and their exact counts.
@@ -78,7 +93,8 @@ def frequent(texts: DataFrame, make_extract: Callable[[], Extract], share: float
     """
     least = max(1, math.ceil(share * units))
     total = F.sum("n").alias("n")
-    named = local_counts(texts, make_extract, share).groupBy("value").agg(total).where(F.col("n") >= share / 2 * units)
+    named = local_counts(texts, make_extract, share).groupBy("value").agg(total) \
+        .where(F.col("value").isNotNull() & (F.col("n") >= share / 2 * units))
     candidates = named.select("value").toArrow()["value"].to_numpy().view(np.uint64)
     if not len(candidates):
         return candidates, np.empty(0, np.int64)

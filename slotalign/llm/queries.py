@@ -6,10 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import stage
 from .bpe import bpe_decode, bpe_encode
 from .decontaminate import find_overlaps
 from .language import identify, page_evidence, train_profiles
+from .lm_score import cross_entropy_difference
 from .near_dedup import near_duplicate_classes
+from .permutation_index import nearest_neighbours
 from .quality import train_quality, with_quality
 from .secret_scan import RULES, describe, extend_ledger, join_findings, of_kinds
 
@@ -106,3 +109,18 @@ def op4_text_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = train_quality(documents, table(spark, sf_dir, "labels"), "quality", ~held_out)
     return with_quality(documents, model).select(
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op10_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest of all vectors for each query vector."""
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query
+def op9_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much likelier every document is among those labelled good than among all."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct()
+    target = stage(documents.join(good, "doc_id", "left_semi").select("text"))
+    return cross_entropy_difference(documents, target).drop("text")
