@@ -15,6 +15,7 @@ from .near_dedup import near_duplicate_classes
 from .permutation_index import nearest_neighbours
 from .quality import train_quality, with_quality
 from .secret_scan import RULES, describe, extend_ledger, join_findings, of_kinds
+from .token_shards import training_shards
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -124,3 +125,11 @@ def op9_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct()
     target = stage(documents.join(good, "doc_id", "left_semi").select("text"))
     return cross_entropy_difference(documents, target).drop("text")
+
+
+@query
+def op3_training_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shards of all documents' tokens in training order."""
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    shards = training_shards(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, key=20240229, separator=50256)
+    return shards.withColumn("payload_sha256", F.sha2("payload", 256))
