@@ -13,6 +13,7 @@ from .language import identify, page_evidence, train_profiles
 from .lm_score import cross_entropy_difference
 from .near_dedup import near_duplicate_classes
 from .permutation_index import nearest_neighbours
+from .pseudonyms import KINDS, pseudonymise
 from .quality import train_quality, with_quality
 from .secret_scan import RULES, describe, extend_ledger, join_findings, of_kinds
 from .token_shards import training_shards
@@ -133,3 +134,11 @@ def op3_training_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     shards = training_shards(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, key=20240229, separator=50256)
     return shards.withColumn("payload_sha256", F.sha2("payload", 256))
+
+
+@query
+def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data replaced, and how much of each kind there was."""
+    made = pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key="corpus key 1")
+    return made.select("doc_id", "text", *[
+        F.size(of_kinds(F.col("found"), [kind])).cast("long").alias(f"n_{kind}") for kind in KINDS])
