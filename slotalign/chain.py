@@ -14,6 +14,10 @@ from .functions.columns import nan_to_null, null_entry
 from .storage import number_rows, stage
 
 
+# Up to so many cells per sample, a chain from long rows is one aggregation.
+MAX_PIVOT_CELLS = 128
+
+
 def slot_numbers(num_sources: int) -> Column:
     return F.array(*[F.lit(s) for s in range(num_sources)])
 
@@ -33,6 +37,12 @@ def split_entries(values: Column, num_sources: int, num_params: int) -> Column:
         F.slice(values, slot * num_params + 1, num_params), nan_to_null))
 
 
+def single_rows(most: Column, entries: Column) -> Column:
+    """``entries``, unless a slot had several rows."""
+    return F.when(most <= 1, entries).otherwise(F.raise_error(F.concat(
+        F.lit("several rows for one slot of sample "), F.col("sample_id").cast("string"), F.lit("; give a merge function"))))
+
+
 @dataclass(frozen=True)
 class PosteriorChain:
     """N samples of S slots with P parameters each.
@@ -81,26 +91,49 @@ class PosteriorChain:
 
     @classmethod
     def from_long(cls, frame: DataFrame, sample_id: Column, slot: Column, params: Sequence[Column],
-                  num_sources: int, merge: Callable[[Column], Column] = F.max,
+                  num_sources: int, merge: Callable[[Column], Column] | None = None,
                   divide_by: Sequence[float] | None = None, **metadata) -> PosteriorChain:
-        """A chain from one row per (sample, slot).
+        """A chain from one row per (sample, slot); a NULL or other slot raises.
 
-        ``merge`` combines several rows of one slot; ``divide_by`` scales the merged parameters.
-        The pivot is a plain aggregation with map-side partials: a key that holds a large part of
-        the rows is reduced to one fixed-width buffer per task before the shuffle.
+        ``merge`` combines several rows of one slot, which raise without it; ``divide_by`` scales the
+        merged parameters. The aggregation has map-side partials: a key that holds a large part of the
+        rows is reduced to one fixed-width buffer per slot and task before the shuffle.
         """
+        known = slot.between(0, num_sources - 1)
+        checked = F.when(known, slot.cast("int")).otherwise(F.raise_error(F.concat(
+            F.lit(f"slots must be 0 to {num_sources - 1}, found "), F.coalesce(slot.cast("string"), F.lit("NULL")))).cast("int"))
         values = [p.cast("double").alias(f"v{i}") for i, p in enumerate(params)]
-        rows = frame.select(sample_id.cast("long").alias("sample_id"), slot.alias("slot"), *values)
+        rows = frame.select(sample_id.cast("long").alias("sample_id"), checked.alias("slot"), *values)
         rows = rows.select("sample_id", "slot", *[nan_to_null(F.col(f"v{i}")).alias(f"v{i}") for i in range(len(params))])
-        cells = [merge(F.expr(f"CASE WHEN slot = {s} THEN v{i} END")).alias(f"s{s}p{i}")
-                 for s in range(num_sources) for i in range(len(params))]
-        pivoted = rows.groupBy("sample_id").agg(*cells)
         divisors = [1.0] * len(params) if divide_by is None else divide_by
-        entries = F.array(*[F.array(*[F.col(f"s{s}p{i}") / F.lit(float(d)) for i, d in enumerate(divisors)])
-                            for s in range(num_sources)])
+        gathered = (cls._pivot if num_sources * len(params) <= MAX_PIVOT_CELLS else cls._gather)(
+            rows, num_sources, len(params), merge or F.max, merge is None)
+        entries = F.transform("entries", lambda entry: F.array(*[
+            F.get(entry, i) / F.lit(float(d)) for i, d in enumerate(divisors)]))
         metadata = {"trans_dimensional": True, "dense_ids": False} | metadata
-        return cls(pivoted.select("sample_id", entries.alias("entries")),
-                   num_sources, len(params), **metadata)
+        return cls(gathered.select("sample_id", entries.alias("entries")), num_sources, len(params), **metadata)
+
+    @staticmethod
+    def _pivot(rows: DataFrame, num_sources: int, num_params: int, merge: Callable, once: bool) -> DataFrame:
+        """One aggregation with a buffer per cell."""
+        cells = [merge(F.expr(f"CASE WHEN slot = {s} THEN v{i} END")).alias(f"s{s}p{i}")
+                 for s in range(num_sources) for i in range(num_params)]
+        counts = [F.expr(f"count_if(slot = {s})").alias(f"n{s}") for s in range(num_sources)] if once else []
+        pivoted = rows.groupBy("sample_id").agg(*cells, *counts)
+        entries = F.array(*[F.array(*[F.col(f"s{s}p{i}") for i in range(num_params)]) for s in range(num_sources)])
+        most = F.array_max(F.array(*[f"n{s}" for s in range(num_sources)])) if once else F.lit(1)
+        return pivoted.select("sample_id", single_rows(most, entries).alias("entries"))
+
+    @staticmethod
+    def _gather(rows: DataFrame, num_sources: int, num_params: int, merge: Callable, once: bool) -> DataFrame:
+        """Wide chains: the slots of a sample first, with a buffer per parameter, then its at most S entries."""
+        cells = [merge(f"v{i}").alias(f"v{i}") for i in range(num_params)]
+        slots = rows.groupBy("sample_id", "slot").agg(*cells, F.count("*").alias("n"))
+        packed = slots.groupBy("sample_id").agg(F.map_from_entries(F.collect_list(F.struct(
+            "slot", F.array(*[f"v{i}" for i in range(num_params)])))).alias("by_slot"), F.max("n").alias("n"))
+        entries = F.transform(slot_numbers(num_sources), lambda s: F.coalesce(
+            F.try_element_at("by_slot", s), null_entry(num_params)))
+        return packed.select("sample_id", single_rows(F.col("n") if once else F.lit(1), entries).alias("entries"))
 
     # ---- views --------------------------------------------------------------------------
 
@@ -140,13 +173,6 @@ class PosteriorChain:
             raise IndexError(f"no parameter {param} of slot {slot}")
         return self.by_param().select("sample_id", F.get(f"p{param}", slot).alias("value"))
 
-    def to_array(self) -> np.ndarray:
-        """The whole chain as a driver array; for small chains."""
-        rows = self.frame.orderBy("sample_id").toArrow()
-        flat = rows["entries"].combine_chunks().flatten().flatten()
-        return flat.to_numpy(zero_copy_only=False).reshape(
-            -1, self.num_sources, self.num_params_per_source)
-
     # ---- transformations ----------------------------------------------------------------
 
     def with_frame(self, frame: DataFrame, **changes) -> PosteriorChain:
@@ -205,8 +231,12 @@ class PosteriorChain:
         return self.with_frame(shuffled)
 
     def reorder(self, labels: Column) -> PosteriorChain:
-        """Move every entry to the slot that ``labels`` (one label per entry) names."""
-        return self.with_labels(self.by_param().withColumn("labels", labels))
+        """Move every entry to the slot that ``labels`` (one label per entry, a permutation) names."""
+        valid = F.coalesce(F.sort_array(labels.cast("array<int>")) == slot_numbers(self.num_sources), F.lit(False))
+        checked = F.when(valid, labels).otherwise(F.raise_error(F.concat(
+            F.lit(f"labels must be a permutation of 0 to {self.num_sources - 1}, found "),
+            F.coalesce(F.array_join(labels.cast("array<string>"), ",", "NULL"), F.lit("NULL")))))
+        return self.with_labels(self.by_param().withColumn("labels", checked))
 
     def with_labels(self, labelled: DataFrame) -> PosteriorChain:
         """The chain in the order of ``labelled``, its by-parameter form with a ``labels`` column."""

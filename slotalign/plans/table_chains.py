@@ -60,8 +60,18 @@ def discounted_chain(spark: SparkSession, sf_dir: str) -> PosteriorChain:
         num_sources=3, merge=F.sum, divide_by=[1, CENTS_PER_THOUSAND])
 
 
+def part_chain(spark: SparkSession, sf_dir: str) -> PosteriorChain:
+    """Sample = part, slot = last digit of the order; quantity and price totals. Many entries want one label."""
+    return PosteriorChain.from_long(
+        table(spark, sf_dir, "lineitem"), F.col("l_partkey"), F.col("l_orderkey") % 10,
+        [F.col("l_quantity"), hundredths("l_extendedprice")],
+        num_sources=10, merge=F.sum, divide_by=[1, CENTS_PER_THOUSAND])
+
+
 def embedding_chain(spark: SparkSession, sf_dir: str) -> PosteriorChain:
-    """Sample = vector, slot = its label, parameters = its first eight coordinates."""
+    """Sample = vector, slot = its label, parameters = means of eight coordinates each, so that all take part."""
+    def fold(i: int) -> Column:
+        return F.aggregate(F.slice("embedding", 8 * i + 1, 8), F.lit(0.0), lambda a, x: a + x.cast("double")) / 8
+
     return PosteriorChain.from_long(
-        table(spark, sf_dir, "embeddings"), F.col("vec_id"), F.col("label"),
-        [F.get("embedding", i) for i in range(8)], num_sources=10)
+        table(spark, sf_dir, "embeddings"), F.col("vec_id"), F.col("label"), [fold(i) for i in range(8)], num_sources=10)

@@ -25,13 +25,25 @@ SOURCES, PARAMS, TRANSDIMENSIONAL = "num_sources", "num_params_per_source", "tra
 METADATA = [SOURCES, PARAMS, TRANSDIMENSIONAL]
 
 MAX_READ_TASKS = 100_000
+UNITS = pa.schema([("file", pa.int32()), ("path", pa.string()), ("batch", pa.int32()), ("_size", pa.int64()),
+                   *[(name, pa.int32()) for name in METADATA]])
 ROWS_PER_BATCH = 65_536
 
 
-def _filesystem(path: str) -> tuple[pafs.FileSystem, str]:
-    if "://" in path or path.startswith("file:"):
-        return pafs.FileSystem.from_uri(path)
-    return pafs.LocalFileSystem(), path
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` as a full URI that tasks can open; a bare path belongs to the cluster's default file system."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    uri = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(hadoop).toString()
+    scheme, rest = uri.split(":", 1)
+    if scheme == "file":
+        if not path.startswith("file:") and not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{path!r} is on the disk of each machine; name a shared folder, or file:// for a shared mount")
+        return f"file:///{rest.lstrip('/')}"
+    return f"s3:{rest}" if scheme in ("s3a", "s3n") else uri
+
+
+def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(uri)
 
 
 def _open(path: str, only: list[str] | None = None) -> pa.ipc.RecordBatchFileReader:
@@ -43,31 +55,33 @@ def _open(path: str, only: list[str] | None = None) -> pa.ipc.RecordBatchFileRea
     return pa.ipc.open_file(files.open_input_file(name), options=pa.ipc.IpcReadOptions(included_fields=fields))
 
 
-def _part_files(path: str) -> list[str]:
-    files, name = _filesystem(path)
+def _data_files(uri: str) -> list[str]:
+    """The file, or all files of the folder in the order of their names; names with ``_`` or ``.`` in front are not data."""
+    files, name = _filesystem(uri)
     if files.get_file_info(name).type != pafs.FileType.Directory:
-        return [path]
-    parts = sorted(f.base_name for f in files.get_file_info(pafs.FileSelector(name))
-                   if f.is_file and f.base_name.startswith("part-"))
-    return [f"{path.rstrip('/')}/{part}" for part in parts]
-
-
-def _first_metadata(paths: list[str]) -> list[int]:
-    for path in paths:
-        reader = _open(path, METADATA)
-        for i in range(reader.num_record_batches):
-            batch = reader.get_batch(i)
-            if batch.num_rows:
-                return [int(batch.column(name)[0].as_py()) for name in METADATA]
-    raise ValueError("the Feather input holds no samples")
-
-
-def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for units in batches:
-        rows = units.to_pylist()
-        sizes = [_open(r["path"], [SOURCES]).get_batch(r["batch"]).num_rows for r in rows]
-        yield pa.RecordBatch.from_arrays([*units.columns, pa.array(sizes, pa.int64())],
-                                         [*units.schema.names, "_size"])
+        return [uri]
+    listed = sorted((f for f in files.get_file_info(pafs.FileSelector(name)) if f.base_name[0] not in "_."),
+                    key=lambda f: f.base_name)
+    for found in listed:
+        if not found.is_file:
+            raise ValueError(f"{uri!r} holds the folder {found.base_name!r} beside its files")
+    return [f"{uri.rstrip('/')}/{f.base_name}" for f in listed]
+
+
+def _list_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Number, size and shape of every record batch that has rows."""
+    for listed in batches:
+        for file in listed.to_pylist():
+            reader = _open(file["path"], METADATA)
+            rows = []
+            for i in range(reader.num_record_batches):
+                batch = reader.get_batch(i)
+                shapes = set(zip(*(batch.column(name).to_pylist() for name in METADATA)))
+                if len(shapes) > 1:
+                    raise ValueError(f"{file['path']!r} mixes shapes: {sorted(shapes)}")
+                rows += [{**file, "batch": i, "_size": batch.num_rows, **dict(zip(METADATA, map(int, shape)))} for shape in shapes]
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema=UNITS)
 
 
 def _read_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,18 +96,21 @@ def _read_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_feather(spark: SparkSession, path: str) -> PosteriorChain:
-    """Read one file or a folder of part files; sample ids follow file and row order.
+    """Read one file or all files of a folder; sample ids follow file names and row order.
 
-    The driver reads footers and the metadata values of one row; tasks count and read the batches.
+    The driver lists the files; tasks read footers, shapes and batches. Files of different shapes raise.
     """
-    paths = _part_files(path)
-    num_sources, num_params, flag = _first_metadata(paths)
-    units = [(i, b, p) for i, p in enumerate(paths) for b in range(_open(p).num_record_batches)]
-    tasks = min(len(units), MAX_READ_TASKS)
-    listed = spark.createDataFrame(units, "file int, batch int, path string").repartition(tasks, "file", "batch")
-    sized = listed.mapInArrow(_count_rows, "file int, batch int, path string, _size long")
-    placed = stage(add_offsets(sized, ["file", "batch"])).repartition(tasks, "file", "batch")
-    rows = placed.mapInArrow(_read_rows, "sample_id long, values array<double>")
+    files = [(i, uri) for i, uri in enumerate(_data_files(qualified(spark, path)))]
+    tasks = max(1, min(len(files), MAX_READ_TASKS))
+    listed = spark.createDataFrame(files, "file int, path string").repartitionByRange(tasks, "file")
+    sized = listed.mapInArrow(_list_batches, "file int, path string, batch int, _size long, " + ", ".join(f"{n} int" for n in METADATA))
+    placed = stage(add_offsets(stage(sized), ["file", "batch"]))
+    shapes = [tuple(row) for row in placed.select(*METADATA).distinct().limit(2).collect()]
+    if len(shapes) != 1:
+        raise ValueError(f"{path!r} holds chains of different shapes: {shapes}" if shapes else f"{path!r} holds no samples")
+    [(num_sources, num_params, flag)] = shapes
+    units = max(1, min(placed.count(), MAX_READ_TASKS))
+    rows = placed.repartitionByRange(units, "file", "batch").mapInArrow(_read_rows, "sample_id long, values array<double>")
     return PosteriorChain.from_flat(rows, F.col("sample_id"), F.col("values"), num_sources, num_params,
                                     trans_dimensional=bool(flag))
 
@@ -101,7 +118,9 @@ def read_feather(spark: SparkSession, path: str) -> PosteriorChain:
 def write_feather(chain: PosteriorChain, path: str) -> None:
     """Write part files in sample order, one per range of sample ids."""
     chain.spark.dataSource.register(FeatherChainSource)
-    ordered = chain.frame.select("sample_id", F.flatten("entries").alias("values"))
+    path = qualified(chain.spark, path)
+    # Range partitioning reads its input twice, so an unwritten chain is written first.
+    ordered = chain.staged().frame.select("sample_id", F.flatten("entries").alias("values"))
     ordered = ordered.repartitionByRange("sample_id").sortWithinPartitions("sample_id")
     (ordered.write.format(FeatherChainSource.name()).mode("append")
      .option(SOURCES, chain.num_sources).option(PARAMS, chain.num_params_per_source)

@@ -40,7 +40,7 @@ def load_samples(spark: SparkSession, path: str, num_params_per_source: int, fil
             options = {"fill_value": fill_value} if load is load_samples_product_space else {
                 "burn": burn, "thin": thin}
             return load(spark, path, num_params_per_source, **options)
-    raise ValueError(f"cannot infer the layout of {path!r} with {columns} columns")
+    raise ValueError(f"{columns} columns in {path!r} fit neither text layout for {num_params_per_source} parameters per source")
 
 
 def load_samples_product_space(spark: SparkSession, path: str, num_params_per_source: int,
@@ -66,15 +66,20 @@ def load_samples_by_dimension(spark: SparkSession, folder: str, fill_value: floa
 
     The files are stacked in ascending k, and burn and thin apply to the stack.
     """
-    lines = _parsed_lines(spark, f"{folder.rstrip('/')}/{DIMENSION_FILE}*").where("sources > 0")
-    # One row per file suffix.
-    sizes = {row["sources"]: row["count"] for row in lines.groupBy("sources").count().collect()}
-    for sources, count in sizes.items():
-        if count % sources:
-            raise ValueError(f"{DIMENSION_FILE}{sources} has {count} lines, not a multiple of {sources}")
+    pattern = f"{folder.rstrip('/')}/{DIMENSION_FILE}*"
+    # One row per file suffix, before any line is parsed; files for no source hold no samples.
+    located = _data_lines(spark, pattern).select(_suffix().alias("suffix"))
+    sizes = {int(row["suffix"]): row["count"] for row in located.groupBy("suffix").count().collect()}
+    sizes.pop(0, None)
     kept = sorted(k for k in sizes if not remove_low_numbers or sizes[k] // k > LOW_NUMBER)
     if not kept:
-        raise ValueError(f"no files with more than {LOW_NUMBER} samples found")
+        asked = f" of more than {LOW_NUMBER} samples" if remove_low_numbers else ""
+        raise ValueError(f"{folder!r} has no {DIMENSION_FILE}<k> file{asked}; lines by k: {sizes}")
+    for sources in kept:
+        if sizes[sources] % sources:
+            raise ValueError(f"{DIMENSION_FILE}{sources} ends inside a sample: {sizes[sources]} lines")
+    sizes = {k: sizes[k] for k in kept}
+    lines = _parsed_lines(spark, pattern, kept)
     if _common_width(lines) != num_params_per_source:
         raise ValueError(f"lines must have {num_params_per_source} columns")
     stacked = _stacked(_numbered(lines), sizes, kept)
@@ -120,7 +125,11 @@ def decode_product_space(rows: DataFrame, num_params: int, fill_value: float = m
     """A chain from ``sample_id, values`` rows in the product-space layout."""
     size = F.size("values")
     count = F.rint(F.get("values", size - PRODUCT_SPACE_METADATA) + 1).cast("int")
-    counted = rows.select("sample_id", "values", count.alias("sources"))
+    fits = (count >= 0) & (count * num_params <= size - PRODUCT_SPACE_METADATA)
+    checked = F.when(fits, count).otherwise(F.raise_error(F.concat(
+        F.lit("a row of "), size.cast("string"), F.lit(" columns does not hold "),
+        F.coalesce(count.cast("string"), F.lit("NULL")), F.lit(" sources"))).cast("int"))
+    counted = rows.select("sample_id", "values", checked.alias("sources"))
     num_sources = counted.agg(F.max("sources")).first()[0]
     if num_sources is None:
         raise ValueError("the chain has no samples")
@@ -156,12 +165,20 @@ def _data_lines(spark: SparkSession, path: str) -> DataFrame:
     return located.where("line != ''")
 
 
-def _parsed_lines(spark: SparkSession, path: str) -> DataFrame:
-    suffix = F.regexp_extract("path", DIMENSION_FILE.replace(".", r"\.") + r"(\d+)(/[^/]*)?$", 1)
-    parsed = _data_lines(spark, path).select(
-        F.when(suffix != "", suffix).cast("int").alias("sources"),
-        "path", "block", F.monotonically_increasing_id().alias("place"),
-        F.split("line", r"\s+").cast("array<double>").alias("values"))
+def _suffix() -> Column:
+    """The number that a dimension file's name ends with; another ending raises."""
+    ending = F.regexp_extract("path", DIMENSION_FILE.replace(".", r"\.") + r"([^/]*)(/[^/]*)?$", 1)
+    return F.when(ending.rlike(r"^\d{1,9}$"), ending.cast("int")).otherwise(F.raise_error(F.concat(
+        F.lit("no source count at the end of the name of "), F.col("path"))).cast("int"))
+
+
+def _parsed_lines(spark: SparkSession, path: str, sources: list[int] | None = None) -> DataFrame:
+    """The lines as arrays; with ``sources``, those of the files for these source counts only."""
+    lines = _data_lines(spark, path).withColumn("sources", _suffix() if sources else F.lit(None).cast("int"))
+    if sources:
+        lines = lines.where(F.col("sources").isin(sources))
+    parsed = lines.select("sources", "path", "block", F.monotonically_increasing_id().alias("place"),
+                          F.split("line", r"\s+").cast("array<double>").alias("values"))
     return stage(parsed.withColumn("width", F.size("values")))
 
 
@@ -189,10 +206,7 @@ def _first_width(spark: SparkSession, path: str) -> int:
 
 
 def _is_dimension_folder(spark: SparkSession, path: str) -> bool:
-    """A folder lists files with other names than its own."""
-    first = spark.read.format("binaryFile").load(path).select("path").first()
-    return first is not None and _last_name(first["path"]) != _last_name(path)
-
-
-def _last_name(path: str) -> str:
-    return path.rstrip("/").rsplit("/", 1)[-1]
+    """Whether ``path`` holds files, or folders of part files, that are named by their number of sources."""
+    pattern = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{DIMENSION_FILE}*")
+    found = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern)
+    return found is not None and len(found) > 0

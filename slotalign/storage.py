@@ -63,10 +63,11 @@ def number_rows(frame: DataFrame, order_by: list[str], into: str = "sample_id")
     """Dense 0-based row numbers in the order of ``order_by``, without a single-task window.
 
     Rows are range partitioned and sorted, the partition number and the place inside it are
-    pinned by writing them, and the partition sizes are turned into offsets.
+    pinned by writing them, and the partition sizes are turned into offsets. Range partitioning reads
+    its input twice, so that is written first.
     """
     placed = (
-        frame.repartitionByRange(*order_by)
+        stage(frame).repartitionByRange(*order_by)
         .sortWithinPartitions(*order_by)
         .withColumn("_part", F.spark_partition_id())
         .withColumn("_place", F.monotonically_increasing_id())

@@ -11,6 +11,16 @@ from pyspark.sql import SparkSession  # noqa: E402
 from slotalign import PosteriorChain  # noqa: E402
 
 
+def to_array(chain):
+    """A whole small chain as an array."""
+    rows = chain.frame.orderBy("sample_id").toArrow()
+    flat = rows["entries"].combine_chunks().flatten().flatten()
+    return flat.to_numpy(zero_copy_only=False).reshape(-1, chain.num_sources, chain.num_params_per_source)
+
+
+PosteriorChain.to_array = to_array
+
+
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     session = (

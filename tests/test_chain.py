@@ -118,3 +118,29 @@ def test_sort_by_number(spark):
     assert ordered == ["d/file.1", "d/file.2", "d/file.10"]
     with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
         spark.createDataFrame([("file.x",)], "name string").select(file_number(F.col("name"))).collect()
+
+
+def long_rows(spark, rows):
+    return spark.createDataFrame(rows, "id long, slot int, a double, b double")
+
+
+@pytest.mark.parametrize("cells", [128, 0])
+def test_long_rows_are_never_lost_or_mixed(spark, monkeypatch, cells):
+    monkeypatch.setattr("slotalign.chain.MAX_PIVOT_CELLS", cells)
+    make = lambda rows, **more: PosteriorChain.from_long(
+        long_rows(spark, rows), F.col("id"), F.col("slot"), [F.col("a"), F.col("b")], 2, **more).to_array()
+    np.testing.assert_array_equal(make([(1, 1, 1.0, 10.0), (1, 0, 5.0, None), (2, 1, 3.0, 4.0)]),
+                                  [[[5, np.nan], [1, 10]], [[np.nan, np.nan], [3, 4]]])
+    for slot in (2, -1, None):
+        with pytest.raises(Exception, match="slots must be 0 to 1"):
+            make([(1, slot, 1.0, 2.0)])
+    with pytest.raises(Exception, match="several rows for one slot of sample 1"):
+        make([(1, 0, 1.0, 10.0), (1, 0, 5.0, 2.0)])
+    np.testing.assert_array_equal(make([(1, 0, 1.0, 10.0), (1, 0, 5.0, 2.0)], merge=F.sum)[0, 0], [6, 12])
+
+
+@pytest.mark.parametrize("labels", [[0, 0, 1], [0, 1], [1, 2, 3], [0, 1, None]])
+def test_only_permutations_reorder(spark, labels):
+    chain = PosteriorChain.from_array(spark, np.arange(6.0).reshape(2, 3), 3, 1)
+    with pytest.raises(Exception, match="permutation of 0 to 2"):
+        chain.reorder(F.array(*[F.lit(x).cast("int") for x in labels])).to_array()

@@ -1,3 +1,5 @@
+from types import SimpleNamespace
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -90,7 +92,7 @@ def test_dimension_folder_errors(spark, tmp_path):
     with pytest.raises(ValueError, match="more than 8 samples"):
         load_samples(spark, str(tmp_path), 8, remove_low_numbers=True)
     np.savetxt(tmp_path / "dimension_chain.dat.3", np.zeros((7, 8)))
-    with pytest.raises(ValueError, match="not a multiple of 3"):
+    with pytest.raises(ValueError, match="ends inside a sample"):
         load_samples(spark, str(tmp_path), 8)
 
 
@@ -111,7 +113,7 @@ def test_one_parameter_reads_as_product_space(spark, tmp_path):
 
 def test_unknown_and_ragged_layouts(spark, tmp_path):
     np.savetxt(tmp_path / "odd.dat", np.zeros((3, 10)))
-    with pytest.raises(ValueError, match="cannot infer"):
+    with pytest.raises(ValueError, match="fit neither text layout"):
         load_samples(spark, f"{tmp_path}/odd.dat", 7)
     (tmp_path / "ragged.dat").write_text("1 2 0 0 0 0\n1 2 3 0 0 0 0\n")
     with pytest.raises(ValueError, match="one width"):
@@ -162,3 +164,53 @@ def test_parquet(spark, tmp_path, cube):
     back = PosteriorChain.read_parquet(spark, f"{tmp_path}/chain")
     np.testing.assert_array_equal(back.to_array(), cube)
     assert back.trans_dimensional and (back.num_sources, back.num_params_per_source) == (2, 3)
+
+
+@pytest.mark.parametrize("name", ["dimension_chain.dat.2.txt", "dimension_chain.dat.bak"])
+def test_dimension_files_without_a_number_raise(spark, tmp_path, name):
+    for file in ("dimension_chain.dat.1", name):
+        np.savetxt(tmp_path / file, np.ones((9, 8)))
+    with pytest.raises(Exception, match="no source count at the end of the name"):
+        load_samples(spark, str(tmp_path), 8)
+
+
+def test_dropped_dimension_files_are_not_checked(spark, tmp_path):
+    np.savetxt(tmp_path / "dimension_chain.dat.1", np.ones((9, 8)))
+    np.savetxt(tmp_path / "dimension_chain.dat.2", np.ones((5, 3)))
+    (tmp_path / "dimension_chain.dat.0").write_text("not a number\n")
+    assert load_samples(spark, str(tmp_path), 8, remove_low_numbers=True).shape == (9, 1, 8)
+    with pytest.raises(ValueError, match="ends inside a sample: 5 lines"):
+        load_samples(spark, str(tmp_path), 8)
+
+
+@pytest.mark.parametrize("count", [2.0, -2.0])
+def test_product_space_counts_must_fit_the_row(spark, tmp_path, count):
+    np.savetxt(tmp_path / "space.dat", [[1, 2, 3, 4, count, 0, 0, 0, 0]])
+    with pytest.raises(Exception, match="9 columns does not hold"):
+        load_samples_product_space(spark, f"{tmp_path}/space.dat", 2).to_array()
+
+
+def feather_file(path, values, sources, params):
+    columns = {str(i): values[:, i] for i in range(values.shape[1])}
+    shape = {"num_sources": sources, "num_params_per_source": params, "transdimensional": 1}
+    pd.DataFrame(columns | {k: np.full(len(values), v) for k, v in shape.items()}).to_feather(path)
+
+
+def test_all_feather_files_of_a_folder_are_read(spark, tmp_path):
+    values = np.arange(54.0).reshape(9, 6)
+    for i, name in enumerate(("a.feather", "b", "part-0.feather")):
+        feather_file(tmp_path / name, values[3 * i:3 * i + 3], 2, 3)
+    (tmp_path / "_done").write_text("")
+    np.testing.assert_array_equal(PosteriorChain.read_feather(spark, str(tmp_path)).to_array(), values.reshape(9, 2, 3))
+    feather_file(tmp_path / "c.feather", values[:3], 3, 2)
+    with pytest.raises(ValueError, match="different shapes"):
+        PosteriorChain.read_feather(spark, str(tmp_path))
+
+
+def test_bare_paths_belong_to_the_default_file_system(spark, tmp_path):
+    from slotalign.sources.feather import qualified
+
+    assert qualified(spark, str(tmp_path)) == f"file://{tmp_path}" == qualified(spark, f"file:{tmp_path}")
+    with pytest.raises(ValueError, match="disk of each machine"):
+        qualified(SimpleNamespace(sparkContext=SimpleNamespace(
+            _jvm=spark.sparkContext._jvm, _jsc=spark.sparkContext._jsc, master="yarn")), str(tmp_path))
