@@ -10,15 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..chain import PosteriorChain
-from ..functions.columns import all_present, number, number_array, with_log_floor
+from ..functions.columns import all_present, number_array, with_log_floor
 from .fits import NormalFit
 from .matching import best_labels, fill_free_labels, settle_ties
 from .models import LabelModel
 
-# Up to these widths one compiled stage holds all scores; wider ones are faster in Arrow blocks.
-NATIVE_MAX_SOURCES = 2
-NATIVE_MAX_PARAMS = 3
-
 # Scores (samples x entries x labels) that a task holds at a time.
 MAX_BLOCK_CELLS = 2_000_000
 
@@ -86,49 +82,28 @@ def assign(chain: PosteriorChain, fit: NormalFit, prob_in_model: np.ndarray,
            model: LabelModel) -> DataFrame:
     """The chain by parameter with ``labels`` and ``scores``: the best label of every entry, its score.
 
-    Scores of missing entries are NULL; the entries are in the order they have in the chain.
+    Scores of missing entries are NULL; the entries are in the order they have in the chain. One solver
+    serves all widths, so ties have one rule: of equal totals that come from equal fits or equal entries,
+    lower slots get lower labels, and a lone entry the lowest of equal labels.
     """
     if len(fit.mean) != chain.num_sources or len(prob_in_model) != chain.num_sources:
         raise ValueError("the fit must have one label per slot; expand the chain first")
     model.check(fit)
     log_in, _ = with_log_floor(prob_in_model)
-    narrow = chain.num_sources <= NATIVE_MAX_SOURCES and len(fit.params) <= NATIVE_MAX_PARAMS
-    if narrow and model.column_density is not None:
-        return _assign_in_jvm(chain, fit, log_in, model)
     frame = chain.by_param()
     assigned = frame.withColumn("_best", _block_assignment(chain.num_sources, fit, log_in, model))
     return assigned.selectExpr(*frame.columns, "_best.labels AS labels", "_best.scores AS scores")
 
 
-def _assign_in_jvm(chain: PosteriorChain, fit: NormalFit, log_in: np.ndarray,
-                   model: LabelModel) -> DataFrame:
-    """One or two slots: the two orders compared in a compiled projection.
-
-    A missing entry scores 0 under both labels, so it never decides; a tie keeps the order.
-    """
-    slots, frame = range(chain.num_sources), chain.by_param()
-    values = [[f"get(p{p}, {s})" for p in fit.params] for s in slots]
-    cells = [f"CASE WHEN {all_present(values[s])} THEN {number(log_in[label])} + "
-             f"{model.column_density(values[s], fit, str(label))} END AS _c{s}{label}"
-             for s in slots for label in slots]
-    scored = frame.selectExpr("*", *cells)
-    if chain.num_sources == 1:
-        labels, scores = "array(0)", "array(_c00)"
-    else:
-        scored = scored.selectExpr(
-            "*", "ifnull(_c01, 0D) + ifnull(_c10, 0D) > ifnull(_c00, 0D) + ifnull(_c11, 0D) AS _swap")
-        labels = "CASE WHEN _swap THEN array(1, 0) ELSE array(0, 1) END"
-        scores = "CASE WHEN _swap THEN array(_c01, _c10) ELSE array(_c00, _c11) END"
-    return scored.selectExpr(*frame.columns, f"{labels} AS labels", f"{scores} AS scores")
-
-
 def _block_assignment(num_sources: int, fit: NormalFit, log_in: np.ndarray, model: LabelModel) -> Column:
     """Arrow blocks of samples scored and matched with NumPy."""
     density = model.array_density
     # Labels with the same normal fit are interchangeable; other kinds of fit may hold more fields.
-    tied = [(a, b) for a, b in combinations(range(num_sources), 2)
-            if type(fit) is NormalFit and log_in[a] == log_in[b]
-            and (fit.mean[a] == fit.mean[b]).all() and (fit.cov[a] == fit.cov[b]).all()]
+    alike: dict[bytes, list[int]] = {}
+    for label in range(num_sources if type(fit) is NormalFit else 0):
+        numbers = np.concatenate([[log_in[label]], fit.mean[label].ravel(), fit.cov[label].ravel()]) + 0.0
+        alike.setdefault(numbers.tobytes(), []).append(label)
+    tied = [pair for group in alike.values() for pair in combinations(group, 2)]
     rows = max(1, MAX_BLOCK_CELLS // num_sources**2)
 
     def match_block(cube: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

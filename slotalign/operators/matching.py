@@ -95,15 +95,14 @@ def settle_ties(labels: np.ndarray, values: np.ndarray, same_labels: list[tuple[
         labels[rows, at_high[rows]] = low
         taken = rows[at_low[rows] < entries]
         labels[taken, at_low[taken]] = high
-    leading = np.ascontiguousarray(values[:, :, 0].T)
-    for first in range(entries):
-        for second in range(first + 1, entries):
-            rows = np.flatnonzero(leading[first] == leading[second])
-            if not rows.size:
-                continue
-            rows = rows[(values[rows, first] == values[rows, second]).all(axis=1)]
-            rows = rows[(labels[rows, second] >= 0) & (labels[rows, first] > labels[rows, second])]
-            labels[rows, first], labels[rows, second] = labels[rows, second], labels[rows, first]
+    # Equal entries stand next to each other once the entries of each sample are sorted; blocks without any end here.
+    samples = np.arange(len(labels))[:, None]
+    order = np.lexsort(np.moveaxis(values, 2, 0), axis=1) if values.shape[2] else np.zeros_like(labels)
+    ordered, given = values[samples, order], labels[samples, order]
+    same = (ordered[:, 1:] == ordered[:, :-1]).all(axis=2) & (given[:, 1:] >= 0) & (given[:, :-1] >= 0)
+    for row in np.flatnonzero(same.any(axis=1)):
+        for run in np.split(order[row], np.flatnonzero(~same[row]) + 1):
+            labels[row, np.sort(run)] = np.sort(labels[row, run]) if len(run) > 1 else labels[row, run]
 
 
 def fill_free_labels(labels: np.ndarray) -> np.ndarray:

@@ -40,9 +40,15 @@ DISCOUNTED = f"""
   FROM lineitem GROUP BY 1, 2"""
 
 EMBEDDED = ("\n  SELECT vec_id AS sample_id, label AS slot, "
-            + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS p{i}" for i in range(8))
+            + ", ".join("(" + " + ".join(f"CAST(embedding[{8 * i + k + 1}] AS DOUBLE)" for k in range(8)) + f") / 8 AS p{i}"
+                        for i in range(8))
             + "\n  FROM embeddings")
 
+PARTS = f"""
+  SELECT l_partkey AS sample_id, l_orderkey % 10 AS slot,
+         sum(l_quantity) AS p0, CAST(sum({PRICE}) AS DOUBLE) / 100000 AS p1
+  FROM lineitem GROUP BY 1, 2"""
+
 
 def params(width: int, prefix: str = "") -> str:
     return ", ".join(f"{prefix}p{i}" for i in range(width))
@@ -51,7 +57,7 @@ def params(width: int, prefix: str = "") -> str:
 def chain_parts(source: str, slots: int) -> list[str]:
     """``e``: entries that are there; ``n``: the number of samples; ``g``: every sample and slot."""
     return [
-        f"e AS ({source})",
+        f"e AS MATERIALIZED ({source})",
         "samples AS (SELECT DISTINCT sample_id FROM e)",
         "n AS (SELECT count(*) AS n FROM samples)",
         f"g AS (SELECT sample_id, CAST(range AS INTEGER) AS slot FROM samples CROSS JOIN range({slots}))",
@@ -87,7 +93,7 @@ def mv_fit_part(name: str, entries: str, used: list[int], slots: int) -> str:
     own = ", ".join(f"{expr} AS {cell}" for cell, expr in cells)
     chosen = ", ".join(f"CASE WHEN coalesce(o.valid, 0) < {THIN_SLOT} THEN a.{cell} ELSE o.{cell} END AS {cell}"
                        for cell, _ in cells)
-    return f"""{name} AS (
+    return f"""{name} AS MATERIALIZED (
   SELECT l.range AS label, {chosen},
          least(greatest(coalesce(o.present, 0) / n.n, {EPS}), 1 - {EPS}) AS prob
   FROM range({slots}) l
@@ -99,7 +105,7 @@ def mv_fit_part(name: str, entries: str, used: list[int], slots: int) -> str:
 def uni_fit_part(name: str, entries: str, used: int, slots: int, width: int) -> str:
     """Mean and ddof-0 variance of one parameter; thin labels take all values, with ddof 1."""
     pool = " UNION ALL ".join(f"SELECT p{i} AS v FROM {entries}" for i in range(width))
-    return f"""{name} AS (
+    return f"""{name} AS MATERIALIZED (
   SELECT l.range AS label,
          CASE WHEN coalesce(o.valid, 0) < {THIN_SLOT} THEN a.m ELSE o.m END AS m0,
          CASE WHEN coalesce(o.valid, 0) < {THIN_SLOT} THEN a.v ELSE o.v END AS c00,
@@ -147,7 +153,7 @@ def scored(tag: str, entries: str, used: list[int], fit: str) -> list[str]:
     return [
         factor_part(f"factor{tag}", fit, len(used)),
         density_part(f"density{tag}", entries, f"factor{tag}", used),
-        f"""score{tag} AS (SELECT sample_id, slot, label, ln(prob) + logpdf AS score
+        f"""score{tag} AS MATERIALIZED (SELECT sample_id, slot, label, ln(prob) + logpdf AS score
   FROM density{tag} WHERE logpdf IS NOT NULL)""",
     ]
 
@@ -192,7 +198,7 @@ def label_sets(tag: str, slots: int) -> list[str]:
     parts = [f"set{tag}_0 AS (SELECT sample_id, 0 AS used, 0.0::DOUBLE AS total, []::INTEGER[] AS labels "
              f"FROM samples)"]
     for s in range(slots):
-        parts.append(f"""set{tag}_{s + 1} AS (
+        parts.append(f"""set{tag}_{s + 1} AS MATERIALIZED (
   SELECT sample_id, used, max(total) AS total, arg_max(labels, total) AS labels FROM (
     SELECT b.sample_id, b.used | CASE WHEN c.label IS NULL THEN 0 ELSE 1 << CAST(c.label AS INTEGER) END AS used,
            b.total + coalesce(c.score, 0) AS total,
@@ -311,6 +317,24 @@ kept AS (SELECT sample_id, (id - 5) // 2 AS id FROM stack WHERE id >= 5 AND (id
 SELECT k.id AS sample_id, CAST(r.range AS INTEGER) AS slot, p0, p1, p2
 FROM kept k CROSS JOIN range(7) r LEFT JOIN packed p ON p.sample_id = k.sample_id AND p.place = r.range"""
 
+LINE_VALUES = [f"CAST({CENTS.format(c)} AS DOUBLE) / 100" for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")] + [
+    f"CAST({c} AS DOUBLE)" for c in ("l_linenumber", "l_suppkey", "l_orderkey", "l_partkey")]
+
+DIMENSION_FOLDER = f"""
+WITH lines AS (SELECT l_orderkey AS sample_id, [{', '.join(LINE_VALUES)}] AS v FROM lineitem),
+packed AS (SELECT sample_id, v, count(*) OVER (PARTITION BY sample_id) AS sources,
+                  row_number() OVER (PARTITION BY sample_id ORDER BY v) - 1 AS place FROM lines),
+kept AS (SELECT sample_id, sources FROM (
+           SELECT sample_id, sources, count(*) OVER (PARTITION BY sources) AS samples
+           FROM (SELECT DISTINCT sample_id, sources FROM packed)) WHERE samples > 8),
+stack AS (SELECT sample_id, row_number() OVER (ORDER BY sources, sample_id) - 1 AS id FROM kept),
+width AS (SELECT max(sources) AS most FROM kept)
+SELECT (s.id - 3) // 2 AS sample_id, CAST(r.range AS INTEGER) AS slot,
+       {', '.join(f'coalesce(v[{i + 1}], -1) AS p{i}' for i in range(8))}
+FROM stack s CROSS JOIN width w JOIN range(1000) r ON r.range < w.most
+LEFT JOIN packed p ON p.sample_id = s.sample_id AND p.place = r.range
+WHERE s.id >= 3 AND (s.id - 3) % 2 = 0"""
+
 LINE_CHAIN = chain_parts(LINES, 7)
 FLAG_UNI = uni_fit_part("fit", "e", 1, 3, 2)
 FLAG_MV = mv_fit_part("fit", "e", [0, 1], 3)
@@ -370,7 +394,7 @@ ORACLES: dict[str, str] = {
     "assign_s3": assignment_query(FLAGS, 3, [0, 1], FLAG_MV, compared_orders),
     "assign_s3_uni": assignment_query(FLAGS, 3, [1], FLAG_UNI, compared_orders),
     "assign_s7": assignment_query(LINES, 7, [0, 1, 2], LINE_MV, label_sets),
-    "assign_s10": assignment_query(EMBEDDED, 10, list(range(8)), EMBEDDED_MV, label_sets),
+    "assign_s10": assignment_query(PARTS, 10, [0, 1], mv_fit_part("fit", "e", [0, 1], 10), label_sets),
     "relabel_once": relabel_query(FLAGS, 3, 2, ["mv"], compared_orders),
     "mean_cost": query([*chain_parts(FLAGS, 3), *iterations("e", ["mv"], 3, 2, compared_orders)[0],
                         cost_part("_0", "e", 3)], "SELECT round(cost, 6) AS mean_cost FROM cost_0"),
@@ -388,6 +412,23 @@ ORACLES: dict[str, str] = {
     "product_space_text": vector_query("id", filled=False),
     "fixed_text": vector_query("(id - 10) // 4", filled=True, where="id >= 10 AND (id - 10) % 4 = 0"),
     "dimension_stack": DIMENSION_STACK,
+    "load_product_space": f"SELECT * FROM ({vector_query('id', filled=False)})".replace(
+        "CASE WHEN slot < sources THEN p0 END", "CASE WHEN slot < sources THEN p0 ELSE -1 END").replace(
+        "CASE WHEN slot < sources THEN p1 END", "CASE WHEN slot < sources THEN p1 ELSE -1 END"),
+    "load_fixed": f"""
+WITH v AS ({ORDER_VECTORS})
+SELECT (id - 10) // 4 AS sample_id, s.range::INTEGER AS slot, CASE s.range WHEN 0 THEN price ELSE customer + 1 END AS p0,
+       CASE s.range WHEN 0 THEN customer ELSE price * 4 END AS p1, CASE s.range WHEN 0 THEN price * 2 ELSE customer + 2 END AS p2
+FROM v CROSS JOIN range(2) s WHERE id >= 10 AND (id - 10) % 4 = 0""",
+    "load_dimension_folder": DIMENSION_FOLDER,
+    "relabel_chain_once": query(
+        [*chain_parts(FLAGS, 3), *iterations("e", ["mv"], 3, 2, compared_orders)[0], cost_part("_0", "e", 3)],
+        f"SELECT r.*, round(cost, 6) AS cost FROM ({full_rows('moved_0', 2)}) r CROSS JOIN cost_0"),
+    "cost_matrix_narrow": query(
+        [*chain_parts(DISCOUNTED, 3), FLAG_MV, *scored("", "e", [0, 1], "fit")],
+        "SELECT g.sample_id, 0 AS label, g.slot, round(coalesce(score.score, ln(1 - own.prob)), 6) AS score "
+        "FROM g CROSS JOIN (SELECT prob FROM fit WHERE label = 0) own LEFT JOIN score ON score.sample_id = g.sample_id "
+        "AND score.slot = g.slot AND score.label = 0"),
     "feather_roundtrip": query(dense(LINE_CHAIN), dense_rows(3)),
     "parquet_roundtrip": query(LINE_CHAIN, full_rows("e", 3)),
     "fill_missing_indices": """

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..chain import PosteriorChain
 from ..functions.columns import all_present, count_swaps, file_number, fill_missing_indices, sort_by_number
-from ..operators.assignment import assign, cost_matrix, log_density
+from ..operators.assignment import assign, cost_matrix, create_compute_cost_matrix, log_density
 from ..operators.fits import (
     NormalFit,
     create_parametric_fit,
@@ -24,6 +24,7 @@ from ..operators.moments import labelled_entries
 from ..operators.models import LabelModel, mv_normal_model, uni_normal_model
 from ..operators.relabel import (
     relabel_mv_normal,
+    relabel_posterior_chain_one_iteration,
     relabel_samples_one_iteration,
     relabel_univariate_normal,
     trace_frame,
@@ -31,11 +32,12 @@ from ..operators.relabel import (
 from ..sources.text import (
     decode_fixed,
     decode_product_space,
+    load_samples,
     load_samples_by_dimension,
     load_samples_fixed_num_sources,
     load_samples_product_space,
 )
-from ..storage import checkpoint_root
+from ..storage import checkpoint_root, stage
 from .catalog import catalog_summary, make_catalog_mv_normal
 from .table_chains import (
     discounted_chain,
@@ -43,6 +45,7 @@ from .table_chains import (
     hundredths,
     line_number_chain,
     line_status_chain,
+    part_chain,
     return_flag_chain,
     table,
 )
@@ -179,7 +182,7 @@ def fitted(chain: PosteriorChain, model: LabelModel):
 
 def density_query(chain_of, model: LabelModel) -> Query:
     def query(spark, sf_dir):
-        chain = chain_of(spark, sf_dir)
+        chain = chain_of(spark, sf_dir).staged()
         fit, _ = fitted(chain, model)
         return log_density(chain, fit, model).select("sample_id", "label", "slot", rounded("logpdf", "logpdf"))
 
@@ -188,7 +191,7 @@ def density_query(chain_of, model: LabelModel) -> Query:
 
 def cost_query(chain_of, model: LabelModel) -> Query:
     def query(spark, sf_dir):
-        chain = chain_of(spark, sf_dir)
+        chain = chain_of(spark, sf_dir).staged()
         fit, prob = fitted(chain, model)
         return cost_matrix(chain, fit, prob, model).select("sample_id", "label", "slot", rounded("score", "score"))
 
@@ -202,7 +205,7 @@ def assignment_query(chain_of, model: LabelModel) -> Query:
     """``sample_id, slot, label, score`` of the entries that are there."""
 
     def query(spark, sf_dir):
-        chain = chain_of(spark, sf_dir)
+        chain = chain_of(spark, sf_dir).staged()
         assigned = assign(chain, *fitted(chain, model), model)
         rows = labelled_entries(assigned, chain.num_sources, [0])
         rows = rows.withColumnRenamed("source", "slot")
@@ -212,13 +215,13 @@ def assignment_query(chain_of, model: LabelModel) -> Query:
 
 
 def relabel_once(spark, sf_dir):
-    chain = return_flag_chain(spark, sf_dir)
+    chain = return_flag_chain(spark, sf_dir).staged()
     model = mv_normal_model()
     return relabel_samples_one_iteration(chain, *fitted(chain, model), model)[0].long_columns()
 
 
 def mean_cost(spark, sf_dir):
-    chain = return_flag_chain(spark, sf_dir)
+    chain = return_flag_chain(spark, sf_dir).staged()
     model = mv_normal_model()
     cost = relabel_samples_one_iteration(chain, *fitted(chain, model), model)[1]
     return cost.select(rounded("mean_cost", "mean_cost"))
@@ -292,7 +295,7 @@ def order_vectors(spark: SparkSession, sf_dir: str, metadata: int) -> DataFrame:
 
 def write_lines(rows: DataFrame, order_by: list[str], path: str) -> None:
     """Text lines whose order over the part files is ``order_by``."""
-    ordered = rows.repartitionByRange(*order_by).sortWithinPartitions(*order_by)
+    ordered = stage(rows).repartitionByRange(*order_by).sortWithinPartitions(*order_by)
     ordered.select(F.concat_ws(" ", F.col("values").cast("array<string>"))).write.text(path)
 
 
@@ -316,19 +319,69 @@ def fixed_text(spark, sf_dir):
     return load_samples_fixed_num_sources(spark, path, 2, burn=10, thin=4).long_columns()
 
 
+def write_dimension_files(spark: SparkSession, packed: DataFrame, widest: int) -> str:
+    """One folder of text per number of sources, from ``sample_id, sources, slot, values``."""
+    folder, packed = scratch(spark, "dimensions"), stage(packed)
+    for sources in range(1, widest + 1):
+        write_lines(packed.where(F.col("sources") == sources), ["sample_id", "slot"],
+                    f"{folder}/dimension_chain.dat.{sources}")
+    return folder
+
+
 def dimension_stack(spark, sf_dir):
     """Orders with k distinct line numbers go to the file with suffix k, and are stacked again."""
-    folder = scratch(spark, "dimensions")
-    chain = line_number_chain(spark, sf_dir).staged()
     present = F.filter("entries", lambda e: F.get(e, 0).isNotNull())
-    packed = chain.frame.select("sample_id", F.size(present).alias("sources"),
-                                F.posexplode(present).alias("slot", "values"))
-    for sources in range(1, 8):
-        write_lines(packed.where(F.col("sources") == sources), ["sample_id", "slot"],
-                    f"{folder}/dimension_chain.dat.{sources}")
+    packed = line_number_chain(spark, sf_dir).staged().frame.select(
+        "sample_id", F.size(present).alias("sources"), F.posexplode(present).alias("slot", "values"))
+    folder = write_dimension_files(spark, packed, 7)
     return load_samples_by_dimension(spark, folder, burn=5, thin=2, num_params_per_source=3).long_columns()
 
 
+def load_product_space(spark, sf_dir):
+    """The layout told by the column count; missing entries filled."""
+    path = scratch(spark, "product-space")
+    write_lines(order_vectors(spark, sf_dir, 5), ["sample_id"], path)
+    return load_samples(spark, path, 2, fill_value=-1.0, burn=10, thin=4).long_columns()
+
+
+def load_fixed(spark, sf_dir):
+    """Two sources of three parameters, which only the fixed layout fits."""
+    path = scratch(spark, "fixed")
+    write_lines(order_vectors(spark, sf_dir, 4), ["sample_id"], path)
+    return load_samples(spark, path, 3, burn=10, thin=4).long_columns()
+
+
+def load_dimension_folder(spark, sf_dir):
+    """Sources of eight parameters; widths of up to eight samples left out, missing entries filled.
+
+    Sample = part, source = one of its order lines; parts with more lines have a higher width.
+    """
+    cents = [hundredths(c) / 100.0 for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")]
+    values = [*cents, F.col("l_linenumber") + 0.0, F.col("l_suppkey") + 0.0, F.col("l_orderkey") + 0.0, F.col("l_partkey") + 0.0]
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("sample_id")).agg(
+        F.sort_array(F.collect_list(F.array(*values))).alias("all"))
+    packed = lines.select("sample_id", F.size("all").alias("sources"), F.posexplode("all").alias("slot", "values"))
+    widest = packed.agg(F.max("sources")).first()[0] or 0
+    folder = write_dimension_files(spark, packed, widest)
+    return load_samples(spark, folder, 8, fill_value=-1.0, burn=3, thin=2, remove_low_numbers=True).long_columns()
+
+
+def relabel_chain_once(spark, sf_dir):
+    """One step on the chain object: the new order, with the cost it recorded."""
+    chain = return_flag_chain(spark, sf_dir).staged()
+    model = mv_normal_model()
+    step = relabel_posterior_chain_one_iteration(chain, *fitted(chain, model), model)
+    return step.long_columns().withColumn("cost", F.round(F.lit(step.cost_by_width[3]), DIGITS))
+
+
+def cost_matrix_narrow(spark, sf_dir):
+    """The scores of one distribution, by a function made for its model."""
+    chain = discounted_chain(spark, sf_dir).staged()
+    model = mv_normal_model()
+    scores = create_compute_cost_matrix(model)(chain, *fitted(chain, model), 1)
+    return scores.select("sample_id", "label", "slot", rounded("score", "score"))
+
+
 def feather_roundtrip(spark, sf_dir):
     path = scratch(spark, "feather")
     line_number_chain(spark, sf_dir).to_feather(path)
@@ -393,7 +446,7 @@ QUERIES: dict[str, Query] = {
     "assign_s3": assignment_query(return_flag_chain, mv_normal_model()),
     "assign_s3_uni": assignment_query(return_flag_chain, uni_normal_model(1)),
     "assign_s7": assignment_query(line_number_chain, mv_normal_model()),
-    "assign_s10": assignment_query(embedding_chain, mv_normal_model()),
+    "assign_s10": assignment_query(part_chain, mv_normal_model()),
     "relabel_once": relabel_once,
     "mean_cost": mean_cost,
     "relabel_uni_k3": relabel_uni_k3,
@@ -409,6 +462,11 @@ QUERIES: dict[str, Query] = {
     "product_space_text": product_space_text,
     "fixed_text": fixed_text,
     "dimension_stack": dimension_stack,
+    "load_product_space": load_product_space,
+    "load_fixed": load_fixed,
+    "load_dimension_folder": load_dimension_folder,
+    "relabel_chain_once": relabel_chain_once,
+    "cost_matrix_narrow": cost_matrix_narrow,
     "feather_roundtrip": feather_roundtrip,
     "parquet_roundtrip": parquet_roundtrip,
     "fill_missing_indices": fill_missing_indices_query,

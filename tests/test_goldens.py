@@ -57,9 +57,7 @@ def test_inclusion_probability(half_missing, width):
     np.testing.assert_allclose(find_prob_in_model(half_missing, width), [0.5] * width, rtol=1e-8)
 
 
-@pytest.mark.parametrize("compiled_width", [2, 0])
-def test_one_iteration(dense, monkeypatch, compiled_width):
-    monkeypatch.setattr("slotalign.operators.assignment.NATIVE_MAX_SOURCES", compiled_width)
+def test_one_iteration(dense):
     fit, prob = mv_normal_fit(dense, 2), find_prob_in_model(dense, 2, eps=0)
     relabeled, cost = relabel_samples_one_iteration(dense, fit, prob, mv_normal_model())
     assert cost.first()["mean_cost"] == pytest.approx(0.3616456656513372)

@@ -7,6 +7,10 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from slotalign import PosteriorChain
+from slotalign.operators.assignment import assign
+from slotalign.operators.fits import NormalFit
+from slotalign.operators.models import mv_normal_model
 from slotalign.operators.matching import best_labels, fill_free_labels, settle_ties
 
 
@@ -77,3 +81,21 @@ def test_equal_labels_take_entries_in_order():
 def test_missing_entries_fill_free_labels_in_order():
     labels = np.array([[-1, 3, -1, 0], [-1, -1, -1, -1], [3, 2, 1, 0]])
     assert fill_free_labels(labels).tolist() == [[1, 3, 2, 0], [0, 1, 2, 3], [3, 2, 1, 0]]
+
+
+@pytest.mark.parametrize("params", [3, 4])
+@pytest.mark.parametrize("slots", [2, 3])
+def test_ties_have_one_rule_for_all_widths(spark, slots, params):
+    """Equal fits, equal entries, a missing entry, and a label of probability 0."""
+    values = np.full((4, slots, params), np.nan)
+    values[0, :2], values[1, 1], values[2, :2] = 1.0, 2.0, [[3.0] * params, [0.5] * params]
+    values[3, :2] = [[5.0] * params, [0.1] * params]
+    chain = PosteriorChain.from_array(spark, values, slots, params)
+    cov = np.stack([np.eye(params)] * slots)
+    same = NormalFit(np.zeros((slots, params)), cov, tuple(range(params)))
+    labels = lambda fit, prob: [r.labels for r in assign(chain, fit, np.array(prob), mv_normal_model()).orderBy("sample_id").collect()]
+    rest = list(range(2, slots))
+    got = labels(same, [0.5] * slots)
+    assert got[0] == [0, 1, *rest] and got[1] == [1, 0, *rest] and got[2] == [0, 1, *rest]
+    apart = NormalFit(np.arange(slots)[:, None] * 5.0 + np.zeros((slots, params)), cov, tuple(range(params)))
+    assert labels(apart, [0.0] + [0.5] * (slots - 1))[3][:2] == ([1, 0] if slots == 2 else [2, 1])

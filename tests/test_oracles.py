@@ -6,13 +6,14 @@ import pytest
 from oracle_check import differences, oracle_frame
 
 from __spark_entry__ import entry, oracle_sql, queries
+from slotalign.plans.queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 
 pytestmark = pytest.mark.skipif(not Path(SF_DIR).is_dir(), reason="no test tables")
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, name):
     result = queries()[name](spark, SF_DIR).toPandas()
     assert len(result)

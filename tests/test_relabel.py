@@ -85,9 +85,7 @@ def test_every_iteration_matches(spark, clusters, param):
     assert result.cost_by_width == {3: result.trace[-1].cost}
 
 
-@pytest.mark.parametrize("compiled_width", [2, 0])
-def test_two_slots(spark, clusters, monkeypatch, compiled_width):
-    monkeypatch.setattr("slotalign.operators.assignment.NATIVE_MAX_SOURCES", compiled_width)
+def test_two_slots(spark, clusters):
     values = clusters[0][:, :2]
     expected, costs, _ = plain_loop(values, 3)
     result = relabel_mv_normal(PosteriorChain.from_array(spark, values, 2, 2), num_iterations=3)

@@ -6,11 +6,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from slotalign import PosteriorChain
+from slotalign import PosteriorChain, make_catalog_mv_normal
 from slotalign.operators.assignment import assign
 from slotalign.operators.fits import create_parametric_fit, mv_normal_estimate, uni_normal_estimate
 from slotalign.operators.fits import update_parametric_fit_and_prob_in_model as fit_and_prob
 from slotalign.operators.models import mv_normal_model, uni_normal_model
+from slotalign.operators.relabel import relabel_posterior_chain_one_iteration
 from slotalign.operators.moments import labelled_entries, moments_by_slot
 from slotalign.storage import checkpoint_root, number_rows
 
@@ -65,10 +66,38 @@ def test_one_small_shuffle_per_iteration(staged):
     assert plan.count("ArrowEvalPython") == 1 and "Sort" not in plan
 
 
-def test_narrow_chain_stays_in_the_jvm(spark):
-    chain = PosteriorChain.from_array(spark, np.random.default_rng(1).normal(size=(50, 2, 2)), 2, 2).staged()
-    fit, prob = fit_and_prob(chain, 2, create_parametric_fit(mv_normal_estimate))
-    assert "ArrowEvalPython" not in plan_of(assign(chain, fit, prob, mv_normal_model()))
+def test_a_filter_on_a_catalog_reaches_the_scan(spark, clusters):
+    chain = PosteriorChain.from_array(spark, clusters[0], 3, 2)
+    catalog = make_catalog_mv_normal(chain, 3, num_iterations=2, shuffle_seed=1)
+    plan = plan_of(catalog.frame.where("sample_id < 10"))
+    assert "LessThan(sample_id,10)" in plan and "ArrowEvalPython" not in plan
+
+
+def counted(spark, frame):
+    """``frame`` with a counter of how many rows of it are evaluated."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    return frame.mapInArrow(count, frame.schema), seen
+
+
+@pytest.mark.parametrize("use", ["number", "feather", "step"])
+def test_a_chain_is_evaluated_once(spark, tmp_path, use):
+    chain = PosteriorChain.from_array(spark, np.random.default_rng(2).normal(size=(1000, 2, 2)), 2, 2)
+    frame, seen = counted(spark, chain.frame)
+    if use == "number":
+        number_rows(frame, ["sample_id"], into="n").count()
+    elif use == "feather":
+        chain.with_frame(frame).to_feather(str(tmp_path / "chain"))
+    else:
+        fit, prob = fit_and_prob(chain, 2, create_parametric_fit(mv_normal_estimate))
+        step = relabel_posterior_chain_one_iteration(chain.with_frame(frame), fit, prob, mv_normal_model())
+        step.frame.count(), step.long_columns().count()
+    assert seen.value == 1000
 
 
 def test_blocks_do_not_change_the_result(staged, monkeypatch):
