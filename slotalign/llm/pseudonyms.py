@@ -59,12 +59,12 @@ def feistel(left: Column, right: Column, left_size: Column, right_size: Column,
         return F.struct(F.when(odd, F.pmod(state["l"] + moved, left_size)).otherwise(state["l"]).cast("long").alias("l"),
                         F.when(odd, state["r"]).otherwise(F.pmod(state["r"] + moved, right_size)).cast("long").alias("r"))
 
-    start = F.struct(left.cast("long").alias("l"), right.cast("long").alias("r"))
+    start = F.struct(F.coalesce(left.try_cast("long"), F.lit(0)).alias("l"), F.coalesce(right.try_cast("long"), F.lit(0)).alias("r"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step)
 
 
 def power_of_ten(digits: Column) -> Column:
-    return F.rpad(F.lit("1"), digits + 1, "0").cast("long")
+    return F.rpad(F.lit("1"), digits + 1, "0").try_cast("long")
 
 
 def permuted_digits(digits: Column, key: str, kind: str) -> Column:
@@ -127,7 +127,7 @@ def ssn(value: Column, key: str) -> Column:
 
 
 def ipv4(value: Column, key: str) -> Column:
-    part = [F.substring_index(F.substring_index(value, ".", i + 1), ".", -1).cast("long") for i in range(4)]
+    part = [F.substring_index(F.substring_index(value, ".", i + 1), ".", -1).try_cast("long") for i in range(4)]
     size = F.lit(65_536)
     mixed = feistel(part[0] * 256 + part[1], part[2] * 256 + part[3], size, size, key, F.lit("ipv4"))
     octets = [F.floor(mixed["l"] / 256), mixed["l"] % 256, F.floor(mixed["r"] / 256), mixed["r"] % 256]
