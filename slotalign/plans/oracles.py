@@ -288,6 +288,49 @@ def wide_catalog_query() -> str:
                  f"FROM {last} CROSS JOIN n GROUP BY slot")
 
 
+# ---- the loop to its fixed point ------------------------------------------------------------
+
+
+def settled_query(select: str) -> str:
+    """The two-slot catalog until nothing moves, as a recursion whose state is one row.
+
+    A row of ``loop`` holds the fits of a layout, its digest, and which fit the step uses (phase 1: one
+    parameter, 2: both). The layout that the last row's fit gives is the layout it was fitted to.
+    """
+    def fits(x: str, y: str, k: int) -> str:
+        return (f"avg({x}) AS m{k}, avg({y}) AS n{k}, var_pop({y}) AS u{k}, var_samp({x}) AS a{k}, "
+                f"covar_samp({x}, {y}) AS b{k}, var_samp({y}) AS d{k}, "
+                f"least(greatest(count({x}) / count(*), {EPS}), 1 - {EPS}) AS prob{k}")
+
+    def score(s: int, k: int) -> str:
+        dx, dy, det = f"(x{s} - m{k})", f"(y{s} - n{k})", f"(a{k} * d{k} - b{k} * b{k})"
+        one = f"-0.5 * ({LOG_TWO_PI} + ln(u{k}) + {dy} * {dy} / u{k})"
+        both = (f"-0.5 * (2 * {LOG_TWO_PI} + ln({det}) + (d{k} * {dx} * {dx} - 2 * b{k} * {dx} * {dy} "
+                f"+ a{k} * {dy} * {dy}) / {det})")
+        return f"coalesce(ln(prob{k}) + CASE phase WHEN 1 THEN {one} ELSE {both} END, 0)"
+
+    swap = f"{score(0, 1)} + {score(1, 0)} > {score(0, 0)} + {score(1, 1)}"
+    columns = ", ".join(f"{c}{k}" for k in (0, 1) for c in ("m", "n", "u", "a", "b", "d", "prob"))
+    digest = "bit_xor(hash(sample_id, x0 IS NULL, x0, x1 IS NULL, x1, y0, y1))"
+    placed = ", ".join(f"CASE WHEN swap THEN w.{c}{1 - k} ELSE w.{c}{k} END AS {c}{k}" for k in (0, 1) for c in ("x", "y"))
+    parts = [
+        *chain_parts(STATUS, 2), shuffled(2, 2, 7),
+        "w AS MATERIALIZED (SELECT sample_id, " + ", ".join(
+            f"max(p{p}) FILTER (slot = {k}) AS {c}{k}" for k in (0, 1) for p, c in enumerate("xy")) + " FROM s GROUP BY 1)",
+        f"""loop AS (
+  SELECT 1 AS phase, {digest} AS digest, {fits('x0', 'y0', 0)}, {fits('x1', 'y1', 1)} FROM w
+  UNION ALL
+  SELECT CASE WHEN digest = old THEN phase + 1 ELSE phase END, digest, {columns} FROM (
+    SELECT phase, old, {digest} AS digest, {fits('x0', 'y0', 0)}, {fits('x1', 'y1', 1)} FROM (
+      SELECT phase, old, sample_id, {placed} FROM (
+        SELECT phase, digest AS old, w.*, {swap} AS swap FROM loop CROSS JOIN w WHERE phase < 3) w)
+    GROUP BY phase, old))""",
+        f"last AS (SELECT * REPLACE (2 AS phase) FROM loop WHERE phase = 3)",
+        f"settled AS (SELECT sample_id, {placed} FROM (SELECT w.*, {swap} AS swap FROM last CROSS JOIN w) w)",
+    ]
+    return query(parts, select).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 # ---- files and index helpers ----------------------------------------------------------------
 
 ORDER_VECTORS = """
@@ -401,11 +444,18 @@ ORACLES: dict[str, str] = {
     "relabel_uni_k3": relabel_query(FLAGS, 3, 2, ["uni"] * 3, compared_orders),
     "relabel_mv_k3": relabel_query(FLAGS, 3, 2, ["mv"] * 3, compared_orders),
     "relabel_mv_trace": trace_query(),
-    "make_catalog": catalog_query(full_rows("moved_4", 2)),
-    "source_track": catalog_query("SELECT sample_id, p1 AS value FROM g LEFT JOIN moved_4 "
-                                  "USING (sample_id, slot) WHERE slot = 1"),
-    "sources_by_presence": catalog_query("SELECT row_number() OVER (ORDER BY prob DESC) - 1 AS place, "
-                                         "round(prob, 6) AS prob FROM fit_4"),
+    "flag_catalog_k5": catalog_query(full_rows("moved_4", 2)),
+    "make_catalog": settled_query("SELECT sample_id, CAST(k AS INTEGER) AS slot, CASE k WHEN 0 THEN x0 ELSE x1 END AS p0, "
+                                  "CASE k WHEN 0 THEN y0 ELSE y1 END AS p1 FROM settled CROSS JOIN range(2) r(k)"),
+    "source_track": settled_query("SELECT sample_id, y1 AS value FROM settled"),
+    "sources_by_presence": settled_query("SELECT row_number() OVER (ORDER BY prob DESC) - 1 AS place, round(prob, 6) AS prob "
+                                         "FROM (SELECT unnest([prob0, prob1]) AS prob FROM last)"),
+    "catalog_to_fixed_layout": settled_query("""
+SELECT CAST(k AS INTEGER) AS slot, round(CASE k WHEN 0 THEN count(x0) ELSE count(x1) END / count(*), 6) AS presence,
+       round(CASE k WHEN 0 THEN avg(x0) ELSE avg(x1) END, 6) AS mean_p0,
+       round(CASE k WHEN 0 THEN avg(y0) ELSE avg(y1) END, 6) AS mean_p1,
+       (SELECT count(*) FROM loop WHERE phase = 1) AS uni_steps, (SELECT count(*) FROM loop WHERE phase = 2) AS mv_steps
+FROM settled CROSS JOIN range(2) r(k) GROUP BY k"""),
     "catalog_of_line_numbers": wide_catalog_query(),
     "product_space_decode": vector_query("sample_id", filled=False),
     "fixed_decode": vector_query("sample_id", filled=True),

@@ -248,18 +248,28 @@ def flag_catalog(spark, sf_dir) -> PosteriorChain:
                                   init_num_iterations=2, initialization_param_index=1, shuffle_seed=7)
 
 
-def make_catalog(spark, sf_dir):
+def flag_catalog_k5(spark, sf_dir):
+    """Three slots after two steps on one parameter and three on all."""
     return flag_catalog(spark, sf_dir).long_columns()
 
 
+def status_catalog(spark, sf_dir) -> PosteriorChain:
+    """Two slots, until nothing moves."""
+    return make_catalog_mv_normal(line_status_chain(spark, sf_dir), 2, initialization_param_index=1, shuffle_seed=7)
+
+
+def make_catalog(spark, sf_dir):
+    return status_catalog(spark, sf_dir).long_columns()
+
+
 def source_track(spark, sf_dir):
     """The second parameter of one catalog source over the samples."""
-    return flag_catalog(spark, sf_dir).values(slot=1, param=1)
+    return status_catalog(spark, sf_dir).values(slot=1, param=1)
 
 
 def sources_by_presence(spark, sf_dir):
     """The catalog's inclusion probabilities from the highest to the lowest."""
-    ranked = sorted(flag_catalog(spark, sf_dir).prob_in_model, reverse=True)
+    ranked = sorted(status_catalog(spark, sf_dir).prob_in_model, reverse=True)
     return per_slot(spark, {"prob": ranked}).withColumnRenamed("slot", "place")
 
 
@@ -272,10 +282,12 @@ def catalog_of_line_numbers(spark, sf_dir):
 
 
 def catalog_to_fixed_layout(spark, sf_dir):
-    """Run until the layout stops changing."""
-    catalog = make_catalog_mv_normal(return_flag_chain(spark, sf_dir), 3, initialization_param_index=1,
-                                     shuffle_seed=7)
-    return catalog_summary(catalog)
+    """The sources of a catalog whose layout has stopped changing, and after how many steps of each kind."""
+    catalog = status_catalog(spark, sf_dir)
+    numbers = [step.iteration for step in catalog.trace]
+    second = max(i for i, number in enumerate(numbers) if number == 1)
+    summary = catalog_summary(catalog).select("slot", *[rounded(c, c) for c in ("presence", "mean_p0", "mean_p1")])
+    return summary.withColumns({"uni_steps": F.lit(second), "mv_steps": F.lit(len(numbers) - second)})
 
 
 # ---- files --------------------------------------------------------------------------------
@@ -452,6 +464,7 @@ QUERIES: dict[str, Query] = {
     "relabel_uni_k3": relabel_uni_k3,
     "relabel_mv_k3": relabel_mv_k3,
     "relabel_mv_trace": relabel_mv_trace,
+    "flag_catalog_k5": flag_catalog_k5,
     "make_catalog": make_catalog,
     "source_track": source_track,
     "sources_by_presence": sources_by_presence,
