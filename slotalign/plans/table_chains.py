@@ -68,6 +68,16 @@ def part_chain(spark: SparkSession, sf_dir: str) -> PosteriorChain:
         num_sources=10, merge=F.sum, divide_by=[1, CENTS_PER_THOUSAND])
 
 
+def wide_part_chain(spark: SparkSession, sf_dir: str) -> PosteriorChain:
+    """Sample = part, slot = order modulo 20, eight parameters: the width of a real chain."""
+    amounts = [hundredths(c) for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")]
+    days = F.datediff("l_shipdate", F.lit("1990-01-01").cast("date"))
+    return PosteriorChain.from_long(
+        table(spark, sf_dir, "lineitem"), F.col("l_partkey"), F.col("l_orderkey") % 20,
+        [*amounts, F.col("l_linenumber"), F.col("l_suppkey") % 97, F.col("l_orderkey") % 89, days],
+        num_sources=20, merge=F.sum, divide_by=[100, CENTS_PER_THOUSAND, 100, 100, 1, 10, 10, 1000])
+
+
 def embedding_chain(spark: SparkSession, sf_dir: str) -> PosteriorChain:
     """Sample = vector, slot = its label, parameters = means of eight coordinates each, so that all take part."""
     def fold(i: int) -> Column:
