@@ -10,8 +10,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# A broadcast side is one row per written block; above this many blocks Spark chooses the join.
-MAX_BROADCAST_BLOCKS = 50_000
+# A broadcast side is one row per written block, some hundred bytes each with a path, or some tens with a number;
+# above this size Spark chooses the join.
+MAX_BROADCAST_BYTES = 128_000_000
 
 _local_root: str | None = None
 
@@ -54,9 +55,11 @@ def add_offsets(sizes: DataFrame, block_order: list[str]) -> DataFrame:
 
 
 def join_blocks(staged: DataFrame, blocks: DataFrame, on: list[str]) -> DataFrame:
-    """Attach per-block values; broadcast them only after counting the blocks."""
-    few = staged.select(*on).distinct().limit(MAX_BROADCAST_BLOCKS + 1).count() <= MAX_BROADCAST_BLOCKS
-    return staged.join(F.broadcast(blocks) if few else blocks, on)
+    """Attach per-block values; the blocks are written once, and broadcast if their size allows it."""
+    written = stage(blocks)
+    keys = F.sum(sum((F.length(F.col(c).cast("string")) for c in on), F.lit(48)))
+    small = (written.agg(keys).first()[0] or 0) <= MAX_BROADCAST_BYTES
+    return staged.join(F.broadcast(written) if small else written, on)
 
 
 def number_rows(frame: DataFrame, order_by: list[str], into: str = "sample_id") -> DataFrame:

@@ -20,12 +20,16 @@ def plan_of(frame):
     return frame._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("broadcast_limit", [50_000, 0])
+@pytest.mark.parametrize("broadcast_limit", [128_000_000, 0])
 def test_row_numbers_with_a_hot_key(spark, monkeypatch, broadcast_limit):
-    monkeypatch.setattr("slotalign.storage.MAX_BROADCAST_BLOCKS", broadcast_limit)
+    monkeypatch.setattr("slotalign.storage.MAX_BROADCAST_BYTES", broadcast_limit)
     rows = spark.range(3000).select(
         F.when(F.col("id") % 3 == 0, 5).otherwise(F.col("id") % 100).alias("key"), F.xxhash64("id").alias("v"))
-    numbered = number_rows(rows.repartition(6), ["key", "v"], into="n").toPandas().sort_values("n")
+    frame = number_rows(rows.repartition(6), ["key", "v"], into="n")
+    if broadcast_limit:
+        plan = plan_of(frame)
+        assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+    numbered = frame.toPandas().sort_values("n")
     assert numbered["n"].tolist() == list(range(3000))
     ordered = numbered.sort_values(["key", "v"])
     assert (ordered.index == numbered.index).all()
