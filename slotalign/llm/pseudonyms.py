@@ -22,6 +22,8 @@ pass through; columns named like the results are replaced.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +43,11 @@ FIRST_DAY, DAYS = "1900-01-01", 73_049
 DAY_LEFT, DAY_RIGHT = 271, 270
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is evaluated once; plain nesting would evaluate it at every use."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def keyed(key: str, *parts: Column) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(key), *parts), 256)
 
@@ -55,9 +62,9 @@ def feistel(left: Column, right: Column, left_size: Column, right_size: Column,
 
     def step(state: Column, i: Column) -> Column:
         odd = i % 2 == 1
-        moved = keyed_number(key, *tweak, i, F.when(odd, state["r"]).otherwise(state["l"]))
-        return F.struct(F.when(odd, F.pmod(state["l"] + moved, left_size)).otherwise(state["l"]).cast("long").alias("l"),
-                        F.when(odd, state["r"]).otherwise(F.pmod(state["r"] + moved, right_size)).cast("long").alias("r"))
+        return let(keyed_number(key, *tweak, i, F.when(odd, state["r"]).otherwise(state["l"])), lambda moved: F.struct(
+            F.when(odd, F.pmod(state["l"] + moved, left_size)).otherwise(state["l"]).cast("long").alias("l"),
+            F.when(odd, state["r"]).otherwise(F.pmod(state["r"] + moved, right_size)).cast("long").alias("r")))
 
     start = F.struct(F.coalesce(left.try_cast("long"), F.lit(0)).alias("l"), F.coalesce(right.try_cast("long"), F.lit(0)).alias("r"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step)
@@ -74,7 +81,7 @@ def permuted_digits(digits: Column, key: str, kind: str) -> Column:
     other = size - half
     mixed = feistel(F.substring(digits, F.lit(1), half), F.substring(digits, half + 1, other), power_of_ten(half),
                     power_of_ten(other), key, F.lit(kind), size)
-    return F.concat(F.lpad(mixed["l"].cast("string"), half, "0"), F.lpad(mixed["r"].cast("string"), other, "0"))
+    return let(mixed, lambda pair: F.concat(F.lpad(pair["l"].cast("string"), half, "0"), F.lpad(pair["r"].cast("string"), other, "0")))
 
 
 def digits_of(value: Column) -> Column:
@@ -85,12 +92,16 @@ def refill(value: Column, digits: Column) -> Column:
     """``value`` with its digits replaced in order by ``digits``."""
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("used"))
 
-    def step(state: Column, letter: Column) -> Column:
-        digit = letter.between("0", "9")
-        return F.struct(F.concat(state["out"], F.when(digit, F.substring(digits, state["used"] + 1, F.lit(1))).otherwise(letter)).alias("out"),
-                        F.when(digit, state["used"] + 1).otherwise(state["used"]).alias("used"))
+    def fill(given: Column) -> Column:
+        def step(state: Column, letter: Column) -> Column:
+            digit = letter.between("0", "9")
+            return F.struct(
+                F.concat(state["out"], F.when(digit, F.substring(given, state["used"] + 1, F.lit(1))).otherwise(letter)).alias("out"),
+                F.when(digit, state["used"] + 1).otherwise(state["used"]).alias("used"))
 
-    return F.aggregate(F.split(value, ""), start, step)["out"]
+        return F.aggregate(F.split(value, ""), start, step)["out"]
+
+    return let(digits, fill)
 
 
 def luhn_sum(digits: Column, doubled_from_right: int) -> Column:
@@ -107,52 +118,69 @@ def luhn_sum(digits: Column, doubled_from_right: int) -> Column:
 
 
 def card(value: Column, key: str) -> Column:
-    digits = digits_of(value)
-    valid = F.char_length(digits).between(13, 19) & (luhn_sum(digits, 1) % 10 == 0)
-    body = permuted_digits(F.substring(digits, F.lit(1), F.char_length(digits) - 1), key, "card")
-    check = F.pmod(F.lit(10) - luhn_sum(body, 0) % 10, F.lit(10)).cast("string")
-    return F.when(valid, refill(value, F.concat(body, check)))
+    def valid_card(digits: Column) -> Column:
+        valid = F.char_length(digits).between(13, 19) & (luhn_sum(digits, 1) % 10 == 0)
+        body = permuted_digits(F.substring(digits, F.lit(1), F.char_length(digits) - 1), key, "card")
+        checked = let(body, lambda b: F.concat(b, F.pmod(F.lit(10) - luhn_sum(b, 0) % 10, F.lit(10)).cast("string")))
+        return F.when(valid, refill(value, checked))
+
+    return let(digits_of(value), valid_card)
 
 
 def phone(value: Column, key: str) -> Column:
     code = F.regexp_extract(value, r"^\+(?:1|\d{1,3}(?=[ .(-])|\d{2})", 0)
-    rest = F.substring(value, F.char_length(code) + 1, F.char_length(value))
-    digits = digits_of(rest)
-    return F.when(F.char_length(digits).between(7, 14), F.concat(code, refill(rest, permuted_digits(digits, key, "phone"))))
+
+    def valid_phone(code: Column) -> Column:
+        rest = F.substring(value, F.char_length(code) + 1, F.char_length(value))
+        new = let(rest, lambda r: refill(r, let(digits_of(r), lambda d: permuted_digits(d, key, "phone"))))
+        return F.when(F.char_length(digits_of(rest)).between(7, 14), F.concat(code, new))
+
+    return let(code, valid_phone)
 
 
 def ssn(value: Column, key: str) -> Column:
     valid = ~value.rlike(r"^(?:000|666|9)|-00-|-0000$")
-    return F.when(valid, refill(value, permuted_digits(digits_of(value), key, "ssn")))
+    return F.when(valid, refill(value, let(digits_of(value), lambda d: permuted_digits(d, key, "ssn"))))
 
 
 def ipv4(value: Column, key: str) -> Column:
     part = [F.substring_index(F.substring_index(value, ".", i + 1), ".", -1).try_cast("long") for i in range(4)]
     size = F.lit(65_536)
     mixed = feistel(part[0] * 256 + part[1], part[2] * 256 + part[3], size, size, key, F.lit("ipv4"))
-    octets = [F.floor(mixed["l"] / 256), mixed["l"] % 256, F.floor(mixed["r"] / 256), mixed["r"] % 256]
-    return F.when(F.greatest(*part) <= 255, F.concat_ws(".", *[o.cast("string") for o in octets]))
+
+    def quad(pair: Column) -> Column:
+        octets = [F.floor(pair["l"] / 256), pair["l"] % 256, F.floor(pair["r"] / 256), pair["r"] % 256]
+        return F.concat_ws(".", *[o.cast("string") for o in octets])
+
+    return F.when(F.greatest(*part) <= 255, let(mixed, quad))
 
 
 def date(value: Column, key: str) -> Column:
     ways = [("yyyy-MM-dd", "yyyy-MM-dd", r"^\d{4}-"), ("d.M.yyyy", "dd.MM.yyyy", r"^\d+\."), ("M/d/yyyy", "MM/dd/yyyy", r"^\d+/"),
             ("d/M/yyyy", "dd/MM/yyyy", r"^\d+/")]
-    result = F.lit(None).cast("string")
-    for plain, padded, shape in reversed(ways):
-        day = F.datediff(F.try_to_date(value, plain), F.lit(FIRST_DAY).cast("date"))
 
-        def step(state: Column, _: Column) -> Column:
-            mixed = feistel(F.floor(state["day"] / DAY_RIGHT), state["day"] % DAY_RIGHT, F.lit(DAY_LEFT), F.lit(DAY_RIGHT), key, F.lit("date"))
-            moved = mixed["l"] * DAY_RIGHT + mixed["r"]
-            return F.when(state["walking"], F.struct(moved.alias("day"), (moved >= DAYS).alias("walking"))).otherwise(state)
+    def step(state: Column, _: Column) -> Column:
+        mixed = feistel(F.floor(state["day"] / DAY_RIGHT), state["day"] % DAY_RIGHT, F.lit(DAY_LEFT), F.lit(DAY_RIGHT), key, F.lit("date"))
+
+        def moved(pair: Column) -> Column:
+            day = pair["l"] * DAY_RIGHT + pair["r"]
+            return F.struct(day.alias("day"), (day >= DAYS).alias("walking"))
+
+        return F.when(state["walking"], let(mixed, moved)).otherwise(state)
 
+    def shifted(day: Column) -> Column:
         start = F.struct(day.cast("long").alias("day"), F.lit(True).alias("walking"))
-        outside = DAY_LEFT * DAY_RIGHT - DAYS
-        moved = F.aggregate(F.sequence(F.lit(0), F.lit(outside)), start, step)["day"].cast("int")
-        shifted = F.date_add(F.lit(FIRST_DAY).cast("date"), moved)
+        walked = F.aggregate(F.sequence(F.lit(0), F.lit(DAY_LEFT * DAY_RIGHT - DAYS)), start, step)["day"].cast("int")
+        return F.date_add(F.lit(FIRST_DAY).cast("date"), walked)
+
+    def spelled(plain: str, padded: str) -> Callable[[Column], Column]:
         short = value.rlike(r"^\d[./]|[./]\d[./]")
-        spelled = F.when(short, F.date_format(shifted, plain)).otherwise(F.date_format(shifted, padded))
-        result = F.when(value.rlike(shape) & day.between(0, DAYS - 1), spelled).otherwise(result)
+        return lambda new: F.when(short, F.date_format(new, plain)).otherwise(F.date_format(new, padded))
+
+    result = F.lit(None).cast("string")
+    for plain, padded, shape in reversed(ways):
+        day = F.datediff(F.try_to_date(value, plain), F.lit(FIRST_DAY).cast("date"))
+        result = F.when(value.rlike(shape) & day.between(0, DAYS - 1), let(shifted(day), spelled(plain, padded))).otherwise(result)
     return result
 
 
@@ -175,15 +203,21 @@ def pseudonym(value: Column, key: str) -> Column:
     kind = F.lit("phone")
     for name, shape in reversed([x for x in SHAPES.items() if x[1]]):
         kind = F.when(value.rlike(shape), F.lit(name)).otherwise(kind)
-    made = F.lit(None).cast("string")
-    for name, maker in MAKERS.items():
-        made = F.when(kind == name, maker(value, key)).otherwise(made)
-    return F.struct(F.when(made.isNotNull(), kind).alias("kind"), value.alias("value"), made.alias("pseudonym"))
+
+    def of_kind(kind: Column) -> Column:
+        made = F.lit(None).cast("string")
+        for name, maker in MAKERS.items():
+            made = F.when(kind == name, maker(value, key)).otherwise(made)
+        return let(made, lambda new: F.struct(F.when(new.isNotNull(), kind).alias("kind"), value.alias("value"), new.alias("pseudonym")))
+
+    return let(kind, of_kind)
 
 
 def pseudonymise(frame: DataFrame, key: str, text: str = "text", found: str = "found") -> DataFrame:
     """``frame`` with pseudonyms in ``text`` and ``found``, the valid values as ``kind, value, pseudonym``."""
-    matches = frame.withColumn("_matches", F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
+    # Every alternative of the pattern needs a digit or the sign; other texts are not searched further.
+    searched = F.when(F.col(text).rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
+    matches = frame.withColumn("_matches", searched)
     cut = matches.withColumns({
         "_made": F.when(F.size("_matches") > 0, F.transform("_matches", lambda value: pseudonym(value, key))),
         "_pieces": F.when(F.size("_matches") > 0, F.split(text, PATTERN, -1))})
