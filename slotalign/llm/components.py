@@ -15,10 +15,11 @@ def connected_components(links: DataFrame) -> DataFrame:
     re-read. A node with very many links only meets them in aggregations with map-side partials and in
     joins with one row per node on the other side.
     """
-    both = stage(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = stage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component")))
+    ends = links.select(F.col("a").alias("node"), F.col("b").alias("neighbour"))
+    both = stage(ends.unionByName(ends.select(F.col("neighbour").alias("node"), F.col("node").alias("neighbour"))).distinct())
+    labels = stage(both.groupBy("node").agg(F.least(F.col("node"), F.min("neighbour")).alias("component")))
     while True:
-        offered = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(
+        offered = both.join(labels.withColumnRenamed("node", "neighbour"), "neighbour").groupBy("node").agg(
             F.min("component").alias("offer"))
         nearest = labels.join(offered, "node").select(
             "node", F.col("component").alias("before"), F.least("component", "offer").alias("near"))

@@ -9,9 +9,9 @@
   probability equal to their weighted Jaccard similarity. Its three random numbers come from a table of
   2^16 triples, addressed by a hash of the shingle; the rest of the hash tells shingles apart.
 * **Candidates.** 12 bands of 4 samples: a pair at 0.8 shares a band with a probability of 0.998. Texts of a
-  band are compared with one leader, and only texts that are then still in different classes with more
-  leaders (8, 64, ..), until each pair of a band is in one class or was compared. So a band of n copies
-  costs n comparisons, and no link between classes is lost however large the band.
+  band are compared with one leader; texts that are then still in different classes are compared too, in
+  large bands after an exact filter on their rarest shingles. So a band of n copies costs about n
+  comparisons, and no link between classes is lost however large the band.
 * **Verification.** Exact weighted Jaccard of whole texts, at least 0.8. Classes are connected components.
 
 Defined results: equal texts are one node from the start, so repeated rows and copies are in one class.
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,7 +41,7 @@ SIMILARITY = 0.8
 SHARE = 0.01
 BANDS, ROWS = 12, 4
 TABLE_BITS = 16
-MORE_LEADERS = 8
+SMALL_BUCKET = 8
 
 
 def shingle_extract():
@@ -184,40 +184,77 @@ def verify(pairs: DataFrame, texts: DataFrame, share_weights) -> DataFrame:
         .mapInArrow(run, schema)
 
 
-def verified_links(buckets: DataFrame, texts: DataFrame, share_weights, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """Links that join the texts of each bucket (``bucket, node``) as all its similar pairs would, and classes.
+def weighted_shingles(texts: DataFrame, share_weights) -> DataFrame:
+    """``node, shingle, weight`` of the texts."""
 
-    Leaders are the smallest node of a bucket and then nodes drawn by their hash; once as many leaders are
-    drawn as a bucket has nodes, all its pairs across classes have been compared.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, hasher = Weights(*share_weights.value), WordHasher()
+        for batch in batches:
+            for words in hasher.chunks(batch.column("_text")):
+                hashes, each, bounds = weights.vectors(words)
+                owner = words.first + np.repeat(np.arange(words.texts), np.diff(bounds))
+                yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(owner)), pa.array(hashes.view(np.int64)),
+                                                  pa.array(each)], names=["node", "shingle", "weight"])
+
+    return texts.select("node", "_text").mapInArrow(run, "node binary, shingle long, weight double")
+
+
+def prefix_pairs(texts: DataFrame, placed: DataFrame, share_weights, similarity: float) -> DataFrame:
+    """All pairs of ``placed`` (``node, component``) in different classes that can reach ``similarity``.
+
+    Shingles are put in one order, rarest first. If two texts are similar enough, what is left of both from
+    their first common shingle on must weigh at least the overlap that this takes. So only the first few
+    shingles of a text are joined, those with enough weight left. Of a shingle's texts those in its most
+    frequent class need not meet each other and are only on one side of the join.
+    """
+    rows = stage(weighted_shingles(texts.join(placed.select("node"), "node", "left_semi"), share_weights))
+    ranked = rows.join(rows.groupBy("shingle").agg(F.count("*").alias("df")), "shingle")
+    own = Window.partitionBy("node")
+    rarest = own.orderBy("df", "shingle").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    sums = ranked.select("node", "shingle", F.sum("weight").over(own).alias("total"), F.sum("weight").over(rarest).alias("rest"))
+    first = sums.where(F.col("rest") >= (similarity - 1e-9) * F.col("total"))
+    # All the prefix of a text, rarest first, goes with each of its shingles, so that a pair is found once.
+    whole = F.sort_array(F.collect_list(F.struct(-F.col("rest"), "shingle")).over(own)).getField("shingle")
+    prefix = stage(first.withColumn("prefix", whole).join(placed, "node"))
+    by_class = prefix.groupBy("shingle", "component").agg(F.count("*").alias("n"))
+    main = by_class.groupBy("shingle").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.sum("n").alias("all"))
+    shared = prefix.join(main.where("all > 1"), "shingle")
+    right = prefix.select("shingle", *[F.col(c).alias(f"{c}_b") for c in ("node", "component", "total", "rest", "prefix")])
+    enough = F.least("rest", "rest_b") >= (F.col("total") + F.col("total_b")) * (similarity / (1 + similarity) - 1e-9)
+    once = F.get(F.array_intersect("prefix", "prefix_b"), 0) == F.col("shingle")
+    return shared.where("component != main").join(right, "shingle").where("component != component_b").where(enough & once) \
+        .select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")).distinct()
+
+
+def verified_links(buckets: DataFrame, texts: DataFrame, share_weights, similarity: float) -> DataFrame:
+    """``node, component`` of linked texts: the classes that all similar pairs of each bucket (``bucket, node``) make.
+
+    First, all texts of a bucket meet its leader, the one that shares most buckets with others: the
+    original of a group of altered copies, as a rule. Then small buckets compare what is still apart, and
+    texts of larger buckets that are still apart go through ``prefix_pairs``, which misses none.
     """
-    sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("leader"))
-    pairs = buckets.join(sizes, "bucket").where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))
+    sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n"))
+    degrees = buckets.join(sizes, "bucket").groupBy("node").agg(F.sum("n").alias("degree"))
+    leaders = buckets.join(degrees, "node").groupBy("bucket").agg(
+        F.count("*").alias("n"), F.max(F.struct("degree", "node"))["node"].alias("leader"))
+    pairs = buckets.join(leaders, "bucket").where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))
     compared = stage(verify(pairs.distinct(), texts, share_weights))
-    largest = sizes.agg(F.max("n")).first()[0] or 0
-    leaders = MORE_LEADERS
-    while True:
-        links = compared.where(F.col("similarity") >= similarity)
-        classes = connected_components(links)
-        if largest <= 2 or leaders >= largest * MORE_LEADERS:
-            return links, classes
-        placed = buckets.join(classes, "node", "left").select(
-            "bucket", "node", F.coalesce("component", "node").alias("component"))
-        open_buckets = placed.groupBy("bucket").agg(
-            F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"),
-        ).where("n > 2 AND low < high").select("bucket", "n")
-        members = stage(placed.join(open_buckets, "bucket"))
-        draw = F.pmod(F.xxhash64("bucket", "node"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-        drawn = members.where(draw * F.col("n") < leaders).select(
-            "bucket", F.col("node").alias("leader"), F.col("component").alias("led"))
-        crossing = members.join(drawn, "bucket").where("component != led").select(
-            F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
-        known = compared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        fresh = stage(crossing.join(known, ["a", "b"], "left_anti"))
-        if fresh.take(1):
-            compared = stage(compared.unionByName(verify(fresh, texts, share_weights)))
-        elif leaders >= largest:
-            return links, classes
-        leaders *= MORE_LEADERS
+    links = compared.where(F.col("similarity") >= similarity).select("a", "b")
+    classes = connected_components(links)
+    placed = buckets.join(classes, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+    still_apart = placed.groupBy("bucket").agg(
+        F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("n > 2 AND low < high")
+    members = stage(placed.join(still_apart.select("bucket", "n"), "bucket"))
+    small = members.where(F.col("n") <= SMALL_BUCKET)
+    other = small.select("bucket", F.col("node").alias("b"), F.col("component").alias("component_b"))
+    crossing = small.join(other, "bucket").where("node < b AND component != component_b").select(F.col("node").alias("a"), "b").distinct()
+    large = members.where(F.col("n") > SMALL_BUCKET).select("node", "component").distinct()
+    if large.take(1):
+        crossing = crossing.unionByName(prefix_pairs(texts, stage(large), share_weights, similarity)).distinct()
+    known = compared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    fresh = stage(verify(crossing.join(known, ["a", "b"], "left_anti"), texts, share_weights))
+    more = fresh.where(F.col("similarity") >= similarity).select("a", "b")
+    return connected_components(links.unionByName(more)) if more.take(1) else classes
 
 
 def node_classes(documents: DataFrame, doc_id: str, text: str, similarity: float) -> DataFrame:
@@ -232,7 +269,7 @@ def node_classes(documents: DataFrame, doc_id: str, text: str, similarity: float
     buckets = stage(unique.join(shared, "bucket"))
     wanted = buckets.select("node").distinct()
     texts = stage(with_node(plain, "_text").join(wanted, "node", "left_semi").dropDuplicates(["node"]))
-    _, classes = verified_links(buckets, texts, share_weights, similarity)
+    classes = verified_links(buckets, texts, share_weights, similarity)
 
     rows = with_node(documents.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")), "_text").where("node IS NOT NULL")
     nodes = rows.groupBy("node").agg(F.min("_id").alias("text_id"), F.count("*").alias("_rows"))
