@@ -123,7 +123,8 @@ def op10_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much likelier every document is among those labelled good than among all."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct()
+    # Labels grow with the documents, so both sides are shuffled at every size.
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct().hint("merge")
     target = stage(documents.join(good, "doc_id", "left_semi").select("text"))
     return cross_entropy_difference(documents, target).drop("text")
 
