@@ -1,14 +1,22 @@
 """Cross-entropy difference of texts under a target and a background language model.
 
-Both models are word bigram models over one vocabulary: words with a share of at least about ``SHARE`` of
-all words, and one entry for all others. Bigrams are kept by the same rule. Counts are exact and cover every
-text; thresholds are relative, so a model has at most ``4 / SHARE`` entries and goes to all tasks.
+Both models are word bigram models over one vocabulary: all words of the documents, and one entry for words that only
+the target has. All bigrams count, and all counts are exact, so both models grow with the corpus.
 
-``p(w | v) = (c(v, w) + (c(v) - kept(v) + MU) p(w)) / (c(v) + MU)``, where ``kept(v)`` adds up the kept bigrams that
+``p(w | v) = (c(v, w) + (c(v) - kept(v) + MU) p(w)) / (c(v) + MU)``, where ``kept(v)`` adds up the bigrams that
 begin with ``v``; unigrams get half a count extra. Background counts are scaled to the target's number of words, so that
 both are smoothed alike. A text scores the mean over its words of the loss (natural log) under the target
 less that under the background: the lower, the nearer to the target.
 
+No task holds a whole model. Words and bigrams with a share of about ``HOT_SHARE`` or more go to all tasks, at most
+``8 / HOT_SHARE`` of them; texts are scored by them where they are read. Every other bigram is one row that is
+shuffled to its equals, counted there, and its loss goes back to the text. Other words are joined from a written table of
+counts. Losses are added up as whole numbers, so neither the choice of hot entries nor the layout of the files
+has an effect.
+
+``share`` is for callers who want smaller models: words and bigrams below half that share of all words are then
+left out (words as one entry for all others, bigrams with a count of 0). It is 0 unless given.
+
 Defined results: a text without words (NULL, empty) has 0 words and NULL losses. NULL ids are scored like
 others. If the target is empty, both models are uniform over what is left of the vocabulary and the
 background. Repeated rows count and score as often as they stand. Other columns pass through; columns named
@@ -18,21 +26,26 @@ like the results are replaced.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .arrow import add_columns
-from .frequent import named_candidates
+from ..storage import stage
+from .frequent import BLOCK_VALUES, named_candidates
+from .joins import join_counted
 from .words import Members, WordHasher, Words, mix
 
-SHARE = 2e-6
+HOT_SHARE = 2e-6
 MU = 20.0
 ONE = np.uint64(1)
+#: Losses are whole multiples of one part in ``UNITS``.
+UNITS = float(1 << 26)
+SIDES = ("b", "t")
+COUNTS = ("b", "b_kept", "t", "t_kept")
 
 
 def word_values(words: Words) -> np.ndarray:
@@ -40,11 +53,16 @@ def word_values(words: Words) -> np.ndarray:
     return words.hashes & ~ONE
 
 
-def bigram_values(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Bigrams inside a text as odd values, and the place of each second word."""
+def second_places(words: Words) -> np.ndarray:
+    """The places of all words that follow another one of their text."""
     second = np.ones(len(words.hashes), bool)
     second[words.bounds[:-1][np.diff(words.bounds) > 0]] = False
-    places = np.flatnonzero(second)
+    return np.flatnonzero(second)
+
+
+def bigram_values(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Bigrams inside a text as odd values, and the place of each second word."""
+    places = second_places(words)
     return mix(words.hashes[places - 1] * np.uint64(0x9E3779B97F4A7C15) + words.hashes[places]) | ONE, places
 
 
@@ -58,6 +76,16 @@ def model_extract():
     return extract
 
 
+def bigram_extract():
+    hasher = WordHasher()
+
+    def extract(texts: pa.Array):
+        for words in hasher.chunks(texts):
+            yield bigram_values(words)[0], len(words.hashes)
+
+    return extract
+
+
 class Vocabulary:
     """Places of words and bigrams in sorted arrays; the place after the last word stands for all other words."""
 
@@ -66,16 +94,19 @@ class Vocabulary:
         self.words, self.bigrams = Members(values[even]), Members(values[~even])
         self.size = len(self.words.values)
 
+    def word_places(self, values: np.ndarray) -> np.ndarray:
+        ids = np.full(len(values), self.size)
+        at, which = self.words.find(values)
+        ids[at] = which
+        return ids
+
     def read(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Word places, bigram places (-1 for none) by second word, and which words have one before them."""
-        ids = np.full(len(words.hashes), self.size)
-        at, which = self.words.find(word_values(words))
-        ids[at] = which
         values, places = bigram_values(words)
         pairs = np.full(len(words.hashes), -1)
         at, which = self.bigrams.find(values)
         pairs[places[at]] = which
-        return ids, pairs, places
+        return self.word_places(word_values(words)), pairs, places
 
 
 def count_model(texts: DataFrame, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -107,57 +138,253 @@ def count_model(texts: DataFrame, values: np.ndarray) -> tuple[np.ndarray, np.nd
     return tuple(found)
 
 
-def probabilities(counts: tuple[np.ndarray, np.ndarray, np.ndarray], words: float) -> tuple[np.ndarray, ...]:
-    """Unigram probabilities, back-off weights and denominators by first word, and bigram counts, for ``words`` words in all."""
-    unigrams, bigrams, kept = counts
-    scale = words / max(1.0, unigrams.sum())
-    unigrams, bigrams, kept = unigrams * scale, bigrams * scale, kept * scale
-    single = (unigrams + 0.5) / (unigrams.sum() + 0.5 * len(unigrams))
-    below = unigrams + MU
-    return tuple(x.astype(np.float32) for x in (single, (unigrams - kept + MU) / below, below, bigrams))
+def word_counts(texts: DataFrame, side: str) -> DataFrame:
+    """``value`` and ``COUNTS`` of words in ``texts``, in parts: how often each stands, and with a word after it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, parts, held = WordHasher(), [], 0
+
+        def flush() -> pa.RecordBatch:
+            # The lowest bit of a word's value tells whether another word follows.
+            values, numbers = np.unique(np.concatenate(parts), return_counts=True)
+            followed = np.where((values & ONE) == ONE, numbers, 0)
+            return pa.RecordBatch.from_arrays([pa.array((values & ~ONE).view(np.int64)), pa.array(numbers.astype(np.int64)),
+                                               pa.array(followed.astype(np.int64))], names=["value", "n", "kept"])
 
+        for batch in batches:
+            for words in hasher.chunks(batch.column(0)):
+                values = word_values(words)
+                values[second_places(words) - 1] |= ONE
+                parts.append(values)
+                held += len(values)
+                if held >= BLOCK_VALUES:
+                    yield flush()
+                    parts, held = [], 0
+        if held:
+            yield flush()
+
+    counted = texts.mapInArrow(run, "value long, n long, kept long")
+    mine = {side: "n", f"{side}_kept": "kept"}
+    return counted.select("value", *[(F.col(mine[c]) if c in mine else F.lit(0).cast("long")).alias(c) for c in COUNTS])
+
+
+@dataclass
+class Models:
+    """What all tasks know: hot words and bigrams with their counts, and the sizes of both sides.
+
+    ``words`` has a row for each of ``COUNTS``, and a last column for all other words; ``bigrams`` has one for each side.
+    """
 
-def token_losses(model: tuple[np.ndarray, ...], ids: np.ndarray, pairs: np.ndarray, places: np.ndarray) -> np.ndarray:
-    single, back_off, below, bigrams = model
-    chance = single[ids].astype(np.float64)
-    before = ids[places - 1]
-    joint = np.where(pairs[places] >= 0, bigrams[pairs[places]] if len(bigrams) else 0.0, 0.0)
-    chance[places] = joint / below[before] + back_off[before] * chance[places]
-    return -np.log(chance)
+    values: np.ndarray
+    words: np.ndarray
+    bigrams: np.ndarray
+    entries: int
+    totals: tuple[int, int]
+    whole: bool
+
+    def losses(self, words: np.ndarray, before: np.ndarray, joint: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+        """Losses in ``UNITS`` for both sides, by the counts of words, of those before them and of both together."""
+        goal, found = self.totals[1] or self.totals[0], []
+        for side, total in enumerate(self.totals):
+            scale = goal / max(1, total)
+            single = (words[2 * side] * scale + 0.5) / (total * scale + 0.5 * self.entries)
+            below = before[2 * side] * scale + MU
+            rest = (before[2 * side] - before[2 * side + 1]) * scale + MU
+            chance = np.where(first, single, (joint[side] * scale + rest * single) / below)
+            found.append(np.rint(-np.log(chance) * UNITS).astype(np.int64))
+        return found
+
+
+class Reader:
+    """Sorts the words of texts by how their losses are found."""
+
+    def __init__(self, models: Models) -> None:
+        self.models, self.vocabulary, self.hasher = models, Vocabulary(models.values), WordHasher()
+
+    def read(self, words: Words):
+        """Places of words and bigrams, which words have none before them, and which have all counts at hand."""
+        ids, pairs, places = self.vocabulary.read(words)
+        first = np.ones(len(ids), bool)
+        first[places] = False
+        known = ids < self.vocabulary.size
+        both = known.copy()
+        both[places] &= known[places - 1]
+        return ids, pairs, first, known, both
+
+
+def hot_sums(documents: DataFrame, shared) -> DataFrame:
+    """``key, rows, words, b, t`` of each text: its words, and the losses of those whose counts are at hand."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models = shared.value
+        reader = Reader(models)
+        for batch in batches:
+            for words in reader.hasher.chunks(batch.column(1)):
+                ids, pairs, first, _, both = reader.read(words)
+                at = np.flatnonzero(both & (first | (pairs >= 0))) if models.whole else np.arange(len(ids))
+                before, pair = ids[np.maximum(at - 1, 0)], pairs[at]
+                joint = np.zeros((2, len(at)))
+                joint[:, pair >= 0] = models.bigrams[:, pair[pair >= 0]]
+                sums = []
+                for losses in models.losses(models.words[:, ids[at]], models.words[:, before], joint, first[at]):
+                    each = np.zeros(len(ids) + 1, np.int64)
+                    each[at + 1] = losses
+                    each = np.cumsum(each)
+                    sums.append(pa.array(each[words.bounds[1:]] - each[words.bounds[:-1]]))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(words.first, words.texts), pa.array(np.ones(words.texts, np.int64)),
+                     pa.array(np.diff(words.bounds).astype(np.int64)), *sums], names=["key", "rows", "words", *SIDES])
+
+    return documents.mapInArrow(run, "key long, rows long, words long, b long, t long")
+
+
+def cold_pairs(texts: DataFrame, shared) -> DataFrame:
+    """``pair, key`` of all bigrams of two hot words that are not hot: the places of both words, and the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(shared.value)
+        for batch in batches:
+            for words in reader.hasher.chunks(batch.column(1)):
+                ids, pairs, first, _, both = reader.read(words)
+                at = np.flatnonzero(both & ~first & (pairs < 0))
+                owner = words.first + words.owner()[at]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at - 1].astype(np.int64) << 32 | ids[at].astype(np.int64)),
+                                                  batch.column(0).take(pa.array(owner))], names=["pair", "key"])
+
+    return texts.mapInArrow(run, "pair long, key long")
+
+
+def cold_words(texts: DataFrame, shared) -> DataFrame:
+    """``before, word, key`` of all words that are not hot or follow one that is not; hot ones as odd values."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(shared.value)
+        for batch in batches:
+            for words in reader.hasher.chunks(batch.column(1)):
+                _, _, first, known, both = reader.read(words)
+                at = np.flatnonzero(~both)
+                values = (word_values(words) | known).view(np.int64)
+                owner = words.first + words.owner()[at]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(values[np.maximum(at - 1, 0)], mask=first[at]), pa.array(values[at]),
+                     batch.column(0).take(pa.array(owner))], names=["before", "word", "key"])
+
+    return texts.mapInArrow(run, "before long, word long, key long")
+
+
+def counted(rows: DataFrame, *by: str) -> DataFrame:
+    """The rows of documents, with how many rows of documents (``b``) and of the target (no key, ``t``) are equal to each.
+
+    No group is large: what is frequent on either side is hot and not among the rows.
+    """
+    equal = Window.partitionBy(*by)
+    of_documents = F.count("key").over(equal)
+    return rows.withColumns({"b": of_documents, "t": F.count(F.lit(1)).over(equal) - of_documents}).where("key IS NOT NULL")
+
+
+def pair_sums(rows: DataFrame, shared) -> DataFrame:
+    """``key, b, t``: the losses of counted ``cold_pairs``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models = shared.value
+        for batch in batches:
+            pair = batch.column(0).to_numpy()
+            joint = np.stack([batch.column(2).to_numpy(), batch.column(3).to_numpy()])
+            losses = models.losses(models.words[:, pair & 0xFFFFFFFF], models.words[:, pair >> 32], joint,
+                                   np.zeros(len(pair), bool))
+            yield pa.RecordBatch.from_arrays([batch.column(1), *map(pa.array, losses)], names=["key", *SIDES])
+
+    return counted(rows, "pair").mapInArrow(run, "key long, b long, t long")
+
+
+def word_sums(rows: DataFrame, counts: DataFrame, shared) -> DataFrame:
+    """``key, b, t``: the losses of counted ``cold_words``, with the counts of words that are not hot from ``counts``."""
+    joined = counted(rows, "before", "word")
+    for place in ("before", "word"):
+        side = counts.select(F.col("value").alias("_value"), F.array(*COUNTS).alias(f"{place}_counts"))
+        # Rows of hot words meet nothing, so they are spread evenly over odd values.
+        spread = F.xxhash64("before", "word", "key").bitwiseOR(F.lit(1))
+        joined = joined.withColumn("_value", F.when(F.col(place).bitwiseAND(F.lit(1)) == 0, F.col(place)).otherwise(spread)) \
+            .join(side.hint("merge"), "_value", "left").drop("_value")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models = shared.value
+        vocabulary = Vocabulary(models.values)
+
+        def counts_of(batch: pa.RecordBatch, place: str) -> np.ndarray:
+            values = np.asarray(pc.fill_null(batch.column(place), 0)).view(np.uint64)
+            found = models.words[:, vocabulary.word_places(values & ~ONE)]
+            lists = batch.column(f"{place}_counts")
+            at = np.flatnonzero(np.asarray(lists.is_valid()))
+            found[:, at] = np.asarray(lists.flatten()).reshape(-1, len(COUNTS)).T
+            return found
+
+        for batch in batches:
+            joint = np.stack([batch.column(s).to_numpy() for s in SIDES])
+            first = np.asarray(batch.column("before").is_null())
+            losses = models.losses(counts_of(batch, "word"), counts_of(batch, "before"), joint, first)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), *map(pa.array, losses)], names=["key", *SIDES])
+
+    return joined.mapInArrow(run, "key long, b long, t long")
+
+
+def pruned_models(background: DataFrame, target: DataFrame, share: float) -> Models:
+    """Models of the words and bigrams with half of ``share`` or more; all other words are one entry."""
+    # Candidates for half of a share hold all that reach it, however the rows lie.
+    values, units = named_candidates(background, model_extract, share / 2)
+    exact = count_model(background, values)
+    enough = np.concatenate([exact[0][:-1], exact[1]]) >= share / 2 * units
+    even = (values & ONE) == 0
+    values = np.concatenate([values[even], values[~even]])[enough]
+    sides = [count_model(texts, values) for texts in (background, target)]
+    words = np.stack([counts for single, _, kept in sides for counts in (single, kept)])
+    return Models(values, words, np.stack([double for _, double, _ in sides]), words.shape[1],
+                  tuple(int(single.sum()) for single, _, _ in sides), False)
+
+
+def whole_models(background: DataFrame, target: DataFrame, hot_share: float) -> tuple[Models, DataFrame]:
+    """Models of all words and bigrams, with the hot ones at hand, and the written counts of all words."""
+    counts = stage(word_counts(background, "b").unionByName(word_counts(target, "t")).groupBy("value")
+                   .agg(*[F.sum(c).alias(c) for c in COUNTS]))
+    sizes = counts.agg(F.sum("b"), F.sum("t"), F.count_if(F.col("b") > 0)).first()
+    totals = (sizes[0] or 0, sizes[1] or 0)
+    hot = counts.where((F.col("b") >= hot_share * totals[0]) | (F.col("t") >= hot_share * totals[1])).sort("value").toArrow()
+    values = hot["value"].to_numpy().view(np.uint64)
+    order = np.argsort(values)
+    words = np.zeros((len(COUNTS), len(values) + 1))
+    for row, name in enumerate(COUNTS):
+        words[row, :-1] = hot[name].to_numpy()[order]
+    pairs = np.union1d(*[named_candidates(texts, bigram_extract, hot_share)[0] for texts in (background, target)])
+    values = np.concatenate([values[order], pairs])
+    bigrams = np.stack([count_model(texts, pairs)[1] for texts in (background, target)])
+    return Models(values, words, bigrams, sizes[2] + 1, totals, True), counts
 
 
 def cross_entropy_difference(documents: DataFrame, target: DataFrame, text: str = "text", target_text: str = "text",
-                             share: float = SHARE) -> DataFrame:
+                             share: float = 0.0, hot_share: float = HOT_SHARE) -> DataFrame:
     """``documents`` with ``n_words``, ``target_loss``, ``background_loss`` and ``difference``.
 
     The background model covers all of ``documents``, the target model all of ``target`` (a written table).
     """
-    background = documents.select(F.col(text).alias("_text"))
-    values, _ = named_candidates(background, model_extract, share)
-    of_target, of_background = count_model(target.select(target_text), values), count_model(background, values)
-    words = of_target[0].sum() or of_background[0].sum()
-    shared = documents.sparkSession.sparkContext.broadcast(
-        (values, probabilities(of_target, words), probabilities(of_background, words)))
-
-    def work():
-        values, *models = shared.value
-        vocabulary, hasher = Vocabulary(values), WordHasher()
-
-        def each(part: pa.RecordBatch) -> list[pa.Array]:
-            numbers, means = np.zeros(part.num_rows, np.int64), np.zeros((2, part.num_rows))
-            for words in hasher.chunks(part.column(text)):
-                read = vocabulary.read(words)
-                own = slice(words.first, words.first + words.texts)
-                numbers[own] = np.diff(words.bounds)
-                for which, model in enumerate(models):
-                    sums = np.concatenate([[0.0], np.cumsum(token_losses(model, *read))])
-                    means[which, own] = sums[words.bounds[1:]] - sums[words.bounds[:-1]]
-            means /= np.maximum(numbers, 1)
-            none = numbers == 0
-            return [pa.array(numbers), pa.array(means[0], mask=none), pa.array(means[1], mask=none),
-                    pa.array(means[0] - means[1], mask=none)]
-
-        return each
-
-    made = {"n_words": T.LongType()} | {c: T.DoubleType() for c in ("target_loss", "background_loss", "difference")}
-    return add_columns(documents, made, work)
+    documents = documents.drop(*[c for c in ("n_words", "target_loss", "background_loss", "difference") if c != text])
+    background, goal = documents.select(F.col(text).alias("_text")), target.select(F.col(target_text).alias("_text"))
+    keyed = background.select(F.xxhash64("_text").alias("key"), "_text")
+    if share:
+        models, counts = pruned_models(background, goal, share), None
+    else:
+        models, counts = whole_models(background, goal, hot_share)
+    shared = documents.sparkSession.sparkContext.broadcast(models)
+    parts = hot_sums(keyed, shared)
+    if models.whole:
+        both = keyed.unionByName(goal.select(F.lit(None).cast("long").alias("key"), "_text"))
+        for sums in (pair_sums(cold_pairs(both, shared), shared), word_sums(cold_words(both, shared), counts, shared)):
+            parts = parts.unionByName(sums.withColumns({c: F.lit(0).cast("long") for c in ("rows", "words")}))
+    # Equal texts have equal losses, so they are added up together.
+    summed = parts.groupBy("key").agg(F.max("words").alias("n_words"), *[F.sum(c).alias(c) for c in ("rows", "words", *SIDES)])
+    loss = {c: F.when(F.col("words") > 0, F.col(c) / (F.lit(UNITS) * F.col("words"))) for c in SIDES}
+    scores = stage(summed.select(F.col("key").cast("string").alias("_key"), F.col("rows").alias("_rows"), "n_words",
+                                 loss["t"].alias("target_loss"), loss["b"].alias("background_loss")))
+    rows = scores.agg(F.sum("_rows")).first()[0] or 0
+    made = documents.withColumn("_key", F.xxhash64(text).cast("string"))
+    return join_counted(made, scores, "_key", "_rows", rows).drop("_key") \
+        .withColumn("difference", F.col("target_loss") - F.col("background_loss"))

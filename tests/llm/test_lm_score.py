@@ -3,6 +3,8 @@ import random
 import re
 from collections import Counter
 
+import pytest
+
 from slotalign.llm.lm_score import MU, cross_entropy_difference
 from slotalign.storage import stage
 
@@ -72,3 +74,34 @@ def test_odd_rows(odd_docs, no_docs):
     assert len(rows) == odd_docs.count() and all((r.difference is None) == (r.n_words == 0) for r in rows)
     assert cross_entropy_difference(no_docs, target).count() == 0
     assert cross_entropy_difference(odd_docs, target.limit(0)).count() == odd_docs.count()
+
+
+@pytest.fixture(scope="module")
+def long_case(make_docs, spark, words):
+    """Over a million words, so that a single word is far below any share that goes to all tasks."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(400_000)) for _ in range(3)]
+    texts += [" ".join(rng.choice(words) for _ in range(30)) for _ in range(20)] + ["rare words a b", "rare words a b", "once", None]
+    target = texts[0:1] + texts[5:12] + ["rare words a b"]
+    return texts, target, make_docs(texts), stage(spark.createDataFrame([(t,) for t in target], "text string"))
+
+
+def test_rare_words_and_bigrams_count(long_case):
+    texts, target, documents, held = long_case
+    rows = cross_entropy_difference(documents, held).orderBy("doc_id").collect()
+    for row, (n, near, far) in zip(rows, plain_losses(texts, target, 0)):
+        assert row.n_words == n
+        if n:
+            assert abs(row.target_loss - near) < 1e-6 and abs(row.background_loss - far) < 1e-6
+
+
+@pytest.mark.parametrize("given", [{"hot_share": 0.01}, {"hot_share": 1.0}, {"share": 0.004}])
+def test_layout_and_hot_entries_have_no_effect(make_docs, spark, words, given):
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(words[:60]) for _ in range(rng.randint(0, 40))) for _ in range(150)]
+    target = texts[::3]
+    held = stage(spark.createDataFrame([(t,) for t in target], "text string"))
+    made = [cross_entropy_difference(make_docs(texts).repartition(n), held, **given).orderBy("doc_id").collect() for n in (1, 7)]
+    assert made[0] == made[1]
+    for row, (n, near, far) in zip(made[0], plain_losses(texts, target, given.get("share", 0))):
+        assert row.n_words == n and (not n or abs(row.target_loss - near) < 1e-6 and abs(row.background_loss - far) < 1e-6)
