@@ -2,8 +2,8 @@
 
 A seed hashes a few words of a window and ignores the others, by fixed masks, so that it still meets its
 counterpart when an ignored word was changed. Seeds of the benchmark are joined with those at every place
-of every document. Around each hit the two texts are aligned without gaps, and the best stretch (a match
-counts 1, a substitution -2) is an overlap if enough of its words are equal.
+of every document. Around each hit the two texts are aligned without gaps. Of all stretches there with at least
+``MIN_IDENTITY`` equal words, that with most equal words is an overlap if these are enough.
 
 The benchmark goes to all tasks in blocks of bounded size, one pass over the documents for each block; the
 documents are never shuffled.
@@ -32,7 +32,8 @@ MASKS = ("1101011", "1110011", "11001011", "101100101")
 MIN_ITEM_WORDS = 5
 MIN_MATCHED = 10
 MIN_IDENTITY = 0.8
-MISMATCH = -2
+# With 1 for an equal word, a stretch adds up to 0 at exactly ``MIN_IDENTITY``.
+MISMATCH = -4
 BLOCK_CHARS = 8_000_000
 ALIGNED_CELLS = 4_000_000
 
@@ -114,33 +115,52 @@ class BenchmarkSeeds:
             start = stop
         found = np.concatenate(rows)
         needed = np.minimum(MIN_MATCHED, np.ceil(MIN_IDENTITY * np.diff(self.bounds)[found[:, 1]]))
-        found = found[(found[:, 5] >= needed) & (found[:, 5] >= MIN_IDENTITY * found[:, 4])]
+        found = found[found[:, 5] >= needed]
         found = found[np.lexsort((found[:, 2], -found[:, 5], found[:, 1], found[:, 0]))]
         return found[np.unique(found[:, :2], axis=0, return_index=True)[1]]
 
     def align(self, words: Words, diagonals: np.ndarray) -> np.ndarray:
-        """The best stretch of each diagonal."""
+        """Of each diagonal the stretch with most equal words among those with at least ``MIN_IDENTITY`` of them."""
         text, item, shift = diagonals.T
         low, high = self.bounds[item], self.bounds[item + 1]
-        count = len(diagonals)
-        score, begin = np.zeros(count, np.int64), np.zeros(count, np.int64)
-        best, best_begin, best_end = score.copy(), begin.copy(), begin.copy()
-        equal_so_far = np.zeros((int((high - low).max()) + 1, count), np.int64)
-        for k in range(int((high - low).max())):
+        count, size = len(diagonals), int((high - low).max())
+        equal = np.zeros((size + 1, count), np.int32)
+        for k in range(size):
             here, there = low + k, low + k + shift
             valid = (here < high) & (there >= words.bounds[text]) & (there < words.bounds[text + 1])
-            equal = valid & (self.hashes[np.minimum(here, len(self.hashes) - 1)]
-                             == words.hashes[np.clip(there, 0, len(words.hashes) - 1)])
-            begin = np.where(score <= 0, k, begin)
-            score = np.maximum(score, 0) + np.where(equal, 1, MISMATCH)
-            equal_so_far[k + 1] = equal_so_far[k] + equal
-            better = score > best
-            best, best_begin = np.where(better, score, best), np.where(better, begin, best_begin)
-            best_end = np.where(better, k + 1, best_end)
+            equal[k + 1] = equal[k] + (valid & (self.hashes[np.minimum(here, len(self.hashes) - 1)]
+                                                == words.hashes[np.clip(there, 0, len(words.hashes) - 1)]))
+
+        def score(k, rows=slice(None)):
+            return (1 - MISMATCH) * equal[k, rows] + MISMATCH * k
+
+        # The last place from each on with the highest score before it.
+        top = np.empty_like(equal)
+        top[size] = size
+        rows = np.arange(count)
+        for k in range(size - 1, -1, -1):
+            top[k] = np.where(score(k) > score(top[k + 1], rows), k, top[k + 1])
+        # Both ends move on only: the end while the stretch is good enough, else the begin.
+        begin, least, end = np.zeros((3, count), np.int32)
+        best, best_begin, best_end = np.zeros((3, count), np.int32)
+        while len(rows):
+            last = top[end[rows], rows]
+            good = score(last, rows) >= score(least[rows], rows)
+            found = equal[last, rows] - equal[least[rows], rows]
+            better = good & (found > best[rows])
+            at = rows[better]
+            best[at], best_begin[at], best_end[at] = found[better], least[at], last[better]
+            end[rows[good]] = last[good] + 1
+            at = rows[~good]
+            begin[at] += 1
+            lower = at[score(begin[at], at) < score(least[at], at)]
+            least[lower] = begin[lower]
+            rows = rows[(end[rows] <= size) & (begin[rows] < size)]
+        # Without unequal words at the ends.
         rows = np.arange(count)
-        equal = equal_so_far[best_end, rows] - equal_so_far[best_begin, rows]
-        return np.stack([text, item, low + best_begin + shift - words.bounds[text], best_begin,
-                         best_end - best_begin, equal], axis=1)
+        first = (equal <= equal[best_begin, rows]).sum(axis=0) - 1
+        last = (equal < equal[best_end, rows]).sum(axis=0)
+        return np.stack([text, item, low + first + shift - words.bounds[text], first, last - first, best], axis=1)
 
 
 def benchmark_blocks(benchmark: DataFrame, item_id: str, text: str) -> list[DataFrame]:

@@ -73,3 +73,40 @@ def test_odd_rows(spark, odd_docs, no_docs, case):
     assert find_overlaps(no_docs, benchmark).count() == 0
     nothing = benchmark.limit(0)
     assert find_overlaps(odd_docs, nothing).count() == 0 and remove_contaminated(odd_docs, nothing).count() == odd_docs.count()
+
+
+def most_equal(doc, item):
+    """Most equal words of any gapless stretch with at least 80 % equal words."""
+    best = 0
+    for shift in range(1 - len(item), len(doc)):
+        same = [0 <= k + shift < len(doc) and doc[k + shift] == item[k] for k in range(len(item))]
+        for i in range(len(item)):
+            equal = 0
+            for j in range(i, len(item)):
+                equal += same[j]
+                if 5 * equal >= 4 * (j - i + 1):
+                    best = max(best, equal)
+    return best
+
+
+def test_more_copied_text_does_not_hide_a_passage(make_docs, spark):
+    item = [f"word{k}" for k in range(72)]
+    copied = [w if k < 12 or k % 4 else "changed" for k, w in enumerate(item)]
+    table = make_docs([" ".join(copied), " ".join(copied[:12])])
+    got = {r.doc_id: r.n_equal for r in find_overlaps(table, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()}
+    assert got == {0: most_equal(copied, item), 1: 12} and got[0] < sum(map(str.__eq__, copied, item))
+    assert remove_contaminated(table, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("changes", [0.15, 0.2, 0.25])
+def test_all_stretches(make_docs, spark, words, changes):
+    rng = random.Random(9)
+    items = [[rng.choice(words) for _ in range(n)] for n in (45, 59, 100) for _ in range(6)]
+    docs = [["before"] * 3 + ["changed" if rng.random() < changes else w for w in item] + ["after"] * 3 for item in items]
+    benchmark = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    rows = find_overlaps(make_docs([" ".join(d) for d in docs]), benchmark).collect()
+    best = {(i, i): most_equal(doc, item) for i, (doc, item) in enumerate(zip(docs, items))}
+    assert {(r.doc_id, r.item_id): r.n_equal for r in rows} == {k: n for k, n in best.items() if n >= 10}
+    for r in rows:
+        doc, item = docs[r.doc_id][r.doc_word:][:r.n_words], items[r.item_id][r.item_word:][:r.n_words]
+        assert sum(map(str.__eq__, doc, item)) == r.n_equal and doc[0] == item[0] and doc[-1] == item[-1]
