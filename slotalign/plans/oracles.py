@@ -39,6 +39,13 @@ DISCOUNTED = f"""
          CAST(sum({PRICE}) FILTER (l_discount >= 0.05) AS DOUBLE) / 100000 AS p1
   FROM lineitem GROUP BY 1, 2"""
 
+AMOUNTS = f"""
+  SELECT sample_id, slot, CAST(sum(amount) AS DOUBLE) / 100 AS p0, CAST(sum(tax) AS DOUBLE) / 100 AS p1 FROM (
+    SELECT l_orderkey AS sample_id, 0 AS slot, {CENTS.format('l_quantity')} AS amount, {CENTS.format('l_tax')} AS tax FROM lineitem
+    UNION ALL SELECT l_orderkey, 1, {PRICE}, {CENTS.format('l_tax')} FROM lineitem
+    UNION ALL SELECT l_orderkey, 2, l_linenumber * 100, {CENTS.format('l_tax')} FROM lineitem WHERE l_discount >= 0.05)
+  GROUP BY 1, 2"""
+
 EMBEDDED = ("\n  SELECT vec_id AS sample_id, label AS slot, "
             + ", ".join("(" + " + ".join(f"CAST(embedding[{8 * i + k + 1}] AS DOUBLE)" for k in range(8)) + f") / 8 AS p{i}"
                         for i in range(8))
@@ -331,6 +338,56 @@ def settled_query(select: str) -> str:
     return query(parts, select).replace("WITH ", "WITH RECURSIVE ", 1)
 
 
+def settled_orders_query() -> str:
+    """The three-slot catalog until nothing moves, as ``settled_query`` for two; all orders of a sample are compared."""
+    slots, orders = range(3), list(permutations(range(3)))
+
+    def fits(k: int) -> str:
+        return (f"avg(x{k}) AS m{k}, avg(y{k}) AS n{k}, var_pop(x{k}) AS u{k}, var_samp(x{k}) AS a{k}, "
+                f"covar_samp(x{k}, y{k}) AS b{k}, var_samp(y{k}) AS d{k}, "
+                f"least(greatest(count(x{k}) / count(*), {EPS}), 1 - {EPS}) AS prob{k}")
+
+    def score(s: int, k: int) -> str:
+        dx, dy, det = f"(x{s} - m{k})", f"(y{s} - n{k})", f"(a{k} * d{k} - b{k} * b{k})"
+        one = f"-0.5 * ({LOG_TWO_PI} + ln(u{k}) + {dx} * {dx} / u{k})"
+        both = (f"-0.5 * (2 * {LOG_TWO_PI} + ln({det}) + (d{k} * {dx} * {dx} - 2 * b{k} * {dx} * {dy} "
+                f"+ a{k} * {dy} * {dy}) / {det})")
+        return f"coalesce(ln(prob{k}) + CASE phase WHEN 1 THEN {one} ELSE {both} END, 0)"
+
+    def scored(fit: str, where: str) -> str:
+        cells = ", ".join(f"{score(s, k)} AS c{s}{k}" for s in slots for k in slots)
+        totals = ", ".join(f"list_sum(list_sort([{', '.join(f'c{s}{order[s]}' for s in slots)}]))" for order in orders)
+        return (f"SELECT *, list_position(totals, list_max(totals)) AS best FROM (SELECT *, [{totals}] AS totals "
+                f"FROM (SELECT *, {cells} FROM {fit} CROSS JOIN w WHERE {where}))")
+
+    all_fits = ", ".join(map(fits, slots))
+    values = ", ".join(f"{c}{k} IS NULL, {c}{k}" for k in slots for c in "xy")
+    digest = f"bit_xor(hash(sample_id, {values}))"
+    columns = ", ".join(f"{c}{k}" for k in slots for c in ("m", "n", "u", "a", "b", "d", "prob"))
+    placed = ", ".join(f"CASE best {' '.join(f'WHEN {i + 1} THEN {c}{order.index(k)}' for i, order in enumerate(orders))} END AS {c}{k}"
+                       for k in slots for c in "xy")
+    parts = [
+        *chain_parts(AMOUNTS, 3), shuffled(3, 2, 7),
+        "w AS MATERIALIZED (SELECT sample_id, " + ", ".join(
+            f"max(p{p}) FILTER (slot = {k}) AS {c}{k}" for k in slots for p, c in enumerate("xy")) + " FROM s GROUP BY 1)",
+        f"""loop AS (
+  SELECT 1 AS phase, {digest} AS digest, {all_fits} FROM w
+  UNION ALL
+  SELECT CASE WHEN digest = old THEN phase + 1 ELSE phase END, digest, {columns} FROM (
+    SELECT phase, old, {digest} AS digest, {all_fits} FROM (
+      SELECT phase, old, sample_id, {placed} FROM (
+        {scored("(SELECT *, digest AS old FROM loop)", "phase < 3")}))
+    GROUP BY phase, old))""",
+        "last AS (SELECT * REPLACE (2 AS phase) FROM loop WHERE phase = 3)",
+        f"settled AS (SELECT sample_id, {placed} FROM ({scored('last', 'true')}))",
+        "long AS (" + " UNION ALL ".join(f"SELECT {k} AS slot, x{k} AS x, y{k} AS y FROM settled" for k in slots) + ")",
+    ]
+    return query(parts, """SELECT CAST(slot AS INTEGER) AS slot, round(count(x) / count(*), 6) AS presence,
+       round(avg(x), 6) AS mean_p0, round(avg(y), 6) AS mean_p1,
+       (SELECT count(*) FROM loop WHERE phase = 1) AS uni_steps, (SELECT count(*) FROM loop WHERE phase = 2) AS mv_steps
+FROM long GROUP BY slot""").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 # ---- files and index helpers ----------------------------------------------------------------
 
 ORDER_VECTORS = """
@@ -456,6 +513,7 @@ SELECT CAST(k AS INTEGER) AS slot, round(CASE k WHEN 0 THEN count(x0) ELSE count
        round(CASE k WHEN 0 THEN avg(y0) ELSE avg(y1) END, 6) AS mean_p1,
        (SELECT count(*) FROM loop WHERE phase = 1) AS uni_steps, (SELECT count(*) FROM loop WHERE phase = 2) AS mv_steps
 FROM settled CROSS JOIN range(2) r(k) GROUP BY k"""),
+    "catalog_of_amounts": settled_orders_query(),
     "catalog_of_line_numbers": wide_catalog_query(),
     "product_space_decode": vector_query("sample_id", filled=False),
     "fixed_decode": vector_query("sample_id", filled=True),

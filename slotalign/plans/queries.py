@@ -40,6 +40,7 @@ from ..sources.text import (
 from ..storage import checkpoint_root, stage
 from .catalog import catalog_summary, make_catalog_mv_normal
 from .table_chains import (
+    amount_chain,
     discounted_chain,
     embedding_chain,
     hundredths,
@@ -281,15 +282,23 @@ def catalog_of_line_numbers(spark, sf_dir):
         "slot", *[rounded(c, c) for c in ("presence", "mean_p0", "mean_p1", "mean_p2")])
 
 
-def catalog_to_fixed_layout(spark, sf_dir):
-    """The sources of a catalog whose layout has stopped changing, and after how many steps of each kind."""
-    catalog = status_catalog(spark, sf_dir)
+def settled_summary(catalog: PosteriorChain) -> DataFrame:
     numbers = [step.iteration for step in catalog.trace]
     second = max(i for i, number in enumerate(numbers) if number == 1)
     summary = catalog_summary(catalog).select("slot", *[rounded(c, c) for c in ("presence", "mean_p0", "mean_p1")])
     return summary.withColumns({"uni_steps": F.lit(second), "mv_steps": F.lit(len(numbers) - second)})
 
 
+def catalog_to_fixed_layout(spark, sf_dir):
+    """The sources of a catalog whose layout has stopped changing, and after how many steps of each kind."""
+    return settled_summary(status_catalog(spark, sf_dir))
+
+
+def catalog_of_amounts(spark, sf_dir):
+    """Three slots with some entries missing, until nothing moves, and after how many steps of each kind."""
+    return settled_summary(make_catalog_mv_normal(amount_chain(spark, sf_dir), 3, initialization_param_index=0, shuffle_seed=7))
+
+
 # ---- files --------------------------------------------------------------------------------
 
 
@@ -470,6 +479,7 @@ QUERIES: dict[str, Query] = {
     "sources_by_presence": sources_by_presence,
     "catalog_of_line_numbers": catalog_of_line_numbers,
     "catalog_to_fixed_layout": catalog_to_fixed_layout,
+    "catalog_of_amounts": catalog_of_amounts,
     "product_space_decode": product_space_decode,
     "fixed_decode": fixed_decode,
     "product_space_text": product_space_text,

@@ -68,6 +68,16 @@ def part_chain(spark: SparkSession, sf_dir: str) -> PosteriorChain:
         num_sources=10, merge=F.sum, divide_by=[1, CENTS_PER_THOUSAND])
 
 
+def amount_chain(spark: SparkSession, sf_dir: str) -> PosteriorChain:
+    """Sample = order, slot = quantity, price or line number; its total and that of the tax. Line numbers count with a discount only."""
+    number = F.when(F.col("l_discount") >= 0.05, F.col("l_linenumber") * 100)
+    amounts = F.array(hundredths("l_quantity"), hundredths("l_extendedprice"), number.cast("long"))
+    entries = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_tax", F.posexplode(amounts).alias("slot", "amount"))
+    return PosteriorChain.from_long(
+        entries.where("amount IS NOT NULL"), F.col("l_orderkey"), F.col("slot"), [F.col("amount"), hundredths("l_tax")],
+        num_sources=3, merge=F.sum, divide_by=[100, 100])
+
+
 def wide_part_chain(spark: SparkSession, sf_dir: str) -> PosteriorChain:
     """Sample = part, slot = order modulo 20, eight parameters: the width of a real chain."""
     amounts = [hundredths(c) for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")]
