@@ -110,3 +110,12 @@ def test_all_stretches(make_docs, spark, words, changes):
     for r in rows:
         doc, item = docs[r.doc_id][r.doc_word:][:r.n_words], items[r.item_id][r.item_word:][:r.n_words]
         assert sum(map(str.__eq__, doc, item)) == r.n_equal and doc[0] == item[0] and doc[-1] == item[-1]
+
+
+@pytest.mark.parametrize("size", [5, 6, 7, 8])
+def test_short_items_with_one_changed_word(make_docs, spark, size):
+    item = [f"word{k}" for k in range(size)]
+    docs = [["x", *item[:k], "changed", *item[k + 1:], "y"] for k in range(size)] + [item, item[1:], item[:-1], item[2:], item[1:-1]]
+    benchmark = spark.createDataFrame([(size, " ".join(item))], "item_id long, text string")
+    rows = find_overlaps(make_docs([" ".join(d) for d in docs]), benchmark).collect()
+    assert {r.doc_id: r.n_equal for r in rows} == {i: size - (i != size) for i in range(size + 3)}
