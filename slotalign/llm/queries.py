@@ -16,6 +16,7 @@ from .permutation_index import nearest_neighbours
 from .pseudonyms import KINDS, pseudonymise
 from .quality import train_quality, with_quality
 from .secret_scan import RULES, describe, extend_ledger, join_findings, of_kinds
+from .token_counts import count_tokens
 from .token_shards import training_shards
 
 QUERIES = {}
@@ -143,3 +144,13 @@ def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key="corpus key 1")
     return made.select("doc_id", "text", *[
         F.size(of_kinds(F.col("found"), [kind])).cast("long").alias(f"n_{kind}") for kind in KINDS])
+
+
+MAX_TOKENS = 2048
+
+
+@query
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bytes and tokens of every document, and whether it is longer than a context."""
+    counted = count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > MAX_TOKENS).alias("over_limit"))
