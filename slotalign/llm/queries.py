@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..storage import stage
 from .bpe import bpe_decode, bpe_encode
+from .collocations import collocations
 from .decontaminate import find_overlaps
 from .language import identify, page_evidence, train_profiles
 from .lm_score import cross_entropy_difference
@@ -16,6 +17,7 @@ from .permutation_index import nearest_neighbours
 from .pseudonyms import KINDS, pseudonymise
 from .quality import train_quality, with_quality
 from .secret_scan import RULES, describe, extend_ledger, join_findings, of_kinds
+from .target_resampling import resample
 from .token_counts import count_tokens
 from .token_shards import training_shards
 
@@ -154,3 +156,75 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The bytes and tokens of every document, and whether it is longer than a context."""
     counted = count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > MAX_TOKENS).alias("over_limit"))
+
+
+@query
+def op12_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents, drawn by how much their words look like those of the benchmark."""
+    drawn = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+# The SQL below forms CRC-32 over the hexadecimal form of a word's bytes, by the table of the reflected polynomial.
+
+ORACLES["op12_target_resampling"] = f"""
+WITH entries AS (SELECT list(c ORDER BY i) AS entries FROM (
+  SELECT i, list_reduce(list_prepend(i::BIGINT, range(8)), lambda c, j: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS c
+  FROM range(256) t(i))),
+words AS (SELECT 'd' AS side, doc_id AS id, regexp_extract_all({LOWER_SQL}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents
+  UNION ALL
+  SELECT 'b', 0, regexp_extract_all({LOWER_SQL}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+used AS (SELECT side, id, unnest(words) AS word FROM words),
+each AS (SELECT word, hex(encode(word)) AS h FROM (SELECT DISTINCT word FROM used)),
+bucket AS (SELECT word, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT,
+    list_transform(range(len(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)),
+    lambda c, b: xor(entries[(xor(c, b) & 255) + 1], c >> 8))) % 10000 AS bucket
+  FROM each CROSS JOIN entries),
+s AS (SELECT bucket, count(*) AS s FROM used JOIN bucket USING (word) WHERE side = 'd' GROUP BY 1),
+t AS (SELECT bucket, count(*) AS t FROM used JOIN bucket USING (word) WHERE side = 'b' GROUP BY 1),
+totals AS (SELECT count(*) FILTER (side = 'd') AS all_s, count(*) FILTER (side = 'b') AS all_t FROM used),
+gains AS (SELECT bucket, floor(1000 * ln(((coalesce(t, 0) + 1) * (all_s + 10000))::DOUBLE / ((coalesce(s, 0) + 1) * (all_t + 10000))::DOUBLE)) AS gain
+  FROM s FULL JOIN t USING (bucket) CROSS JOIN totals),
+sums AS (SELECT id, count(*) AS n_features, floor(sum(gain) / count(*))::BIGINT AS weight
+  FROM used JOIN bucket USING (word) JOIN gains USING (bucket) WHERE side = 'd' GROUP BY 1),
+scored AS (SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0)
+    + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM documents LEFT JOIN sums ON id = doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place,
+    count(*) OVER (PARTITION BY n_features >= 20) AS n FROM scored)
+SELECT doc_id, n_features::BIGINT AS n_features, weight, score,
+    CASE WHEN n_features >= 20 AND place <= 10 * n // 100 THEN place END::BIGINT AS rank FROM ranked"""
+
+
+@query
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2,000 collocations of every language of the documents."""
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_collocations"] = f"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({LOWER_SQL}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+words AS (SELECT lang, row_number() OVER () AS piece, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+each AS (SELECT lang, piece, unnest(w) AS w1, generate_subscripts(w, 1) AS i FROM words),
+starts AS (SELECT lang, w1, lead(w1, 1) OVER p AS w2, lead(w1, 2) OVER p AS w3, lead(w1, 3) OVER p AS w4
+  FROM each WINDOW p AS (PARTITION BY piece ORDER BY i)),
+totals AS (SELECT lang, count(*) AS n FROM starts GROUP BY 1),
+counted AS (
+  SELECT lang, w1 AS p, count(*) AS f FROM starts GROUP BY 1, 2
+  UNION ALL SELECT lang, w1 || ' ' || w2, count(*) FROM starts WHERE w2 IS NOT NULL GROUP BY 1, 2
+  UNION ALL SELECT lang, w1 || ' ' || w2 || ' ' || w3, count(*) FROM starts WHERE w3 IS NOT NULL GROUP BY 1, 2
+  UNION ALL SELECT lang, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4, count(*) FROM starts WHERE w4 IS NOT NULL GROUP BY 1, 2),
+phrases AS MATERIALIZED (SELECT lang, p AS phrase, string_split(p, ' ') AS p, f FROM counted WHERE f >= 30),
+candidates AS (SELECT lang, p, f AS a FROM phrases WHERE len(p) > 1),
+parted AS MATERIALIZED (SELECT lang, p, a, k, array_to_string(p[:k], ' ') AS first, array_to_string(p[k + 1:], ' ') AS rest
+  FROM candidates JOIN range(1, 4) s(k) ON k < len(p)),
+cuts AS MATERIALIZED (SELECT c.lang, c.p, c.a, k, x.f AS l, y.f AS r, (2000000::HUGEINT * c.a) // (x.f + y.f) AS score FROM parted c
+  JOIN phrases x ON x.lang = c.lang AND x.phrase = first JOIN phrases y ON y.lang = c.lang AND y.phrase = rest),
+worst AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+inner_ones AS (SELECT c.lang, c.p[i:i + k - 1] AS p, max(c.a) AS most FROM candidates c
+  JOIN range(2, 4) s(k) ON k < len(c.p) JOIN range(1, 4) t(i) ON i + k - 1 <= len(c.p) GROUP BY 1, 2),
+kept AS (SELECT w.* FROM worst w LEFT JOIN inner_ones USING (lang, p) WHERE most IS NULL OR 100 * most < 80 * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(p, ' ')) AS rank FROM kept)
+SELECT lang, rank, array_to_string(p, ' ') AS phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM ranked JOIN totals USING (lang) WHERE rank <= 2000"""
