@@ -2,7 +2,7 @@
 
 The texts are put together from named parts: a chain as rows ``e(sample_id, slot, p0, ..)`` of the
 entries that are there, fits per label, scores, and the best assignment. The assignment is written
-as an exhaustive comparison (up to three slots) or as dynamic programming over sets of used labels.
+as an exhaustive comparison (up to three slots) or as dynamic programming over sets of used labels, a list per sample.
 """
 
 from __future__ import annotations
@@ -201,21 +201,29 @@ def compared_orders(tag: str, slots: int) -> list[str]:
 
 
 def label_sets(tag: str, slots: int) -> list[str]:
-    """``best(sample_id, labels)``: the best total per set of used labels, entry by entry."""
-    parts = [f"set{tag}_0 AS (SELECT sample_id, 0 AS used, 0.0::DOUBLE AS total, []::INTEGER[] AS labels "
-             f"FROM samples)"]
+    """``best(sample_id, labels)``: per sample one list with the best total of every set of used labels, folded entry by entry.
+
+    The sets are bit patterns. The labels are read off the lists from the last entry back, the highest label first.
+    """
+    def without(label: int, total: str, used: str) -> str:
+        return f"CASE WHEN ({used} >> {label}) & 1 = 1 THEN {total}[xor({used}, {1 << label}) + 1] + c{{0}}[{label + 1}] END"
+
+    scores = ", ".join(f"list(score ORDER BY label) FILTER (slot = {s}) AS c{s}" for s in range(slots))
+    rows = (f"(SELECT sample_id, {', '.join(f'c{s}' for s in range(slots))}, "
+            f"list_transform(range({1 << slots}), lambda u: CASE WHEN u = 0 THEN 0.0::DOUBLE END) AS t0 "
+            f"FROM samples LEFT JOIN (SELECT sample_id, {scores} FROM score{tag} GROUP BY sample_id) USING (sample_id))")
     for s in range(slots):
-        parts.append(f"""set{tag}_{s + 1} AS MATERIALIZED (
-  SELECT sample_id, used, max(total) AS total, arg_max(labels, total) AS labels FROM (
-    SELECT b.sample_id, b.used | CASE WHEN c.label IS NULL THEN 0 ELSE 1 << CAST(c.label AS INTEGER) END AS used,
-           b.total + coalesce(c.score, 0) AS total,
-           list_append(b.labels, coalesce(CAST(c.label AS INTEGER), -1)) AS labels
-    FROM set{tag}_{s} b LEFT JOIN score{tag} c ON c.sample_id = b.sample_id AND c.slot = {s}
-    WHERE c.label IS NULL OR (b.used & (1 << CAST(c.label AS INTEGER))) = 0)
-  GROUP BY sample_id, used)""")
-    parts.append(f"best{tag} AS (SELECT sample_id, arg_max(labels, total) AS labels FROM set{tag}_{slots} "
-                 f"GROUP BY sample_id)")
-    return parts
+        best = ", ".join(without(label, f"t{s}", "u").format(s) for label in range(slots))
+        rows = (f"(SELECT *, CASE WHEN c{s} IS NULL THEN t{s} ELSE "
+                f"list_transform(range({1 << slots}), lambda u: greatest({best})) END AS t{s + 1} FROM {rows})")
+    rows = f"(SELECT *, list_position(t{slots}, list_max(t{slots})) - 1 AS u{slots} FROM {rows})"
+    for s in reversed(range(slots)):
+        found = " ".join(f"WHEN {without(label, f't{s}', f'u{s + 1}').format(s)} = t{s + 1}[u{s + 1} + 1] THEN {label}"
+                         for label in reversed(range(slots)))
+        rows = f"(SELECT *, CASE WHEN c{s} IS NULL THEN -1 {found} END AS l{s} FROM {rows})"
+        rows = f"(SELECT *, CASE WHEN l{s} < 0 THEN u{s + 1} ELSE xor(u{s + 1}, 1 << l{s}) END AS u{s} FROM {rows})"
+    labels = ", ".join(f"l{s}" for s in range(slots))
+    return [f"best{tag} AS MATERIALIZED (SELECT sample_id, [{labels}] AS labels FROM {rows})"]
 
 
 def assignment_query(source: str, slots: int, used: list[int], fit: str, solve) -> str:
