@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..chain import PosteriorChain
 from ..functions.columns import all_present, number_array, with_log_floor
+from .bounds import Coordinates, layout_gaps, slacks
 from .fits import NormalFit
 from .matching import best_labels, fill_free_labels, settle_ties
 from .models import LabelModel
@@ -24,7 +25,7 @@ ASSIGNMENT_TYPE = "struct<labels:array<int>,scores:array<double>>"
 def log_density(chain: PosteriorChain, fit: NormalFit, model: LabelModel,
                 labels: list[int] | None = None) -> DataFrame:
     """``sample_id, label, slot, logpdf`` for the requested labels; NULL for missing entries."""
-    labels = list(range(len(fit.mean))) if labels is None else labels
+    labels = list(range(fit.num_labels)) if labels is None else labels
     model.check(fit)
     entries = chain.long_columns()
     if model.column_density is None:
@@ -58,7 +59,7 @@ def cost_matrix(chain: PosteriorChain, fit: NormalFit, prob_in_model: np.ndarray
 
     The filling for a missing entry goes by the slot of the entry, not by the label.
     """
-    width = len(fit.mean) if num_distributions is None else num_distributions
+    width = fit.num_labels if num_distributions is None else num_distributions
     if width not in (1, chain.num_sources):
         raise ValueError("the cost matrix must be square, or have one distribution")
     log_in, log_out = with_log_floor(np.asarray(prob_in_model)[:width])
@@ -86,47 +87,78 @@ def assign(chain: PosteriorChain, fit: NormalFit, prob_in_model: np.ndarray,
     serves all widths, so ties have one rule: of equal totals that come from equal fits or equal entries,
     lower slots get lower labels, and a lone entry the lowest of equal labels.
     """
-    if len(fit.mean) != chain.num_sources or len(prob_in_model) != chain.num_sources:
-        raise ValueError("the fit must have one label per slot; expand the chain first")
-    model.check(fit)
-    log_in, _ = with_log_floor(prob_in_model)
     frame = chain.by_param()
-    assigned = frame.withColumn("_best", _block_assignment(chain.num_sources, fit, log_in, model))
-    return assigned.selectExpr(*frame.columns, "_best.labels AS labels", "_best.scores AS scores")
+    match = block_matcher(chain.num_sources, fit, prob_in_model, model)
+    return _matched(frame, fit, match, chain.num_sources, ASSIGNMENT_TYPE).selectExpr(
+        *frame.columns, "_best.labels AS labels", "_best.scores AS scores")
+
+
+def assign_with_slack(chain: PosteriorChain, fit: NormalFit, prob_in_model: np.ndarray, model: LabelModel,
+                      coordinates: Coordinates) -> DataFrame:
+    """``assign`` with the ``slack`` of every sample, by which the written files are ordered."""
+    frame = chain.by_param()
+    match = block_matcher(chain.num_sources, fit, prob_in_model, model, coordinates)
+    kind = ASSIGNMENT_TYPE.replace(">>", ">,slack:double>")
+    return _matched(frame, fit, match, chain.num_sources, kind).selectExpr(
+        *frame.columns, "_best.labels AS labels", "_best.slack AS slack").sortWithinPartitions("slack")
 
 
-def _block_assignment(num_sources: int, fit: NormalFit, log_in: np.ndarray, model: LabelModel) -> Column:
-    """Arrow blocks of samples scored and matched with NumPy."""
+def block_matcher(num_sources: int, fit: NormalFit, prob_in_model: np.ndarray, model: LabelModel,
+                  coordinates: Coordinates | None = None):
+    """A function from the fitted parameters of many samples (parameters, samples, slots) to labels, scores and slacks.
+
+    Slacks are None without ``coordinates``.
+    """
+    if fit.num_labels != num_sources or len(prob_in_model) != num_sources:
+        raise ValueError("the fit must have one label per slot; expand the chain first")
+    model.check(fit)
+    log_in, _ = with_log_floor(prob_in_model)
     density = model.array_density
-    # Labels with the same normal fit are interchangeable; other kinds of fit may hold more fields.
+    # Labels with the same fit are interchangeable; a fit may hold more than it names as its numbers in a subclass.
     alike: dict[bytes, list[int]] = {}
-    for label in range(num_sources if type(fit) is NormalFit else 0):
-        numbers = np.concatenate([[log_in[label]], fit.mean[label].ravel(), fit.cov[label].ravel()]) + 0.0
+    for label in range(num_sources if "numbers" in vars(type(fit)) else 0):
+        numbers = np.concatenate([[log_in[label]], fit.numbers(label)]) + 0.0
         alike.setdefault(numbers.tobytes(), []).append(label)
     tied = [pair for group in alike.values() for pair in combinations(group, 2)]
     rows = max(1, MAX_BLOCK_CELLS // num_sources**2)
 
-    def match_block(cube: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def match_block(cube: np.ndarray) -> tuple[np.ndarray, ...]:
         valid = ~np.isnan(cube).any(axis=0)
         score = np.full(valid.shape + (num_sources,), np.nan)
         entries = cube[:, valid].T
         score[valid] = np.stack([density(entries, fit, label) + log_in[label] for label in range(num_sources)], axis=1)
         labels = best_labels(score, valid)
         settle_ties(labels, np.moveaxis(cube, 0, 2), tied)
-        own = np.take_along_axis(score, np.maximum(labels, 0)[:, :, None], axis=2)[:, :, 0]
-        return fill_free_labels(labels), np.where(valid, own, np.nan)
+        own = np.where(valid, np.take_along_axis(score, np.maximum(labels, 0)[:, :, None], axis=2)[:, :, 0], np.nan)
+        filled = fill_free_labels(labels)
+        if coordinates is None:
+            return filled, own
+        lengths = np.zeros(valid.shape)
+        lengths[valid] = coordinates.lengths(entries)
+        return filled, own, slacks(layout_gaps(score, filled, valid), valid, lengths)
+
+    def match(cube: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+        blocks = [match_block(cube[:, at:at + rows]) for at in range(0, max(cube.shape[1], 1), rows)]
+        parts = [np.concatenate(part) for part in zip(*blocks)]
+        return parts[0], parts[1], parts[2] if coordinates else None
 
-    @F.arrow_udf(ASSIGNMENT_TYPE)
-    def match(*params: pa.Array) -> pa.Array:
+    return match
+
+
+def _matched(frame: DataFrame, fit: NormalFit, match, num_sources: int, kind: str) -> DataFrame:
+    """``frame`` with ``_best``: Arrow blocks of samples scored and matched with NumPy."""
+
+    @F.arrow_udf(kind)
+    def best(*params: pa.Array) -> pa.Array:
         cube = np.stack([p.flatten().to_numpy(zero_copy_only=False) for p in params])
-        cube = cube.reshape(len(params), -1, num_sources)
-        blocks = [match_block(cube[:, at:at + rows]) for at in range(0, max(cube.shape[1], 1), rows)]
-        labels, own = (np.concatenate(part) for part in zip(*blocks))
-        return pa.StructArray.from_arrays([_rows_of(labels.astype("int32")), _rows_of(own, np.isnan(own))],
-                                          ["labels", "scores"])
+        labels, own, slack = match(cube.reshape(len(params), -1, num_sources))
+        columns = [_rows_of(labels.astype("int32"))]
+        if slack is None:
+            return pa.StructArray.from_arrays([*columns, _rows_of(own, np.isnan(own))], ["labels", "scores"])
+        return pa.StructArray.from_arrays([*columns, _rows_of(own, np.isnan(own)), pa.array(slack)], ["labels", "scores", "slack"])
 
     # Nondeterministic to the optimizer only: a filter on the result must not run the matching twice.
-    return match.asNondeterministic()(*[f"p{p}" for p in fit.params])
+    return frame.withColumn("_best", best.asNondeterministic()(*[f"p{p}" for p in fit.params]))
 
 
 def _rows_of(block: np.ndarray, missing: np.ndarray | None = None) -> pa.Array:

@@ -1,16 +1,19 @@
-"""Normal fits per slot and inclusion probabilities."""
+"""Fits per slot and inclusion probabilities."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..chain import PosteriorChain
-from .moments import SlotMoments, collect_all_values, collect_moments, labelled_entries
+from .entry_fits import EntryEstimator
+from .exact import SlotSums
+from .moments import Layout, SlotMoments, collect_all_values, measure_entries
 
 # Fixed values that results depend on.
 MIN_VALID = 8        # slots with fewer valid entries use the pooled fit
@@ -26,6 +29,14 @@ class NormalFit:
     params: tuple[int, ...]
     pooled: tuple[bool, ...] = ()
 
+    @property
+    def num_labels(self) -> int:
+        return len(self.mean)
+
+    def numbers(self, label: int) -> np.ndarray:
+        """What tells one label's distribution from another's."""
+        return np.concatenate([self.mean[label].ravel(), self.cov[label].ravel()])
+
     @property
     def std(self) -> np.ndarray:
         """Standard deviations of a one-parameter fit."""
@@ -70,7 +81,8 @@ class FitInput:
         return collect_all_values(self.chain.by_param())
 
 
-Estimator = Callable[[SlotMoments, int, FitInput], NormalFit]
+MomentEstimator = Callable[[SlotMoments, int, FitInput], NormalFit]
+Estimator = MomentEstimator | EntryEstimator
 
 
 def mv_normal_estimate(moments: SlotMoments, max_num_sources: int, given: FitInput) -> NormalFit:
@@ -105,13 +117,25 @@ def check_width(chain: PosteriorChain, max_num_sources: int) -> None:
         raise IndexError(f"the chain has {chain.num_sources} slots, not {max_num_sources}")
 
 
-def measure(chain: PosteriorChain, params: list[int]) -> SlotMoments:
-    """Moments of a chain in the layout it has."""
-    labelled = labelled_entries(chain.by_param(), chain.num_sources, params)
-    return collect_moments(labelled, np.zeros((chain.num_sources, len(params))))
+def measure(chain: PosteriorChain, params: list[int], estimator: Estimator) -> Layout:
+    """What ``estimator`` needs of a chain in the layout it has."""
+    return measure_entries(chain.by_param(), chain.num_sources, params,
+                           estimator=estimator if isinstance(estimator, EntryEstimator) else None)
+
 
+def estimate(estimator: Estimator, layout: Layout, max_num_sources: int, given: FitInput):
+    """The fit of a layout; labels with few entries are fitted to those of all labels."""
+    if not isinstance(estimator, EntryEstimator):
+        return estimator(layout.moments, max_num_sources, given)
+    states, thin = layout.states, layout.sums.valid < MIN_VALID
+    if thin[:max_num_sources].any():
+        # Merging may work in place, so the pool starts from an own state.
+        pool = reduce(estimator.merge, states, estimator.init(len(given.params)))
+        states = [pool if few else state for few, state in zip(thin, states)]
+    return estimator.finish(states[:max_num_sources], given)
 
-def clip_probability(moments: SlotMoments, max_num_sources: int, eps: float) -> np.ndarray:
+
+def clip_probability(moments: SlotMoments | SlotSums, max_num_sources: int, eps: float) -> np.ndarray:
     """Share of samples in which a slot has parameter 0, clipped to [eps, 1-eps]."""
     if moments.samples == 0:
         return np.full(max_num_sources, np.nan)
@@ -123,16 +147,22 @@ def find_prob_in_model(chain: PosteriorChain, max_num_sources: int | None = None
     """Inclusion probability of the first ``max_num_sources`` slots."""
     width = chain.num_sources if max_num_sources is None else max_num_sources
     check_width(chain, width)
-    return clip_probability(measure(chain, [0]), width, eps)
+    counts = [F.count(F.get("p0", s)).alias(f"n{s}") for s in range(chain.num_sources)]
+    row = chain.by_param().agg(F.count("*").alias("samples"), *counts).first()
+    present = np.array([row[f"n{s}"] for s in range(chain.num_sources)])
+    return clip_probability(SlotSums(chain.num_sources, 1, row["samples"], present), width, eps)
 
 
 def create_parametric_fit(estimator: Estimator, single_parameter: int | None = None):
-    """A function ``(chain, max_num_sources) -> fit``, over all parameters or over one of them."""
+    """A function ``(chain, max_num_sources) -> fit``, over all parameters or over one of them.
+
+    An ``estimator`` is a function of the moments of the slots, or an ``EntryEstimator`` that looks at their entries.
+    """
 
-    def parametric_fit(chain: PosteriorChain, max_num_sources: int) -> NormalFit:
+    def parametric_fit(chain: PosteriorChain, max_num_sources: int):
         check_width(chain, max_num_sources)
         params = fitted_params(chain, single_parameter)
-        return estimator(measure(chain, params), max_num_sources, FitInput(chain, params))
+        return estimate(estimator, measure(chain, params, estimator), max_num_sources, FitInput(chain, params))
 
     parametric_fit.estimator = estimator
     parametric_fit.single_parameter = single_parameter
@@ -158,9 +188,9 @@ def uni_normal_fit_single_parameter(chain: PosteriorChain, max_num_sources: int,
 
 def update_parametric_fit_and_prob_in_model(chain: PosteriorChain, max_num_sources: int, parametric_fit,
                                             eps: float = DEFAULT_EPS) -> tuple[NormalFit, np.ndarray]:
-    """Fit and inclusion probabilities from one aggregation."""
+    """Fit and inclusion probabilities from one pass."""
     check_width(chain, max_num_sources)
     params = fitted_params(chain, parametric_fit.single_parameter)
-    moments = measure(chain, params)
-    fit = parametric_fit.estimator(moments, max_num_sources, FitInput(chain, params))
-    return fit, clip_probability(moments, max_num_sources, eps)
+    layout = measure(chain, params, parametric_fit.estimator)
+    fit = estimate(parametric_fit.estimator, layout, max_num_sources, FitInput(chain, params))
+    return fit, clip_probability(layout.sums, max_num_sources, eps)

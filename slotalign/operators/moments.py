@@ -1,20 +1,26 @@
-"""Counts and moments per slot, as one grouped aggregation."""
+"""Counts and moments per slot: exact sums made where the samples are, or a grouped aggregation in SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import pickle
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import cached_property
+from typing import Protocol
 
 import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import all_present, number_array
+from .exact import SlotSums, digest, slack_bin
 
 
 @dataclass(frozen=True)
 class SlotMoments:
-    """What one pass over a chain yields: S rows of counts and moments, held on the driver.
+    """Counts and moments of the S slots, held on the driver.
 
     ``present`` counts samples whose parameter 0 is there; ``valid`` counts entries that have all
     of the fitted parameters, and the moments are over those. ``scatter`` is the sum of outer
@@ -42,11 +48,6 @@ class SlotMoments:
         return count, centre, self.scatter[filled].sum(axis=0) + (shift.T * weight) @ shift
 
 
-# A pass is repeated with better centres if a mean is further than this many deviations (squared)
-# from the centre, because the sums of squares would then lose digits.
-MAX_SHIFT = 1e4
-
-
 def labelled_entries(frame: DataFrame, num_sources: int, params: Sequence[int]) -> DataFrame:
     """One row per entry: ``sample_id, label, source, score, present`` and the parameters ``v0 ..``.
 
@@ -68,9 +69,9 @@ def labelled_entries(frame: DataFrame, num_sources: int, params: Sequence[int])
 
 
 def moments_by_slot(labelled: DataFrame, centre: np.ndarray) -> DataFrame:
-    """Counts, sums and sums of products of the deviations of ``v0 ..`` from ``centre``, per label.
+    """Counts, sums and sums of products of the deviations of ``v0 ..`` from ``centre``, per label, as a DataFrame.
 
-    Plain sums keep the aggregation in short compiled code; at most one row per label and task is
+    For use in SQL; fits and the loop take exact sums (``measure_entries``). Plain sums keep the aggregation in short compiled code; at most one row per label and task is
     shuffled.
     """
     width = range(centre.shape[1])
@@ -88,39 +89,118 @@ def moments_by_slot(labelled: DataFrame, centre: np.ndarray) -> DataFrame:
         FROM {{entry}} GROUP BY label""", entry=entry)
 
 
-def collect_moments(labelled: DataFrame, centre: np.ndarray) -> SlotMoments:
-    """Run the aggregation and bring its S rows to the driver."""
-    moments, accurate = _collect_once(labelled, centre)
-    return moments if accurate else _collect_once(labelled, np.nan_to_num(moments.mean))[0]
-
-
-def _collect_once(labelled: DataFrame, centre: np.ndarray) -> tuple[SlotMoments, bool]:
-    num_sources, width = centre.shape
-    counts = np.zeros((2, num_sources), dtype=np.int64)
-    first = np.zeros((num_sources, width))
-    second = np.zeros((num_sources, width, width))
-    samples, score, layout = 0, 0.0, 0
-    for row in moments_by_slot(labelled, centre).collect():
-        slot = row["label"]
-        samples = row["samples"]
-        counts[:, slot] = row["present"], row["valid"]
-        score += row["score"] or 0.0
-        layout ^= row["layout"] or 0
-        if row["valid"]:
-            first[slot] = [row[f"s{i}"] for i in range(width)]
-            for i in range(width):
-                second[slot, i, i:] = second[slot, i:, i] = [row[f"s{i}_{j}"] for j in range(i, width)]
-    present, valid = counts
-    with np.errstate(divide="ignore", invalid="ignore"):
-        shift = first / valid[:, None]
-        mean = centre + shift
-        scatter = second - valid[:, None, None] * shift[:, :, None] * shift[:, None, :]
-        spread = np.diagonal(scatter, axis1=1, axis2=2)
-        accurate = not (valid[:, None] * shift**2 > MAX_SHIFT * spread).any()
-        # Deviations at the level of rounding are those of a constant.
-        constant = spread <= valid[:, None] * (4 * np.finfo(float).eps * mean) ** 2
-        scatter[constant[:, :, None] | constant[:, None, :]] = 0.0
-    return SlotMoments(samples, present, valid, mean, scatter, score, layout), accurate
+# States of so many tasks are merged by the driver or one group; more meet in groups first.
+FAN_IN = 256
+
+
+@dataclass
+class Layout:
+    """What one pass yields: exact sums, and per slot the state of an estimator that looks at the entries."""
+
+    sums: SlotSums
+    states: list | None = None
+
+    @cached_property
+    def moments(self) -> SlotMoments:
+        sums = self.sums
+        return SlotMoments(sums.samples, sums.present, sums.valid, *sums.central(), sums.mean_score() * sums.samples, sums.layout)
+
+
+class EntryState(Protocol):
+    """The part of an entry estimator that tasks run."""
+
+    init: Callable[[int], object]
+    update: Callable[[object, np.ndarray], object]
+    merge: Callable[[object, object], object]
+
+
+def measure_entries(frame: DataFrame, num_sources: int, params: Sequence[int], matcher: Callable | None = None,
+                    matched: Sequence[int] = (), estimator: EntryState | None = None, sum_scores: bool = False,
+                    difference: bool = False) -> Layout:
+    """Match the samples of a chain by parameter, if a ``matcher`` is given, and sum up their entries in one map.
+
+    ``matcher`` takes the ``matched`` parameters of a block of samples (an array of parameters, samples, slots) and returns
+    labels, scores and, if it knows them, slacks. With ``difference`` the sums are those of the new labels less those of
+    the written ``labels``. Without a matcher entries count for the slot they are in, or for the ``labels`` of a written assignment.
+    With an ``estimator`` its states are built instead of products of parameters. States travel as plain arrays and numbers.
+    """
+    names = [f"p{p}" for p in sorted({0, *params, *matched})]
+    written = ["labels"] if difference or (not matcher and "labels" in frame.columns) else []
+    slack = ["slack"] if not matcher and "slack" in frame.columns else []
+    at = {name: i for i, name in enumerate(names)}
+    order, first = [at[f"p{p}"] for p in params], at["p0"]
+    needs = [at[f"p{p}"] for p in matched]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = SlotSums(num_sources, len(order))
+        states = [estimator.init(len(order)) for _ in range(num_sources)] if estimator else None
+        for batch in batches:
+            cube = cube_of([batch.column(n) for n in names], num_sources)
+            samples = batch.column("sample_id").to_numpy(zero_copy_only=False)
+            labels, scores, slacks = np.broadcast_to(np.arange(num_sources), cube.shape[1:]), None, None
+            if written:
+                labels = cube_of([batch.column("labels")], num_sources)[0].astype(np.int64)
+            if slack:
+                slacks = batch.column("slack").to_numpy(zero_copy_only=False)
+            values, present = cube[order], ~np.isnan(cube[first])
+            if difference:
+                add_block(sums, states, estimator, samples, values, present, labels, sign=-1)
+            if matcher:
+                labels, scores, slacks = matcher(cube[needs])
+            add_block(sums, states, estimator, samples, values, present, labels)
+            sums.samples += 0 if difference else len(samples)
+            sums.read += len(samples)
+            if scores is not None and sum_scores:
+                sums.add_scores(scores[~np.isnan(scores)])
+            if slacks is not None:
+                sums.slacks += np.bincount(slack_bin(slacks), minlength=len(sums.slacks))
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([pickle.dumps((vars(sums), states))])],
+                                         names=["task", "state"])
+
+    wanted = frame.select("sample_id", *names, *written, *slack)
+    rows = wanted.mapInArrow(run, "task long, state binary")
+
+    def merged(contents: Iterable[bytes]) -> tuple[SlotSums, list | None]:
+        total, states = SlotSums(num_sources, len(order)), None
+        for content in contents:
+            sums, other = pickle.loads(content)
+            total.merge(SlotSums(**sums))
+            states = other if states is None or other is None else [estimator.merge(a, b) for a, b in zip(states, other)]
+        if estimator and states is None:
+            states = [estimator.init(len(order)) for _ in range(num_sources)]
+        return total, states
+
+    if wanted.rdd.getNumPartitions() > FAN_IN:
+        def meet(table: pa.Table) -> pa.Table:
+            sums, states = merged(table["state"].to_pylist())
+            return pa.table([pa.array([pickle.dumps((vars(sums), states))])], names=["state"])
+
+        rows = rows.groupBy((F.col("task") % FAN_IN).alias("branch")).applyInArrow(meet, "state binary")
+    return Layout(*merged(row["state"] for row in rows.select("state").collect()))
+
+
+def cube_of(columns: Sequence[pa.Array], num_sources: int) -> np.ndarray:
+    """Lists of a value per slot as (columns, samples, slots); NULL becomes NaN."""
+    flat = [c.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False) for c in columns]
+    return np.stack(flat).reshape(len(columns), -1, num_sources)
+
+
+def add_block(sums: SlotSums, states: list | None, estimator: EntryState | None, samples: np.ndarray, values: np.ndarray,
+              present: np.ndarray, labels: np.ndarray, sign: int = 1) -> None:
+    """A block of samples: ``values`` are (parameters, samples, slots), ``present`` and ``labels`` (samples, slots)."""
+    sums.present += sign * np.bincount(labels[present], minlength=sums.num_sources)
+    row, source = np.nonzero(~np.isnan(values).any(axis=0))
+    given = labels[row, source]
+    sums.layout ^= digest(samples[row], source, given)
+    by_label = np.argsort(given, kind="stable")
+    entries, given = np.ascontiguousarray(values[:, row[by_label], source[by_label]].T), given[by_label]
+    if estimator is None:
+        sums.add_entries(given, entries, sign)
+        return
+    bounds = np.searchsorted(given, np.arange(sums.num_sources + 1))
+    sums.valid += np.diff(bounds)
+    for label in range(sums.num_sources):
+        states[label] = estimator.update(states[label], entries[bounds[label]:bounds[label + 1]])
 
 
 def collect_all_values(frame: DataFrame) -> tuple[int, float, float]:
