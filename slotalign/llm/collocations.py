@@ -130,29 +130,51 @@ def expand(content: bytes, count: int) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(4, count).T).view("<u4").ravel().astype(np.int64)
 
 
+def sort_keys(columns: np.ndarray) -> list[np.ndarray]:
+    """Columns of small numbers as few numbers that sort like them, the most significant last."""
+    bits = int(columns.max(initial=0)).bit_length()
+    each = max(1, 63 // max(bits, 1))
+    keys = []
+    for at in range(0, len(columns), each):
+        key = columns[at].copy()
+        for column in columns[at + 1:at + each]:
+            key <<= bits
+            key |= column
+        keys.append(key)
+    return keys[::-1]
+
+
 def distinct_rows(columns: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct columns of a (rows, n) array of small numbers in ascending order, and their summed weights."""
     if columns.shape[1] == 0:
         return columns, np.empty(0, np.int64)
-    order = np.lexsort(columns[::-1])
-    ordered = columns[:, order]
-    fresh = np.append(True, (ordered[:, 1:] != ordered[:, :-1]).any(axis=0))
+    keys = sort_keys(columns)
+    order = np.argsort(keys[0]) if len(keys) == 1 else np.lexsort(keys)
+    fresh = np.zeros(len(order), bool)
+    fresh[0] = True
+    for key in keys:
+        ordered = key[order]
+        fresh[1:] |= ordered[1:] != ordered[:-1]
     at = np.flatnonzero(fresh)
     summed = np.diff(at, append=len(order)) if weights is None else np.add.reduceat(weights[order], at)
-    return ordered[:, at], summed
+    return columns[:, order[at]], summed
 
 
-def packed_part(part: int, lang: str, words: pa.Array, columns: np.ndarray, counts: np.ndarray) -> dict:
+def packed_part(part: int, lang: str, words: pa.Array, columns: np.ndarray) -> dict:
     """One record; its words are numbered by how often they are used, so the numbers are small."""
-    used, inverse, often = np.unique(columns, return_inverse=True, return_counts=True)
-    inverse = inverse.reshape(columns.shape)
-    real = used > 0
-    order = np.argsort(-often[real], kind="stable")
-    renamed = np.zeros(len(used), np.int64)
-    renamed[np.flatnonzero(real)[order]] = np.arange(1, len(order) + 1)
-    names = words.take(pa.array(used[real][order] - 1))
-    columns, counts = distinct_rows(renamed[inverse], counts)
-    text = "\n".join(names.to_pylist()).encode()
+    if len(words) < 4 * columns.size:
+        often = np.bincount(columns.ravel(), minlength=len(words) + 1)
+        often[0] = 0
+        used = np.flatnonzero(often)
+        used = used[np.argsort(-often[used], kind="stable")]
+        renamed = np.zeros(len(words) + 1, np.int64)
+        renamed[used] = np.arange(1, len(used) + 1)
+        columns = renamed[columns]
+    else:
+        used, inverse = np.unique(columns, return_inverse=True)
+        columns, used = inverse.reshape(columns.shape) + (used[0] > 0), used[used > 0]
+    columns, counts = distinct_rows(columns)
+    text = "\n".join(words.take(pa.array(used - 1)).to_pylist()).encode()
     return {"part": part, "lang": lang, "n": columns.shape[1], "size": len(text), "words": pa.compress(text, codec="zstd", asbytes=True),
             "windows": squeeze(columns.ravel()), "counts": squeeze(counts)}
 
@@ -183,19 +205,18 @@ def pack_windows(frame: DataFrame, parts: int, hot: np.ndarray) -> DataFrame:
             for words, block in made:
                 columns.append(np.append(0, numbers[at:at + len(words)])[block])
                 at += len(words)
-            merged, counts = distinct_rows(np.concatenate(columns, axis=1))
-            pair, triple, quad = prefix_hashes(word_hashes(joined.dictionary)[merged])
-            route = pair.copy()
+            columns = np.concatenate(columns, axis=1)
+            pair, triple, quad = prefix_hashes(word_hashes(joined.dictionary)[columns])
             wide = members.find(pair)[0]
-            route[wide] = triple[wide]
+            pair[wide] = triple[wide]
             wider = wide[members.find(triple[wide])[0]]
-            route[wider] = quad[wider]
-            part = (route % np.uint64(parts)).astype(np.int64)
+            pair[wider] = quad[wider]
+            # Small numbers sort in linear time.
+            part = (pair % np.uint64(parts)).astype(np.uint16 if parts <= 1 << 16 else np.int64)
             order = np.argsort(part, kind="stable")
-            bounds = np.flatnonzero(np.diff(part[order], prepend=-1, append=parts))
-            for low, high in zip(bounds[:-1], bounds[1:]):
-                chosen = order[low:high]
-                yield packed_part(int(part[chosen[0]]), lang, joined.dictionary, merged[:, chosen], counts[chosen])
+            bounds = np.append(np.flatnonzero(np.diff(part[order].astype(np.int64), prepend=-1)), len(order))
+            for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                yield packed_part(int(part[order[low]]), lang, joined.dictionary, columns[:, order[low:high]])
 
         for batch in batches:
             for piece in small_slices(batch):
