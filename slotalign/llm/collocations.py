@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import math
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +30,7 @@ from .arrow import small_slices
 from .frequent import named_candidates
 from .joins import join_counted
 from .slices import Block, blocks, runs
-from .words import Members, mix
+from .words import BASE, Members, mix, powers_of
 
 LONGEST = 4
 MIN_COUNT = 30
@@ -87,12 +86,24 @@ class Windows:
         return encoded.dictionary, columns[:, own], text[own]
 
 
-def word_hashes(words: pa.Array) -> np.ndarray:
-    """A hash per dictionary word that is the same in all tasks; 0 stands for padding."""
-    made = np.zeros(len(words) + 1, np.uint64)
-    content = [w.as_py().encode() for w in words]
-    made[1:] = [zlib.crc32(c) | (zlib.crc32(c, 0x5BD1E995) << 32) for c in content]
-    return mix(made + np.uint64(1))
+def word_hashes(words: pa.Array, used: np.ndarray | None = None) -> np.ndarray:
+    """A hash per dictionary word (of the ``used`` numbers only, if given) that is the same in all tasks; 0 stands for padding.
+
+    Equal hashes of different words only bring their windows to the same part.
+    """
+    made = np.full(len(words) + 1, mix(np.ones(1, np.uint64))[0])
+    used = np.arange(1, len(words) + 1) if used is None else used
+    chosen = words.take(pa.array(used - 1))
+    offsets = np.frombuffer(chosen.buffers()[1], np.int32)[chosen.offset:chosen.offset + len(chosen) + 1].astype(np.int64)
+    if not len(chosen) or offsets[-1] == offsets[0]:
+        return made
+    data = np.frombuffer(chosen.buffers()[2], np.uint8)[offsets[0]:offsets[-1]]
+    offsets = offsets - offsets[0]
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers_of(BASE, len(data)), out=sums[1:])
+    back = powers_of(pow(BASE, -1, 1 << 64), len(data) + 1)
+    made[used] = mix((sums[offsets[1:]] - sums[offsets[:-1]]) * back[offsets[:-1]])
+    return made
 
 
 def prefix_hashes(hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -206,7 +217,9 @@ def pack_windows(frame: DataFrame, parts: int, hot: np.ndarray) -> DataFrame:
                 columns.append(np.append(0, numbers[at:at + len(words)])[block])
                 at += len(words)
             columns = np.concatenate(columns, axis=1)
-            pair, triple, quad = prefix_hashes(word_hashes(joined.dictionary)[columns])
+            used = np.flatnonzero(np.bincount(columns.ravel(), minlength=1))
+            hashed = word_hashes(joined.dictionary, used[used > 0])
+            pair, triple, quad = prefix_hashes(hashed[columns])
             wide = members.find(pair)[0]
             pair[wide] = triple[wide]
             wider = wide[members.find(triple[wide])[0]]
