@@ -135,7 +135,7 @@ def block_matcher(num_sources: int, fit: NormalFit, prob_in_model: np.ndarray, m
             return filled, own
         lengths = np.zeros(valid.shape)
         lengths[valid] = coordinates.lengths(entries)
-        return filled, own, slacks(layout_gaps(score, filled, valid), valid, lengths)
+        return filled, own, slacks(layout_gaps(score, filled, valid), valid, lengths, coordinates.weights)
 
     def match(cube: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
         blocks = [match_block(cube[:, at:at + rows]) for at in range(0, max(cube.shape[1], 1), rows)]

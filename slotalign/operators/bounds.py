@@ -3,16 +3,17 @@
 For every sample, the gap is what the second best layout lacks to the best one. A label's score is quadratic in the entry, so
 the change of a score between two fits is bounded by a constant, a multiple of the entry's length and one of its square. A
 sample whose gap exceeds what all of its entries can change by keeps its layout: no candidate is lost, and the loop takes
-the same steps as without bounds. The gap per unit of length is one number, written with the sample.
+the same steps as without bounds. The gap per unit is one number, written with the sample; a unit weighs the three terms
+as the last step moved them, so that a further step like it is bounded tightly.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 
-from .exact import SLACK_BINS, SLACK_LOWEST
+from .exact import slack_bin
 from .moments import SlotMoments
 
 # Scores are rounded; differences at this part of their largest terms are no evidence.
@@ -21,10 +22,21 @@ ROUNDING = 1e-11
 
 @dataclass(frozen=True)
 class Coordinates:
-    """Entries relative to the mean of all of them, in units of their deviations."""
+    """Entries relative to the mean of all of them, in units of their deviations, and what a unit of movement is."""
 
     centre: np.ndarray
     lower: np.ndarray
+    weights: tuple[float, float, float] = (1.0, 1.0, 1.0)
+
+    def weighing(self, movement: np.ndarray) -> Coordinates:
+        """A unit in proportion to ``movement``; no term weighs nothing."""
+        top = float(movement.max())
+        known = np.isfinite(top) and top > 0
+        return replace(self, weights=tuple(np.maximum(movement / top, 1e-3).tolist()) if known else (1.0, 1.0, 1.0))
+
+    def units(self, movement: np.ndarray) -> float:
+        """A slack above this number survives a movement."""
+        return float((movement / np.array(self.weights)).max())
 
     @classmethod
     def of(cls, moments: SlotMoments) -> Coordinates | None:
@@ -57,25 +69,26 @@ def layout_gaps(score: np.ndarray, labels: np.ndarray, valid: np.ndarray) -> np.
     return np.where(np.isnan(around), 0.0, np.maximum(around, 0.0))
 
 
-def slacks(gaps: np.ndarray, valid: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Gaps per unit: one for each entry, its length and the square of that."""
-    units = np.where(valid, 1.0 + lengths + lengths**2, 0.0).sum(axis=1)
+def slacks(gaps: np.ndarray, valid: np.ndarray, lengths: np.ndarray, weights: tuple[float, float, float]) -> np.ndarray:
+    """Gaps per unit: a weighted sum of one, the length and its square, over the entries."""
+    constant, linear, square = weights
+    units = np.where(valid, constant + linear * lengths + square * lengths**2, 0.0).sum(axis=1)
     with np.errstate(divide="ignore", invalid="ignore"):
         return np.where(units > 0, gaps / units, np.inf)
 
 
-def largest_swing(before: tuple, after: tuple, coordinates: Coordinates) -> float:
-    """A slack above this number survives the step from one ``(normal fit, log inclusion)`` to another."""
-    (constant, linear, square), largest = _terms(*before, coordinates), 0.0
-    new = _terms(*after, coordinates)
-    for old, now in zip((constant, linear, square), new):
-        largest = max(largest, float(np.abs(old).max()), float(np.abs(now).max()))
-    moved = [now - old for old, now in zip((constant, linear, square), new)]
-    apart = [m[:, None] - m[None, :] for m in moved]
-    pairs = apart[2].reshape(-1, *square.shape[1:])
-    swing = max(float(np.abs(apart[0]).max()), float(np.linalg.norm(apart[1], axis=2).max()),
-                0.5 * float(np.linalg.norm(pairs, ord=2, axis=(1, 2)).max()))
-    return swing + ROUNDING * largest * square.shape[1] if np.isfinite(swing) else np.inf
+def movement_between(before: tuple, after: tuple, coordinates: Coordinates) -> np.ndarray:
+    """By how much two labels' scores may part between one ``(normal fit, log inclusion)`` and another.
+
+    Three bounds, for the constant, the linear and the quadratic term in the length of an entry; rounding is included.
+    """
+    old, new = _terms(*before, coordinates), _terms(*after, coordinates)
+    largest = max(float(np.abs(term).max()) for term in (*old, *new))
+    constant, linear, square = ((now - was)[:, None] - (now - was)[None, :] for was, now in zip(old, new))
+    size = square.shape[2]
+    bounds = np.array([np.abs(constant).max(), np.linalg.norm(linear, axis=2).max(),
+                       0.5 * np.linalg.norm(square.reshape(-1, size, size), ord=2, axis=(1, 2)).max()])
+    return np.where(np.isfinite(bounds), bounds + ROUNDING * largest * size, np.inf)
 
 
 def _terms(fit, log_in: np.ndarray, coordinates: Coordinates) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -88,8 +101,7 @@ def _terms(fit, log_in: np.ndarray, coordinates: Coordinates) -> tuple[np.ndarra
 
 
 def share_at_most(histogram: np.ndarray, slack: float) -> float:
-    """At least the share of samples with at most this slack, by the powers of two of their slacks."""
+    """At least the share of samples with at most this slack."""
     if not np.isfinite(slack):
         return 1.0
-    last = int(np.clip(np.frexp(slack)[1] - SLACK_LOWEST, 0, SLACK_BINS - 1)) if slack > 0 else 0
-    return float(histogram[:last + 1].sum() / max(histogram.sum(), 1))
+    return float(histogram[:int(slack_bin(np.array([slack]))[0]) + 1].sum() / max(histogram.sum(), 1))

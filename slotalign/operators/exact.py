@@ -18,8 +18,8 @@ import numpy as np
 LIMB_BITS = 19
 LOWEST_LIMB = -56  # of 2^-1064; what is smaller counts as zero
 BLOCK_ENTRIES = 8192
-SLACK_BINS = 128
-SLACK_LOWEST = -96  # power of two of the first bin
+SLACK_BINS = 1024
+SLACK_LOWEST = -96  # power of two of the first bin; eight bins for each
 
 # Fixed odd multipliers of the layout digest.
 DIGEST_1, DIGEST_2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -69,9 +69,9 @@ def digest(samples: np.ndarray, sources: np.ndarray, labels: np.ndarray) -> int:
 
 
 def slack_bin(slack: np.ndarray) -> np.ndarray:
-    """The histogram bin of a slack: its power of two."""
-    exponent = np.frexp(np.maximum(slack, 0.0))[1] - SLACK_LOWEST
-    return np.where(slack > 0, np.clip(np.where(np.isfinite(slack), exponent, SLACK_BINS - 1), 1, SLACK_BINS - 1), 0)
+    """The histogram bin of a slack: its power of two in eight parts."""
+    known = np.clip(slack, 2.0 ** SLACK_LOWEST, 2.0 ** (SLACK_LOWEST + SLACK_BINS / 8 - 1))
+    return np.where(slack > 0, (8 * (np.log2(known) - SLACK_LOWEST)).astype(np.int64) + 1, 0)
 
 
 @dataclass

@@ -13,6 +13,7 @@ from itertools import permutations
 EPS = "0.01"
 THIN_SLOT = 8
 LOG_TWO_PI = "ln(2 * pi())"
+QUARTILE_OF_T = "0.7406970841126834"
 
 CENTS = "CAST(round({0} * 100) AS BIGINT)"
 PRICE = CENTS.format("l_extendedprice")
@@ -123,6 +124,32 @@ def uni_fit_part(name: str, entries: str, used: int, slots: int, width: int) ->
   CROSS JOIN (SELECT avg(v) AS m, var_samp(v) AS v FROM ({pool})) a CROSS JOIN n)"""
 
 
+def robust_fit_part(name: str, entries: str, used: list[int], slots: int) -> str:
+    """Median and quartile scale per label and parameter, of values replaced by the middle of their sketch bucket.
+
+    A bucket is the 128th part of a power of two; a quantile is the value whose rank is its share of the count, rounded up.
+    """
+    complete = " AND ".join(f"p{i} IS NOT NULL" for i in used)
+    power = "pow(2, floor(log2(abs({0}))))"
+    middle = (f"CASE WHEN {{0}} = 0 THEN 0 ELSE sign({{0}}) * {power} * (floor(abs({{0}}) / {power} * 128) + 0.5) / 128 END")
+
+    def at(i: int, share: str) -> str:
+        return f"list_sort(list(q{i}))[CAST(ceil({share}::DOUBLE * count(*)) AS BIGINT)]"
+
+    cells = [cell for i in range(len(used)) for cell in (
+        (f"m{i}", at(i, "0.5")), (f"s{i}", f"({at(i, '0.75')} - {at(i, '0.25')}) / 2 / {QUARTILE_OF_T}"))]
+    own = ", ".join(f"{expr} AS {cell}" for cell, expr in cells)
+    chosen = ", ".join(f"CASE WHEN coalesce(o.valid, 0) < {THIN_SLOT} THEN a.{cell} ELSE o.{cell} END AS {cell}" for cell, _ in cells)
+    middles = ", ".join(f"{middle.format(f'p{i}')} AS q{a}" for a, i in enumerate(used))
+    return f"""{name} AS MATERIALIZED (
+  WITH q AS (SELECT slot, {middles} FROM {entries} WHERE {complete})
+  SELECT l.range AS label, {chosen}, least(greatest(coalesce(k.present, 0) / n.n, {EPS}), 1 - {EPS}) AS prob
+  FROM range({slots}) l
+  LEFT JOIN (SELECT slot, count(*) AS valid, {own} FROM q GROUP BY slot) o ON o.slot = l.range
+  LEFT JOIN (SELECT slot, count(p0) AS present FROM {entries} GROUP BY slot) k ON k.slot = l.range
+  CROSS JOIN (SELECT {own} FROM q) a CROSS JOIN n)"""
+
+
 def fit_columns(width: int) -> str:
     means = [f"round(m{i}, 6) AS m{i}" for i in range(width)]
     return ", ".join(means + [f"round(c{i}{j}, 6) AS c{i}{j}" for i in range(width) for j in range(i, width)])
@@ -165,6 +192,14 @@ def scored(tag: str, entries: str, used: list[int], fit: str) -> list[str]:
     ]
 
 
+def robust_scored(tag: str, entries: str, used: list[int], fit: str) -> list[str]:
+    """As ``scored``, for independent Student distributions with four degrees of freedom."""
+    constant = "(lgamma(2.5) - lgamma(2) - 0.5 * ln(4 * pi()))"
+    terms = [f"{constant} - ln(s{a}) - 2.5 * ln(1 + ((p{i} - m{a}) / s{a}) * ((p{i} - m{a}) / s{a}) / 4)" for a, i in enumerate(used)]
+    return [f"""density{tag} AS (SELECT sample_id, slot, label, prob, {' + '.join(terms)} AS logpdf FROM {entries} CROSS JOIN {fit})""",
+            f"score{tag} AS MATERIALIZED (SELECT sample_id, slot, label, ln(prob) + logpdf AS score FROM density{tag} WHERE logpdf IS NOT NULL)"]
+
+
 def density_query(source: str, slots: int, used: list[int], fit: str) -> str:
     parts = [*chain_parts(source, slots), fit, factor_part("factor", "fit", len(used)),
              density_part("density", "e", "factor", used)]
@@ -239,7 +274,7 @@ def moved(tag: str, entries: str, width: int) -> str:
 
 
 def iterations(entries: str, steps: list[str], slots: int, width: int, solve, param: int = 1) -> tuple[list[str], str]:
-    """Fits and assignments unrolled; ``steps`` are ``uni`` or ``mv``. Entries keep their start slots.
+    """Fits and assignments unrolled; ``steps`` are ``uni``, ``mv`` or ``robust``. Entries keep their start slots.
 
     Returns the parts and the name of the rows in the last layout.
     """
@@ -251,8 +286,9 @@ def iterations(entries: str, steps: list[str], slots: int, width: int, solve, pa
             parts.append(uni_fit_part(f"fit{tag}", layout, param, slots, width))
         else:
             used = list(range(width))
-            parts.append(mv_fit_part(f"fit{tag}", layout, used, slots))
-        parts += [*scored(tag, entries, used, f"fit{tag}"), *solve(tag, slots), moved(tag, entries, width)]
+            parts.append((robust_fit_part if step == "robust" else mv_fit_part)(f"fit{tag}", layout, used, slots))
+        score = robust_scored if step == "robust" else scored
+        parts += [*score(tag, entries, used, f"fit{tag}"), *solve(tag, slots), moved(tag, entries, width)]
         layout = f"moved{tag}"
     return parts, layout
 
@@ -509,6 +545,13 @@ ORACLES: dict[str, str] = {
     "relabel_uni_k3": relabel_query(FLAGS, 3, 2, ["uni"] * 3, compared_orders),
     "relabel_mv_k3": relabel_query(FLAGS, 3, 2, ["mv"] * 3, compared_orders),
     "relabel_mv_trace": trace_query(),
+    "robust_fit": query([*LINE_CHAIN, robust_fit_part("fit", "e", [0, 1, 2], 9)], "SELECT label AS slot, " + ", ".join(
+        f"round(m{i}, 6) AS m{i}, round(s{i}, 6) AS s{i}" for i in range(3)) + " FROM fit"),
+    "assign_s7_robust": query([*LINE_CHAIN, robust_fit_part("fit", "e", [0, 1, 2], 7), *robust_scored("", "e", [0, 1, 2], "fit"),
+                               *label_sets("", 7)],
+                              "SELECT sample_id, slot, label, round(score, 6) AS score FROM score JOIN best USING (sample_id) "
+                              "WHERE labels[slot + 1] = label"),
+    "relabel_robust_k3": relabel_query(FLAGS, 3, 2, ["robust"] * 3, compared_orders),
     "flag_catalog_k5": catalog_query(full_rows("moved_4", 2)),
     "make_catalog": settled_query("SELECT sample_id, CAST(k AS INTEGER) AS slot, CASE k WHEN 0 THEN x0 ELSE x1 END AS p0, "
                                   "CASE k WHEN 0 THEN y0 ELSE y1 END AS p1 FROM settled CROSS JOIN range(2) r(k)"),

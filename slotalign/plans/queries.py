@@ -21,8 +21,10 @@ from ..operators.fits import (
     update_parametric_fit_and_prob_in_model,
 )
 from ..operators.moments import labelled_entries
-from ..operators.models import LabelModel, mv_normal_model, uni_normal_model
+from ..operators.entry_fits import robust_estimate
+from ..operators.models import LabelModel, mv_normal_model, robust_model, uni_normal_model
 from ..operators.relabel import (
+    create_relabel_samples,
     relabel_mv_normal,
     relabel_posterior_chain_one_iteration,
     relabel_samples_one_iteration,
@@ -173,6 +175,12 @@ def fit_and_prob(spark, sf_dir):
     return per_slot(spark, fit_columns(fit) | {"prob": prob})
 
 
+def robust_fit(spark, sf_dir):
+    """Medians and scales from the entries themselves; two slots have none and take those of all."""
+    fit = create_parametric_fit(robust_estimate)(line_number_chain(spark, sf_dir).expand_chain(9), 9)
+    return per_slot(spark, {f"{name}{i}": values[:, i] for i in range(3) for name, values in (("m", fit.location), ("s", fit.scale))})
+
+
 # ---- densities and scores -----------------------------------------------------------------
 
 
@@ -244,6 +252,11 @@ def relabel_mv_trace(spark, sf_dir):
                         *[rounded(F.get("prob_in_model", s), f"prob{s}") for s in range(3)])
 
 
+def relabel_robust_k3(spark, sf_dir):
+    """Three steps of a model that is fitted to the entries of the current layout."""
+    return create_relabel_samples(robust_model())(return_flag_chain(spark, sf_dir), num_iterations=3).long_columns()
+
+
 def flag_catalog(spark, sf_dir) -> PosteriorChain:
     return make_catalog_mv_normal(return_flag_chain(spark, sf_dir), 3, num_iterations=3,
                                   init_num_iterations=2, initialization_param_index=1, shuffle_seed=7)
@@ -282,6 +295,11 @@ def catalog_of_line_numbers(spark, sf_dir):
         "slot", *[rounded(c, c) for c in ("presence", "mean_p0", "mean_p1", "mean_p2")])
 
 
+def line_number_sources(spark, sf_dir):
+    """The seven-slot catalog with the usual budgets, until nothing moves, and after how many steps of each kind."""
+    return settled_summary(make_catalog_mv_normal(line_number_chain(spark, sf_dir), 7, initialization_param_index=1, shuffle_seed=7))
+
+
 def settled_summary(catalog: PosteriorChain) -> DataFrame:
     numbers = [step.iteration for step in catalog.trace]
     second = max(i for i, number in enumerate(numbers) if number == 1)
@@ -473,11 +491,15 @@ QUERIES: dict[str, Query] = {
     "relabel_uni_k3": relabel_uni_k3,
     "relabel_mv_k3": relabel_mv_k3,
     "relabel_mv_trace": relabel_mv_trace,
+    "robust_fit": robust_fit,
+    "assign_s7_robust": assignment_query(line_number_chain, robust_model()),
+    "relabel_robust_k3": relabel_robust_k3,
     "flag_catalog_k5": flag_catalog_k5,
     "make_catalog": make_catalog,
     "source_track": source_track,
     "sources_by_presence": sources_by_presence,
     "catalog_of_line_numbers": catalog_of_line_numbers,
+    "line_number_sources": line_number_sources,
     "catalog_to_fixed_layout": catalog_to_fixed_layout,
     "catalog_of_amounts": catalog_of_amounts,
     "product_space_decode": product_space_decode,
