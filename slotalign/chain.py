@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.columns import nan_to_null, null_entry
-from .storage import number_rows, stage
+from .storage import number_ids, stage
 
 
 # Up to so many cells per sample, a chain from long rows is one aggregation.
@@ -49,7 +49,7 @@ class PosteriorChain:
 
     ``frame`` has one row per sample: ``sample_id BIGINT, entries ARRAY<ARRAY<DOUBLE>>`` with S
     entries of P parameters. A missing parameter is NULL. ``dense_ids`` says whether the ids are
-    0..N-1, which burn and thin need.
+    0..N-1, which burn and thin need. ``ids`` may hold the same sample ids, each once or more often, at less cost.
     """
 
     frame: DataFrame
@@ -62,6 +62,7 @@ class PosteriorChain:
     columns: DataFrame | None = None
     stored: bool = False
     trace: tuple = ()
+    ids: DataFrame | None = None
 
     # ---- constructors -------------------------------------------------------------------
 
@@ -110,7 +111,7 @@ class PosteriorChain:
             rows, num_sources, len(params), merge or F.max, merge is None)
         entries = F.transform("entries", lambda entry: F.array(*[
             F.get(entry, i) / F.lit(float(d)) for i, d in enumerate(divisors)]))
-        metadata = {"trans_dimensional": True, "dense_ids": False} | metadata
+        metadata = {"trans_dimensional": True, "dense_ids": False, "ids": rows.select("sample_id")} | metadata
         return cls(gathered.select("sample_id", entries.alias("entries")), num_sources, len(params), **metadata)
 
     @staticmethod
@@ -176,13 +177,13 @@ class PosteriorChain:
     # ---- transformations ----------------------------------------------------------------
 
     def with_frame(self, frame: DataFrame, **changes) -> PosteriorChain:
-        return replace(self, **({"frame": frame, "columns": None, "stored": False} | changes))
+        return replace(self, **({"frame": frame, "columns": None, "stored": False, "ids": None} | changes))
 
     def staged(self) -> PosteriorChain:
         """The same chain backed by a written table with a column per parameter."""
         if self.stored:
             return self
-        return self.with_columns(stage(self.by_param()), stored=True)
+        return self.with_columns(stage(self.by_param()), stored=True, ids=self.ids)
 
     def with_columns(self, columns: DataFrame, **changes) -> PosteriorChain:
         """The chain that ``columns`` holds by parameter."""
@@ -194,7 +195,7 @@ class PosteriorChain:
         """Replace the sample ids by 0..N-1 in ascending id order."""
         if self.dense_ids:
             return self
-        return self.with_frame(number_rows(self.frame, ["sample_id"]), dense_ids=True)
+        return self.with_frame(number_ids(self.frame, self.ids), dense_ids=True)
 
     def get_chain(self, burn: int = 0, thin: int = 1) -> PosteriorChain:
         """Drop the first ``burn`` samples, then keep every ``thin``-th one."""
@@ -215,7 +216,7 @@ class PosteriorChain:
         padding = F.array(*[null_entry(self.num_params_per_source)] * extra) if extra else None
         entries = F.concat("entries", padding) if extra else F.col("entries")
         return self.with_frame(self.frame.select("sample_id", entries.alias("entries")),
-                               num_sources=max_num_sources, trans_dimensional=True)
+                               num_sources=max_num_sources, trans_dimensional=True, ids=self.ids)
 
     def randomize_entries(self, seed: int | None = None) -> PosteriorChain:
         """Put the entries of every sample into an independent pseudo-random order.
@@ -228,7 +229,7 @@ class PosteriorChain:
         keyed = F.transform("entries", lambda entry, slot: F.struct(
             F.md5(F.concat_ws(":", F.lit(seed), "sample_id", slot)).alias("key"), entry.alias("entry")))
         shuffled = self.frame.select("sample_id", F.sort_array(keyed).getField("entry").alias("entries"))
-        return self.with_frame(shuffled)
+        return self.with_frame(shuffled, ids=self.ids)
 
     def reorder(self, labels: Column) -> PosteriorChain:
         """Move every entry to the slot that ``labels`` (one label per entry, a permutation) names."""

@@ -62,6 +62,41 @@ def join_blocks(staged: DataFrame, blocks: DataFrame, on: list[str]) -> DataFram
     return staged.join(F.broadcast(written) if small else written, on)
 
 
+# Ids of one bitmap, and how many a bitmap must hold on average to be worth its four kilobytes.
+BITMAP_BITS = 1 << 15
+BITMAP_BYTES = BITMAP_BITS // 8 + 64
+MIN_IDS_PER_BITMAP = 512
+
+
+def number_ids(frame: DataFrame, ids: DataFrame | None = None, key: str = "sample_id") -> DataFrame:
+    """``frame`` with its unique whole-number ``key`` replaced by the rank of it, without moving a row of ``frame``.
+
+    The ids become one bit each: a bitmap per stretch of 32,768 of them, with the number of ids before it. A rank is that
+    number and the bits below. ``ids`` may name the ids in another frame, in which each occurs once or more often, for
+    instance the rows that ``frame`` was grouped from; their partial bitmaps are dense if ids come in order. Bitmaps are
+    broadcast if their size allows it. Ids that are NULL, repeated or far apart are numbered by sorting.
+    """
+    named = frame if ids is None else ids
+    stretch, place = F.shiftright(key, 15), F.col(key).bitwiseAND(BITMAP_BITS - 1)
+    maps = stage(named.select(stretch.alias("_stretch"), place.alias("_bit")).groupBy("_stretch").agg(
+        F.bitmap_construct_agg("_bit").alias("_bits"), F.count("*").alias("_rows"), F.count("_bit").alias("_known"))
+        .withColumn("_size", F.bitmap_count("_bits")))
+    found = maps.agg(F.count("*").alias("maps"), F.sum("_size").alias("ids"), F.sum("_rows").alias("rows"), F.sum("_known").alias("known")).first()
+    unique = ids is not None or found["ids"] == found["rows"]
+    if found["maps"] and (found["known"] < found["rows"] or not unique or found["ids"] < MIN_IDS_PER_BITMAP * (found["maps"] - 1)):
+        return number_rows(frame, [key])
+    before = add_offsets(maps.select("_stretch", "_size"), ["_stretch"]).drop("_size")
+    ranks = stage(maps.select("_stretch", "_bits").join(before, "_stretch"))
+    ranks = F.broadcast(ranks) if found["maps"] * BITMAP_BYTES <= MAX_BROADCAST_BYTES else ranks
+    joined = frame.withColumn("_stretch", stretch).join(ranks, "_stretch")
+    # Whole bytes below the id's bit, then the lower bits of its own byte.
+    whole = F.shiftright(place, 3).cast("int")
+    own = F.conv(F.hex(F.substring("_bits", whole + 1, F.lit(1))), 16, 10).cast("int")
+    lower = own.bitwiseAND(F.expr(f"shiftleft(1, cast({key} & 7 AS INT)) - 1"))
+    rank = F.col("_before") + F.bitmap_count(F.substring("_bits", F.lit(1), whole)) + F.bit_count(lower)
+    return joined.select(rank.cast("long").alias(key), *[c for c in frame.columns if c != key])
+
+
 def number_rows(frame: DataFrame, order_by: list[str], into: str = "sample_id") -> DataFrame:
     """Dense 0-based row numbers in the order of ``order_by``, without a single-task window.
 
