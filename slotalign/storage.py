@@ -56,10 +56,15 @@ def add_offsets(sizes: DataFrame, block_order: list[str]) -> DataFrame:
 
 def join_blocks(staged: DataFrame, blocks: DataFrame, on: list[str]) -> DataFrame:
     """Attach per-block values; the blocks are written once, and broadcast if their size allows it."""
+    return join_in_order(staged, blocks, on)[0]
+
+
+def join_in_order(rows: DataFrame, blocks: DataFrame, on: list[str]) -> tuple[DataFrame, bool]:
+    """As ``join_blocks``, and whether the rows stayed in their order, as they do in a broadcast."""
     written = stage(blocks)
     keys = F.sum(sum((F.length(F.col(c).cast("string")) for c in on), F.lit(48)))
     small = (written.agg(keys).first()[0] or 0) <= MAX_BROADCAST_BYTES
-    return staged.join(F.broadcast(written) if small else written, on)
+    return rows.join(F.broadcast(written) if small else written, on), small
 
 
 # Ids of one bitmap, and how many a bitmap must hold on average to be worth its four kilobytes.
