@@ -100,9 +100,14 @@ def settle_ties(labels: np.ndarray, values: np.ndarray, same_labels: list[tuple[
     order = np.lexsort(np.moveaxis(values, 2, 0), axis=1) if values.shape[2] else np.zeros_like(labels)
     ordered, given = values[samples, order], labels[samples, order]
     same = (ordered[:, 1:] == ordered[:, :-1]).all(axis=2) & (given[:, 1:] >= 0) & (given[:, :-1] >= 0)
-    for row in np.flatnonzero(same.any(axis=1)):
-        for run in np.split(order[row], np.flatnonzero(~same[row]) + 1):
-            labels[row, np.sort(run)] = np.sort(labels[row, run]) if len(run) > 1 else labels[row, run]
+    rows = np.flatnonzero(same.any(axis=1))
+    slots, given = order[rows], given[rows]
+    run = np.cumsum(np.concatenate([np.zeros((len(rows), 1), bool), ~same[rows]], axis=1), axis=1)
+    # Slots and labels of every run in ascending order stand at the same places.
+    row = np.repeat(rows, entries)
+    by_slot = np.lexsort((slots.ravel(), run.ravel(), row))
+    by_label = np.lexsort((given.ravel(), run.ravel(), row))
+    labels[row[by_slot], slots.ravel()[by_slot]] = given.ravel()[by_label]
 
 
 def fill_free_labels(labels: np.ndarray) -> np.ndarray:
