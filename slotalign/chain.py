@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
+from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
@@ -43,13 +44,22 @@ def single_rows(most: Column, entries: Column) -> Column:
         F.lit("several rows for one slot of sample "), F.col("sample_id").cast("string"), F.lit("; give a merge function"))))
 
 
+class ChainRows(Protocol):
+    """A chain's files, if their format lets parts of them be read."""
+
+    def read(self, columns: Sequence[int] | None = None, first: int = 0) -> DataFrame: ...
+
+    def by_param(self, params: Sequence[int], first: int = 0) -> DataFrame: ...
+
+
 @dataclass(frozen=True)
 class PosteriorChain:
     """N samples of S slots with P parameters each.
 
     ``frame`` has one row per sample: ``sample_id BIGINT, entries ARRAY<ARRAY<DOUBLE>>`` with S
     entries of P parameters. A missing parameter is NULL. ``dense_ids`` says whether the ids are
-    0..N-1, which burn and thin need. ``ids`` may hold the same sample ids, each once or more often, at less cost.
+    0..N-1, which burn and thin need. ``ids`` may hold the same sample ids, each once or more often, at less cost;
+    ``rows`` may read single parameters and later samples of the same chain.
     """
 
     frame: DataFrame
@@ -63,6 +73,7 @@ class PosteriorChain:
     stored: bool = False
     trace: tuple = ()
     ids: DataFrame | None = None
+    rows: ChainRows | None = None
 
     # ---- constructors -------------------------------------------------------------------
 
@@ -146,14 +157,17 @@ class PosteriorChain:
     def shape(self) -> tuple[int, int, int]:
         return (self.frame.count(), self.num_sources, self.num_params_per_source)
 
-    def by_param(self) -> DataFrame:
+    def by_param(self, params: Sequence[int] | None = None) -> DataFrame:
         """One row per sample with an array over the slots for each parameter: ``sample_id, p0 ..``.
 
         Jobs work on this form: it keeps expressions short however wide the chain is, and of a
-        staged chain only the parameters that a job uses are read.
+        staged chain only the parameters that a job uses are read. ``params`` names those that are needed,
+        for files that have to be told.
         """
         if self.columns is not None:
             return self.columns
+        if self.rows is not None:
+            return self.rows.by_param(range(self.num_params_per_source) if params is None else sorted(set(params)))
         return self.frame.select("sample_id", *[
             param_of_entries(p).alias(f"p{p}") for p in range(self.num_params_per_source)])
 
@@ -172,12 +186,15 @@ class PosteriorChain:
         """One parameter of one slot for every sample."""
         if not (0 <= slot < self.num_sources and 0 <= param < self.num_params_per_source):
             raise IndexError(f"no parameter {param} of slot {slot}")
-        return self.by_param().select("sample_id", F.get(f"p{param}", slot).alias("value"))
+        if self.rows is not None:
+            cell = self.rows.read([slot * self.num_params_per_source + param])
+            return cell.select("sample_id", nan_to_null(F.get("values", F.lit(0))).alias("value"))
+        return self.by_param([param]).select("sample_id", F.get(f"p{param}", slot).alias("value"))
 
     # ---- transformations ----------------------------------------------------------------
 
     def with_frame(self, frame: DataFrame, **changes) -> PosteriorChain:
-        return replace(self, **({"frame": frame, "columns": None, "stored": False, "ids": None} | changes))
+        return replace(self, **({"frame": frame, "columns": None, "stored": False, "ids": None, "rows": None} | changes))
 
     def staged(self) -> PosteriorChain:
         """The same chain backed by a written table with a column per parameter."""
@@ -205,6 +222,9 @@ class PosteriorChain:
             return self
         dense = self.with_dense_ids()
         later = F.col("sample_id") - burn
+        if dense.rows is not None and burn:
+            dense = dense.with_frame(dense.rows.by_param(range(self.num_params_per_source), burn).select(
+                "sample_id", gather_entries(slot_numbers(self.num_sources), self.num_params_per_source).alias("entries")))
         kept = dense.frame.where((F.col("sample_id") >= burn) & (later % thin == 0))
         return dense.with_frame(kept.withColumn("sample_id", F.floor(later / thin)))
 

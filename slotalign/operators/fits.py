@@ -119,7 +119,7 @@ def check_width(chain: PosteriorChain, max_num_sources: int) -> None:
 
 def measure(chain: PosteriorChain, params: list[int], estimator: Estimator) -> Layout:
     """What ``estimator`` needs of a chain in the layout it has."""
-    return measure_entries(chain.by_param(), chain.num_sources, params,
+    return measure_entries(chain.by_param([0, *params]), chain.num_sources, params,
                            estimator=estimator if isinstance(estimator, EntryEstimator) else None)
 
 
@@ -148,7 +148,7 @@ def find_prob_in_model(chain: PosteriorChain, max_num_sources: int | None = None
     width = chain.num_sources if max_num_sources is None else max_num_sources
     check_width(chain, width)
     counts = [F.count(F.get("p0", s)).alias(f"n{s}") for s in range(chain.num_sources)]
-    row = chain.by_param().agg(F.count("*").alias("samples"), *counts).first()
+    row = chain.by_param([0]).agg(F.count("*").alias("samples"), *counts).first()
     present = np.array([row[f"n{s}"] for s in range(chain.num_sources)])
     return clip_probability(SlotSums(chain.num_sources, 1, row["samples"], present), width, eps)
 

@@ -7,17 +7,18 @@ single file is read in parallel by record batch.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from ..chain import PosteriorChain
+from ..functions.columns import nan_to_null
 from ..storage import add_offsets, stage
 
 # Fixed values of the file layout.
@@ -84,21 +85,50 @@ def _list_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 yield pa.RecordBatch.from_pylist(rows, schema=UNITS)
 
 
-def _read_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for units in batches:
-        for unit in units.to_pylist():
-            block = _open(unit["path"]).get_batch(unit["batch"])
-            names = [n for n in block.schema.names if n not in METADATA]
-            values = np.stack([block.column(n).to_numpy(zero_copy_only=False).astype(float) for n in names], axis=1)
-            ids = pa.array(unit["_before"] + np.arange(len(values)), pa.int64())
-            cells = pa.FixedSizeListArray.from_arrays(pa.array(values.ravel()), len(names))
-            yield pa.RecordBatch.from_arrays([ids, cells.cast(pa.list_(pa.float64()))], ["sample_id", "values"])
+@dataclass(frozen=True)
+class FeatherRows:
+    """The rows of a chain in Feather files: what is asked for decides which columns and record batches are opened.
+
+    ``units`` is a written table with one row per record batch and the number of rows before it.
+    """
+
+    units: DataFrame
+    num_sources: int
+    num_params: int
+
+    def read(self, columns: Sequence[int] | None = None, first: int = 0) -> DataFrame:
+        """``sample_id, values``: the cells ``columns`` of the samples from number ``first`` on; all cells by default."""
+        names = None if columns is None else [str(c) for c in columns]
+
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for units in batches:
+                for unit in units.to_pylist():
+                    block = _open(unit["path"], names).get_batch(unit["batch"])
+                    skipped = max(0, first - unit["_before"])
+                    wanted = [n for n in block.schema.names if n not in METADATA] if names is None else names
+                    values = np.stack([block.column(n).to_numpy(zero_copy_only=False).astype(float) for n in wanted], axis=1)[skipped:]
+                    ids = pa.array(unit["_before"] + skipped + np.arange(len(values)), pa.int64())
+                    cells = pa.ListArray.from_arrays(np.arange(len(values) + 1, dtype=np.int32) * len(wanted), pa.array(values.ravel()))
+                    yield pa.RecordBatch.from_arrays([ids, cells], ["sample_id", "values"])
+
+        needed = self.units.where(F.col("_before") + F.col("_size") > first)
+        tasks = max(1, min(needed.count(), MAX_READ_TASKS))
+        return needed.repartitionByRange(tasks, "file", "batch").mapInArrow(rows, "sample_id long, values array<double>")
+
+    def by_param(self, params: Sequence[int], first: int = 0) -> DataFrame:
+        """``sample_id, p..``: an array over the slots for each of ``params``."""
+        cells = [slot * self.num_params + param for param in params for slot in range(self.num_sources)]
+        rows = self.read(cells, first)
+        parts = [F.transform(F.slice("values", i * self.num_sources + 1, self.num_sources), nan_to_null).alias(f"p{param}")
+                 for i, param in enumerate(params)]
+        return rows.select("sample_id", *parts)
 
 
 def read_feather(spark: SparkSession, path: str) -> PosteriorChain:
     """Read one file or all files of a folder; sample ids follow file names and row order.
 
-    The driver lists the files; tasks read footers, shapes and batches. Files of different shapes raise.
+    The driver lists the files; tasks read footers, shapes and batches. Files of different shapes raise. Single values,
+    fits and burning open only the columns and record batches that they need.
     """
     files = [(i, uri) for i, uri in enumerate(_data_files(qualified(spark, path)))]
     tasks = max(1, min(len(files), MAX_READ_TASKS))
@@ -109,10 +139,9 @@ def read_feather(spark: SparkSession, path: str) -> PosteriorChain:
     if len(shapes) != 1:
         raise ValueError(f"{path!r} holds chains of different shapes: {shapes}" if shapes else f"{path!r} holds no samples")
     [(num_sources, num_params, flag)] = shapes
-    units = max(1, min(placed.count(), MAX_READ_TASKS))
-    rows = placed.repartitionByRange(units, "file", "batch").mapInArrow(_read_rows, "sample_id long, values array<double>")
-    return PosteriorChain.from_flat(rows, F.col("sample_id"), F.col("values"), num_sources, num_params,
-                                    trans_dimensional=bool(flag))
+    rows = FeatherRows(placed, num_sources, num_params)
+    return PosteriorChain.from_flat(rows.read(), F.col("sample_id"), F.col("values"), num_sources, num_params,
+                                    trans_dimensional=bool(flag), rows=rows)
 
 
 def write_feather(chain: PosteriorChain, path: str) -> None:

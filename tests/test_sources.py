@@ -214,3 +214,39 @@ def test_bare_paths_belong_to_the_default_file_system(spark, tmp_path):
     with pytest.raises(ValueError, match="disk of each machine"):
         qualified(SimpleNamespace(sparkContext=SimpleNamespace(
             _jvm=spark.sparkContext._jvm, _jsc=spark.sparkContext._jsc, master="yarn")), str(tmp_path))
+
+
+def test_feather_opens_only_what_is_needed(spark, tmp_path, monkeypatch):
+    """Cells that no job asks for cannot be read here, nor can the first record batch."""
+    import pyarrow as pa
+
+    from slotalign.operators.fits import find_prob_in_model, uni_normal_fit_single_parameter
+
+    rng = np.random.default_rng(5)
+    values = rng.normal(size=(90, 6))
+    values[::4, 4] = np.nan
+    columns = {str(i): pa.array(values[:, i]) for i in range(6)}
+    columns["3"] = pa.array(["not a number"] * 90)
+    shape = {"num_sources": 3, "num_params_per_source": 2, "transdimensional": 1}
+    table = pa.table(columns | {k: pa.array([v] * 90) for k, v in shape.items()})
+    path = str(tmp_path / "chain.feather")
+    with pa.ipc.new_file(path, table.schema) as sink:
+        sink.write_table(table, max_chunksize=30)
+    chain = PosteriorChain.read_feather(spark, path)
+    found = [r.value for r in chain.values(slot=2, param=0).orderBy("sample_id").collect()]
+    assert [v is None for v in found] == np.isnan(values[:, 4]).tolist()
+    assert [v for v in found if v is not None] == values[~np.isnan(values[:, 4]), 4].tolist()
+    np.testing.assert_allclose(find_prob_in_model(chain), [0.99, 0.99, np.mean(~np.isnan(values[:, 4]))])
+    fit = uni_normal_fit_single_parameter(chain, 3, 0)
+    np.testing.assert_allclose(fit.mean[:, 0], np.nanmean(values[:, ::2], axis=0))
+    with pytest.raises(Exception, match="could not convert"):
+        chain.frame.collect()
+
+    columns["3"] = pa.array(["x"] * 60 + ["1.5"] * 30)
+    table = pa.table(columns | {k: pa.array([v] * 90) for k, v in shape.items()})
+    with pa.ipc.new_file(path, table.schema) as sink:
+        sink.write_table(table, max_chunksize=30)
+    late = PosteriorChain.read_feather(spark, path).get_chain(burn=65, thin=2)
+    rows = late.frame.orderBy("sample_id").collect()
+    assert [r.sample_id for r in rows] == list(range(13))
+    assert [r.entries[0][0] for r in rows] == values[65::2, 0].tolist() and all(r.entries[1][1] == 1.5 for r in rows)
