@@ -18,6 +18,8 @@ import numpy as np
 LIMB_BITS = 19
 LOWEST_LIMB = -56  # of 2^-1064; what is smaller counts as zero
 BLOCK_ENTRIES = 8192
+# A double has at most four limbs, so a block adds less than 2^54 to a total and 2^7 blocks fit into 63 bits.
+OPEN_BLOCKS = 128
 SLACK_BINS = 1024
 SLACK_LOWEST = -96  # power of two of the first bin; eight bins for each
 
@@ -40,10 +42,6 @@ def limbs(values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         limb -= 1
 
 
-def whole_numbers(values: np.ndarray) -> np.ndarray:
-    return values.astype(np.int64).astype(object)
-
-
 def total_of(by_limb: dict[int, int]) -> Fraction:
     lowest = min(by_limb, default=0)
     total = sum(int(n) << (LIMB_BITS * (limb - lowest)) for limb, n in by_limb.items())
@@ -90,6 +88,8 @@ class SlotSums:
     second: dict[int, np.ndarray] = field(default_factory=dict)
     slacks: np.ndarray = None
     read: int = 0
+    open: dict[tuple[str, int], np.ndarray] = field(default_factory=dict)
+    open_blocks: int = 0
 
     def __post_init__(self) -> None:
         for name, size in (("present", self.num_sources), ("valid", self.num_sources), ("slacks", SLACK_BINS)):
@@ -106,20 +106,29 @@ class SlotSums:
 
     def _add_block(self, label: int, block: np.ndarray, sign: int) -> None:
         cut = list(limbs(block))
-        products: dict[int, np.ndarray] = {}
         for i, (limb, whole) in enumerate(cut):
-            self._cell(self.first, limb, 1)[label] += sign * whole_numbers(whole.sum(axis=0))
+            self._cell("first", limb, 1)[label] += sign * whole.sum(axis=0).astype(np.int64)
             for other, factor in cut[i:]:
                 product = whole.T @ factor
-                made = whole_numbers(product if other == limb else product + product.T)
-                products[limb + other] = products[limb + other] + made if limb + other in products else made
-        for level, made in products.items():
-            self._cell(self.second, level, 2)[label] += sign * made
-
-    def _cell(self, sums: dict[int, np.ndarray], limb: int, axes: int) -> np.ndarray:
-        if limb not in sums:
-            sums[limb] = np.zeros((self.num_sources, *[self.num_params] * axes), object)
-        return sums[limb]
+                product = product if other == limb else product + product.T
+                self._cell("second", limb + other, 2)[label] += sign * product.astype(np.int64)
+        self.open_blocks += 1
+        if self.open_blocks == OPEN_BLOCKS:
+            self.close()
+
+    def _cell(self, name: str, limb: int, axes: int) -> np.ndarray:
+        """Machine numbers that take up some blocks before they are added to the total."""
+        if (name, limb) not in self.open:
+            self.open[name, limb] = np.zeros((self.num_sources, *[self.num_params] * axes), np.int64)
+        return self.open[name, limb]
+
+    def close(self) -> SlotSums:
+        """Add what is open to the totals, in place."""
+        for (name, limb), made in self.open.items():
+            total = getattr(self, name)
+            total[limb] = total[limb] + made.astype(object) if limb in total else made.astype(object)
+        self.open, self.open_blocks = {}, 0
+        return self
 
     def add_scores(self, scores: np.ndarray) -> None:
         finite = np.isfinite(scores)
@@ -130,6 +139,8 @@ class SlotSums:
 
     def merge(self, other: SlotSums) -> SlotSums:
         """Add ``other`` in place."""
+        self.close()
+        other.close()
         self.samples += other.samples
         self.read += other.read
         self.layout ^= other.layout
@@ -147,6 +158,7 @@ class SlotSums:
 
     def central(self) -> tuple[np.ndarray, np.ndarray]:
         """Means and sums of products of the deviations from them; NaN and 0 for a slot without entries."""
+        self.close()
         slots, width = self.num_sources, self.num_params
         mean, scatter = np.full((slots, width), np.nan), np.zeros((slots, width, width))
         for label in np.flatnonzero(self.valid).tolist():

@@ -154,7 +154,7 @@ def measure_entries(frame: DataFrame, num_sources: int, params: Sequence[int], m
                 sums.add_scores(scores[~np.isnan(scores)])
             if slacks is not None:
                 sums.slacks += np.bincount(slack_bin(slacks), minlength=len(sums.slacks))
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([pickle.dumps((vars(sums), states))])],
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([pickle.dumps((vars(sums.close()), states))])],
                                          names=["task", "state"])
 
     wanted = frame.select("sample_id", *names, *written, *slack)
@@ -173,7 +173,7 @@ def measure_entries(frame: DataFrame, num_sources: int, params: Sequence[int], m
     if wanted.rdd.getNumPartitions() > FAN_IN:
         def meet(table: pa.Table) -> pa.Table:
             sums, states = merged(table["state"].to_pylist())
-            return pa.table([pa.array([pickle.dumps((vars(sums), states))])], names=["state"])
+            return pa.table([pa.array([pickle.dumps((vars(sums.close()), states))])], names=["state"])
 
         rows = rows.groupBy((F.col("task") % FAN_IN).alias("branch")).applyInArrow(meet, "state binary")
     return Layout(*merged(row["state"] for row in rows.select("state").collect()))

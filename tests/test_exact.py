@@ -42,6 +42,7 @@ def test_sums_are_those_of_fractions(pairs):
         == sum(Fraction(a) for a, _ in pairs)
     sums = SlotSums(1, 2)
     sums.add_entries(np.zeros(len(values), int), values)
+    sums.close()
     for i in range(2):
         assert total_of({k: s[0, i] for k, s in sums.first.items()}) == sum(Fraction(p[i]) for p in pairs)
         for j in range(2):
@@ -50,6 +51,7 @@ def test_sums_are_those_of_fractions(pairs):
             # Limbs below 2^-1064 do not count, only products of the smallest values have them.
             assert abs(found - wanted) <= Fraction(1, 2**700)
     sums.add_entries(np.zeros(len(values), int), values[::-1], sign=-1)
+    sums.close()
     assert not any(s.any() for s in (*sums.first.values(), *sums.second.values())) and sums.valid[0] == 0
 
 
