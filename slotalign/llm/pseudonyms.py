@@ -9,7 +9,8 @@ document and no table of replacements is kept:
 * ``ipv4``: dotted quads with parts up to 255; the 32 bits are permuted.
 * ``date``: calendar dates of 1900 to 2099 as ``y-m-d``, ``d.m.y``, ``d/m/y`` or ``m/d/y``; the day is permuted, so
   equal days stay equal across spellings.
-* ``email``: has no numeric format; both sides of the sign become keyed digests.
+* ``email``: has no numeric format; both sides of the sign become keyed digests. A domain has up to 127 labels of up to 63
+  characters, as names may have; of longer runs of labels the first ones count.
 
 Numbers go through a Feistel network over their two halves of digits (or bits), whose round function is a
 keyed SHA-256. Days use one over 271 x 270 and walk along its cycle until they are back in range: only 121 of its
@@ -27,7 +28,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-EMAIL = r"(?<![\w.%+-])[\w.%+-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"
+EMAIL = r"(?<![\w.%+-])[\w.%+-]++@(?:[A-Za-z0-9-]{1,63}\.){1,126}[A-Za-z]{2,63}"
 DATE = r"(?<![\d-])\d{4}-\d{2}-\d{2}(?!-?\d)|(?<![\d./])\d{1,2}\.\d{1,2}\.\d{4}(?!\.?\d)|(?<![\d./])\d{1,2}/\d{1,2}/\d{4}(?!/?\d)"
 IPV4 = r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?!-?\d)"

@@ -62,3 +62,12 @@ def test_odd_rows(odd_docs, no_docs):
     assert {(r.doc_id, r.text) for r in rows.collect()} == {(r.doc_id, r.text) for r in odd_docs.collect()}
     assert rows.where("size(found) > 0").count() == 0 and pseudonymise(no_docs, "k").count() == 0
     assert pseudonyms.KINDS == tuple(dict.fromkeys(pseudonyms.KINDS))
+
+
+def test_very_many_labels_do_not_stop_a_job(make_docs):
+    texts = ["x@" + "a." * 4000 + "com", "x@" + "ab." * 200_000 + "com", "x@" + "a" * 500_000, "mail a.b@example.org now",
+             "1-" * 200_000, "+49 " * 100_000, "a@b" * 100_000]
+    rows = {r.doc_id: r for r in pseudonymise(make_docs(texts), key="k").collect()}
+    assert rows[0].text == texts[0] and rows[2].text == texts[2]
+    assert len(rows[1].found) == 1 and len(rows[1].found[0].value) == 2 + 3 * 126 + 2 and rows[1].text.endswith("ab.com")
+    assert [f.kind for f in rows[3].found] == ["email"] and "example.org" not in rows[3].text
