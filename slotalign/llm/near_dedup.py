@@ -204,15 +204,15 @@ def prefix_pairs(texts: DataFrame, placed: DataFrame, share_weights, similarity:
 
     Shingles are put in one order, rarest first. If two texts are similar enough, what is left of both from
     their first common shingle on must weigh at least the overlap that this takes. So only the first few
-    shingles of a text are joined, those with enough weight left. Of a shingle's texts those in its most
-    frequent class need not meet each other and are only on one side of the join.
+    shingles of a text are joined, those with enough weight left; a shingle of one text only meets nothing and is left
+    out. Of a shingle's texts those in its most frequent class need not meet each other and are only on one side of the join.
     """
     rows = stage(weighted_shingles(texts.join(placed.select("node"), "node", "left_semi"), share_weights))
     ranked = rows.join(rows.groupBy("shingle").agg(F.count("*").alias("df")), "shingle")
     own = Window.partitionBy("node")
     rarest = own.orderBy("df", "shingle").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    sums = ranked.select("node", "shingle", F.sum("weight").over(own).alias("total"), F.sum("weight").over(rarest).alias("rest"))
-    first = sums.where(F.col("rest") >= (similarity - 1e-9) * F.col("total"))
+    sums = ranked.select("node", "shingle", "df", F.sum("weight").over(own).alias("total"), F.sum("weight").over(rarest).alias("rest"))
+    first = sums.where((F.col("rest") >= (similarity - 1e-9) * F.col("total")) & (F.col("df") > 1)).drop("df")
     # All the prefix of a text, rarest first, goes with each of its shingles, so that a pair is found once.
     whole = F.sort_array(F.collect_list(F.struct(-F.col("rest"), "shingle")).over(own)).getField("shingle")
     prefix = stage(first.withColumn("prefix", whole).join(placed, "node"))
