@@ -30,22 +30,34 @@ def best_labels(score: np.ndarray, valid: np.ndarray) -> np.ndarray:
 
 
 def _augment(cost: np.ndarray, valid: np.ndarray) -> np.ndarray:
-    """Shortest augmenting paths (Crouse 2016), advanced for all samples of the block together."""
+    """Shortest augmenting paths (Crouse 2016), advanced for all samples of the block together.
+
+    Every label starts with the first entry whose favourite it is. With the favourites' costs as prices that is the
+    solution for these entries, so only the others look for a path, however many slots there are.
+    """
     samples, entries, width = cost.shape
-    entry_price = np.zeros((samples, entries))
+    favourite = cost.argmin(axis=2)
+    entry_price = np.take_along_axis(cost, favourite[:, :, None], axis=2)[:, :, 0]
     label_price = np.zeros((samples, width))
     owner = np.full((samples, width), -1)
-    labels = np.full((samples, entries), -1)
-    for entry in range(entries):
-        rows = np.flatnonzero(valid[:, entry])
+    for entry in reversed(range(entries)):
+        there = np.flatnonzero(valid[:, entry])
+        owner[there, favourite[there, entry]] = entry
+    labels = np.where(valid & (np.take_along_axis(owner, favourite, axis=1) == np.arange(entries)), favourite, -1)
+    waiting = valid & (labels < 0)
+    while True:
+        # The next entry of every sample that still has one.
+        rows = np.flatnonzero(waiting.any(axis=1))
         if not rows.size:
-            continue
+            return labels
+        entry = waiting[rows].argmax(axis=1)
+        waiting[rows, entry] = False
         distance = np.full((rows.size, width), np.inf)
         came_from = np.full((rows.size, width), -1)
         closed = np.zeros((rows.size, width), dtype=bool)
         reached = np.zeros(rows.size)
         end = np.full(rows.size, -1)
-        at = np.full(rows.size, entry)
+        at = entry.copy()
         open_rows = np.arange(rows.size)
         while open_rows.size:
             sample, here = rows[open_rows], at[open_rows]
@@ -67,7 +79,7 @@ def _augment(cost: np.ndarray, valid: np.ndarray) -> np.ndarray:
         held = closed & (owner[rows] >= 0)
         place, label = np.nonzero(held)
         entry_price[rows[place], owner[rows[place], label]] += slack[place, label]
-        entry_price[rows, entry] += reached
+        entry_price[rows, entry] += reached  # from the price of its favourite
 
         # Hand the labels on along each path, from its free end back to the new entry.
         moving, label = np.arange(rows.size), end
@@ -76,9 +88,8 @@ def _augment(cost: np.ndarray, valid: np.ndarray) -> np.ndarray:
             released = labels[rows[moving], taker]
             owner[rows[moving], label] = taker
             labels[rows[moving], taker] = label
-            going_on = taker != entry
+            going_on = taker != entry[moving]
             moving, label = moving[going_on], released[going_on]
-    return labels
 
 
 def settle_ties(labels: np.ndarray, values: np.ndarray, same_labels: list[tuple[int, int]]) -> None:

@@ -99,3 +99,48 @@ def test_ties_have_one_rule_for_all_widths(spark, slots, params):
     assert got[0] == [0, 1, *rest] and got[1] == [1, 0, *rest] and got[2] == [0, 1, *rest]
     apart = NormalFit(np.arange(slots)[:, None] * 5.0 + np.zeros((slots, params)), cov, tuple(range(params)))
     assert labels(apart, [0.0] + [0.5] * (slots - 1))[3][:2] == ([1, 0] if slots == 2 else [2, 1])
+
+
+def plain_hungarian(cost):
+    """Total of the best assignment of all rows to distinct columns, one row after another."""
+    rows, columns = cost.shape
+    u, v, owner, way = np.zeros(rows + 1), np.zeros(columns + 1), np.zeros(columns + 1, int), np.zeros(columns + 1, int)
+    for row in range(1, rows + 1):
+        owner[0], column = row, 0
+        least, used = np.full(columns + 1, np.inf), np.zeros(columns + 1, bool)
+        while True:
+            used[column] = True
+            here = owner[column]
+            open_ones = np.flatnonzero(~used[1:]) + 1
+            step = cost[here - 1, open_ones - 1] - u[here] - v[open_ones]
+            better = step < least[open_ones]
+            least[open_ones[better]], way[open_ones[better]] = step[better], column
+            following = open_ones[least[open_ones].argmin()]
+            delta = least[following]
+            u[owner[used]] += delta
+            v[used] -= delta
+            least[~used] -= delta
+            column = following
+            if owner[column] == 0:
+                break
+        while column:
+            owner[column], column = owner[way[column]], way[column]
+    return sum(cost[owner[c] - 1, c - 1] for c in range(1, columns + 1) if owner[c])
+
+
+@pytest.mark.parametrize("slots, samples", [(20, 60), (100, 6), (300, 2)])
+@pytest.mark.parametrize("spread", [0.0, 2.0, 30.0])
+def test_wide_samples(slots, samples, spread):
+    """From all entries wanting the same labels to none."""
+    rng = np.random.default_rng(slots)
+    centres = rng.normal(size=(slots, 2)) * spread
+    entries = centres + rng.normal(size=(samples, slots, 2))
+    score = -0.5 * ((entries[:, :, None] - centres) ** 2).sum(axis=3) - rng.random(slots)
+    valid = rng.random((samples, slots)) < 0.8
+    labels = best_labels(score, valid)
+    assert (labels[~valid] == -1).all()
+    for row in range(samples):
+        there = np.flatnonzero(valid[row])
+        got = labels[row, there]
+        assert len(set(got.tolist())) == len(there) and got.min() >= 0
+        assert -score[row, there, got].sum() == pytest.approx(plain_hungarian(-score[row, there]), abs=1e-8)
