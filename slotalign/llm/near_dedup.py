@@ -42,6 +42,7 @@ SHARE = 0.01
 BANDS, ROWS = 12, 4
 TABLE_BITS = 16
 SMALL_BUCKET = 8
+RARER = 4
 
 
 def shingle_extract():
@@ -210,19 +211,21 @@ def prefix_pairs(texts: DataFrame, placed: DataFrame, share_weights, similarity:
     rows = stage(weighted_shingles(texts.join(placed.select("node"), "node", "left_semi"), share_weights))
     ranked = rows.join(rows.groupBy("shingle").agg(F.count("*").alias("df")), "shingle")
     own = Window.partitionBy("node")
-    rarest = own.orderBy("df", "shingle").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    sums = ranked.select("node", "shingle", "df", F.sum("weight").over(own).alias("total"), F.sum("weight").over(rarest).alias("rest"))
-    first = sums.where((F.col("rest") >= (similarity - 1e-9) * F.col("total")) & (F.col("df") > 1)).drop("df")
-    # All the prefix of a text, rarest first, goes with each of its shingles, so that a pair is found once.
-    whole = F.sort_array(F.collect_list(F.struct(-F.col("rest"), "shingle")).over(own)).getField("shingle")
-    prefix = stage(first.withColumn("prefix", whole).join(placed, "node"))
+    commonest = own.orderBy(F.desc("df"), F.desc("shingle"))
+    rest = F.sum("weight").over(commonest.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    sums = ranked.select("node", "shingle", "df", F.sum("weight").over(own).alias("total"), rest.alias("rest"))
+    first = sums.where((F.col("rest") >= (similarity - 1e-9) * F.col("total")) & (F.col("df") > 1))
+    # The next rarer shingles of the text, a bounded number whatever its length.
+    rarer = F.collect_list("shingle").over(commonest.rowsBetween(1, RARER))
+    prefix = stage(first.withColumn("rarer", rarer).drop("df").join(placed, "node"))
     by_class = prefix.groupBy("shingle", "component").agg(F.count("*").alias("n"))
     main = by_class.groupBy("shingle").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.sum("n").alias("all"))
     shared = prefix.join(main.where("all > 1"), "shingle")
-    right = prefix.select("shingle", *[F.col(c).alias(f"{c}_b") for c in ("node", "component", "total", "rest", "prefix")])
+    right = prefix.select("shingle", *[F.col(c).alias(f"{c}_b") for c in ("node", "component", "total", "rest", "rarer")])
     enough = F.least("rest", "rest_b") >= (F.col("total") + F.col("total_b")) * (similarity / (1 + similarity) - 1e-9)
-    once = F.get(F.array_intersect("prefix", "prefix_b"), 0) == F.col("shingle")
-    return shared.where("component != main").join(right, "shingle").where("component != component_b").where(enough & once) \
+    # A pair with a common shingle just before this one is found there; the few that are found again fall to distinct().
+    here = ~F.arrays_overlap("rarer", "rarer_b")
+    return shared.where("component != main").join(right, "shingle").where("component != component_b").where(enough & here) \
         .select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")).distinct()
 
 

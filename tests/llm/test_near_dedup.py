@@ -97,3 +97,18 @@ def test_odd_rows(odd_docs, no_docs):
     kept = keep_one_of_each_class(odd_docs)
     assert kept.columns == odd_docs.columns and kept.count() == 7
     assert near_duplicate_classes(no_docs).count() == 0 and keep_one_of_each_class(no_docs).count() == 0
+
+
+def test_long_texts_meet_by_their_rarest_shingles(spark, words):
+    """Two altered copies of 200,000 words, an unrelated one as long, and short ones: one pair, found in bounded rows."""
+    rng = random.Random(12)
+    base = [rng.choice(words) for _ in range(200_000)]
+    copy = list(base)
+    for at in rng.sample(range(len(copy)), 2_000):
+        copy[at] = rng.choice(words)
+    texts = [" ".join(t) for t in (base, copy, [rng.choice(words) for _ in range(200_000)], base[:300], base[:280])]
+    rows = spark.createDataFrame([(bytes([i]), t) for i, t in enumerate(texts)], "node binary, _text string")
+    placed = rows.select("node", "node").toDF("node", "component")
+    no_weights = spark.sparkContext.broadcast((np.array([], np.uint64), np.array([]), len(texts)))
+    found = near_dedup.prefix_pairs(rows, placed, no_weights, 0.8)
+    assert {(r.a[0], r.b[0]) for r in found.collect()} == {(0, 1), (3, 4)}
