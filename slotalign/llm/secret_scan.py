@@ -9,11 +9,13 @@ exclusive. The base kinds come first, in the order of ``RULES``.
 
 Defined results: a NULL text counts as empty and has no findings. Repeated rows, equal texts and ties share
 one scan and get one result row each. An empty table gives no rows. Columns beside the text are kept as
-given; a column named ``blob`` or ``findings`` is replaced.
+given; a column named ``blob`` or ``findings`` is replaced. A text with very many
+secrets is worked on in blocks of about the square root of their number, so its cost stays far below the square.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,22 +57,59 @@ def with_blob(versions: DataFrame, text: str = "text") -> DataFrame:
     return versions.withColumn("blob", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def block_width(size: Column) -> Column:
+    """Elements per block when ``size`` of them are worked on in about as many blocks as a block has elements."""
+    return F.ceil(F.sqrt(size)).cast("int")
+
+
+def block_starts(size: Column, width: Column) -> Column:
+    return F.sequence(F.lit(0), size - 1, width)
+
+
+def running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """All values up to each one, joined; ``values`` is a non-empty array of INT.
+
+    Appending to an array copies it, so blocks are walked one by one and their totals then carried over.
+    """
+    empty = F.array().cast("array<int>")
+
+    def append(state: Column, value: Column) -> Column:
+        last = F.try_element_at(state, F.lit(-1))
+        return F.concat(state, F.array(F.when(last.isNull(), value).otherwise(join(last, value))))
+
+    def of_blocks(blocks: Column) -> Column:
+        totals = F.aggregate(F.transform(blocks, lambda b: F.element_at(b, -1)), empty, append)
+        return let(totals, lambda t: F.flatten(F.transform(blocks, lambda block, no: F.when(no == 0, block).otherwise(
+            let(F.get(t, no - 1), lambda before: F.transform(block, lambda value: join(before, value)))))))
+
+    def of_values(all_values: Column) -> Column:
+        width = block_width(F.size(all_values))
+        return let(F.transform(block_starts(F.size(all_values), width), lambda at: F.aggregate(
+            F.slice(all_values, at + 1, width), empty, append)), of_blocks)
+
+    return let(values, of_values)
+
+
 def spans_of(rule: Rule, kind_no: int, hits: Column, values: Column, pieces: Column) -> Column:
     """Spans from the matches and the pieces between them, whose lengths add up to the offsets."""
-    empty = F.array().cast(f"array<{SPAN}>")
-    start = F.struct(F.lit(0).alias("at"), empty.alias("found"))
 
-    def step(state: Column, i: Column) -> Column:
-        first = state["at"] + F.char_length(F.get(pieces, i))
-        end = first + F.char_length(F.get(hits, i))
-        span = F.struct(first.alias("start"), F.lit(kind_no).alias("kind_no"), end.alias("end"),
-                        F.lit(rule.kind).alias("kind"))
-        long_enough = F.char_length(F.get(values, i)) >= rule.min_chars
-        return F.struct(end.alias("at"), F.when(long_enough, F.concat(state["found"], F.array(span)))
-                        .otherwise(state["found"]).alias("found"))
+    # Bound here, as an expression that is used once would be put into the loop and be matched again for every span.
+    found = F.struct(hits.alias("hits"), pieces.alias("pieces"), values.alias("values"))
 
-    walked = F.aggregate(F.sequence(F.lit(0), F.size(hits) - 1), start, step)["found"]
-    return F.when(F.size(hits) > 0, walked).otherwise(empty)
+    def spans(found: Column) -> Column:
+        lengths = F.transform(found["hits"], lambda hit, i: F.char_length(F.get(found["pieces"], i)) + F.char_length(hit))
+        return let(running(lengths, lambda before, length: before + length), lambda ends: F.filter(
+            F.transform(found["hits"], lambda hit, i: F.struct(
+                (F.get(ends, i) - F.char_length(hit)).alias("start"), F.lit(kind_no).alias("kind_no"),
+                F.get(ends, i).alias("end"), F.lit(rule.kind).alias("kind"))),
+            lambda _, i: F.char_length(F.get(found["values"], i)) >= rule.min_chars))
+
+    return F.when(F.size(hits) > 0, let(found, spans)).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def scan(blobs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
@@ -143,14 +182,25 @@ def of_kinds(findings: Column, kinds: list[str]) -> Column:
 
 def redact(text: Column, findings: Column, mask: str = "[SECRET]") -> Column:
     """``text`` with every run of overlapping or touching spans replaced by one ``mask``."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(state: Column, span: Column) -> Column:
-        gap = F.substring(text, state["at"] + 1, span["start"] - state["at"])
-        apart = (span["start"] > state["at"]) | (state["at"] == 0)
-        return F.struct(F.greatest(state["at"], span["end"]).alias("at"),
-                        F.when(apart, F.concat(state["out"], gap, F.lit(mask))).otherwise(state["out"]).alias("out"))
 
-    masked = F.aggregate(findings, start, step)
-    rest = F.substring(text, masked["at"] + 1, F.char_length(text))
-    return F.when(F.size(findings) > 0, F.concat(masked["out"], rest)).otherwise(text)
+    def masked(ends: Column) -> Column:
+        # What stands before each run of spans; later spans of a run have nothing before them.
+        gaps = F.transform(findings, lambda span, i: F.struct(
+            F.when(i == 0, 0).otherwise(F.get(ends, i - 1)).alias("since"), span["start"].alias("until"), (i == 0).alias("first")))
+        gaps = F.filter(gaps, lambda gap: gap["first"] | (gap["until"] > gap["since"]))
+        rest = F.substring(text, F.element_at(ends, -1) + 1, F.char_length(text))
+        return F.concat(let(gaps, before_runs), rest)
+
+    def before_runs(gaps: Column) -> Column:
+        # The text is cut once for each block of gaps, and each gap out of its block.
+        width = block_width(F.size(gaps))
+        return F.array_join(F.transform(block_starts(F.size(gaps), width), lambda at: let(
+            F.slice(gaps, at + 1, width), of_block)), "")
+
+    def of_block(gaps: Column) -> Column:
+        begin, end = F.get(gaps, 0)["since"], F.element_at(gaps, -1)["until"]
+        return let(F.substring(text, begin + 1, end - begin), lambda part: F.array_join(F.transform(gaps, lambda gap: F.concat(
+            F.substring(part, gap["since"] - begin + 1, gap["until"] - gap["since"]), F.lit(mask))), ""))
+
+    ends = running(F.transform(findings, lambda span: span["end"]), lambda before, end: F.greatest(before, end))
+    return F.when(F.size(findings) > 0, let(ends, masked)).otherwise(text)

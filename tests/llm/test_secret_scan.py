@@ -64,6 +64,37 @@ def test_redaction(make_docs):
     assert rows == {0: 'a [SECRET]" é [SECRET].', 1: "clean", 2: None, 3: "[SECRET]"}
 
 
+def plain_redaction(text, spans):
+    """Every run of overlapping or touching spans becomes one mask."""
+    runs = []
+    for start, end in sorted(spans):
+        if runs and start <= runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], end)
+        else:
+            runs.append([start, end])
+    out, at = "", 0
+    for start, end in runs:
+        out, at = out + text[at:start] + "[SECRET]", end
+    return out + text[at:]
+
+
+def test_redaction_equals_plain_masking(make_docs, words):
+    texts = secret_texts(words)
+    docs = make_docs(texts)
+    rows = join_findings(docs, extend_ledger(docs)).withColumn("out", redact(F.col("text"), F.col("findings"))).collect()
+    assert sum(len(r.findings) > 1 for r in rows) > 20
+    for row in rows:
+        assert row.out == (plain_redaction(row.text, [(f.start, f.end) for f in row.findings]) if row.text else row.text)
+
+
+def test_fifty_thousand_secrets_in_one_text(make_docs):
+    text = "".join(f"é token={i:012d} " for i in range(50_000))
+    docs = make_docs([text, "token=abcdefgh"])
+    rows = {r.doc_id: r for r in join_findings(docs, extend_ledger(docs)).withColumn("out", redact(F.col("text"), F.col("findings"))).collect()}
+    assert [f"assign:{f.start}:{f.end}" for f in rows[0].findings] == plain_spans(text)
+    assert rows[0].out == "é [SECRET] " * 50_000 and rows[1].out == "[SECRET]"
+
+
 def test_odd_rows(odd_docs, no_docs):
     rows = join_findings(odd_docs, extend_ledger(odd_docs))
     assert rows.count() == odd_docs.count() and rows.where("size(findings) > 0").count() == 0
