@@ -37,6 +37,8 @@ MIN_IDENTITY = 0.8
 MISMATCH = -4
 BLOCK_CHARS = 8_000_000
 ALIGNED_CELLS = 4_000_000
+# Pairs of places that are held at a time; more are worked off one part after another.
+HITS = 4_000_000
 
 
 def seed_hashes(hashes: np.ndarray, mask: str) -> np.ndarray:
@@ -64,6 +66,71 @@ def seeds_within(words: Words, mask: str) -> tuple[np.ndarray, np.ndarray]:
     return seeds[inside], inside
 
 
+def distinct_triples(rows: np.ndarray) -> np.ndarray:
+    """Distinct rows of three whole numbers in ascending order."""
+    if not len(rows):
+        return rows
+    rows = rows[np.lexsort(rows.T[::-1])]
+    return rows[np.append(True, (rows[1:] != rows[:-1]).any(axis=1))]
+
+
+class Postings:
+    """The places of all items where each seed of one mask begins, told apart by the seed one word before."""
+
+    def __init__(self, seeds: np.ndarray, places: np.ndarray, owner: np.ndarray) -> None:
+        joint, _ = self.joint(seeds, places, owner)
+        order = np.lexsort((joint, seeds))
+        self.places = places[order]
+        values, self.first = np.unique(seeds[order], return_index=True)
+        self.end = np.append(self.first[1:], len(order))
+        self.members = Members(values)
+        # Equal joint seeds have equal seeds, so they stand together.
+        at = np.flatnonzero(np.append(True, joint[order][1:] != joint[order][:-1]))
+        by_value = np.argsort(joint[order][at])
+        self.joint_members = Members(joint[order][at])
+        self.joint_first, self.joint_end = at[by_value], np.append(at[1:], len(order))[by_value]
+
+    @staticmethod
+    def joint(seeds: np.ndarray, places: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A hash of each seed and the one a word before it in the same text, and whether there is one."""
+        follows = np.zeros(len(seeds), bool)
+        follows[1:] = (places[1:] == places[:-1] + 1) & (owner[1:] == owner[:-1])
+        before = np.zeros(len(seeds), np.uint64)
+        before[1:] = np.where(follows[1:], mix(seeds[:-1] + np.uint64(1)), np.uint64(0))
+        return mix(seeds * np.uint64(0x9E3779B97F4A7C15) + before), follows
+
+    def first_hits(self, seeds: np.ndarray, places: np.ndarray, owner: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of a text's and an item's place with equal seeds, without those that also have equal seeds a word before.
+
+        What is left out lies on a diagonal that an earlier pair is on, so no diagonal is lost, and a repeated word
+        meets its like at as many places as both runs have words, not at all pairs of them.
+        """
+        found, which = self.members.find(seeds)
+        if not len(found):
+            return
+        joint, follows = self.joint(seeds, places, owner)
+        low = np.zeros(len(seeds), np.int64)
+        high = np.zeros(len(seeds), np.int64)
+        at, same = self.joint_members.find(joint)
+        low[at], high[at] = self.joint_first[same], self.joint_end[same]
+        high[~follows] = low[~follows]
+        # The places from ``low`` to ``high`` continue what began a word before.
+        first, low, skipped = self.first[which], low[found], (high - low)[found]
+        many = self.end[which] - first - skipped
+        place, total = places[found], np.cumsum(many)
+        start = 0
+        while start < len(found):
+            done = total[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(total, done + HITS, side="right")))
+            part = slice(start, stop)
+            inner = np.arange(many[part].sum()) - np.repeat(np.cumsum(many[part]) - many[part], many[part])
+            other = np.repeat(first[part], many[part]) + inner
+            beyond = np.repeat(skipped[part], many[part])
+            other += np.where((beyond > 0) & (other >= np.repeat(low[part], many[part])), beyond, 0)
+            yield np.repeat(place[part], many[part]), self.places[other]
+            start = stop
+
+
 class BenchmarkSeeds:
     """The seeds of a block of items."""
 
@@ -81,37 +148,31 @@ class BenchmarkSeeds:
         for n in range(MIN_ITEM_WORDS, widest):
             for mask in one_left_out(n):
                 by_mask[mask] = by_mask.get(mask, False) | (sizes == n)
+        self.owner = owner
         self.tables = {}
         for mask, wanted in by_mask.items():
             seeds, places = seeds_within(items, mask)
             use = wanted[owner[places]]
             if use.any():
-                order = np.argsort(seeds[use], kind="stable")
-                values, first = np.unique(seeds[use][order], return_index=True)
-                ends = np.append(first[1:], len(order))
-                self.tables[mask] = (Members(values), first, ends, places[use][order])
-        self.owner = owner
+                self.tables[mask] = Postings(seeds[use], places[use], owner[places[use]])
 
-    def hits(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs of a document word and a benchmark word that begin equal seeds."""
-        left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for mask, (members, first, ends, places) in self.tables.items():
+    def diagonals(self, words: Words) -> np.ndarray:
+        """Rows of text, item and shift, once each, of all places that begin equal seeds."""
+        owner, known = words.owner(), np.empty((0, 3), np.int64)
+        for mask, postings in self.tables.items():
             seeds, at = seeds_within(words, mask)
-            found, which = members.find(seeds)
-            many = ends[which] - first[which]
-            inner = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            left.append(np.repeat(at[found], many))
-            right.append(places[np.repeat(first[which], many) + inner])
-        return np.concatenate(left), np.concatenate(right)
+            for place, other in postings.first_hits(seeds, at, owner[at]):
+                rows = np.stack([owner[place], self.owner[other], place - other], axis=1)
+                known = distinct_triples(np.concatenate([known, rows]))
+        return known
 
     def overlaps(self, words: Words) -> np.ndarray:
         """Rows of text, item, first word in the text, first word in the item, length, equal words."""
-        place, other = self.hits(words)
-        text, item = words.owner()[place] if len(place) else place, self.owner[other]
-        diagonals = np.unique(np.stack([text, item, place - other], axis=1), axis=0)
+        diagonals = self.diagonals(words)
         if not len(diagonals):
             return np.empty((0, 6), np.int64)
         sizes = np.diff(self.bounds)[diagonals[:, 1]]
+        needed = np.minimum(MIN_MATCHED, np.ceil(MIN_IDENTITY * np.diff(self.bounds)))
         rows = []
         order = np.argsort(sizes, kind="stable")
         start = 0
@@ -119,11 +180,10 @@ class BenchmarkSeeds:
             width = max(1, int(sizes[order[start]]))
             stop = start + max(1, min(len(order) - start, ALIGNED_CELLS // width))
             stop = start + max(1, int(np.searchsorted(sizes[order[start:stop]], 2 * width, side="right")))
-            rows.append(self.align(words, diagonals[order[start:stop]]))
+            made = self.align(words, diagonals[order[start:stop]])
+            rows.append(made[made[:, 5] >= needed[made[:, 1]]])
             start = stop
         found = np.concatenate(rows)
-        needed = np.minimum(MIN_MATCHED, np.ceil(MIN_IDENTITY * np.diff(self.bounds)[found[:, 1]]))
-        found = found[found[:, 5] >= needed]
         found = found[np.lexsort((found[:, 2], -found[:, 5], found[:, 1], found[:, 0]))]
         return found[np.unique(found[:, :2], axis=0, return_index=True)[1]]
 

@@ -1,9 +1,11 @@
 import random
 
+import pyarrow as pa
 import pytest
 
 from slotalign.llm import decontaminate
 from slotalign.llm.decontaminate import find_overlaps, remove_contaminated
+from slotalign.llm.words import WordHasher, Words
 
 
 def best_overlap(doc, item):
@@ -112,6 +114,35 @@ def test_all_stretches(make_docs, spark, words, changes):
         assert sum(map(str.__eq__, doc, item)) == r.n_equal and doc[0] == item[0] and doc[-1] == item[-1]
 
 
+@pytest.mark.parametrize("hits", [decontaminate.HITS, 3])
+def test_diagonals_equal_all_pairs_of_places(words, monkeypatch, hits):
+    """Runs of few different words, so that seeds repeat and follow each other."""
+    monkeypatch.setattr(decontaminate, "HITS", hits)
+    rng = random.Random(6)
+
+    def text(size):
+        return [w for _ in range(size) for w in [rng.choice(words[:3])] * rng.choice((1, 1, 2, 9))][:size]
+
+    items, docs = [text(n) for n in (5, 8, 12, 30, 30, 60)], [text(rng.randint(0, 70)) for _ in range(12)]
+    seeds = decontaminate.BenchmarkSeeds(pa.array([" ".join(i) for i in items]))
+    [found] = WordHasher().chunks(pa.array([" ".join(d) for d in docs]))
+    wanted, owner = set(), found.owner()
+    for mask, postings in seeds.tables.items():
+        here, at = decontaminate.seeds_within(found, mask)
+        there, places = decontaminate.seeds_within(Words(0, seeds.hashes, seeds.bounds), mask)
+        used = set(postings.places.tolist())
+        wanted |= {(owner[i], seeds.owner[j], i - j) for s, i in zip(here, at) for t, j in zip(there, places) if s == t and j in used}
+    got = [tuple(r) for r in seeds.diagonals(found).tolist()]
+    assert len(got) == len(set(got)) > 500 and set(got) == wanted
+
+
+def test_a_repeated_word_on_both_sides(make_docs, spark):
+    item, text = ["again"] * 100, ["again"] * 60_000
+    benchmark = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    [row] = find_overlaps(make_docs([" ".join(text), "another text"]), benchmark).collect()
+    assert (row.doc_id, row.doc_word, row.item_word, row.n_words, row.n_equal) == (0, 0, 0, 100, 100)
+
+
 @pytest.mark.parametrize("size", [5, 6, 7, 8])
 def test_short_items_with_one_changed_word(make_docs, spark, size):
     item = [f"word{k}" for k in range(size)]
