@@ -78,7 +78,7 @@ class Postings:
     """The places of all items where each seed of one mask begins, told apart by the seed one word before."""
 
     def __init__(self, seeds: np.ndarray, places: np.ndarray, owner: np.ndarray) -> None:
-        joint, _ = self.joint(seeds, places, owner)
+        joint, _ = self.joint(seeds, places, owner, np.arange(len(seeds)))
         order = np.lexsort((joint, seeds))
         self.places = places[order]
         values, self.first = np.unique(seeds[order], return_index=True)
@@ -91,13 +91,12 @@ class Postings:
         self.joint_first, self.joint_end = at[by_value], np.append(at[1:], len(order))[by_value]
 
     @staticmethod
-    def joint(seeds: np.ndarray, places: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """A hash of each seed and the one a word before it in the same text, and whether there is one."""
-        follows = np.zeros(len(seeds), bool)
-        follows[1:] = (places[1:] == places[:-1] + 1) & (owner[1:] == owner[:-1])
-        before = np.zeros(len(seeds), np.uint64)
-        before[1:] = np.where(follows[1:], mix(seeds[:-1] + np.uint64(1)), np.uint64(0))
-        return mix(seeds * np.uint64(0x9E3779B97F4A7C15) + before), follows
+    def joint(seeds: np.ndarray, places: np.ndarray, owner: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A hash of each seed ``at`` and the one a word before it in the same text, and whether there is one."""
+        last = np.maximum(at - 1, 0)
+        follows = (places[at] == places[last] + 1) & (owner[at] == owner[last])
+        before = np.where(follows, mix(seeds[last] + np.uint64(1)), np.uint64(0))
+        return mix(seeds[at] * np.uint64(0x9E3779B97F4A7C15) + before), follows
 
     def first_hits(self, seeds: np.ndarray, places: np.ndarray, owner: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs of a text's and an item's place with equal seeds, without those that also have equal seeds a word before.
@@ -108,14 +107,13 @@ class Postings:
         found, which = self.members.find(seeds)
         if not len(found):
             return
-        joint, follows = self.joint(seeds, places, owner)
-        low = np.zeros(len(seeds), np.int64)
-        high = np.zeros(len(seeds), np.int64)
+        joint, follows = self.joint(seeds, places, owner, found)
+        low, high = np.zeros((2, len(found)), np.int64)
         at, same = self.joint_members.find(joint)
         low[at], high[at] = self.joint_first[same], self.joint_end[same]
         high[~follows] = low[~follows]
         # The places from ``low`` to ``high`` continue what began a word before.
-        first, low, skipped = self.first[which], low[found], (high - low)[found]
+        first, skipped = self.first[which], high - low
         many = self.end[which] - first - skipped
         place, total = places[found], np.cumsum(many)
         start = 0
