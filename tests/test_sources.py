@@ -250,3 +250,14 @@ def test_feather_opens_only_what_is_needed(spark, tmp_path, monkeypatch):
     rows = late.frame.orderBy("sample_id").collect()
     assert [r.sample_id for r in rows] == list(range(13))
     assert [r.entries[0][0] for r in rows] == values[65::2, 0].tolist() and all(r.entries[1][1] == 1.5 for r in rows)
+
+
+def test_scratch_folders_are_known_to_be_shared(spark):
+    """On a cluster a bare path on disk is refused, but not one in the shared folder."""
+    from slotalign.plans.queries import scratch
+    from slotalign.sources.feather import qualified
+
+    cluster = SimpleNamespace(sparkContext=SimpleNamespace(
+        _jvm=spark.sparkContext._jvm, _jsc=spark.sparkContext._jsc, master="spark://host:7077"))
+    path = scratch(spark, "feather")
+    assert qualified(cluster, path).startswith("file:///")
