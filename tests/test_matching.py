@@ -144,3 +144,48 @@ def test_wide_samples(slots, samples, spread):
         got = labels[row, there]
         assert len(set(got.tolist())) == len(there) and got.min() >= 0
         assert -score[row, there, got].sum() == pytest.approx(plain_hungarian(-score[row, there]), abs=1e-8)
+
+
+@pytest.mark.parametrize("slots", [3, 4])
+def test_labels_that_share_medians_tie_as_doubles_add_up(spark, slots):
+    """All labels have one distribution and other probabilities: every order has the same total but for rounding."""
+    import math
+    from functools import reduce
+    from itertools import permutations
+    from operator import add
+
+    from slotalign.operators.entry_fits import RobustFit
+    from slotalign.operators.models import robust_model
+
+    rng = np.random.default_rng(5)
+    values = rng.integers(1, 50, (300, slots, 2)) / 7.0
+    values[rng.random((300, slots)) < 0.2] = np.nan
+    fit = RobustFit(np.full((slots, 2), [3.125, 4.0625]), np.full((slots, 2), [1.9, 2.3]), (0, 1))
+    prob = np.linspace(0.4, 0.6, slots)
+    constant = math.log(0.75 * math.sqrt(math.pi)) - 0.5 * math.log(4 * math.pi)
+
+    def plain(numbers):
+        return reduce(add, numbers, 0.0)  # sum() compensates for rounding
+
+    def score(entry, label):
+        total = 0.0
+        for value, middle, scale in zip(entry, fit.location[label].tolist(), fit.scale[label].tolist()):
+            scaled = (value - middle) / scale
+            total = total + constant - math.log(scale) - 2.5 * math.log(1 + scaled * scaled / 4)
+        return math.log(prob[label]) + total
+
+    chain = PosteriorChain.from_array(spark, values, slots, 2)
+    rows = assign(chain, fit, prob, robust_model()).orderBy("sample_id").collect()
+    for entries, row in zip(values, rows):
+        there = [s for s in range(slots) if not np.isnan(entries[s, 0])]
+        cells = {(s, label): score(entries[s].tolist(), label) for s in there for label in range(slots)}
+        found = [row["labels"][s] for s in there]
+        if slots == 3:
+            totals = [(plain(sorted(cells.get((s, order[s]), 0.0) for s in range(slots))), order) for order in permutations(range(slots))]
+            first = next(order for total, order in totals if total == max(totals)[0])
+            assert found == [first[s] for s in there]
+        else:
+            totals = [(plain(cells[s, label] for s, label in zip(there, order)), order) for order in permutations(range(slots), len(there))]
+            used = min((sum(1 << label for label in order) for total, order in totals if total == max(totals)[0]), default=0)
+            assert (sum(1 << label for label in found)) == used
+            assert plain(cells[s, label] for s, label in zip(there, found)) == max(totals)[0]
