@@ -289,3 +289,30 @@ def test_slack_bins_are_ordered():
     values = np.array([0.0, 1e-40, 1e-5, 1.01e-5, 0.3, 5.0, 1e20, np.inf])
     assert (np.diff(slack_bin(values)) >= 0).all() and slack_bin(values)[0] == 0
     assert slacks(np.ones(1), np.ones((1, 2), bool), np.ones((1, 2)), (1, 1, 1))[0] == pytest.approx(1 / 6)
+
+
+def test_packed_blocks_measure_the_same(spark):
+    """The loop's blocks, also with a matcher, and with the samples of a written layout that may move."""
+    from slotalign.operators.assignment import assign_with_slack, block_matcher
+    from slotalign.operators.bounds import Coordinates
+    from slotalign.operators.fits import create_parametric_fit
+    from slotalign.operators.moments import packed
+
+    rng = np.random.default_rng(8)
+    values = rng.normal(size=(9000, 3, 2)) + np.arange(3)[:, None]
+    values[rng.random((9000, 3)) < 0.3] = np.nan
+    chain = PosteriorChain.from_array(spark, values, 3, 2)
+    blocks = packed(chain.by_param())
+    plain = measure_entries(chain.by_param(), 3, [0, 1])
+    fit, prob = create_parametric_fit(mv_normal_model().estimator)(chain, 3), np.array([0.5, 0.6, 0.7])
+    match = block_matcher(3, fit, prob, mv_normal_model())
+    full = measure_entries(chain.by_param(), 3, [0, 1], match, [0, 1])
+    coordinates = Coordinates.of(plain.moments)
+    written = assign_with_slack(blocks, 3, fit, prob, mv_normal_model(), coordinates)
+    for made, expected in ((measure_entries(blocks, 3, [0, 1]), plain), (measure_entries(blocks, 3, [0, 1], match, [0, 1]), full),
+                           (measure_entries(written, 3, [0, 1]), full)):
+        assert made.sums.layout == expected.sums.layout and made.sums.samples == 9000
+        assert made.sums.first.keys() == expected.sums.first.keys()
+        np.testing.assert_array_equal(made.sums.central()[1], expected.sums.central()[1])
+    none = measure_entries(written.where("low <= 0.5"), 3, [0, 1], match, [0, 1], limit=0.5)
+    assert 0 < none.sums.read < 9000 and none.sums.layout == 0 and not none.sums.valid.any()
