@@ -261,3 +261,33 @@ def test_scratch_folders_are_known_to_be_shared(spark):
         _jvm=spark.sparkContext._jvm, _jsc=spark.sparkContext._jsc, master="spark://host:7077"))
     path = scratch(spark, "feather")
     assert qualified(cluster, path).startswith("file:///")
+
+
+def test_comments_reach_to_the_end_of_the_line(spark, tmp_path):
+    """Also behind a character that regular expressions take for a line's end; tabs part numbers."""
+    (tmp_path / "space.dat").write_text("1\t2 3 4 0 0 0 0 0 # first second\n# none  here\n5 6 7 8 1 0 0 0 0\n", encoding="utf-8")
+    chain = load_samples_product_space(spark, f"{tmp_path}/space.dat", 2)
+    np.testing.assert_array_equal(chain.to_array(), [[[1, 2], [np.nan, np.nan]], [[5, 6], [7, 8]]])
+
+
+def test_dimension_files_are_written_from_their_own_rows(spark):
+    """The table of all widths is sorted by width, and no width is written twice."""
+    from pyspark.sql import functions as F
+
+    from slotalign.plans import queries
+
+    rows = spark.range(300).select(F.expr("id div 3").alias("sample_id"), (F.col("id") % 3 + 1).cast("int").alias("sources"),
+                                   F.lit(0).alias("slot"), F.array(F.col("id").cast("double"), F.lit(0.5)).alias("values"))
+    tables, plain = [], queries.stage
+    queries.stage = lambda frame: tables.append(plain(frame)) or tables[-1]
+    try:
+        folder = queries.write_dimension_files(spark, rows, 3)
+    finally:
+        queries.stage = plain
+    assert len(tables) == 1
+    parts = tables[0].select(F.input_file_name().alias("file"), "sources", F.monotonically_increasing_id().alias("place")).collect()
+    for file in {row["file"] for row in parts}:
+        widths = [row["sources"] for row in sorted(parts, key=lambda row: row["place"]) if row["file"] == file]
+        assert widths == sorted(widths)
+    lines = [row["value"] for row in spark.read.text(f"{folder}/dimension_chain.dat.2").collect()]
+    assert sorted(float(line.split()[0]) for line in lines) == list(np.arange(1.0, 300.0, 3.0))
