@@ -8,14 +8,17 @@ begin with ``v``; unigrams get half a count extra. Background counts are scaled
 both are smoothed alike. A text scores the mean over its words of the loss (natural log) under the target
 less that under the background: the lower, the nearer to the target.
 
-No task holds a whole model. Words and bigrams with a share of about ``HOT_SHARE`` or more go to all tasks, at most
-``8 / HOT_SHARE`` of them; texts are scored by them where they are read. Every other bigram is one row that is
-shuffled to its equals, counted there, and its loss goes back to the text. Other words are joined from a written table of
-counts. Losses are added up as whole numbers, so neither the choice of hot entries nor the layout of the files
-has an effect.
+No task holds a whole model, and nothing is one row per occurrence. Texts are written once as blocks of about
+``BLOCK_WORDS`` words: the block's different words and, word by word, which of them it is. A block sends each of its
+different words and bigrams once, with its own count, packed by ranges of hashes. What meets in a range is counted
+there, and the counts of both sides go back to the block in the order it sent them. So a frequent word is one entry a
+block, like any other, and each text's losses are added up in one place, as whole numbers; the layout of the files
+has no effect. A range holds about ``RANGE_VALUES`` entries at most, so both blocks and ranges grow in number with the
+words, not in size.
 
 ``share`` is for callers who want smaller models: words and bigrams below half that share of all words are then
-left out (words as one entry for all others, bigrams with a count of 0). It is 0 unless given.
+left out (words as one entry for all others, bigrams with a count of 0). It is 0 unless given. ``hot_share`` has no
+effect any more: no entry needs a way of its own.
 
 Defined results: a text without words (NULL, empty) has 0 words and NULL losses. NULL ids are scored like
 others. If the target is empty, both models are uniform over what is left of the vocabulary and the
@@ -31,11 +34,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import stage
-from .frequent import BLOCK_VALUES, named_candidates
+from .frequent import named_candidates
 from .joins import join_counted
 from .words import Members, WordHasher, Words, mix
 
@@ -44,8 +47,12 @@ MU = 20.0
 ONE = np.uint64(1)
 #: Losses are whole multiples of one part in ``UNITS``.
 UNITS = float(1 << 26)
+SUMS = "key long, words long, b long, t long"
 SIDES = ("b", "t")
-COUNTS = ("b", "b_kept", "t", "t_kept")
+#: What a block of documents learns of each of its words and bigrams; ``ends`` counts words that no other one follows.
+COUNTS = ("b", "b_ends", "t", "t_ends")
+BLOCK_WORDS = 1 << 20
+RANGE_VALUES = 1 << 22
 
 
 def word_values(words: Words) -> np.ndarray:
@@ -76,16 +83,6 @@ def model_extract():
     return extract
 
 
-def bigram_extract():
-    hasher = WordHasher()
-
-    def extract(texts: pa.Array):
-        for words in hasher.chunks(texts):
-            yield bigram_values(words)[0], len(words.hashes)
-
-    return extract
-
-
 class Vocabulary:
     """Places of words and bigrams in sorted arrays; the place after the last word stands for all other words."""
 
@@ -138,52 +135,18 @@ def count_model(texts: DataFrame, values: np.ndarray) -> tuple[np.ndarray, np.nd
     return tuple(found)
 
 
-def word_counts(texts: DataFrame, side: str) -> DataFrame:
-    """``value`` and ``COUNTS`` of words in ``texts``, in parts: how often each stands, and with a word after it."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, parts, held = WordHasher(), [], 0
-
-        def flush() -> pa.RecordBatch:
-            # The lowest bit of a word's value tells whether another word follows.
-            values, numbers = np.unique(np.concatenate(parts), return_counts=True)
-            followed = np.where((values & ONE) == ONE, numbers, 0)
-            return pa.RecordBatch.from_arrays([pa.array((values & ~ONE).view(np.int64)), pa.array(numbers.astype(np.int64)),
-                                               pa.array(followed.astype(np.int64))], names=["value", "n", "kept"])
-
-        for batch in batches:
-            for words in hasher.chunks(batch.column(0)):
-                values = word_values(words)
-                values[second_places(words) - 1] |= ONE
-                parts.append(values)
-                held += len(values)
-                if held >= BLOCK_VALUES:
-                    yield flush()
-                    parts, held = [], 0
-        if held:
-            yield flush()
-
-    counted = texts.mapInArrow(run, "value long, n long, kept long")
-    mine = {side: "n", f"{side}_kept": "kept"}
-    return counted.select("value", *[(F.col(mine[c]) if c in mine else F.lit(0).cast("long")).alias(c) for c in COUNTS])
-
-
 @dataclass
-class Models:
-    """What all tasks know: hot words and bigrams with their counts, and the sizes of both sides.
+class Smoothing:
+    """The sizes of both sides: entries of the vocabulary, and words of the documents and of the target."""
 
-    ``words`` has a row for each of ``COUNTS``, and a last column for all other words; ``bigrams`` has one for each side.
-    """
-
-    values: np.ndarray
-    words: np.ndarray
-    bigrams: np.ndarray
     entries: int
     totals: tuple[int, int]
-    whole: bool
 
     def losses(self, words: np.ndarray, before: np.ndarray, joint: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
-        """Losses in ``UNITS`` for both sides, by the counts of words, of those before them and of both together."""
+        """Losses in ``UNITS`` for both sides, by the counts of words, of those before them and of both together.
+
+        ``words`` and ``before`` have two rows for each side: how often a word stands, and how often with a kept bigram.
+        """
         goal, found = self.totals[1] or self.totals[0], []
         for side, total in enumerate(self.totals):
             scale = goal / max(1, total)
@@ -195,137 +158,192 @@ class Models:
         return found
 
 
-class Reader:
-    """Sorts the words of texts by how their losses are found."""
+@dataclass
+class Models(Smoothing):
+    """Models of a bounded number of words and bigrams, which go to all tasks.
 
-    def __init__(self, models: Models) -> None:
-        self.models, self.vocabulary, self.hasher = models, Vocabulary(models.values), WordHasher()
+    ``words`` has the rows that ``losses`` takes, and a last column for all other words; ``bigrams`` has one row for each side.
+    """
 
-    def read(self, words: Words):
-        """Places of words and bigrams, which words have none before them, and which have all counts at hand."""
-        ids, pairs, places = self.vocabulary.read(words)
-        first = np.ones(len(ids), bool)
-        first[places] = False
-        known = ids < self.vocabulary.size
-        both = known.copy()
-        both[places] &= known[places - 1]
-        return ids, pairs, first, known, both
+    values: np.ndarray
+    words: np.ndarray
+    bigrams: np.ndarray
 
 
-def hot_sums(documents: DataFrame, shared) -> DataFrame:
-    """``key, rows, words, b, t`` of each text: its words, and the losses of those whose counts are at hand."""
+def text_sums(losses: list[np.ndarray], bounds: np.ndarray) -> list[pa.Array]:
+    """The losses of each side added up text by text."""
+    sums = []
+    for each in losses:
+        upto = np.concatenate([np.zeros(1, np.int64), np.cumsum(each)])
+        sums.append(pa.array(upto[bounds[1:]] - upto[bounds[:-1]]))
+    return sums
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = shared.value
-        reader = Reader(models)
-        for batch in batches:
-            for words in reader.hasher.chunks(batch.column(1)):
-                ids, pairs, first, _, both = reader.read(words)
-                at = np.flatnonzero(both & (first | (pairs >= 0))) if models.whole else np.arange(len(ids))
-                before, pair = ids[np.maximum(at - 1, 0)], pairs[at]
-                joint = np.zeros((2, len(at)))
-                joint[:, pair >= 0] = models.bigrams[:, pair[pair >= 0]]
-                sums = []
-                for losses in models.losses(models.words[:, ids[at]], models.words[:, before], joint, first[at]):
-                    each = np.zeros(len(ids) + 1, np.int64)
-                    each[at + 1] = losses
-                    each = np.cumsum(each)
-                    sums.append(pa.array(each[words.bounds[1:]] - each[words.bounds[:-1]]))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(words.first, words.texts), pa.array(np.ones(words.texts, np.int64)),
-                     pa.array(np.diff(words.bounds).astype(np.int64)), *sums], names=["key", "rows", "words", *SIDES])
-
-    return documents.mapInArrow(run, "key long, rows long, words long, b long, t long")
-
-
-def cold_pairs(texts: DataFrame, shared) -> DataFrame:
-    """``pair, key`` of all bigrams of two hot words that are not hot: the places of both words, and the text."""
+
+def pruned_sums(documents: DataFrame, models: Models) -> DataFrame:
+    """``key, words, b, t`` of each text: its words and their losses."""
+    shared = documents.sparkSession.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(shared.value)
+        models, hasher = shared.value, WordHasher()
+        vocabulary = Vocabulary(models.values)
         for batch in batches:
-            for words in reader.hasher.chunks(batch.column(1)):
-                ids, pairs, first, _, both = reader.read(words)
-                at = np.flatnonzero(both & ~first & (pairs < 0))
-                owner = words.first + words.owner()[at]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at - 1].astype(np.int64) << 32 | ids[at].astype(np.int64)),
-                                                  batch.column(0).take(pa.array(owner))], names=["pair", "key"])
+            for words in hasher.chunks(batch.column(1)):
+                ids, pairs, places = vocabulary.read(words)
+                first = np.ones(len(ids), bool)
+                first[places] = False
+                before = ids[np.maximum(np.arange(len(ids)) - 1, 0)]
+                joint = np.zeros((2, len(ids)))
+                joint[:, pairs >= 0] = models.bigrams[:, pairs[pairs >= 0]]
+                sums = text_sums(models.losses(models.words[:, ids], models.words[:, before], joint, first), words.bounds)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(words.first, words.texts),
+                                                  pa.array(np.diff(words.bounds).astype(np.int64)), *sums], names=["key", "words", *SIDES])
 
-    return texts.mapInArrow(run, "pair long, key long")
+    return documents.mapInArrow(run, SUMS)
 
 
-def cold_words(texts: DataFrame, shared) -> DataFrame:
-    """``before, word, key`` of all words that are not hot or follow one that is not; hot ones as odd values."""
+def pack(numbers: np.ndarray) -> bytes:
+    """64-bit numbers byte by byte, all lowest bytes first, compressed."""
+    planes = np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, 8).T).tobytes()
+    return len(planes).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(shared.value)
-        for batch in batches:
-            for words in reader.hasher.chunks(batch.column(1)):
-                _, _, first, known, both = reader.read(words)
-                at = np.flatnonzero(~both)
-                values = (word_values(words) | known).view(np.int64)
-                owner = words.first + words.owner()[at]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(values[np.maximum(at - 1, 0)], mask=first[at]), pa.array(values[at]),
-                     batch.column(0).take(pa.array(owner))], names=["before", "word", "key"])
 
-    return texts.mapInArrow(run, "before long, word long, key long")
+def unpack(data: bytes, kind: type = np.int64) -> np.ndarray:
+    planes = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).reshape(-1).view(kind)
 
 
-def counted(rows: DataFrame, *by: str) -> DataFrame:
-    """The rows of documents, with how many rows of documents (``b``) and of the target (no key, ``t``) are equal to each.
+def pack_sorted(values: np.ndarray) -> bytes:
+    return pack(np.diff(values, prepend=np.uint64(0)))
 
-    No group is large: what is frequent on either side is hot and not among the rows.
-    """
-    equal = Window.partitionBy(*by)
-    of_documents = F.count("key").over(equal)
-    return rows.withColumns({"b": of_documents, "t": F.count(F.lit(1)).over(equal) - of_documents}).where("key IS NOT NULL")
 
+def unpack_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack(data, np.uint64), dtype=np.uint64)
 
-def pair_sums(rows: DataFrame, shared) -> DataFrame:
-    """``key, b, t``: the losses of counted ``cold_pairs``."""
+
+def packed_blocks(texts: DataFrame, side: int) -> DataFrame:
+    """``key, _text`` as blocks of whole texts: the different words, each word's place among them, words of each text, keys."""
+    size = BLOCK_WORDS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = shared.value
-        for batch in batches:
-            pair = batch.column(0).to_numpy()
-            joint = np.stack([batch.column(2).to_numpy(), batch.column(3).to_numpy()])
-            losses = models.losses(models.words[:, pair & 0xFFFFFFFF], models.words[:, pair >> 32], joint,
-                                   np.zeros(len(pair), bool))
-            yield pa.RecordBatch.from_arrays([batch.column(1), *map(pa.array, losses)], names=["key", *SIDES])
+        hasher, parts, sizes, keys, held = WordHasher(), [], [], [], 0
 
-    return counted(rows, "pair").mapInArrow(run, "key long, b long, t long")
+        def flush() -> pa.RecordBatch:
+            values, ids = np.unique(np.concatenate(parts), return_inverse=True)
+            row = [[side], [len(ids)], [pack_sorted(values)], [pack(ids.astype(np.int64))],
+                   [pack(np.concatenate(sizes).astype(np.int64))], [pack(np.concatenate(keys))]]
+            return pa.RecordBatch.from_arrays([pa.array(c, f) for c, f in zip(row, (
+                pa.int32(), pa.int64(), *[pa.binary()] * 4))], names=["side", "words", "vocabulary", "ids", "sizes", "keys"])
 
+        for batch in batches:
+            for words in hasher.chunks(batch.column(1)):
+                parts.append(word_values(words))
+                sizes.append(np.diff(words.bounds))
+                keys.append(np.asarray(batch.column(0).slice(words.first, words.texts)))
+                held += len(words.hashes)
+                if held >= size:
+                    yield flush()
+                    parts, sizes, keys, held = [], [], [], 0
+        if parts:
+            yield flush()
 
-def word_sums(rows: DataFrame, counts: DataFrame, shared) -> DataFrame:
-    """``key, b, t``: the losses of counted ``cold_words``, with the counts of words that are not hot from ``counts``."""
-    joined = counted(rows, "before", "word")
-    for place in ("before", "word"):
-        side = counts.select(F.col("value").alias("_value"), F.array(*COUNTS).alias(f"{place}_counts"))
-        # Rows of hot words meet nothing, so they are spread evenly over odd values.
-        spread = F.xxhash64("before", "word", "key").bitwiseOR(F.lit(1))
-        joined = joined.withColumn("_value", F.when(F.col(place).bitwiseAND(F.lit(1)) == 0, F.col(place)).otherwise(spread)) \
-            .join(side.hint("merge"), "_value", "left").drop("_value")
+    return texts.mapInArrow(run, "side int, words long, vocabulary binary, ids binary, sizes binary, keys binary")
+
+
+class Block:
+    """The words of a packed block and its entries: different words and bigrams, sorted."""
+
+    def __init__(self, vocabulary: bytes, ids: bytes, sizes: bytes) -> None:
+        words, self.ids, sizes = unpack_sorted(vocabulary), unpack(ids), unpack(sizes)
+        self.bounds = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])
+        self.first = np.zeros(len(self.ids), bool)
+        self.first[self.bounds[:-1][sizes > 0]] = True
+        at = np.flatnonzero(~self.first)
+        self.last = self.bounds[1:][sizes > 0] - 1
+        pairs, self.pair_ids = np.unique(
+            mix(words[self.ids[at - 1]] * np.uint64(0x9E3779B97F4A7C15) + words[self.ids[at]]) | ONE, return_inverse=True)
+        self.values = np.concatenate([words, pairs])
+        self.order = np.argsort(self.values, kind="stable")
+        self.values, self.words = self.values[self.order], len(words)
+
+    def counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """How often each entry stands, and how often as the last word of a text."""
+        times = np.concatenate([np.bincount(self.ids, minlength=self.words),
+                                np.bincount(self.pair_ids, minlength=len(self.values) - self.words)])
+        ends = np.bincount(self.ids[self.last], minlength=len(self.values))
+        return times[self.order], ends[self.order]
+
+    def losses(self, smoothing: Smoothing, found: np.ndarray) -> list[np.ndarray]:
+        """The losses of all words by the ``COUNTS`` of the entries."""
+        placed = np.empty(found.shape)
+        placed[:, self.order] = found
+        placed[1, :self.words] = placed[0, :self.words] - placed[1, :self.words]  # from ends to words that another one follows
+        placed[3, :self.words] = placed[2, :self.words] - placed[3, :self.words]
+        joint = np.zeros((2, len(self.ids)))
+        joint[:, ~self.first] = placed[::2, self.words + self.pair_ids]
+        before = self.ids[np.maximum(np.arange(len(self.ids)) - 1, 0)]
+        return smoothing.losses(placed[:, self.ids], placed[:, before], joint, self.first)
+
+
+def entries(packed: DataFrame, ranges: int) -> DataFrame:
+    """``range, block, side`` and the entries of a block in that range of values, with their counts in the block."""
+    starts = np.array([-((-k << 64) // ranges) for k in range(ranges)], np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = shared.value
-        vocabulary = Vocabulary(models.values)
-
-        def counts_of(batch: pa.RecordBatch, place: str) -> np.ndarray:
-            values = np.asarray(pc.fill_null(batch.column(place), 0)).view(np.uint64)
-            found = models.words[:, vocabulary.word_places(values & ~ONE)]
-            lists = batch.column(f"{place}_counts")
-            at = np.flatnonzero(np.asarray(lists.is_valid()))
-            found[:, at] = np.asarray(lists.flatten()).reshape(-1, len(COUNTS)).T
-            return found
-
         for batch in batches:
-            joint = np.stack([batch.column(s).to_numpy() for s in SIDES])
-            first = np.asarray(batch.column("before").is_null())
-            losses = models.losses(counts_of(batch, "word"), counts_of(batch, "before"), joint, first)
-            yield pa.RecordBatch.from_arrays([batch.column("key"), *map(pa.array, losses)], names=["key", *SIDES])
-
-    return joined.mapInArrow(run, "key long, b long, t long")
+            for number, side, *fields in zip(*[column.to_pylist() for column in batch.columns]):
+                block = Block(*fields)
+                cuts = np.append(np.searchsorted(block.values, starts), len(block.values)).tolist()
+                times, ends = block.counts()
+                full = [k for k in range(ranges) if cuts[k] < cuts[k + 1]]
+                part = [slice(cuts[k], cuts[k + 1]) for k in full]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(full, pa.int32()), pa.array([number] * len(full), pa.int64()), pa.array([side] * len(full), pa.int32()),
+                    pa.array([pack_sorted(block.values[p]) for p in part], pa.binary()),
+                    pa.array([pack(times[p]) for p in part], pa.binary()), pa.array([pack(ends[p]) for p in part], pa.binary()),
+                ], names=["range", "block", "side", "entries", "times", "ends"])
+
+    return packed.select("block", "side", "vocabulary", "ids", "sizes").mapInArrow(
+        run, "range int, block long, side int, entries binary, times binary, ends binary")
+
+
+def counted(sent: DataFrame) -> DataFrame:
+    """``block, range`` and ``COUNTS`` of what each block of documents sent; each range's number of words of documents at no block."""
+
+    def run(table: pa.Table) -> pa.Table:
+        values = [unpack_sorted(x.as_buffer()) for x in table["entries"]]
+        bounds = np.cumsum([0, *map(len, values)])
+        found, which = np.unique(np.concatenate(values), return_inverse=True)
+        side = np.repeat(np.asarray(table["side"]), np.diff(bounds))
+        values = None
+        times, ends = (np.concatenate([unpack(x.as_buffer()) for x in table[c]]) for c in ("times", "ends"))
+        totals = [np.bincount(which[mine], n[mine], len(found)).astype(np.int64) for mine in (side == 0, side == 1) for n in (times, ends)]
+        own = np.flatnonzero(np.asarray(table["side"]) == 0).tolist()
+        known = int(np.count_nonzero((totals[0] > 0) & ((found & ONE) == 0)))
+        rows = [which[bounds[k]:bounds[k + 1]] for k in own]
+        columns = [pa.array([None, *[pack(total[at]) for at in rows]], pa.binary()) for total in totals]
+        return pa.table([pa.concat_arrays([pa.array([None], pa.int64()), table["block"].take(pa.array(own, pa.int64())).combine_chunks()]),
+                         pa.array([table["range"][0].as_py()] * (len(own) + 1), pa.int32()),
+                         pa.array([known] + [0] * len(own), pa.int64()), *columns], names=["block", "range", "known", *COUNTS])
+
+    return sent.groupBy("range").applyInArrow(run, "block long, range int, known long, " + ", ".join(f"{c} binary" for c in COUNTS))
+
+
+def block_sums(packed: DataFrame, replies: DataFrame, smoothing: Smoothing) -> DataFrame:
+    """``key, words, b, t`` of each text of the documents' blocks."""
+    fields = ("vocabulary", "ids", "sizes", "keys")
+    own = packed.where("side = 0").select("block", F.lit(-1).alias("range"), *fields, *[F.lit(None).cast("binary").alias(c) for c in COUNTS])
+    told = replies.where("block IS NOT NULL").select("block", "range", *[F.lit(None).cast("binary").alias(c) for c in fields], *COUNTS)
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("range")
+        block = Block(*[table[c][0].as_buffer() for c in fields[:-1]])
+        found = np.empty((len(COUNTS), len(block.values)))
+        for row, name in zip(found, COUNTS):
+            row[:] = np.concatenate([np.empty(0), *[unpack(x.as_buffer()) for x in table[name][1:]]])
+        sums = text_sums(block.losses(smoothing, found), block.bounds)
+        return pa.table([pa.array(unpack(table["keys"][0].as_buffer())), pa.array(np.diff(block.bounds)), *sums], names=["key", "words", *SIDES])
+
+    return own.unionByName(told).groupBy("block").applyInArrow(run, SUMS)
 
 
 def pruned_models(background: DataFrame, target: DataFrame, share: float) -> Models:
@@ -338,26 +356,20 @@ def pruned_models(background: DataFrame, target: DataFrame, share: float) -> Mod
     values = np.concatenate([values[even], values[~even]])[enough]
     sides = [count_model(texts, values) for texts in (background, target)]
     words = np.stack([counts for single, _, kept in sides for counts in (single, kept)])
-    return Models(values, words, np.stack([double for _, double, _ in sides]), words.shape[1],
-                  tuple(int(single.sum()) for single, _, _ in sides), False)
-
-
-def whole_models(background: DataFrame, target: DataFrame, hot_share: float) -> tuple[Models, DataFrame]:
-    """Models of all words and bigrams, with the hot ones at hand, and the written counts of all words."""
-    counts = stage(word_counts(background, "b").unionByName(word_counts(target, "t")).groupBy("value")
-                   .agg(*[F.sum(c).alias(c) for c in COUNTS]))
-    sizes = counts.agg(F.sum("b"), F.sum("t"), F.count_if(F.col("b") > 0)).first()
-    totals = (sizes[0] or 0, sizes[1] or 0)
-    hot = counts.where((F.col("b") >= hot_share * totals[0]) | (F.col("t") >= hot_share * totals[1])).sort("value").toArrow()
-    values = hot["value"].to_numpy().view(np.uint64)
-    order = np.argsort(values)
-    words = np.zeros((len(COUNTS), len(values) + 1))
-    for row, name in enumerate(COUNTS):
-        words[row, :-1] = hot[name].to_numpy()[order]
-    pairs = np.union1d(*[named_candidates(texts, bigram_extract, hot_share)[0] for texts in (background, target)])
-    values = np.concatenate([values[order], pairs])
-    bigrams = np.stack([count_model(texts, pairs)[1] for texts in (background, target)])
-    return Models(values, words, bigrams, sizes[2] + 1, totals, True), counts
+    return Models(words.shape[1], tuple(int(single.sum()) for single, _, _ in sides), values, words,
+                  np.stack([double for _, double, _ in sides]))
+
+
+def whole_sums(keyed: DataFrame, target: DataFrame) -> DataFrame:
+    """``key, words, b, t`` of each text of ``keyed`` under models of all words and bigrams."""
+    goal = target.select(F.lit(0).cast("long").alias("key"), "_text")
+    packed = stage(packed_blocks(keyed, 0).unionByName(packed_blocks(goal, 1)).withColumn("block", F.monotonically_increasing_id()))
+    held = {r["side"]: r["words"] for r in packed.groupBy("side").agg(F.sum("words").alias("words")).collect()}
+    totals = (held.get(0, 0), held.get(1, 0))
+    tasks = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    replies = stage(counted(entries(packed, max(tasks, -(-2 * sum(totals) // RANGE_VALUES)))))
+    known = replies.agg(F.sum("known")).first()[0] or 0
+    return block_sums(packed, replies, Smoothing(known + 1, totals))
 
 
 def cross_entropy_difference(documents: DataFrame, target: DataFrame, text: str = "text", target_text: str = "text",
@@ -369,20 +381,11 @@ def cross_entropy_difference(documents: DataFrame, target: DataFrame, text: str
     documents = documents.drop(*[c for c in ("n_words", "target_loss", "background_loss", "difference") if c != text])
     background, goal = documents.select(F.col(text).alias("_text")), target.select(F.col(target_text).alias("_text"))
     keyed = background.select(F.xxhash64("_text").alias("key"), "_text")
-    if share:
-        models, counts = pruned_models(background, goal, share), None
-    else:
-        models, counts = whole_models(background, goal, hot_share)
-    shared = documents.sparkSession.sparkContext.broadcast(models)
-    parts = hot_sums(keyed, shared)
-    if models.whole:
-        both = keyed.unionByName(goal.select(F.lit(None).cast("long").alias("key"), "_text"))
-        for sums in (pair_sums(cold_pairs(both, shared), shared), word_sums(cold_words(both, shared), counts, shared)):
-            parts = parts.unionByName(sums.withColumns({c: F.lit(0).cast("long") for c in ("rows", "words")}))
-    # Equal texts have equal losses, so they are added up together.
-    summed = parts.groupBy("key").agg(F.max("words").alias("n_words"), *[F.sum(c).alias(c) for c in ("rows", "words", *SIDES)])
+    sums = pruned_sums(keyed, pruned_models(background, goal, share)) if share else whole_sums(keyed, goal)
+    # Equal texts have equal losses.
+    summed = sums.groupBy("key").agg(F.count("*").alias("rows"), *[F.max(c).alias(c) for c in ("words", *SIDES)])
     loss = {c: F.when(F.col("words") > 0, F.col(c) / (F.lit(UNITS) * F.col("words"))) for c in SIDES}
-    scores = stage(summed.select(F.col("key").cast("string").alias("_key"), F.col("rows").alias("_rows"), "n_words",
+    scores = stage(summed.select(F.col("key").cast("string").alias("_key"), F.col("rows").alias("_rows"), F.col("words").alias("n_words"),
                                  loss["t"].alias("target_loss"), loss["b"].alias("background_loss")))
     rows = scores.agg(F.sum("_rows")).first()[0] or 0
     made = documents.withColumn("_key", F.xxhash64(text).cast("string"))

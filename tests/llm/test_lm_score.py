@@ -4,7 +4,9 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
+from slotalign.llm import lm_score
 from slotalign.llm.lm_score import MU, cross_entropy_difference
 from slotalign.storage import stage
 
@@ -105,3 +107,21 @@ def test_layout_and_hot_entries_have_no_effect(make_docs, spark, words, given):
     assert made[0] == made[1]
     for row, (n, near, far) in zip(made[0], plain_losses(texts, target, given.get("share", 0))):
         assert row.n_words == n and (not n or abs(row.target_loss - near) < 1e-6 and abs(row.background_loss - far) < 1e-6)
+
+
+def test_blocks_send_each_entry_once(make_docs, spark, words, monkeypatch):
+    """Blocks and ranges of any size give the same losses; what is sent is a few bytes a word, in a few rows."""
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice(words[:300]) for _ in range(rng.randint(0, 200))) for _ in range(300)]
+    held = stage(spark.createDataFrame([(t,) for t in texts[::4]], "text string"))
+    once = cross_entropy_difference(make_docs(texts), held).orderBy("doc_id").collect()
+    for row, (n, near, far) in zip(once, plain_losses(texts, texts[::4], 0)):
+        assert row.n_words == n and (not n or abs(row.target_loss - near) < 1e-6 and abs(row.background_loss - far) < 1e-6)
+    packed = stage(lm_score.packed_blocks(spark.createDataFrame(list(enumerate(texts)), "key long, _text string").coalesce(1), 0)
+                   .withColumn("block", F.lit(0).cast("long")))
+    sent = lm_score.entries(packed, 5).toPandas()
+    total = sum(len(t.split()) for t in texts)
+    assert packed.count() == 1 and len(sent) == 5 and sent[["entries", "times", "ends"]].map(len).sum().sum() < 10 * total
+    monkeypatch.setattr(lm_score, "BLOCK_WORDS", 1000)
+    monkeypatch.setattr(lm_score, "RANGE_VALUES", 2000)
+    assert cross_entropy_difference(make_docs(texts), held).orderBy("doc_id").collect() == once
