@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..storage import stage
 from .words import Members
 
-BLOCK_VALUES = 4_000_000
+BLOCK_VALUES = 1_000_000
 
 #: From the texts of a batch: arrays of values, each with the number of units (documents, words) it covers.
 Extract = Callable[[pa.Array], Iterator[tuple[np.ndarray, int]]]

@@ -43,6 +43,8 @@ BANDS, ROWS = 12, 4
 TABLE_BITS = 16
 SMALL_BUCKET = 8
 RARER = 4
+#: Pairs whose vectors a task holds at once.
+PAIRS_HELD = 64
 
 
 def shingle_extract():
@@ -174,8 +176,8 @@ def verify(pairs: DataFrame, texts: DataFrame, share_weights) -> DataFrame:
             return found
 
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
+            for start in range(0, batch.num_rows, PAIRS_HELD):
+                part = batch.slice(start, PAIRS_HELD)
                 values = [weighted_jaccard(x, y) for x, y in zip(
                     vectors(part.column("_left")), vectors(part.column("_right")))]
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(values, pa.float64())],

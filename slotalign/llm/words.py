@@ -1,7 +1,7 @@
 """Hashes of the words of many texts at once, with NumPy inside tasks.
 
 A word is a maximal run of ASCII letters, ASCII digits and non-ASCII characters of the lowercased text;
-everything else separates words. Texts are worked on a megabyte at a time, so memory does not depend on
+everything else separates words. Texts are worked on a quarter of a megabyte at a time, so memory does not depend on
 the size of a batch.
 """
 
@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 # Fixed odd multipliers of the polynomial word hash and of the finalising mix.
 BASE = 0x9E3779B97F4A7C15
 MIX_1, MIX_2 = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
@@ -81,7 +81,7 @@ class WordHasher:
         return Words(first, hashes, np.searchsorted(starts, offsets))
 
     def chunks(self, texts: pa.Array) -> Iterator[Words]:
-        """The words of all texts, about a megabyte of text (or one longer text) at a time."""
+        """The words of all texts, about ``CHUNK_BYTES`` of text (or one longer text) at a time."""
         sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0)).astype(np.int64)
         ends, start, done = np.cumsum(sizes), 0, 0
         while start < len(sizes):

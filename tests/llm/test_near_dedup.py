@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -112,3 +113,16 @@ def test_long_texts_meet_by_their_rarest_shingles(spark, words):
     no_weights = spark.sparkContext.broadcast((np.array([], np.uint64), np.array([]), len(texts)))
     found = near_dedup.prefix_pairs(rows, placed, no_weights, 0.8)
     assert {(r.a[0], r.b[0]) for r in found.collect()} == {(0, 1), (3, 4)}
+
+
+def test_working_memory_of_a_task(words):
+    """What a task holds beside its batch: a small part of the texts in work, however many there are."""
+    rng = random.Random(14)
+    texts = pa.array([" ".join(rng.choice(words) for _ in range(400)) for _ in range(2500)])  # five megabytes
+    weights, sampler, hasher = Weights(np.array([], np.uint64), np.array([]), len(texts)), Sampler(), WordHasher()
+    tracemalloc.start()
+    for part in hasher.chunks(texts):
+        sampler.bands_of(*weights.vectors(part))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30e6
