@@ -7,7 +7,7 @@ ROLLUP forms level by level. No n-grams of other lengths are ever made.
 Windows are many and mostly different, so they travel packed: a task counts equal windows of a block and writes, per
 part, one record with the block's words and the windows as compressed numbers (a few bytes each). Parts are told by the
 first two words, so a part knows its pairs' and triples' full counts, and folds windows whose prefix stays rare into a padded one
-before the ROLLUP. Pairs and triples that make up a great share of the corpus are found first (``frequent``); their
+before the ROLLUP. Pairs and triples that would make up a great share of a part are found first (``frequent``); their
 windows are spread by a further word each and not folded at that level. Parts are as many as the corpus needs, so a group is bounded.
 
 Defined results: a NULL or empty text has no words; a NULL language counts as ``und``, as one named so does; repeated rows
@@ -45,10 +45,10 @@ AHEAD = re.compile(rb"(?:[\x20\x09]*[^\x20\x09.,;:!?\x0A-\x0D]+){0,%d}" % (LONGE
 BREAKS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 
 # Windows of a block that are packed together, and windows of a part.
-BLOCK_WINDOWS = 1 << 21
-PART_WINDOWS = 1 << 21
-# Pairs and triples with half this share of all windows or more may be spread; at most 4 / share of them.
-HOT_SHARE = 2e-6
+BLOCK_WINDOWS = 1 << 20
+PART_WINDOWS = 1 << 20
+# Pairs and triples with this share of a part's windows are spread, and some less frequent ones; a few dozen per part at most.
+HOT_SHARE = 0.5
 HOT_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -78,8 +78,8 @@ class Windows:
         """Distinct words, the windows (one row per lead) and the text of each window."""
         words, segment, text, own = self.words(block)
         encoded = words.dictionary_encode()
-        numbers = np.asarray(encoded.indices).astype(np.int64) + 1
-        columns = np.zeros((LONGEST, len(numbers)), np.int64)
+        numbers = np.asarray(encoded.indices) + np.int32(1)
+        columns = np.zeros((LONGEST, len(numbers)), np.int32)
         for step in range(min(LONGEST, len(numbers))):
             stop = len(numbers) - step
             columns[step, :stop] = np.where(segment[step:] == segment[:stop], numbers[step:], 0)
@@ -106,11 +106,11 @@ def word_hashes(words: pa.Array, used: np.ndarray | None = None) -> np.ndarray:
     return made
 
 
-def prefix_hashes(hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the first two, three and four words of windows of word hashes."""
-    pair = mix(hashed[0] * HOT_BASE + hashed[1])
-    triple = mix(pair * HOT_BASE + hashed[2])
-    return pair, triple, mix(triple * HOT_BASE + hashed[3])
+def prefix_hashes(hashed: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the first two, three and four words of windows, given those of the words."""
+    pair = mix(hashed[columns[0]] * HOT_BASE + hashed[columns[1]])
+    triple = mix(pair * HOT_BASE + hashed[columns[2]])
+    return pair, triple, mix(triple * HOT_BASE + hashed[columns[3]])
 
 
 def pairs_and_triples():
@@ -120,7 +120,7 @@ def pairs_and_triples():
     def extract(texts: pa.Array) -> Iterator[tuple[np.ndarray, int]]:
         for block in blocks(texts.to_pylist(), CUT, AHEAD):
             words, columns, _ = windows.leads(block)
-            pair, triple, _ = prefix_hashes(word_hashes(words)[columns])
+            pair, triple, _ = prefix_hashes(word_hashes(words), columns)
             full = columns[2] > 0
             yield np.concatenate([pair[columns[1] > 0], triple[full]]), columns.shape[1]
 
@@ -147,7 +147,7 @@ def sort_keys(columns: np.ndarray) -> list[np.ndarray]:
     each = max(1, 63 // max(bits, 1))
     keys = []
     for at in range(0, len(columns), each):
-        key = columns[at].copy()
+        key = columns[at].astype(np.int64)
         for column in columns[at + 1:at + each]:
             key <<= bits
             key |= column
@@ -212,14 +212,17 @@ def pack_windows(frame: DataFrame, parts: int, hot: np.ndarray) -> DataFrame:
         def records(lang: str, made: list[tuple[pa.Array, np.ndarray]]) -> Iterator[dict]:
             # One dictionary for the words of all blocks.
             joined = pa.concat_arrays([words for words, _ in made]).dictionary_encode()
-            numbers, at, columns = np.asarray(joined.indices).astype(np.int64) + 1, 0, []
+            numbers, at = np.asarray(joined.indices) + np.int32(1), 0
+            columns = np.empty((LONGEST, sum(block.shape[1] for _, block in made)), np.int32)
+            seen, done = np.zeros(len(joined.dictionary) + 1, bool), 0
             for words, block in made:
-                columns.append(np.append(0, numbers[at:at + len(words)])[block])
-                at += len(words)
-            columns = np.concatenate(columns, axis=1)
-            used = np.flatnonzero(np.bincount(columns.ravel(), minlength=1))
+                own = columns[:, done:done + block.shape[1]]
+                own[:] = np.append(np.int32(0), numbers[at:at + len(words)])[block]
+                seen[own] = True
+                at, done = at + len(words), done + block.shape[1]
+            used = np.flatnonzero(seen)
             hashed = word_hashes(joined.dictionary, used[used > 0])
-            pair, triple, quad = prefix_hashes(hashed[columns])
+            pair, triple, quad = prefix_hashes(hashed, columns)
             wide = members.find(pair)[0]
             pair[wide] = triple[wide]
             wider = wide[members.find(triple[wide])[0]]
@@ -273,15 +276,15 @@ def fold_windows(packed: DataFrame, parts: int, hot: np.ndarray, least: int) ->
         for row in rows:
             text = pa.decompress(row["words"], decompressed_size=row["size"], codec="zstd", asbytes=True).decode()
             names.append(pa.array(text.split("\n") if text else [], pa.string()))
-            columns.append(expand(row["windows"], LONGEST * row["n"]).reshape(LONGEST, -1))
+            columns.append(expand(row["windows"], LONGEST * row["n"]).reshape(LONGEST, -1).astype(np.int32))
             counts.append(expand(row["counts"], row["n"]))
         joined = pa.concat_arrays(names).dictionary_encode()
-        numbers, at = np.asarray(joined.indices).astype(np.int64) + 1, 0
+        numbers, at = np.asarray(joined.indices) + np.int32(1), 0
         for i, part in enumerate(names):
-            columns[i] = np.append(0, numbers[at:at + len(part)])[columns[i]]
+            columns[i] = np.append(np.int32(0), numbers[at:at + len(part)])[columns[i]]
             at += len(part)
         merged, total = distinct_rows(np.concatenate(columns, axis=1), np.concatenate(counts))
-        pair, triple, _ = prefix_hashes(word_hashes(joined.dictionary)[merged])
+        pair, triple, _ = prefix_hashes(word_hashes(joined.dictionary), merged)
         open_pair, open_triple = np.zeros(len(total), bool), np.zeros(len(total), bool)
         open_pair[members.find(pair)[0]] = True
         open_triple[members.find(triple)[0]] = True
@@ -310,10 +313,16 @@ def prefix_sums(ordered: np.ndarray, total: np.ndarray, size: int) -> np.ndarray
 # ---- phrases --------------------------------------------------------------------------------
 
 
+def hot_share(texts: DataFrame) -> float:
+    """``HOT_SHARE`` of a part as a share of all windows, or less: there is at most a window for every two bytes."""
+    read = texts.agg(F.sum(F.octet_length("text").cast("long")).alias("bytes"), F.count("*").alias("texts")).first()
+    return min(1.0, HOT_SHARE * PART_WINDOWS / ((read["bytes"] or 0) // 2 + read["texts"] + 1))
+
+
 def frequent_phrases(frame: DataFrame, least: int = MIN_COUNT, text: str = "text", lang: str = "lang") -> DataFrame:
     """``lang, words, f`` of all phrases of 1 to 4 words with ``least`` occurrences; no words for the number of words in all."""
     texts = frame.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
-    hot, windows = named_candidates(texts.select("text"), pairs_and_triples, HOT_SHARE)
+    hot, windows = named_candidates(texts.select("text"), pairs_and_triples, hot_share(texts))
     parts = max(1, math.ceil(windows / PART_WINDOWS))
     folded = fold_windows(pack_windows(texts, parts, hot), parts, hot, least)
     levels = frame.sparkSession.sql(f"""

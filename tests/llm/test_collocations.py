@@ -69,6 +69,17 @@ def test_windows_of_long_texts_are_counted_once(make_docs, words):
     assert {tuple(r) for r in C.collocations(make_docs([text, text])).collect()} == plain([("en", text)] * 2)
 
 
+def test_only_pairs_that_fill_a_part_are_spread(make_docs, words, monkeypatch):
+    """Others would be sent one by one to be counted, and their windows not folded."""
+    rng, pack, seen = random.Random(3), C.pack_windows, []
+    monkeypatch.setattr(C, "pack_windows", lambda frame, parts, hot: seen.append((parts, len(hot))) or pack(frame, parts, hot))
+    texts = [" ".join(rng.choice(words) for _ in range(200)) for _ in range(50)]
+    C.frequent_phrases(make_docs(texts))
+    monkeypatch.setattr(C, "PART_WINDOWS", 1000)
+    C.frequent_phrases(make_docs([*texts, "a b " * 3000]))
+    assert seen == [(1, 0), (16, 4)]
+
+
 def test_large_counts_are_exact(spark):
     counted = spark.createDataFrame([(9_007_199_254_740_993, 9_007_199_254_740_995, 2)], "a long, l long, r long")
     ratio = counted.select(F.expr(f"(CAST(a AS DECIMAL(28, 0)) * {C.FACTOR}BD) div (CAST(l AS DECIMAL(28, 0)) + r)").alias("s")).first().s
