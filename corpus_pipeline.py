@@ -14,7 +14,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotalign.llm.bpe import bpe_decode, bpe_encode
+from slotalign.llm.bpe import bpe_round_trip
 from slotalign.llm.decontaminate import remove_contaminated
 from slotalign.llm.language import UNKNOWN, identify, train_profiles
 from slotalign.llm.near_dedup import keep_one_of_each_class
@@ -22,6 +22,15 @@ from slotalign.llm.secret_scan import extend_ledger, join_findings, redact
 from slotalign.storage import stage
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
+#: Rows that go to Python at once, held on both sides; whole texts have kilobytes.
+BATCH_ROWS = 1000
+
+
+def in_small_batches(spark: SparkSession) -> None:
+    """The session's Arrow batches have ``BATCH_ROWS`` rows at most; results do not depend on it."""
+    rows = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    if not 0 < rows <= BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
 def prefixed(docs: DataFrame) -> DataFrame:
@@ -31,6 +40,7 @@ def prefixed(docs: DataFrame) -> DataFrame:
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents in a likely language, by their text, declared language and source."""
+    in_small_batches(spark)
     named = prefixed(docs)
     profiles = train_profiles(named, "in_text", "in_lang")
     judged = identify(named, profiles, "in_text", declared="in_lang", host="in_source")
@@ -39,11 +49,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each class of near copies."""
+    in_small_batches(spark)
     return keep_one_of_each_class(prefixed(docs), "in_doc_id", "in_text").toDF(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold benchmark passages."""
+    in_small_batches(spark)
     return remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -61,11 +73,9 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and whether they decode to its text."""
-    ranks = public_tokenizers.path(RANKS)
-    encoded = bpe_encode(docs.select("doc_id", "lang", "source", "text"), ranks, public_tokenizers.PATTERN)
-    decoded = bpe_decode(encoded, ranks)
-    same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
-    return decoded.select("doc_id", "lang", "source", "n_tokens", "ids", same.alias("round_trip"))
+    in_small_batches(spark)
+    encoded = bpe_round_trip(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+    return encoded.select("doc_id", "lang", "source", "n_tokens", "ids", "round_trip")
 
 
 STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("decontaminate", decontaminate),

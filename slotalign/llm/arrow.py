@@ -30,9 +30,9 @@ def small_slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 def add_columns(frame: DataFrame, made: dict[str, T.DataType],
-                work: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]]) -> DataFrame:
-    """``frame`` with the columns ``made``, computed by ``work()`` for a few hundred rows at a time."""
-    kept = [c for c in frame.columns if c not in made]
+                work: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]], drop: tuple[str, ...] = ()) -> DataFrame:
+    """``frame`` with the columns ``made``, computed by ``work()`` for a few hundred rows at a time, without those of ``drop``."""
+    kept = [c for c in frame.columns if c not in made and c not in drop]
     types = {f.name: f for f in frame.schema.fields}
     schema = T.StructType([types[c] for c in kept] + [T.StructField(c, t) for c, t in made.items()])
     names = kept + list(made)

@@ -43,6 +43,14 @@ def parse_ranks(content: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, content.splitlines())}
 
 
+def token_table(ranks: dict[bytes, int]) -> list[bytes]:
+    """The bytes of each id."""
+    table = [b""] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        table[rank] = token
+    return table
+
+
 def make_encoder(ranks: dict[bytes, int], pattern: str, leaf_chars: int = LEAF_CHARS,
                  leaf_bytes: int = LEAF_BYTES) -> Callable[[str], array]:
     """A function from a text to its ids, by tree reduction."""
@@ -143,10 +151,7 @@ def bpe_decode(frame: DataFrame, rank_file: str, ids: str = "ids", decoded: str
     content = frame.sparkSession.sparkContext.broadcast(read_ranks(rank_file))
 
     def work():
-        ranks = parse_ranks(content.value)
-        table = [b""] * (max(ranks.values()) + 1)
-        for token, rank in ranks.items():
-            table[rank] = token
+        table = token_table(parse_ranks(content.value))
 
         def each(part: pa.RecordBatch) -> list[pa.Array]:
             rows = [decode_ids(array("I", value or b"").tolist(), table) for value in part.column(ids).to_pylist()]
@@ -155,3 +160,26 @@ def bpe_decode(frame: DataFrame, rank_file: str, ids: str = "ids", decoded: str
         return each
 
     return add_columns(frame, {decoded: T.BinaryType()}, work)
+
+
+def bpe_round_trip(frame: DataFrame, rank_file: str, pattern: str, text: str = "text", ids: str = "ids",
+                   count: str = "n_tokens", same: str = "round_trip") -> DataFrame:
+    """``frame`` with ``ids``, ``count`` and whether the ids decode to the text, in place of ``text``.
+
+    As ``bpe_encode`` and ``bpe_decode`` one after another, but in one process per task, and no text leaves it.
+    """
+    content = frame.sparkSession.sparkContext.broadcast(read_ranks(rank_file))
+
+    def work():
+        ranks = parse_ranks(content.value)
+        encode, table = make_encoder(ranks, pattern), token_table(ranks)
+
+        def each(part: pa.RecordBatch) -> list[pa.Array]:
+            texts = [value or "" for value in part.column(text).to_pylist()]
+            encoded = [encode(value) if value else array("I") for value in texts]
+            return [pa.array([e.tobytes() for e in encoded], pa.binary()), pa.array([len(e) for e in encoded], pa.int64()),
+                    pa.array([decode_ids(e.tolist(), table) == value.encode() for e, value in zip(encoded, texts)], pa.bool_())]
+
+        return each
+
+    return add_columns(frame, {ids: T.BinaryType(), count: T.LongType(), same: T.BooleanType()}, work, drop=(text,))

@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from slotalign.llm.bpe import bpe_decode, bpe_encode, decode_ids, make_encoder, parse_ranks, read_ranks
+from slotalign.llm.bpe import bpe_decode, bpe_encode, bpe_round_trip, decode_ids, make_encoder, parse_ranks, read_ranks
 
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 RANKS = parse_ranks(read_ranks(PATH))
@@ -42,3 +42,12 @@ def test_odd_rows(odd_docs, no_docs):
     assert bpe_encode(no_docs, PATH, public_tokenizers.PATTERN).count() == 0
     again = bpe_encode(odd_docs.withColumn("ids", F.lit(1)), PATH, public_tokenizers.PATTERN)
     assert again.schema["ids"].dataType.simpleString() == "binary"
+
+
+def test_round_trip_in_one_process_equals_two_steps(odd_docs, no_docs):
+    once = bpe_round_trip(odd_docs, PATH, public_tokenizers.PATTERN)
+    twice = bpe_decode(bpe_encode(odd_docs, PATH, public_tokenizers.PATTERN), PATH).withColumn(
+        "round_trip", F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary"))
+    assert once.columns == [*[c for c in odd_docs.columns if c != "text"], "ids", "n_tokens", "round_trip"]
+    assert sorted(map(str, once.collect())) == sorted(map(str, twice.select(*once.columns).collect()))
+    assert bpe_round_trip(no_docs, PATH, public_tokenizers.PATTERN).count() == 0

@@ -83,5 +83,12 @@ def test_registered_query(spark, name):
         assert differences(result, oracle_frame(SF_DIR, oracle_sql()[name])) is None
 
 
+def test_tokens_take_one_process_per_task_and_small_batches(spark, planted):
+    docs = spark.read.parquet(f"{planted[0]}/documents.parquet")
+    plan = pipeline.tokens(spark, docs, planted[0])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= pipeline.BATCH_ROWS
+
+
 def test_numbered_queries_are_all_there():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11)) and "pipeline" in queries()
