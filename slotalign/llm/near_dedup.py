@@ -1,10 +1,12 @@
 """Near duplicates: consistent weighted samples of TF-IDF shingles, banded, verified by weighted Jaccard.
 
 * **Weights.** A shingle is a run of five words (a shorter text is one shingle). It weighs
-  ``(1 + ln tf) * idf`` with an augmented idf between 1/2 and 1: ``1/2 + ln(1/p) / (2 ln(1/SHARE))`` for a
-  share ``p`` of the documents, and 1 for all shingles in less than ``SHARE`` of them. So only the frequent
-  shingles need to be known; they are counted over all documents and are at most ``1/SHARE`` times the mean
-  document length, whatever the number of documents.
+  ``(1 + ln tf) * idf`` with an augmented idf between 1/2 and 1: ``1/2 + ln(N/df) / (2 ln N)`` for a shingle in
+  ``df`` of the ``N`` documents, so 1 for one document and 1/2 for all. ``df`` is exact for every shingle.
+* **Document frequencies.** Texts are written once as blocks of about ``BLOCK_WORDS`` words. A block sends each of
+  its different shingles once, with the number of its texts that hold it, packed by ranges of hashes; what meets
+  in a range is added up there, and the sums return in the order sent. So a frequent shingle is one entry a
+  block, like any other, and blocks and ranges grow in number, not in size. A text keeps the frequencies of its shingles.
 * **Samples.** Improved consistent weighted sampling: per hash, two texts draw the same sample with a
   probability equal to their weighted Jaccard similarity. Its three random numbers come from a table of
   2^16 triples, addressed by a hash of the shingle; the rest of the hash tells shingles apart.
@@ -32,12 +34,13 @@ from pyspark.sql import types as T
 
 from ..storage import stage
 from .components import connected_components
-from .frequent import frequent
 from .joins import join_counted
+from .lm_score import pack, pack_sorted, unpack, unpack_sorted
 from .words import Members, WordHasher, Words, distinct, mix, shingles
 
 SHINGLE = 5
 SIMILARITY = 0.8
+#: Shingles from this share of the documents on are few; ``frequent`` counts them alone. No weight depends on it.
 SHARE = 0.01
 BANDS, ROWS = 12, 4
 TABLE_BITS = 16
@@ -45,6 +48,10 @@ SMALL_BUCKET = 8
 RARER = 4
 #: Pairs whose vectors a task holds at once.
 PAIRS_HELD = 64
+#: Words of a block, entries that meet in a range of hashes, and shingles that are sampled at once.
+BLOCK_WORDS = 1 << 20
+RANGE_VALUES = 1 << 21
+SAMPLED = 1 << 15
 
 
 def shingle_extract():
@@ -59,26 +66,31 @@ def shingle_extract():
 
 
 class Weights:
-    """Weights of shingles, given the frequent ones."""
+    """Weights of shingles by their document frequencies: those that are told with a text, else the ones given here, else 1."""
 
     def __init__(self, values: np.ndarray, counts: np.ndarray, documents: int) -> None:
-        self.members = Members(values)
-        share = np.asarray(counts, dtype=float) / max(1, documents)
-        self.idf = 0.5 + 0.5 * np.log(np.maximum(share, 1e-300)) / np.log(SHARE)
-        self.idf = np.clip(self.idf, 0.5, 1.0)
+        self.members, self.counts = Members(values), np.asarray(counts)
+        self.scale = 2 * np.log(max(2, documents))
 
-    def of(self, hashes: np.ndarray, times: np.ndarray) -> np.ndarray:
+    def of(self, hashes: np.ndarray, times: np.ndarray, frequencies: np.ndarray | None = None) -> np.ndarray:
         weights = np.ones(len(hashes))
         repeated = np.flatnonzero(times > 1)
         weights[repeated] += np.log(times[repeated])
-        places, which = self.members.find(hashes)
-        weights[places] *= self.idf[which]
+        if frequencies is None:
+            places, which = self.members.find(hashes)
+            counts = self.counts[which]
+        else:
+            places = np.flatnonzero(frequencies > 1)
+            counts = frequencies[places]
+        weights[places] *= 1 - np.log(counts) / self.scale
         return weights
 
-    def vectors(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sorted distinct shingles, their weights and the bounds of each text."""
+    def vectors(self, words: Words, told: pa.Array | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted distinct shingles, their weights and the bounds of each text; ``told`` has the packed frequencies of the texts."""
         hashes, times, bounds = distinct(*shingles(words, SHINGLE))
-        return hashes, self.of(hashes, times), bounds
+        known = told is not None and not told.null_count
+        frequencies = np.concatenate([np.empty(0, np.int64), *[unpack(x.as_buffer()) for x in told]]) if known else None
+        return hashes, self.of(hashes, times, frequencies), bounds
 
 
 class Sampler:
@@ -128,26 +140,118 @@ def with_node(documents: DataFrame, text: str) -> DataFrame:
     return documents.withColumn("node", F.when(F.length(text) > 0, F.unhex(F.md5(F.col(text).cast("binary")))))
 
 
-def signatures(documents: DataFrame, text: str, share_weights) -> DataFrame:
-    """``node, bands`` of every text that has words."""
-    schema = T.StructType([T.StructField("node", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+def packed_blocks(texts: DataFrame) -> DataFrame:
+    """``node, _text`` as blocks of whole texts: the different words, each word's place among them, words of each text, nodes."""
+    size = BLOCK_WORDS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, sampler, hasher = Weights(*share_weights.value), Sampler(), WordHasher()
+        hasher, parts, sizes, nodes, held = WordHasher(), [], [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            values, ids = np.unique(np.concatenate(parts), return_inverse=True)
+            row = [[len(ids)], [pack_sorted(values)], [pack(ids.astype(np.int64))],
+                   [pack(np.concatenate(sizes).astype(np.int64))], [b"".join(nodes)]]
+            return pa.RecordBatch.from_arrays([pa.array(c, f) for c, f in zip(row, (pa.int64(), *[pa.binary()] * 4))],
+                                              names=["words", "vocabulary", "ids", "sizes", "nodes"])
+
         for batch in batches:
             for words in hasher.chunks(batch.column("_text")):
-                hashes, each, bounds = weights.vectors(words)
-                if not len(hashes):
-                    continue
-                full = np.flatnonzero(np.diff(bounds) > 0)
-                bands = sampler.bands_of(hashes, each, bounds).view(np.int64)
-                lists = pa.ListArray.from_arrays(np.arange(0, bands.size + 1, bands.shape[1], dtype=np.int32),
-                                                 pa.array(bands.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(words.first + full)), lists],
-                                                 names=["node", "bands"])
+                parts.append(words.hashes)
+                sizes.append(np.diff(words.bounds))
+                nodes += batch.column("node").slice(words.first, words.texts).to_pylist()
+                held += len(words.hashes)
+                if held >= size:
+                    yield flush()
+                    parts, sizes, nodes, held = [], [], [], 0
+        if held:
+            yield flush()
+
+    return texts.select("node", "_text").mapInArrow(run, "words long, vocabulary binary, ids binary, sizes binary, nodes binary")
+
+
+class Block:
+    """The different shingles of a packed block: of each text, and of all of them, sorted, with the texts that hold them."""
 
-    return with_node(documents.select(F.col(text).alias("_text")), "_text").where("node IS NOT NULL") \
-        .select("node", "_text").mapInArrow(run, schema)
+    def __init__(self, vocabulary: bytes, ids: bytes, sizes: bytes) -> None:
+        bounds = np.concatenate([np.zeros(1, np.int64), np.cumsum(unpack(sizes))])
+        words = Words(0, unpack_sorted(vocabulary)[unpack(ids)], bounds)
+        self.hashes, self.times, self.bounds = distinct(*shingles(words, SHINGLE))
+        self.values, self.which, self.texts = np.unique(self.hashes, return_inverse=True, return_counts=True)
+
+
+def entries(packed: DataFrame, ranges: int) -> DataFrame:
+    """``range, block`` and the shingles of a block in that range of hashes, with the number of its texts that hold them."""
+    starts = np.array([-((-k << 64) // ranges) for k in range(ranges)], np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, *fields in zip(*batch.columns):
+                block = Block(*[x.as_buffer() for x in fields])
+                cuts = np.append(np.searchsorted(block.values, starts), len(block.values)).tolist()
+                full = [k for k in range(ranges) if cuts[k] < cuts[k + 1]]
+                part = [slice(cuts[k], cuts[k + 1]) for k in full]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(full, pa.int32()), pa.array([number.as_py()] * len(full), pa.int64()),
+                    pa.array([pack_sorted(block.values[p]) for p in part], pa.binary()),
+                    pa.array([pack(block.texts[p]) for p in part], pa.binary())], names=["range", "block", "entries", "texts"])
+
+    return packed.select("block", "vocabulary", "ids", "sizes").mapInArrow(run, "range int, block long, entries binary, texts binary")
+
+
+def counted(sent: DataFrame) -> DataFrame:
+    """``block, range, frequencies``: over all blocks, of what each block sent."""
+
+    def run(table: pa.Table) -> pa.Table:
+        values = [unpack_sorted(x.as_buffer()) for x in table["entries"]]
+        bounds = np.cumsum([0, *map(len, values)]).tolist()
+        found, which = np.unique(np.concatenate(values), return_inverse=True)
+        values = None
+        texts = np.concatenate([unpack(x.as_buffer()) for x in table["texts"]])
+        totals = np.bincount(which, texts, len(found)).astype(np.int64)
+        return pa.table([table["block"], table["range"],
+                         pa.array([pack(totals[which[i:j]]) for i, j in zip(bounds[:-1], bounds[1:])], pa.binary())],
+                        names=["block", "range", "frequencies"])
+
+    return sent.groupBy("range").applyInArrow(run, "block long, range int, frequencies binary")
+
+
+def signatures(texts: DataFrame, share_weights) -> DataFrame:
+    """``node, bands, frequencies`` of every text of ``node, _text`` that has words, by the frequencies over all of them."""
+    packed = stage(packed_blocks(texts).withColumn("block", F.monotonically_increasing_id()))
+    number = packed.agg(F.sum("words")).first()[0] or 0
+    tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    replies = stage(counted(entries(packed, max(tasks, -(-number // RANGE_VALUES)))))
+    fields = ("vocabulary", "ids", "sizes", "nodes")
+    own = packed.select("block", F.lit(-1).alias("range"), *fields, F.lit(None).cast("binary").alias("frequencies"))
+    told = replies.select("block", "range", *[F.lit(None).cast("binary").alias(c) for c in fields], "frequencies")
+    schema = T.StructType([T.StructField("node", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())),
+                           T.StructField("frequencies", T.BinaryType())])
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("range")
+        block, nodes = Block(*[table[c][0].as_buffer() for c in fields[:-1]]), table["nodes"][0].as_py()
+        frequencies = np.concatenate([unpack(x.as_buffer()) for x in table["frequencies"][1:]])[block.which]
+        weights, sampler = Weights(*share_weights.value).of(block.hashes, block.times, frequencies), Sampler()
+        full, bands = np.flatnonzero(np.diff(block.bounds) > 0).tolist(), []
+        start, texts = 0, len(block.bounds) - 1
+        while start < texts:
+            stop = max(start + 1, int(np.searchsorted(block.bounds, block.bounds[start] + SAMPLED, side="right")) - 1)
+            low, high = block.bounds[start], block.bounds[stop]
+            if high > low:
+                bands.append(sampler.bands_of(block.hashes[low:high], weights[low:high], block.bounds[start:stop + 1] - low))
+            start = stop
+        bands = np.concatenate(bands).view(np.int64)
+        lists = pa.ListArray.from_arrays(np.arange(0, bands.size + 1, bands.shape[1], dtype=np.int32), pa.array(bands.ravel()))
+        return pa.table([pa.array([nodes[16 * d:16 * d + 16] for d in full], pa.binary()), lists,
+                         pa.array([pack(frequencies[block.bounds[d]:block.bounds[d + 1]]) for d in full], pa.binary())],
+                        names=["node", "bands", "frequencies"])
+
+    return own.unionByName(told).groupBy("block").applyInArrow(run, schema)
+
+
+def with_frequencies(texts: DataFrame) -> DataFrame:
+    """``texts`` with ``frequencies``, which are NULL where ``texts`` has none."""
+    return texts if "frequencies" in texts.columns else texts.withColumn("frequencies", F.lit(None).cast("binary"))
 
 
 def weighted_jaccard(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray]) -> float:
@@ -160,18 +264,19 @@ def weighted_jaccard(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarra
 
 def verify(pairs: DataFrame, texts: DataFrame, share_weights) -> DataFrame:
     """The similarity of pairs ``a, b`` (``a`` may be in very many of them, ``b`` in few)."""
-    left = texts.select(F.col("node").alias("a"), F.col("_text").alias("_left"))
-    right = texts.select(F.col("node").alias("b"), F.col("_text").alias("_right"))
+    texts = with_frequencies(texts)
+    left = texts.select(F.col("node").alias("a"), F.col("_text").alias("_left"), F.col("frequencies").alias("_left_told"))
+    right = texts.select(F.col("node").alias("b"), F.col("_text").alias("_right"), F.col("frequencies").alias("_right_told"))
     schema = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType()),
                            T.StructField("similarity", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, hasher = Weights(*share_weights.value), WordHasher()
 
-        def vectors(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+        def vectors(texts: pa.Array, told: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
             found = []
             for words in hasher.chunks(texts):
-                hashes, each, bounds = weights.vectors(words)
+                hashes, each, bounds = weights.vectors(words, told.slice(words.first, words.texts))
                 found += [(hashes[i:j], each[i:j]) for i, j in zip(bounds[:-1], bounds[1:])]
             return found
 
@@ -179,11 +284,11 @@ def verify(pairs: DataFrame, texts: DataFrame, share_weights) -> DataFrame:
             for start in range(0, batch.num_rows, PAIRS_HELD):
                 part = batch.slice(start, PAIRS_HELD)
                 values = [weighted_jaccard(x, y) for x, y in zip(
-                    vectors(part.column("_left")), vectors(part.column("_right")))]
+                    vectors(part.column("_left"), part.column("_left_told")), vectors(part.column("_right"), part.column("_right_told")))]
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(values, pa.float64())],
                                                  names=schema.names)
 
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "_left", "_right") \
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "_left", "_right", "_left_told", "_right_told") \
         .mapInArrow(run, schema)
 
 
@@ -194,12 +299,12 @@ def weighted_shingles(texts: DataFrame, share_weights) -> DataFrame:
         weights, hasher = Weights(*share_weights.value), WordHasher()
         for batch in batches:
             for words in hasher.chunks(batch.column("_text")):
-                hashes, each, bounds = weights.vectors(words)
+                hashes, each, bounds = weights.vectors(words, batch.column("frequencies").slice(words.first, words.texts))
                 owner = words.first + np.repeat(np.arange(words.texts), np.diff(bounds))
                 yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(owner)), pa.array(hashes.view(np.int64)),
                                                   pa.array(each)], names=["node", "shingle", "weight"])
 
-    return texts.select("node", "_text").mapInArrow(run, "node binary, shingle long, weight double")
+    return with_frequencies(texts).select("node", "_text", "frequencies").mapInArrow(run, "node binary, shingle long, weight double")
 
 
 def prefix_pairs(texts: DataFrame, placed: DataFrame, share_weights, similarity: float) -> DataFrame:
@@ -267,13 +372,13 @@ def node_classes(documents: DataFrame, doc_id: str, text: str, similarity: float
     context = documents.sparkSession.sparkContext
     plain = documents.select(F.col(text).alias("_text")).where(F.length("_text") > 0)
     number = plain.count()
-    share_weights = context.broadcast((*frequent(plain, shingle_extract, SHARE, number), number))
-    signed = stage(signatures(plain, "_text", share_weights))
+    share_weights = context.broadcast((np.empty(0, np.uint64), np.empty(0, np.int64), number))
+    signed = stage(signatures(with_node(plain, "_text"), share_weights))
     unique = signed.dropDuplicates(["node"]).select("node", F.explode("bands").alias("bucket"))
     shared = unique.groupBy("bucket").agg(F.count("*").alias("_n")).where("_n > 1").select("bucket")
     buckets = stage(unique.join(shared, "bucket"))
-    wanted = buckets.select("node").distinct()
-    texts = stage(with_node(plain, "_text").join(wanted, "node", "left_semi").dropDuplicates(["node"]))
+    told = signed.select("node", "frequencies").join(buckets.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    texts = stage(with_node(plain, "_text").join(told, "node").dropDuplicates(["node"]))
     classes = verified_links(buckets, texts, share_weights, similarity)
 
     rows = with_node(documents.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")), "_text").where("node IS NOT NULL")
@@ -302,7 +407,7 @@ def keep_one_of_each_class(documents: DataFrame, doc_id: str = "doc_id", text: s
     ids = with_node(documents.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")), "_text") \
         .where("node IS NOT NULL").select("_id", "node")
     later = join_counted(ids, named, "node", "_rows", documents.count()).where(
-        "_id > class_id OR (_id IS NULL AND class_id IS NOT NULL)").select("_id", "node").distinct()
-    keyed = with_node(documents.withColumn("_id", F.col(doc_id)), text)
-    alone = keyed.join(later, keyed["_id"].eqNullSafe(later["_id"]) & (keyed["node"] == later["node"]), "left_anti")
-    return alone.dropDuplicates(["_id", "node"]).select(*documents.columns)
+        "_id > class_id OR (_id IS NULL AND class_id IS NOT NULL)").select(F.struct("_id", "node").alias("_row")).distinct()
+    # One key for both steps, so that whole documents move once.
+    keyed = with_node(documents.withColumn("_id", F.col(doc_id)), text).withColumn("_row", F.struct("_id", "node"))
+    return keyed.join(later, "_row", "left_anti").dropDuplicates(["_row"]).select(*documents.columns)

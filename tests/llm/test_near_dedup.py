@@ -1,15 +1,19 @@
+import hashlib
 import random
 import tracemalloc
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from slotalign.llm import near_dedup
+from slotalign.llm import words as word_hashes
 from slotalign.llm.components import connected_components
 from slotalign.llm.frequent import frequent
 from slotalign.llm.near_dedup import (Sampler, Weights, keep_one_of_each_class, near_duplicate_classes, shingle_extract,
                                       weighted_jaccard)
+from slotalign.llm.lm_score import unpack
 from slotalign.llm.words import WordHasher, distinct, shingles
 
 
@@ -126,3 +130,50 @@ def test_working_memory_of_a_task(words):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 30e6
+
+
+def test_frequencies_of_all_shingles_are_exact(spark, make_docs, corpus, monkeypatch):
+    """Blocks of a few texts and many ranges tell each text in how many texts each of its shingles stands."""
+    texts = [t for t in corpus if t]
+    [words] = list(WordHasher().chunks(pa.array(texts)))
+    hashes, times, bounds = distinct(*shingles(words, 5))
+    values, which, counts = np.unique(hashes, return_inverse=True, return_counts=True)
+    assert counts.max() >= 20 and (counts == 1).any() and (counts == 2).any()
+    monkeypatch.setattr(word_hashes, "CHUNK_BYTES", 3000)
+    monkeypatch.setattr(near_dedup, "BLOCK_WORDS", 500)
+    monkeypatch.setattr(near_dedup, "RANGE_VALUES", 1000)
+    monkeypatch.setattr(near_dedup, "SAMPLED", 300)
+    rows = near_dedup.with_node(make_docs(texts).select(F.col("text").alias("_text")), "_text")
+    assert near_dedup.packed_blocks(rows).count() > 10
+    weights = spark.sparkContext.broadcast((np.empty(0, np.uint64), np.empty(0, np.int64), len(texts)))
+    got = {bytes(r.node): (r.bands, unpack(r.frequencies)) for r in near_dedup.signatures(rows, weights).collect()}
+    for text, i, j in zip(texts, bounds[:-1], bounds[1:]):
+        if j > i:
+            bands, frequencies = got[hashlib.md5(text.encode()).digest()]
+            assert frequencies.tolist() == counts[which[i:j]].tolist()
+            idf = 1 - np.log(frequencies) / (2 * np.log(len(texts)))
+            each = Sampler().bands_of(hashes[i:j], (1 + np.log(times[i:j])) * idf, np.array([0, j - i]))
+            assert bands == each[0].view(np.int64).tolist()
+    assert len(got) == len({t for t, i, j in zip(texts, bounds[:-1], bounds[1:]) if j > i})
+
+
+def test_shingles_in_few_documents_weigh_less_than_those_in_one(make_docs, words):
+    """A passage in eight of 1,000 texts makes two of them alike to 0.81 if it counts as unique, to 0.78 by its idf."""
+    rng = random.Random(15)
+
+    def some(n):
+        return [rng.choice(words) + str(rng.randrange(10**6)) for _ in range(n)]
+
+    passage = some(100)
+    texts = [" ".join(passage + some(11)) for _ in range(2)] + [" ".join(some(150) + passage + some(150)) for _ in range(6)]
+    pair = some(100)
+    texts += [" ".join(pair + some(11)) for _ in range(2)]  # as long, but in two texts only
+    texts += [" ".join(some(12)) for _ in range(990)]
+    got = {r.doc_id: r.class_id for r in near_duplicate_classes(make_docs(texts)).collect()}
+    assert got == {i: i for i in range(1000)} | {9: 8}
+
+
+def test_one_row_is_kept_of_repeated_ids(odd_docs):
+    """Rows are told apart by id and text together, NULL ids too."""
+    kept = keep_one_of_each_class(odd_docs.unionByName(odd_docs)).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept) == sorted({(r.doc_id or 0, r.text or "") for r in odd_docs.collect()})
